@@ -90,3 +90,171 @@ def q_infer_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     personas, k = scoring.log_likelihood_personas(docs, model_tokens, counts=counts)
     scores = scoring.score_log_likelihood(personas, k, B.inference_pairs(docs))
     return rounded(scores.drop("pair_id"))
+
+
+# ------------------------------------------------------------------ corpus (scan, clean, profile)
+
+from penprint.operators import corpus  # noqa: E402
+from penprint.session import scratch_path  # noqa: E402
+from penprint.sources import readers, writers  # noqa: E402
+
+SQL_FILTERED_SUBS = f"""
+subs AS ({B.SQL_SUBMISSIONS}),
+flags AS (SELECT subreddit,
+                 count(*) FILTER (WHERE coalesce(over_18, false)) / (count(*) + 0.1) > 0.1 AS flagged
+          FROM subs GROUP BY subreddit),
+fsubs AS (SELECT s.* FROM subs s JOIN flags f USING (subreddit)
+          WHERE NOT (coalesce(s.over_18, false) AND f.flagged)
+            AND s.author NOT IN (SELECT author FROM ({B.SQL_IGNORED}))),
+coms AS ({B.SQL_COMMENTS}),
+fcoms AS (SELECT * FROM coms WHERE author NOT IN (SELECT author FROM ({B.SQL_IGNORED})))"""
+
+SQL_STATS = f"""{SQL_FILTERED_SUBS},
+act AS (SELECT author, subreddit, 'post' AS kind,
+               coalesce(length(selftext), 0) + coalesce(length(title), 0) AS chars FROM fsubs
+        UNION ALL
+        SELECT author, subreddit, 'comment', coalesce(length(body), 0) FROM fcoms),
+stats AS (SELECT author, subreddit, sum(chars) AS num_characters,
+                 count(*) FILTER (WHERE kind = 'comment') AS num_comments,
+                 count(*) FILTER (WHERE kind = 'post') AS num_posts
+          FROM act GROUP BY ALL),
+prolific AS (SELECT author FROM stats GROUP BY author
+             HAVING count(*) FILTER (WHERE num_characters >= 10000) >= 2)"""
+
+
+def _filtered(spark, sf_dir):
+    subs, coms = B.submissions(spark, sf_dir), B.comments(spark, sf_dir)
+    ign = B.ignored_authors(spark)
+    return corpus.filter_submissions(subs, ign), corpus.filter_comments(coms, ign)
+
+
+def _stats(spark, sf_dir):
+    fs, fc = _filtered(spark, sf_dir)
+    stats = corpus.characters_per_author_subreddit(fs, fc)
+    return fs, fc, stats, corpus.prolific_authors(stats, 10000)
+
+
+@register("scan_submissions", f"WITH s AS ({B.SQL_SUBMISSIONS}) SELECT * FROM s")
+def q_scan_submissions(spark, sf_dir):
+    path = scratch_path(spark, "submissions")
+    writers.write_ndjson(B.submissions(spark, sf_dir), path)
+    return readers.read_submissions(spark, path)
+
+
+@register("scan_comments", f"WITH c AS ({B.SQL_COMMENTS}) SELECT * FROM c")
+def q_scan_comments(spark, sf_dir):
+    path = scratch_path(spark, "comments")
+    writers.write_ndjson(B.comments(spark, sf_dir), path)
+    return readers.read_comments(spark, path)
+
+
+SQL_FLAGS = f"""WITH subs AS ({B.SQL_SUBMISSIONS})
+SELECT subreddit, count(*) FILTER (WHERE coalesce(over_18, false)) / (count(*) + 0.1) > 0.1 AS flagged
+FROM subs GROUP BY subreddit"""
+
+
+@register("nsfw_flags", SQL_FLAGS)
+def q_nsfw_flags(spark, sf_dir):
+    return corpus.nsfw_flags(B.submissions(spark, sf_dir))
+
+
+@register("nsfw_flags_roundtrip", SQL_FLAGS)
+def q_nsfw_flags_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "nsfw-flags")
+    writers.write_nsfw_flags(corpus.nsfw_flags(B.submissions(spark, sf_dir)), path)
+    return readers.read_nsfw_flags(spark, path)
+
+
+@register("filter_submissions", f"WITH {SQL_FILTERED_SUBS} SELECT * FROM fsubs")
+def q_filter_submissions(spark, sf_dir):
+    return _filtered(spark, sf_dir)[0]
+
+
+@register("filter_comments", f"WITH {SQL_FILTERED_SUBS} SELECT * FROM fcoms")
+def q_filter_comments(spark, sf_dir):
+    return _filtered(spark, sf_dir)[1]
+
+
+@register("prolific_authors", f"WITH {SQL_STATS} SELECT author FROM prolific")
+def q_prolific_authors(spark, sf_dir):
+    return _stats(spark, sf_dir)[3]
+
+
+@register("prolific_list_roundtrip", f"WITH {SQL_STATS} SELECT author FROM prolific")
+def q_prolific_list_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "prolific")
+    writers.write_line_list(_stats(spark, sf_dir)[3], path)
+    return readers.read_line_list(spark, path)
+
+
+@register("author_subreddit_stats", f"WITH {SQL_STATS} SELECT * FROM stats WHERE author IN (SELECT author FROM prolific)")
+def q_author_subreddit_stats(spark, sf_dir):
+    _, _, stats, prolific = _stats(spark, sf_dir)
+    path = scratch_path(spark, "stats")
+    writers.write_ndjson(corpus.author_subreddit_stats(stats, prolific), path)
+    return readers.read_author_subreddit_stats(spark, path)
+
+
+@register("prolific_submissions", f"WITH {SQL_STATS} SELECT * FROM fsubs WHERE author IN (SELECT author FROM prolific)")
+def q_prolific_submissions(spark, sf_dir):
+    fs, _, _, prolific = _stats(spark, sf_dir)
+    return corpus.of_authors(fs, prolific)
+
+
+@register("prolific_comments", f"WITH {SQL_STATS} SELECT * FROM fcoms WHERE author IN (SELECT author FROM prolific)")
+def q_prolific_comments(spark, sf_dir):
+    _, fc, _, prolific = _stats(spark, sf_dir)
+    return corpus.of_authors(fc, prolific)
+
+
+SQL_COUNTS = f"""WITH {SQL_FILTERED_SUBS},
+rows_ AS (SELECT author, subreddit FROM fsubs UNION ALL SELECT author, subreddit FROM fcoms),
+authors AS (SELECT author, count(*) AS count FROM rows_ GROUP BY author),
+subreddits AS (SELECT subreddit, count(*) AS count FROM rows_ GROUP BY subreddit)"""
+
+
+@register("author_counts", f"{SQL_COUNTS} SELECT * FROM authors WHERE count >= 25")
+def q_author_counts(spark, sf_dir):
+    fs, fc = _filtered(spark, sf_dir)
+    path = scratch_path(spark, "author-counts")
+    writers.write_count_csv(corpus.at_least(corpus.activity_counts(fs, fc, "author"), 25), path)
+    return readers.read_count_csv(spark, path, "author")
+
+
+@register("active_subreddits", f"{SQL_COUNTS} SELECT * FROM subreddits WHERE count >= 30")
+def q_active_subreddits(spark, sf_dir):
+    fs, fc = _filtered(spark, sf_dir)
+    path = scratch_path(spark, "subreddit-counts")
+    writers.write_count_csv(corpus.at_least(corpus.activity_counts(fs, fc, "subreddit"), 30), path)
+    return readers.read_count_csv(spark, path, "subreddit")
+
+
+@register("activity_summary", f"""{SQL_COUNTS}
+SELECT (SELECT count(*) FROM authors) AS n_authors,
+       (SELECT count(*) FROM authors WHERE count >= 25) AS n_active_authors,
+       (SELECT count(*) FROM subreddits) AS n_subreddits,
+       (SELECT count(*) FROM subreddits WHERE count >= 30) AS n_active_subreddits""")
+def q_activity_summary(spark, sf_dir):
+    fs, fc = _filtered(spark, sf_dir)
+    return corpus.activity_summary(fs, fc, 25, 30)
+
+
+@register("activity_extremes", f"""{SQL_COUNTS},
+active AS (SELECT * FROM subreddits WHERE count >= 30)
+SELECT * FROM (SELECT subreddit, count, 'most' AS "end" FROM active ORDER BY count DESC, subreddit ASC LIMIT 5)
+UNION ALL
+SELECT * FROM (SELECT subreddit, count, 'least' AS "end" FROM active ORDER BY count ASC, subreddit DESC LIMIT 5)""")
+def q_activity_extremes(spark, sf_dir):
+    fs, fc = _filtered(spark, sf_dir)
+    active = corpus.at_least(corpus.activity_counts(fs, fc, "subreddit"), 30)
+    return corpus.activity_extremes(active, "subreddit", 5)
+
+
+@register("shard_by_day", f"""WITH ev AS ({B.SQL_EVENTS})
+SELECT event_id, created_utc,
+       CAST(day(DATE '1970-01-01' + CAST(floor(created_utc / 86400) AS INTEGER)) AS INTEGER) AS day FROM ev""")
+def q_shard_by_day(spark, sf_dir):
+    ev = B.events_with_epoch(spark, sf_dir).select("event_id", "created_utc")
+    path = scratch_path(spark, "day-shards")
+    writers.write_day_shards(corpus.with_utc_day(ev), path)
+    return spark.read.schema("event_id BIGINT, created_utc BIGINT, day INT").json(path)
