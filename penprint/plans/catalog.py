@@ -258,3 +258,54 @@ def q_shard_by_day(spark, sf_dir):
     path = scratch_path(spark, "day-shards")
     writers.write_day_shards(corpus.with_utc_day(ev), path)
     return spark.read.schema("event_id BIGINT, created_utc BIGINT, day INT").json(path)
+
+
+# ------------------------------------------------------------------ community graph
+
+from penprint.operators import graph  # noqa: E402
+
+SQL_DIRECTED = f"""
+stats AS ({B.SQL_GRAPH_STATS}),
+e AS (SELECT a.subreddit AS subreddit_i, b.subreddit AS subreddit_j, count(*) AS shared_authors,
+             CASE WHEN count(*) = 1 THEN min(a.author) END AS sole_author
+      FROM stats a JOIN stats b ON a.author = b.author AND a.subreddit <> b.subreddit GROUP BY 1, 2)"""
+
+
+def _graph(spark, sf_dir):
+    inc = graph.graph_incidence(B.graph_stats(spark, sf_dir))
+    return inc, graph.subreddit_adjacency(inc)
+
+
+@register("subreddit_adjacency", f"""WITH {SQL_DIRECTED}
+SELECT subreddit_i AS subreddit_a, subreddit_j AS subreddit_b, shared_authors, sole_author
+FROM e WHERE subreddit_i < subreddit_j""")
+def q_subreddit_adjacency(spark, sf_dir):
+    return _graph(spark, sf_dir)[1]
+
+
+@register("subreddit_adjacency_summary", f"""WITH {SQL_DIRECTED}
+SELECT shared_authors, count(*) AS n_pairs FROM e WHERE subreddit_i < subreddit_j GROUP BY 1""")
+def q_subreddit_adjacency_summary(spark, sf_dir):
+    return graph.adjacency_histogram(_graph(spark, sf_dir)[1])
+
+
+SQL_SUITABLE = f"""WITH {SQL_DIRECTED},
+rowmax AS (SELECT subreddit_i, max(shared_authors) AS mx FROM e GROUP BY 1),
+cand AS (SELECT e.subreddit_i, e.subreddit_j, e.sole_author AS author FROM e JOIN rowmax USING (subreddit_i)
+         WHERE rowmax.mx >= 3 AND e.shared_authors = 1),
+ok AS (SELECT c.* FROM cand c
+       JOIN stats s1 ON s1.author = c.author AND s1.subreddit = c.subreddit_i
+       JOIN stats s2 ON s2.author = c.author AND s2.subreddit = c.subreddit_j
+       WHERE s1.num_characters >= 30 AND s2.num_characters >= 30),
+suitable AS (SELECT author, subreddit_i AS subreddit_0, subreddit_j AS subreddit_1 FROM (
+  SELECT *, row_number() OVER (PARTITION BY author ORDER BY subreddit_i, subreddit_j) AS rn FROM ok) WHERE rn = 1)"""
+
+
+def _suitable(spark, sf_dir):
+    inc, edges = _graph(spark, sf_dir)
+    return inc, graph.suitable_authors(inc, edges, min_max_neighbours=3, min_chars=30)
+
+
+@register("suitable_authors", f"{SQL_SUITABLE} SELECT * FROM suitable")
+def q_suitable_authors(spark, sf_dir):
+    return _suitable(spark, sf_dir)[1]
