@@ -160,3 +160,45 @@ SQL_PERSONA_VECTORS = """
 
 SQL_EVENTS = """
   SELECT *, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS created_utc FROM events"""
+
+
+# Persona documents as author records: conversations are authors, their user
+# and assistant sides are the two personas (slot 0, 1). Turns 0 and 1 are
+# posts (title = first 40 characters, selftext = the rest), later turns are
+# comments. Every turn of every kept conversation is used.
+
+def conv_personas(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("entity").alias("author"), "slot", F.col("persona").alias("subreddit")).distinct()
+
+
+def conv_submissions(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("ordinal") < 2).select(
+        F.col("entity").alias("author"), F.col("persona").alias("subreddit"), "ordinal",
+        F.substring("text", 1, 40).alias("title"), F.substring("text", 41, 1 << 30).alias("selftext"),
+        F.concat(F.lit("conv/"), F.col("entity"), F.lit("/"), F.col("ordinal").cast("string")).alias("url"))
+
+
+def conv_comments(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("ordinal") >= 2).select(
+        F.col("entity").alias("author"), F.col("persona").alias("subreddit"), "ordinal",
+        F.col("text").alias("body"),
+        F.concat(F.lit("conv/"), F.col("entity"), F.lit("/"), F.col("ordinal").cast("string")).alias("permalink"))
+
+
+SQL_AUTHOR_DOCS = f"""
+docs AS ({SQL_PERSONA_DOCS}),
+personas AS (SELECT DISTINCT entity AS author, slot, persona AS subreddit FROM docs),
+subs AS (SELECT entity AS author, persona AS subreddit, ordinal, substring(text, 1, 40) AS title,
+                substring(text, 41) AS selftext, 'conv/' || entity || '/' || CAST(ordinal AS VARCHAR) AS url
+         FROM docs WHERE ordinal < 2),
+coms AS (SELECT entity AS author, persona AS subreddit, ordinal, text AS body,
+                'conv/' || entity || '/' || CAST(ordinal AS VARCHAR) AS permalink
+         FROM docs WHERE ordinal >= 2),
+flat AS (
+  SELECT p.author, p.slot, p.subreddit, d.kind, d.ordinal, d.title, d.selftext, d.url, d.body, d.permalink
+  FROM personas p LEFT JOIN (
+    SELECT author, subreddit, 'submission' AS kind, ordinal, title, selftext, url,
+           CAST(NULL AS VARCHAR) AS body, CAST(NULL AS VARCHAR) AS permalink FROM subs
+    UNION ALL
+    SELECT author, subreddit, 'comment', ordinal, NULL, NULL, NULL, body, permalink FROM coms) d
+  USING (author, subreddit))"""

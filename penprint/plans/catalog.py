@@ -309,3 +309,93 @@ def _suitable(spark, sf_dir):
 @register("suitable_authors", f"{SQL_SUITABLE} SELECT * FROM suitable")
 def q_suitable_authors(spark, sf_dir):
     return _suitable(spark, sf_dir)[1]
+
+
+# ------------------------------------------------------------------ personas
+
+from penprint.operators import personas as P  # noqa: E402
+
+
+def sql_sha256_mod_100(expr: str) -> str:
+    acc = "0"
+    for i in range(8):
+        acc = f"(({acc}) * 96 + ('0x' || substr(sha256({expr}), {1 + 8 * i}, 8))::BIGINT) % 100"
+    return acc
+
+
+def _author_docs(spark, sf_dir):
+    docs = B.persona_documents(spark, sf_dir)
+    flat = P.attach_documents(B.conv_personas(docs), B.conv_submissions(docs), B.conv_comments(docs))
+    return docs, flat
+
+
+@register("author_docs", f"WITH {B.SQL_AUTHOR_DOCS} SELECT * FROM flat")
+def q_author_docs(spark, sf_dir):
+    return _author_docs(spark, sf_dir)[1]
+
+
+@register("author_docs_roundtrip", f"""WITH {B.SQL_AUTHOR_DOCS}
+SELECT author, slot, subreddit, kind,
+       row_number() OVER (PARTITION BY author, slot, kind ORDER BY ordinal) - 1 AS position,
+       title, selftext, url, body, permalink
+FROM flat WHERE kind IS NOT NULL""")
+def q_author_docs_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "author-docs")
+    writers.write_ndjson(P.nest_author_docs(_author_docs(spark, sf_dir)[1]), path)
+    return P.flatten_author_docs(readers.read_author_infos(spark, path))
+
+
+@register("split_arms", f"""WITH {B.SQL_AUTHOR_DOCS},
+b AS (SELECT DISTINCT author FROM flat)
+SELECT author AS username,
+       CASE WHEN {sql_sha256_mod_100('author')} < 70 THEN 'train'
+            WHEN {sql_sha256_mod_100('author')} < 85 THEN 'val' ELSE 'test' END AS arm
+FROM b""")
+def q_split_arms(spark, sf_dir):
+    nested = P.nest_author_docs(_author_docs(spark, sf_dir)[1])
+    path = scratch_path(spark, "arms")
+    writers.write_arms(P.with_arm(nested, "username"), path)
+    arms = readers.read_arms(spark, path, ("train", "val", "test"))
+    return arms.select("username", "arm")
+
+
+@register("persona_texts", f"""WITH {B.SQL_AUTHOR_DOCS}
+SELECT author, slot, subreddit, CASE WHEN kind = 'submission' THEN 0 ELSE 1 END AS doc_order, ordinal,
+       CASE WHEN kind = 'submission'
+            THEN coalesce(title, '') || CASE WHEN coalesce(selftext, '') <> '' THEN chr(10) || chr(10) || selftext ELSE '' END
+            ELSE body END AS text
+FROM flat WHERE kind IS NOT NULL""")
+def q_persona_texts(spark, sf_dir):
+    return P.persona_texts(_author_docs(spark, sf_dir)[1])
+
+
+SQL_SEGMENT_COUNTS = f"""{B.SQL_AUTHOR_DOCS},
+segs AS (SELECT author, slot, title AS text FROM flat WHERE kind = 'submission'
+         UNION ALL SELECT author, slot, selftext FROM flat WHERE kind = 'submission'
+         UNION ALL SELECT author, slot, body FROM flat WHERE kind = 'comment'),
+stoks AS (SELECT author, slot, unnest({sql_tokens("coalesce(text, '')")}) AS token FROM segs),
+pcounts AS (SELECT author, slot, token, count(*) AS n FROM stoks GROUP BY ALL)"""
+
+
+def _segment_counts(spark, sf_dir):
+    flat = _author_docs(spark, sf_dir)[1]
+    return flat, tok.token_counts(P.persona_segments(flat), ["author", "slot"])
+
+
+@register("persona_token_counts", f"WITH {SQL_SEGMENT_COUNTS} SELECT * FROM pcounts")
+def q_persona_token_counts(spark, sf_dir):
+    return _segment_counts(spark, sf_dir)[1]
+
+
+@register("author_token_counts", f"WITH {SQL_SEGMENT_COUNTS} SELECT author, token, sum(n) AS n FROM pcounts GROUP BY ALL")
+def q_author_token_counts(spark, sf_dir):
+    flat = _author_docs(spark, sf_dir)[1]
+    return tok.token_counts(P.persona_segments(flat), ["author"])
+
+
+@register("persona_docs", f"WITH docs AS ({B.SQL_PERSONA_DOCS}) SELECT entity, persona, ordinal, text FROM docs")
+def q_persona_docs(spark, sf_dir):
+    from penprint.sources.readers import validate_documents
+    docs = validate_documents(B.persona_documents(spark, sf_dir))
+    return docs.where(F.col("entity").isNotNull() & F.col("persona").isNotNull()).select(
+        "entity", "persona", "ordinal", "text")
