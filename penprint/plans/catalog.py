@@ -399,3 +399,105 @@ def q_persona_docs(spark, sf_dir):
     docs = validate_documents(B.persona_documents(spark, sf_dir))
     return docs.where(F.col("entity").isNotNull() & F.col("persona").isNotNull()).select(
         "entity", "persona", "ordinal", "text")
+
+
+# ------------------------------------------------------------------ token model
+
+from penprint.operators import evaluate as ev  # noqa: E402
+
+SQL_CANDIDATES = f"""{SQL_SEGMENT_COUNTS},
+per_author AS (SELECT author, token, sum(n) AS n FROM pcounts GROUP BY ALL),
+freq AS (SELECT token, sum(n) AS n, count(*) AS n_authors FROM per_author GROUP BY token HAVING count(*) >= 20),
+cand AS (SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, token ASC) - 1 AS INTEGER) AS rank
+         FROM freq ORDER BY n DESC, token ASC LIMIT 1000),
+tset AS (SELECT token, rank FROM cand WHERE rank < 40),
+authors AS (SELECT author, row_number() OVER (ORDER BY author) - 1 AS idx FROM (SELECT DISTINCT author FROM flat)),
+pairs AS (SELECT author AS author_a, author AS author_b, 1 AS label FROM authors
+          UNION ALL
+          SELECT a.author, b.author, 0 FROM authors a JOIN authors b ON b.idx BETWEEN a.idx + 1 AND a.idx + 4),
+ptot AS (SELECT label, count(*) AS n FROM pairs GROUP BY label),
+n1 AS (SELECT n FROM ptot WHERE label = 1), n0 AS (SELECT n FROM ptot WHERE label = 0),
+grid AS (SELECT CAST(g AS INTEGER) AS g, CAST(g AS DOUBLE) * CAST(-0.05 AS DOUBLE) AS cutoff FROM range(400) t(g))"""
+
+
+def _token_model(spark, sf_dir):
+    flat, counts = _segment_counts(spark, sf_dir)
+    cand = tok.token_frequencies(counts, ["author"], top_k=1000, min_authors=20)
+    authors = flat.select("author").distinct()
+    pairs = ev.evaluation_pairs(authors)
+    return flat, counts, cand, pairs
+
+
+@register("token_frequencies", f"WITH {SQL_CANDIDATES} SELECT rank, token, n FROM cand")
+def q_token_frequencies(spark, sf_dir):
+    _, _, cand, _ = _token_model(spark, sf_dir)
+    path = scratch_path(spark, "token-counts")
+    writers.write_token_counts(cand, path)
+    return readers.read_token_counts(spark, path)
+
+
+@register("likelihood_mismatched", f"WITH {SQL_CANDIDATES} SELECT author_a, author_b FROM pairs WHERE label = 0")
+def q_likelihood_mismatched(spark, sf_dir):
+    _, _, _, pairs = _token_model(spark, sf_dir)
+    return pairs.where(F.col("label") == 0).select("author_a", "author_b")
+
+
+SQL_TOKEN_ACCURACY = f"""{SQL_CANDIDATES},
+mtot AS (SELECT author, sum(n) AS total FROM pcounts WHERE slot = 0 GROUP BY author),
+rows_ AS (SELECT p.label, o.token,
+                 round(log2((coalesce(m.n, 0) + 0.5) / (coalesce(t.total, 0) + 1.0)), 9) AS s
+          FROM pairs p JOIN pcounts o ON o.author = p.author_b AND o.slot = 1
+          JOIN cand c ON c.token = o.token
+          LEFT JOIN pcounts m ON m.author = p.author_a AND m.slot = 0 AND m.token = o.token
+          LEFT JOIN mtot t ON t.author = p.author_a),
+present AS (SELECT token, count(*) FILTER (WHERE label = 1) AS p1, count(*) FILTER (WHERE label = 0) AS p0
+            FROM rows_ GROUP BY token),
+pass AS (SELECT r.token, g.g, count(*) FILTER (WHERE r.label = 1) AS c1, count(*) FILTER (WHERE r.label = 0) AS c0
+         FROM rows_ r JOIN grid g ON r.s >= g.cutoff GROUP BY ALL),
+tails AS (SELECT c.token, g.g, g.cutoff,
+                 coalesce(pass.c1, 0) + (SELECT n FROM n1) - coalesce(present.p1, 0) AS n1_pass,
+                 coalesce(pass.c0, 0) + (SELECT n FROM n0) - coalesce(present.p0, 0) AS n0_pass
+          FROM cand c CROSS JOIN grid g
+          LEFT JOIN pass ON pass.token = c.token AND pass.g = g.g
+          LEFT JOIN present ON present.token = c.token),
+best AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY token ORDER BY
+           abs(n1_pass * (SELECT n FROM n0) - n0_pass * (SELECT n FROM n1)) DESC, g ASC) AS rn FROM tails)
+  WHERE rn = 1),
+acc AS (SELECT token, g AS grid_index, cutoff,
+               0.5 * (n1_pass / (SELECT n FROM n1) + 1 - n0_pass / (SELECT n FROM n0)) AS accuracy FROM best)"""
+
+
+def _token_accuracy(spark, sf_dir):
+    flat, counts, cand, pairs = _token_model(spark, sf_dir)
+    return flat, counts, cand, pairs, ev.token_accuracies(counts, cand, pairs)
+
+
+@register("token_accuracy", f"WITH {SQL_TOKEN_ACCURACY} SELECT token, grid_index, round(cutoff, 6) AS cutoff, round(accuracy, 6) AS accuracy FROM acc")
+def q_token_accuracy(spark, sf_dir):
+    return rounded(_token_accuracy(spark, sf_dir)[4])
+
+
+SQL_TOPN = f"""{SQL_TOKEN_ACCURACY},
+topn AS (SELECT CAST(row_number() OVER (ORDER BY a.accuracy DESC, c.rank ASC) - 1 AS INTEGER) AS rank,
+                a.accuracy, a.token, c.rank AS token_index
+         FROM acc a JOIN cand c USING (token) ORDER BY a.accuracy DESC, c.rank ASC LIMIT 40)"""
+
+
+@register("token_accuracy_topn", f"WITH {SQL_TOPN} SELECT rank, round(accuracy, 6) AS accuracy, token FROM topn")
+def q_token_accuracy_topn(spark, sf_dir):
+    _, _, cand, _, acc = _token_accuracy(spark, sf_dir)
+    path = scratch_path(spark, "token-accuracies")
+    writers.write_token_accuracies(ev.rank_by_accuracy(acc, cand, 40), path)
+    return rounded(readers.read_token_accuracies(spark, path))
+
+
+@register("model_roundtrip", f"WITH {SQL_TOPN} SELECT rank, token_index, token FROM topn")
+def q_model_roundtrip(spark, sf_dir):
+    _, _, cand, _, acc = _token_accuracy(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    writers.write_log_likelihood_model(ev.rank_by_accuracy(acc, cand, 40), path)
+    kind, tokens = readers.read_model(spark, path)
+    assert kind == "LOG_LIKELIHOOD_MODEL"
+    return tokens.select(F.col("rank").cast("int").alias("rank"), F.col("token_index").cast("int").alias("token_index"),
+                         "token")
