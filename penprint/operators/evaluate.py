@@ -39,6 +39,10 @@ def grid_tail_counts(samples: DataFrame, keys: list[str], label: str, bucket: st
     ``totals`` gives the number of samples per label; samples without a row
     (implicit ones) are counted in ``implicit_bucket``.
     """
+    if not keys:  # one group: a constant key keeps the plan the same
+        out = grid_tail_counts(samples.withColumn("_all", F.lit(0)), ["_all"], label, bucket,
+                               grid.withColumn("_all", F.lit(0)), totals, implicit_bucket)
+        return out.drop("_all")
     per_bucket = samples.groupBy(*keys, bucket).agg(
         F.count_if(F.col(label) == 1).alias("_b1"), F.count_if(F.col(label) == 0).alias("_b0"))
     present = per_bucket.groupBy(*keys).agg(F.sum("_b1").alias("_p1"), F.sum("_b0").alias("_p0"))

@@ -95,7 +95,7 @@ def q_infer_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ corpus (scan, clean, profile)
 
 from penprint.operators import corpus  # noqa: E402
-from penprint.session import scratch_path  # noqa: E402
+from penprint.session import cut_lineage, scratch_path  # noqa: E402
 from penprint.sources import readers, writers  # noqa: E402
 
 SQL_FILTERED_SUBS = f"""
@@ -379,7 +379,8 @@ pcounts AS (SELECT author, slot, token, count(*) AS n FROM stoks GROUP BY ALL)""
 
 def _segment_counts(spark, sf_dir):
     flat = _author_docs(spark, sf_dir)[1]
-    return flat, tok.token_counts(P.persona_segments(flat), ["author", "slot"])
+    # Tokenize once: every later step of the token model reads this table.
+    return flat, cut_lineage(tok.token_counts(P.persona_segments(flat), ["author", "slot"]))
 
 
 @register("persona_token_counts", f"WITH {SQL_SEGMENT_COUNTS} SELECT * FROM pcounts")
@@ -422,7 +423,7 @@ grid AS (SELECT CAST(g AS INTEGER) AS g, CAST(g AS DOUBLE) * CAST(-0.05 AS DOUBL
 
 def _token_model(spark, sf_dir):
     flat, counts = _segment_counts(spark, sf_dir)
-    cand = tok.token_frequencies(counts, ["author"], top_k=1000, min_authors=20)
+    cand = cut_lineage(tok.token_frequencies(counts, ["author"], top_k=1000, min_authors=20))
     authors = flat.select("author").distinct()
     pairs = ev.evaluation_pairs(authors)
     return flat, counts, cand, pairs
@@ -501,3 +502,118 @@ def q_model_roundtrip(spark, sf_dir):
     assert kind == "LOG_LIKELIHOOD_MODEL"
     return tokens.select(F.col("rank").cast("int").alias("rank"), F.col("token_index").cast("int").alias("token_index"),
                          "token")
+
+
+SQL_TSET_STATS = f"""{SQL_CANDIDATES},
+pers AS (SELECT DISTINCT author, slot FROM flat),
+ptotal AS (SELECT author, slot, sum(n) AS n_total FROM pcounts GROUP BY ALL),
+kk AS (SELECT count(*) AS k FROM tset),
+tgrid AS (SELECT p.author, p.slot, t.token, t.rank, coalesce(c.n, 0) AS n
+          FROM pers p CROSS JOIN tset t
+          LEFT JOIN pcounts c ON c.author = p.author AND c.slot = p.slot AND c.token = t.token),
+vec AS (SELECT author, slot, string_agg(CAST(n AS VARCHAR), ',' ORDER BY rank) AS counts, sum(n) AS n_in_set
+        FROM tgrid GROUP BY ALL),
+tot AS (SELECT v.author, v.slot, coalesce(pt.n_total, 0) AS n_total, v.n_in_set,
+               coalesce(pt.n_total, 0) - v.n_in_set AS n_excluded, v.counts
+        FROM vec v LEFT JOIN ptotal pt USING (author, slot)),
+freq_long AS (SELECT g.author, g.slot, g.rank, g.token, g.n, t.n_in_set, t.n_excluded,
+                     CASE WHEN t.n_in_set = 0 THEN CAST(g.n AS DOUBLE) ELSE g.n / t.n_in_set END AS freq,
+                     CASE WHEN t.n_in_set + t.n_excluded = 0 THEN CAST(g.n AS DOUBLE)
+                          ELSE g.n / (t.n_in_set + t.n_excluded) END AS freq_with_excluded,
+                     log2(g.n + 0.5) - log2(t.n_in_set + 0.5 * (SELECT k FROM kk)) AS log_freq,
+                     log2(g.n + 0.5) - log2(t.n_in_set + 0.5 * (SELECT k FROM kk) + t.n_excluded + 0.5)
+                       AS log_freq_with_excluded
+              FROM tgrid g JOIN tot t USING (author, slot))"""
+
+
+def _tset_stats(spark, sf_dir):
+    flat, counts, cand, pairs = _token_model(spark, sf_dir)
+    tset, k = tok.token_set(cand.where(F.col("rank") < 40))
+    personas = flat.select("author", "slot").distinct()
+    return flat, counts, tset, k, personas
+
+
+@register("persona_token_vectors", f"WITH {SQL_TSET_STATS} SELECT * FROM tot")
+def q_persona_token_vectors(spark, sf_dir):
+    _, counts, tset, k, personas = _tset_stats(spark, sf_dir)
+    vec = tok.persona_vectors(counts, tset, k, ["author", "slot"], personas)
+    return vec.select("author", "slot", "n_total", "n_in_set", "n_excluded",
+                      F.array_join(F.transform("counts", lambda x: x.cast("string")), ",").alias("counts"))
+
+
+@register("persona_token_totals", f"WITH {SQL_TSET_STATS} SELECT author, slot, n_total, n_in_set, n_excluded FROM tot WHERE n_total > 0")
+def q_persona_token_totals(spark, sf_dir):
+    _, counts, tset, _, _ = _tset_stats(spark, sf_dir)
+    return tok.persona_totals(counts, tset, ["author", "slot"])
+
+
+def _freq(spark, sf_dir):
+    _, counts, tset, k, personas = _tset_stats(spark, sf_dir)
+    return tok.persona_token_freq(counts, tset, k, ["author", "slot"], personas), k
+
+
+@register("persona_token_freq", f"""WITH {SQL_TSET_STATS}
+SELECT author, slot, rank, token, n, n_in_set, n_excluded, round(freq, 6) AS freq,
+       round(freq_with_excluded, 6) AS freq_with_excluded FROM freq_long""")
+def q_persona_token_freq(spark, sf_dir):
+    return rounded(_freq(spark, sf_dir)[0])
+
+
+@register("persona_log_freq", f"""WITH {SQL_TSET_STATS}
+SELECT author, slot, rank, token, round(log_freq, 6) AS log_freq,
+       round(log_freq_with_excluded, 6) AS log_freq_with_excluded FROM freq_long""")
+def q_persona_log_freq(spark, sf_dir):
+    f, k = _freq(spark, sf_dir)
+    return rounded(tok.persona_log_freq(f, k).select("author", "slot", "rank", "token", "log_freq",
+                                                     "log_freq_with_excluded"))
+
+
+@register("token_wilson_ci", f"""WITH {SQL_TSET_STATS},
+w AS (SELECT *, 1.0 / (1.0 + 1.96 * 1.96 / n_in_set) AS sc FROM freq_long WHERE n_in_set > 0)
+SELECT author, slot, rank, token,
+  round(least(greatest(sc * (freq + 1.96 * 1.96 / 2.0 / n_in_set)
+        - sc * 1.96 / (2.0 * n_in_set) * sqrt(4.0 * n_in_set * freq * (1.0 - freq) + 1.96 * 1.96), 0.0), 1.0), 6) AS lower_ci,
+  round(least(greatest(sc * (freq + 1.96 * 1.96 / 2.0 / n_in_set)
+        + sc * 1.96 / (2.0 * n_in_set) * sqrt(4.0 * n_in_set * freq * (1.0 - freq) + 1.96 * 1.96), 0.0), 1.0), 6) AS upper_ci
+FROM w WHERE rank < 20""")
+def q_token_wilson_ci(spark, sf_dir):
+    f, _ = _freq(spark, sf_dir)
+    ci = tok.token_wilson_ci(tok.first_k_tokens_of_ranking(f, 0, 20))
+    return rounded(ci.where(F.col("n_in_set") > 0).select("author", "slot", "rank", "token", "lower_ci", "upper_ci"))
+
+
+@register("authors_enough_tokens", f"""WITH {SQL_TSET_STATS}
+SELECT author FROM tot WHERE slot IN (0, 1) AND n_in_set > 50 GROUP BY author HAVING count(*) = 2""")
+def q_authors_enough_tokens(spark, sf_dir):
+    _, counts, tset, _, _ = _tset_stats(spark, sf_dir)
+    return tok.authors_with_enough_tokens(counts, tset, "author", "slot", 50)
+
+
+@register("likelihood_best_cutoff", f"""WITH {SQL_TOPN},
+mt AS (SELECT token, rank FROM topn),
+km AS (SELECT count(*) AS k FROM mt),
+mtot2 AS (SELECT author, sum(n) AS total FROM pcounts WHERE slot = 0 GROUP BY author),
+inset AS (SELECT c.author, c.slot, c.token, c.n FROM pcounts c JOIN mt USING (token)),
+obs AS (SELECT p.author_a, p.author_b, p.label, sum(o.n * log2(coalesce(m.n, 0) + 0.5)) AS w, sum(o.n) AS n_obs
+        FROM pairs p JOIN inset o ON o.author = p.author_b AND o.slot = 1
+        LEFT JOIN inset m ON m.author = p.author_a AND m.slot = 0 AND m.token = o.token GROUP BY ALL),
+scores AS (SELECT p.label, round(CASE WHEN obs.n_obs IS NULL THEN 0.0
+                  ELSE obs.w / obs.n_obs - log2(coalesce(t.total, 0) + ((SELECT k FROM km) + 1) / 2.0) END, 9) AS s
+           FROM pairs p LEFT JOIN obs USING (author_a, author_b, label) LEFT JOIN mtot2 t ON t.author = p.author_a),
+tl AS (SELECT g.g, g.cutoff, count(*) FILTER (WHERE s.label = 1 AND s.s >= g.cutoff) AS n1_pass,
+              count(*) FILTER (WHERE s.label = 0 AND s.s >= g.cutoff) AS n0_pass
+       FROM grid g CROSS JOIN scores s GROUP BY ALL)
+SELECT g AS grid_index, round(cutoff, 6) AS cutoff,
+       round(0.5 * (n1_pass / (SELECT n FROM n1) + 1 - n0_pass / (SELECT n FROM n0)), 6) AS accuracy
+FROM tl ORDER BY abs(n1_pass * (SELECT n FROM n0) - n0_pass * (SELECT n FROM n1)) DESC, g ASC LIMIT 1""")
+def q_likelihood_best_cutoff(spark, sf_dir):
+    flat, counts, cand, pairs, acc = _token_accuracy(spark, sf_dir)
+    model_tokens = ev.rank_by_accuracy(acc, cand, 40).select("token", "rank")
+    tset, k = tok.token_set(model_tokens)
+    vec = tok.persona_vectors(counts, tset, k, ["author", "slot"], flat.select("author", "slot").distinct())
+    m = vec.where(F.col("slot") == 0).select(F.col("author").alias("author_a"), F.col("counts").alias("_mc"),
+                                             F.col("n_total").alias("_mn"))
+    o = vec.where(F.col("slot") == 1).select(F.col("author").alias("author_b"), F.col("counts").alias("_oc"))
+    scores = pairs.join(m, "author_a").join(o, "author_b").select(
+        "label", scoring.log_likelihood(F.col("_mc"), F.col("_mn"), F.col("_oc"), k).alias("score"))
+    return rounded(ev.best_cutoff_log_grid(scores))
