@@ -617,3 +617,223 @@ def q_likelihood_best_cutoff(spark, sf_dir):
     scores = pairs.join(m, "author_a").join(o, "author_b").select(
         "label", scoring.log_likelihood(F.col("_mc"), F.col("_mn"), F.col("_oc"), k).alias("score"))
     return rounded(ev.best_cutoff_log_grid(scores))
+
+
+# ------------------------------------------------------------------ vectors
+
+import numpy as np  # noqa: E402
+
+from penprint.operators import vectors as V  # noqa: E402
+
+SQL_VECS = f"vecs AS ({B.SQL_PERSONA_VECTORS})"
+
+
+@register("persona_mean_embedding", """
+SELECT label, CAST(pos AS INTEGER) AS pos, round(avg(CAST(x AS DOUBLE)), 6) AS value
+FROM (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding) AS x FROM embeddings)
+GROUP BY ALL""")
+def q_persona_mean_embedding(spark, sf_dir):
+    e = B.table(spark, sf_dir, "embeddings")
+    return rounded(V.mean_embedding(e, ["label"]).select("label", F.col("pos").cast("int").alias("pos"), "value"))
+
+
+def sql_md5_bucket(expr: str, dim: int) -> str:
+    return f"(('0x' || substr(md5({expr}), 1, 8))::BIGINT % {dim})"
+
+
+SQL_DOC_EMBED = f"""{B.SQL_AUTHOR_DOCS},
+texts AS (SELECT author, slot, CASE WHEN kind = 'submission' THEN 0 ELSE 1 END AS doc_order, ordinal,
+                 CASE WHEN kind = 'submission'
+                      THEN coalesce(title, '') || CASE WHEN coalesce(selftext, '') <> ''
+                                                       THEN chr(10) || chr(10) || selftext ELSE '' END
+                      ELSE body END AS text
+          FROM flat WHERE kind IS NOT NULL),
+ttoks AS (SELECT author, slot, doc_order, ordinal, unnest({sql_tokens("coalesce(text, '')")}) AS token FROM texts),
+tb AS (SELECT author, slot, doc_order, ordinal, CAST({sql_md5_bucket('token', 64)} AS INTEGER) AS pos, count(*) AS c
+       FROM ttoks GROUP BY ALL),
+tn AS (SELECT author, slot, doc_order, ordinal, sqrt(sum(c * c)) AS norm FROM tb GROUP BY ALL),
+sparse AS (SELECT tb.author, tb.slot, tb.doc_order, tb.ordinal, tb.pos, tb.c / tn.norm AS value
+           FROM tb JOIN tn USING (author, slot, doc_order, ordinal))"""
+
+
+def _doc_texts(spark, sf_dir):
+    return P.persona_texts(_author_docs(spark, sf_dir)[1])
+
+
+@register("embed_texts", f"WITH {SQL_DOC_EMBED} SELECT author, slot, doc_order, ordinal, pos, round(value, 6) AS value FROM sparse")
+def q_embed_texts(spark, sf_dir):
+    keys = ["author", "slot", "doc_order", "ordinal"]
+    return rounded(V.hashing_embedding_sparse(_doc_texts(spark, sf_dir), keys, "text", 64))
+
+
+SQL_INFER_EMBED = f"""
+docs AS ({B.SQL_PERSONA_DOCS}),
+dt AS (SELECT entity, persona, ordinal, unnest({sql_tokens("coalesce(text, '')")}) AS token FROM docs),
+db AS (SELECT entity, persona, ordinal, {sql_md5_bucket('token', 64)} AS pos, count(*) AS c FROM dt GROUP BY ALL),
+dn AS (SELECT entity, persona, ordinal, sqrt(sum(c * c)) AS norm FROM db GROUP BY ALL),
+nd AS (SELECT entity, persona, count(*) AS n_docs FROM docs GROUP BY ALL),
+pv AS (SELECT db.entity, db.persona, db.pos, sum(db.c / dn.norm) / any_value(nd.n_docs) AS v
+       FROM db JOIN dn USING (entity, persona, ordinal) JOIN nd USING (entity, persona) GROUP BY ALL),
+pn AS (SELECT entity, persona, sqrt(sum(v * v)) AS norm FROM pv GROUP BY ALL),
+pairs AS ({B.SQL_INFERENCE_PAIRS}),
+dots AS (SELECT p.entity1, p.persona1, p.entity2, p.persona2, sum(a.v * b.v) AS dot
+         FROM pairs p JOIN pv a ON a.entity = p.entity1 AND a.persona = p.persona1
+         JOIN pv b ON b.entity = p.entity2 AND b.persona = p.persona2 AND b.pos = a.pos GROUP BY ALL)"""
+
+
+@register("infer_embedding", f"""WITH {SQL_INFER_EMBED}
+SELECT p.entity1, p.persona1, p.entity2, p.persona2,
+       round(CASE WHEN coalesce(n1.norm, 0) = 0 OR coalesce(n2.norm, 0) = 0 THEN NULL
+                  ELSE coalesce(d.dot, 0) / (n1.norm * n2.norm) END, 6) AS match_score
+FROM pairs p
+LEFT JOIN dots d USING (entity1, persona1, entity2, persona2)
+LEFT JOIN pn n1 ON n1.entity = p.entity1 AND n1.persona = p.persona1
+LEFT JOIN pn n2 ON n2.entity = p.entity2 AND n2.persona = p.persona2""")
+def q_infer_embedding(spark, sf_dir):
+    docs = B.persona_documents(spark, sf_dir)
+
+    def embed(d):
+        doc_keys = ["entity", "persona", "ordinal"]
+        doc_vecs = V.embed_texts(d, doc_keys, "text", dim=64)
+        return V.persona_embeddings(doc_vecs, d, ["entity", "persona"], 64)
+    scores = scoring.run_inference("EMBEDDING_MODEL", docs, B.inference_pairs(docs), embed=embed)
+    return rounded(scores.drop("pair_id"))
+
+
+# Fixed projection used by the tests: Linear(64 -> 16) -> ReLU -> Linear(16 -> 8);
+# weight[o][i] = ((7 o + 3 i) mod 11 - 5) / 10, bias[o] = (o mod 5 - 2) / 10.
+def projection_layers():
+    def layer(n_out, n_in):
+        w = np.array([[((7 * o + 3 * i) % 11 - 5) / 10.0 for i in range(n_in)] for o in range(n_out)])
+        b = np.array([((o % 5) - 2) / 10.0 for o in range(n_out)])
+        return w, b
+    return [layer(16, 64), layer(8, 16)]
+
+
+@register("project_embeddings", """
+WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS v FROM embeddings),
+w1 AS (SELECT o, i, ((7 * o + 3 * i) % 11 - 5) / 10.0 AS w FROM range(16) a(o), range(64) b(i)),
+h AS (SELECT x.vec_id, w1.o, greatest(sum(CAST(x.v AS DOUBLE) * w1.w) + ((w1.o % 5) - 2) / 10.0, 0.0) AS h
+      FROM x JOIN w1 ON w1.i = x.i GROUP BY x.vec_id, w1.o),
+w2 AS (SELECT o, i, ((7 * o + 3 * i) % 11 - 5) / 10.0 AS w FROM range(8) a(o), range(16) b(i))
+SELECT h.vec_id, CAST(w2.o AS INTEGER) AS pos, round(sum(h.h * w2.w) + ((w2.o % 5) - 2) / 10.0, 6) AS value
+FROM h JOIN w2 ON w2.i = h.o GROUP BY h.vec_id, w2.o""")
+def q_project_embeddings(spark, sf_dir):
+    e = B.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    out = V.project(e, projection_layers(), "embedding", "projected")
+    return rounded(out.select("vec_id", F.posexplode("projected").alias("pos", "value")))
+
+
+@register("embedding_pairs", f"""WITH {SQL_VECS},
+p AS (SELECT author, max(CASE WHEN slot = 0 THEN embedding END) AS e0, max(CASE WHEN slot = 1 THEN embedding END) AS e1
+      FROM vecs GROUP BY author)
+SELECT author, round(list_dot_product(CAST(e0 AS DOUBLE[]), CAST(e1 AS DOUBLE[])), 6) AS dot FROM p""")
+def q_embedding_pairs(spark, sf_dir):
+    from penprint.functions.columns import dot
+    pairs = P.persona_pairs(B.persona_vectors(spark, sf_dir), "author", "slot", "embedding")
+    return rounded(pairs.select("author", dot("embedding_0", "embedding_1").alias("dot")))
+
+
+SQL_ALL_PAIRS = f"""{SQL_VECS},
+cs AS (SELECT CASE WHEN a.author = b.author THEN 1 ELSE 0 END AS label,
+              list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS value
+       FROM vecs a JOIN vecs b ON (a.author, a.slot) < (b.author, b.slot))"""
+
+
+def _all_pairs(spark, sf_dir):
+    return V.cosine_all_pairs(B.persona_vectors(spark, sf_dir))
+
+
+@register("cosine_all_pairs", f"""WITH {SQL_ALL_PAIRS}
+SELECT label, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS min_value,
+       round(max(value), 6) AS max_value FROM cs GROUP BY label""")
+def q_cosine_all_pairs(spark, sf_dir):
+    s = _all_pairs(spark, sf_dir)
+    return rounded(s.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
+                                          F.min("value").alias("min_value"), F.max("value").alias("max_value")))
+
+
+@register("similarity_summary", f"""WITH {SQL_ALL_PAIRS}
+SELECT label, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median,
+       round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max
+FROM cs GROUP BY label""")
+def q_similarity_summary(spark, sf_dir):
+    return rounded(ev.distribution_summary(cut_lineage(_all_pairs(spark, sf_dir)), "value", "label"))
+
+
+@register("similarity_histogram", f"""WITH {SQL_ALL_PAIRS},
+r AS (SELECT label, min(value) AS lo, max(value) AS hi, count(*) AS n FROM cs GROUP BY label),
+b AS (SELECT cs.label, r.n, r.lo, r.hi,
+             least(greatest(CAST(floor((cs.value - r.lo) * 20.0 / (r.hi - r.lo)) AS INTEGER) + 1, 1), 20) AS bin
+      FROM cs JOIN r USING (label))
+SELECT label, bin, count(*) AS count, round(count(*) / (any_value(n) * ((any_value(hi) - any_value(lo)) / 20)), 6) AS density
+FROM b GROUP BY label, bin""")
+def q_similarity_histogram(spark, sf_dir):
+    return rounded(ev.histogram(cut_lineage(_all_pairs(spark, sf_dir)), "value", "label", 20))
+
+
+@register("similarity_best_cutoff", f"""WITH {SQL_ALL_PAIRS},
+st AS (SELECT label, min(value) - 3 * stddev_pop(value) AS lo, max(value) + 3 * stddev_pop(value) AS hi, count(*) AS n
+       FROM cs GROUP BY label),
+rg AS (SELECT min(lo) AS lo, max(hi) AS hi FROM st),
+grid AS (SELECT CAST(i AS INTEGER) AS g,
+                CASE WHEN i = 99 THEN (SELECT hi FROM rg)
+                     ELSE CAST(i AS DOUBLE) * (((SELECT hi FROM rg) - (SELECT lo FROM rg)) / 99) + (SELECT lo FROM rg) END AS c
+         FROM range(100) t(i)),
+n1 AS (SELECT n FROM st WHERE label = 1), n0 AS (SELECT n FROM st WHERE label = 0),
+tl AS (SELECT g.g, g.c, count(*) FILTER (WHERE cs.label = 1 AND cs.value >= g.c) AS p1,
+              count(*) FILTER (WHERE cs.label = 0 AND cs.value >= g.c) AS p0
+       FROM grid g CROSS JOIN cs GROUP BY ALL)
+SELECT g AS grid_index, round(c, 6) AS cutoff,
+       round(0.5 * (p1 / (SELECT n FROM n1) + 1 - p0 / (SELECT n FROM n0)), 6) AS accuracy,
+       round((SELECT lo FROM rg), 6) AS grid_low, round((SELECT hi FROM rg), 6) AS grid_high
+FROM tl ORDER BY p1 * (SELECT n FROM n0) - p0 * (SELECT n FROM n1) DESC, g ASC LIMIT 1""")
+def q_similarity_best_cutoff(spark, sf_dir):
+    return rounded(ev.spread_grid_cutoff(cut_lineage(_all_pairs(spark, sf_dir)), "value", "label"))
+
+
+@register("threshold_precision", f"""WITH {SQL_ALL_PAIRS}
+SELECT count(*) FILTER (WHERE value > 0.5 AND label = 1) AS n_match_above,
+       count(*) FILTER (WHERE value > 0.5 AND label = 0) AS n_mismatch_above,
+       count(*) FILTER (WHERE NOT value > 0.5 AND label = 1) AS n_match_below,
+       count(*) FILTER (WHERE NOT value > 0.5 AND label = 0) AS n_mismatch_below,
+       round(CAST(count(*) FILTER (WHERE value > 0.5 AND label = 1) AS DOUBLE)
+             / nullif(count(*) FILTER (WHERE value > 0.5), 0), 6) AS match_share_above,
+       round(CAST(count(*) FILTER (WHERE NOT value > 0.5 AND label = 1) AS DOUBLE)
+             / nullif(count(*) FILTER (WHERE NOT value > 0.5), 0), 6) AS match_share_below
+FROM cs""")
+def q_threshold_precision(spark, sf_dir):
+    return rounded(ev.threshold_precision(_all_pairs(spark, sf_dir), 0.5, "value", "label"))
+
+
+SQL_BATCH = f"""{SQL_VECS},
+ai AS (SELECT author, row_number() OVER (ORDER BY author) - 1 AS idx FROM (SELECT DISTINCT author FROM vecs)),
+bv AS (SELECT v.*, ai.idx, ai.idx // 64 AS batch FROM vecs v JOIN ai USING (author)),
+sims AS (SELECT a.batch, a.author, a.slot, b.author AS author2, b.slot AS slot2,
+                list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / 0.07 AS s
+         FROM bv a JOIN bv b ON a.batch = b.batch AND NOT (a.author = b.author AND a.slot = b.slot)),
+posv AS (SELECT batch, author, slot, s AS pos FROM sims WHERE author = author2),
+rowsm AS (SELECT s.batch, s.author, s.slot, any_value(p.pos) AS pos,
+                 max(s.s) AS mx,
+                 count(*) FILTER (WHERE s.author <> s.author2 AND s.s > p.pos) AS n_better
+          FROM sims s JOIN posv p USING (batch, author, slot) GROUP BY ALL),
+lrow AS (SELECT r.batch, r.author, r.slot, -r.pos + r.mx + ln(sum(exp(s.s - r.mx))) AS loss, 1 + r.n_better AS rank
+         FROM rowsm r JOIN sims s USING (batch, author, slot) GROUP BY r.batch, r.author, r.slot, r.pos, r.mx, r.n_better)"""
+
+
+def _batch_rows(spark, sf_dir):
+    return V.batch_rows(B.persona_vectors(spark, sf_dir))
+
+
+@register("info_nce_eval", f"""WITH {SQL_BATCH}
+SELECT batch, round(avg(loss), 6) AS loss, count(*) AS n_rows FROM lrow GROUP BY batch""")
+def q_info_nce_eval(spark, sf_dir):
+    return rounded(V.info_nce(_batch_rows(spark, sf_dir)))
+
+
+@register("retrieval_metrics", f"""WITH {SQL_BATCH}
+SELECT round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS top1,
+       round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS top5,
+       round(avg(rank), 6) AS mean_position, count(*) AS n_rows FROM lrow""")
+def q_retrieval_metrics(spark, sf_dir):
+    return rounded(V.retrieval_metrics(_batch_rows(spark, sf_dir)))
