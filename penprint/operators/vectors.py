@@ -133,12 +133,16 @@ def project(vectors: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], emb
 
 # ---------------------------------------------------------------- J9: all-pairs cosine
 
-def _cos_block(pdf: pd.DataFrame) -> pd.DataFrame:
+def _cos_block(pdf: pd.DataFrame, with_ids: bool = False) -> pd.DataFrame:
     diag = int(pdf["bi"].iat[0]) == int(pdf["bj"].iat[0])
     a = pdf[pdf["side"] == 0]
     b = a if diag else pdf[pdf["side"] == 1]
     if a.empty or b.empty:
-        return pd.DataFrame({"label": pd.Series([], dtype="int32"), "value": pd.Series([], dtype="float64")})
+        cols = {"label": pd.Series([], dtype="int32"), "value": pd.Series([], dtype="float64")}
+        if with_ids:
+            cols.update({"author_i": pd.Series([], dtype=object), "slot_i": pd.Series([], dtype="int32"),
+                         "author_j": pd.Series([], dtype=object), "slot_j": pd.Series([], dtype="int32")})
+        return pd.DataFrame(cols)
     xa = np.stack([np.asarray(v, dtype=np.float64) for v in a["embedding"]])
     xb = xa if diag else np.stack([np.asarray(v, dtype=np.float64) for v in b["embedding"]])
     na, nb = np.linalg.norm(xa, axis=1), np.linalg.norm(xb, axis=1)
@@ -150,11 +154,17 @@ def _cos_block(pdf: pd.DataFrame) -> pd.DataFrame:
     else:
         ii, jj = np.indices((len(a), len(b))).reshape(2, -1)
     same = a["author"].to_numpy()[ii] == b["author"].to_numpy()[jj]
-    return pd.DataFrame({"label": same.astype("int32"), "value": sim[ii, jj]})
+    out = pd.DataFrame({"label": same.astype("int32"), "value": sim[ii, jj]})
+    if with_ids:
+        out["author_i"] = a["author"].to_numpy()[ii]
+        out["slot_i"] = a["slot"].to_numpy()[ii].astype("int32")
+        out["author_j"] = b["author"].to_numpy()[jj]
+        out["slot_j"] = b["slot"].to_numpy()[jj].astype("int32")
+    return out
 
 
 def cosine_all_pairs(vectors: DataFrame, author: str = "author", slot: str = "slot",
-                     block: int = COSINE_BLOCK) -> DataFrame:
+                     block: int = COSINE_BLOCK, with_ids: bool = False) -> DataFrame:
     """Cosine of every two persona vectors, label 1 for the two personas of
     one author, 0 otherwise (n and 2n(n-1) values for n authors).
 
@@ -166,14 +176,18 @@ def cosine_all_pairs(vectors: DataFrame, author: str = "author", slot: str = "sl
     """
     n = vectors.count()
     nb = max(1, math.ceil(n / block))
-    v = vectors.select(F.col(author).cast("string").alias("author"), "embedding",
-                       F.pmod(F.xxhash64(author, slot), F.lit(nb)).cast("int").alias("blk"))
-    left = v.select("author", "embedding", F.col("blk").alias("bi"),
+    v = vectors.select(F.col(author).cast("string").alias("author"), F.col(slot).cast("int").alias("slot"),
+                       "embedding", F.pmod(F.xxhash64(author, slot), F.lit(nb)).cast("int").alias("blk"))
+    left = v.select("author", "slot", "embedding", F.col("blk").alias("bi"),
                     F.explode(F.sequence(F.col("blk"), F.lit(nb - 1))).alias("bj"), F.lit(0).alias("side"))
-    right = v.where(F.col("blk") > 0).select("author", "embedding",
+    right = v.where(F.col("blk") > 0).select("author", "slot", "embedding",
                                              F.explode(F.sequence(F.lit(0), F.col("blk") - 1)).alias("bi"),
                                              F.col("blk").alias("bj"), F.lit(1).alias("side"))
-    return left.unionByName(right).groupBy("bi", "bj").applyInPandas(_cos_block, "label int, value double")
+    grid = left.unionByName(right).groupBy("bi", "bj")
+    if not with_ids:
+        return grid.applyInPandas(_cos_block, "label int, value double")
+    fn = lambda pdf: _cos_block(pdf, True)
+    return grid.applyInPandas(fn, "label int, value double, author_i string, slot_i int, author_j string, slot_j int")
 
 
 # ---------------------------------------------------------------- A26/A27: batch metrics

@@ -837,3 +837,128 @@ SELECT round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS top1,
        round(avg(rank), 6) AS mean_position, count(*) AS n_rows FROM lrow""")
 def q_retrieval_metrics(spark, sf_dir):
     return rounded(V.retrieval_metrics(_batch_rows(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ learners
+
+from penprint.operators import indexing as IX  # noqa: E402
+from penprint.operators import learners as LRN  # noqa: E402
+
+SQL_DERANGED = f"""{SQL_TSET_STATS},
+di AS (SELECT author, row_number() OVER (ORDER BY sha256('424242:' || author), author) - 1 AS idx
+       FROM (SELECT DISTINCT author FROM flat)),
+dcount AS (SELECT count(*) AS n FROM di),
+dp AS (SELECT a.author AS author_a, b.author AS author_b FROM di a JOIN di b ON b.idx = (a.idx + 1) % (SELECT n FROM dcount)),
+lp AS (SELECT author AS author_a, author AS author_b, 1 AS label FROM (SELECT DISTINCT author FROM flat)
+       UNION ALL SELECT author_a, author_b, 0 FROM dp)"""
+
+
+def _learn_inputs(spark, sf_dir):
+    flat, counts, tset, k, personas = _tset_stats(spark, sf_dir)
+    freq = tok.persona_log_freq(tok.persona_token_freq(counts, tset, k, ["author", "slot"], personas), k)
+    authors = flat.select("author").distinct()
+    der = IX.derangement_pairs(authors, "author").select(F.col("author_a"), F.col("author_b"))
+    return freq, k, LRN.labelled_pairs(authors, der)
+
+
+@register("derangement_pairs", f"WITH {SQL_DERANGED} SELECT author_a, author_b FROM dp")
+def q_derangement_pairs(spark, sf_dir):
+    authors = _author_docs(spark, sf_dir)[1].select("author").distinct()
+    return IX.derangement_pairs(authors, "author").select("author_a", "author_b")
+
+
+@register("pair_features_concat", f"""WITH {SQL_DERANGED}
+SELECT lp.author_a, lp.author_b, lp.label, f.rank AS pos, round(f.log_freq, 6) AS value
+FROM lp JOIN freq_long f ON f.author = lp.author_a AND f.slot = 0
+UNION ALL
+SELECT lp.author_a, lp.author_b, lp.label, f.rank + (SELECT k FROM kk) AS pos, round(f.log_freq, 6) AS value
+FROM lp JOIN freq_long f ON f.author = lp.author_b AND f.slot = 1""")
+def q_pair_features_concat(spark, sf_dir):
+    freq, k, pairs = _learn_inputs(spark, sf_dir)
+    return rounded(LRN.concat_features(freq, pairs, k))
+
+
+@register("pair_features_weighted", f"""WITH {SQL_DERANGED}
+SELECT lp.author_a, lp.author_b, lp.label, a.rank AS pos,
+       round(CASE WHEN b.n_in_set = 0 THEN 0.0 ELSE a.log_freq_with_excluded * b.n / b.n_in_set END, 6) AS value
+FROM lp JOIN freq_long a ON a.author = lp.author_a AND a.slot = 0
+JOIN freq_long b ON b.author = lp.author_b AND b.slot = 1 AND b.rank = a.rank""")
+def q_pair_features_weighted(spark, sf_dir):
+    freq, _, pairs = _learn_inputs(spark, sf_dir)
+    return rounded(LRN.weighted_features(freq, pairs))
+
+
+def _train_val(vectors):
+    armed = P.with_arm(vectors, "author_a")
+    return armed.where(F.col("arm") == "train"), armed.where(F.col("arm") != "train")
+
+
+@register("model_logistic")
+def q_model_logistic(spark, sf_dir):
+    freq, _, pairs = _learn_inputs(spark, sf_dir)
+    train, val = _train_val(cut_lineage(LRN.to_vectors(LRN.weighted_features(freq, pairs))))
+    return rounded(LRN.logistic_regression(train, val))
+
+
+@register("model_gbt")
+def q_model_gbt(spark, sf_dir):
+    freq, k, pairs = _learn_inputs(spark, sf_dir)
+    train, val = _train_val(cut_lineage(LRN.to_vectors(LRN.concat_features(freq, pairs, k))))
+    return rounded(LRN.boosted_trees(train, val))
+
+
+@register("model_pca")
+def q_model_pca(spark, sf_dir):
+    freq, k, pairs = _learn_inputs(spark, sf_dir)
+    data = cut_lineage(LRN.to_vectors(LRN.concat_features(freq, pairs, k)))
+    scores, ratios = LRN.pca_scores(data, 3, 5)
+    return rounded(scores.select("author_a", "author_b", "label",
+                                 *[F.col("scores")[i].alias(f"pc{i + 1}") for i in range(3)],
+                                 *[F.lit(r).alias(f"variance_ratio_{i + 1}") for i, r in enumerate(ratios)]))
+
+
+@register("token_hist2d", f"""WITH {SQL_TSET_STATS},
+xy AS (SELECT a.token, a.author, a.log_freq_with_excluded AS x, b.log_freq_with_excluded AS y
+       FROM freq_long a JOIN freq_long b ON a.author = b.author AND a.token = b.token AND a.slot = 0 AND b.slot = 1
+       WHERE a.rank < 3),
+r AS (SELECT token, CASE WHEN max(x) > min(x) THEN min(x) ELSE min(x) - 0.5 END AS xl,
+                    CASE WHEN max(x) > min(x) THEN max(x) ELSE max(x) + 0.5 END AS xh,
+                    CASE WHEN max(y) > min(y) THEN min(y) ELSE min(y) - 0.5 END AS yl,
+                    CASE WHEN max(y) > min(y) THEN max(y) ELSE max(y) + 0.5 END AS yh FROM xy GROUP BY token)
+SELECT token,
+       least(greatest(CAST(floor((x - xl) * 30.0 / (xh - xl)) AS INTEGER) + 1, 1), 30) AS bx,
+       least(greatest(CAST(floor((y - yl) * 30.0 / (yh - yl)) AS INTEGER) + 1, 1), 30) AS "by",
+       count(*) AS count
+FROM xy JOIN r USING (token) GROUP BY ALL""")
+def q_token_hist2d(spark, sf_dir):
+    freq, _, _ = _learn_inputs(spark, sf_dir)
+    top = freq.where(F.col("rank") < 3)
+    a = top.where(F.col("slot") == 0).select("author", "token", F.col("log_freq_with_excluded").alias("x"))
+    b = top.where(F.col("slot") == 1).select("author", "token", F.col("log_freq_with_excluded").alias("y"))
+    return LRN.hist2d(a.join(b, ["author", "token"]), ["token"], 30)
+
+
+@register("similarity_examples", f"""WITH {SQL_VECS},
+cs AS (SELECT a.author AS author_i, a.slot AS slot_i, b.author AS author_j, b.slot AS slot_j,
+              CASE WHEN a.author = b.author THEN 1 ELSE 0 END AS label,
+              list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS value
+       FROM vecs a JOIN vecs b ON (a.author, a.slot) < (b.author, b.slot))
+SELECT * FROM (SELECT 'false_match' AS kind, author_i, slot_i, author_j, slot_j, round(value, 6) AS value FROM cs
+               WHERE label = 0 AND value > 0.5 ORDER BY value DESC, author_i, slot_i, author_j, slot_j LIMIT 5)
+UNION ALL
+SELECT * FROM (SELECT 'missed_match', author_i, slot_i, author_j, slot_j, round(value, 6) FROM cs
+               WHERE label = 1 AND NOT value > 0.5 ORDER BY value ASC, author_i, slot_i, author_j, slot_j LIMIT 5)""")
+def q_similarity_examples(spark, sf_dir):
+    raw = V.cosine_all_pairs(B.persona_vectors(spark, sf_dir), with_ids=True)
+    ids = ["author_i", "slot_i", "author_j", "slot_j"]
+    swap = F.struct("author_i", "slot_i") > F.struct("author_j", "slot_j")
+    s = raw.select("label", "value",
+                   F.when(swap, F.col("author_j")).otherwise(F.col("author_i")).alias("author_i"),
+                   F.when(swap, F.col("slot_j")).otherwise(F.col("slot_i")).alias("slot_i"),
+                   F.when(swap, F.col("author_i")).otherwise(F.col("author_j")).alias("author_j"),
+                   F.when(swap, F.col("slot_i")).otherwise(F.col("slot_j")).alias("slot_j"))
+    above = (s.where((F.col("label") == 0) & (F.col("value") > 0.5))
+             .orderBy(F.col("value").desc(), *ids).limit(5).withColumn("kind", F.lit("false_match")))
+    below = (s.where((F.col("label") == 1) & ~(F.col("value") > 0.5))
+             .orderBy(F.col("value").asc(), *ids).limit(5).withColumn("kind", F.lit("missed_match")))
+    return rounded(above.unionByName(below).select("kind", *ids, "value"))
