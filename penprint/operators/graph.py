@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from penprint.session import cut_lineage
+
 # Default thresholds of the reference's selection rules.
 ACTIVE_SUBREDDIT_MIN_COUNT = 1000      # P6: count strictly greater than this
 MIN_MAX_NEIGHBOURS = 20                # P14: max shared authors with any other subreddit
@@ -96,15 +98,18 @@ def _block_product(pdf: pd.DataFrame) -> pd.DataFrame:
         start = end
     nz = np.flatnonzero(count)
     i, j = nz // n_r, nz % n_r
-    sub_a, sub_b = np.asarray(lsub, dtype=object)[i], np.asarray(rsub, dtype=object)[j]
+    # Keep native dtypes (int64 keys stay int64) so the Arrow hand-off is columnar.
+    sub_a, sub_b = lsub.to_numpy()[i], rsub.to_numpy()[j]
     c = count[nz]
     if diag:  # C is symmetric inside a diagonal block: keep each unordered pair once
         keep = (i != j) & (sub_a < sub_b)
         sub_a, sub_b, c, nz = sub_a[keep], sub_b[keep], c[keep], nz[keep]
-    auth_arr = np.asarray(auth, dtype=object)
-    sole = np.full(len(c), None, dtype=object)
     one = c == 1
-    sole[one] = auth_arr[author_sum[nz][one].astype(np.int64) - 1]
+    code = np.where(one, author_sum[nz], 1).astype(np.int64) - 1
+    sole = pd.Series(auth.take(code))
+    if sole.dtype.kind in "iu":
+        sole = sole.astype("Int64")
+    sole[~one] = None
     return pd.DataFrame({"subreddit_a": sub_a, "subreddit_b": sub_b, "shared_authors": c, "sole_author": sole})
 
 
@@ -130,6 +135,10 @@ def subreddit_adjacency(incidence: DataFrame, block_width: int = BLOCK_WIDTH,
     schema = (f"subreddit_a {types['subreddit']}, subreddit_b {types['subreddit']}, "
               f"shared_authors bigint, sole_author {types['author']}")
     partial = as_left.unionByName(as_right).groupBy("bi", "bj", "chunk").applyInPandas(_block_product, schema)
+    if nk == 1:  # one author chunk: every block of C is complete, no partial sums to add
+        return partial.select(F.least("subreddit_a", "subreddit_b").alias("subreddit_a"),
+                              F.greatest("subreddit_a", "subreddit_b").alias("subreddit_b"),
+                              "shared_authors", "sole_author")
     oriented = partial.select(F.least("subreddit_a", "subreddit_b").alias("subreddit_a"),
                               F.greatest("subreddit_a", "subreddit_b").alias("subreddit_b"),
                               "shared_authors", "sole_author")
@@ -164,6 +173,7 @@ def suitable_authors(incidence: DataFrame, edges: DataFrame, min_max_neighbours:
     leaves no trace, so this equals the greedy scan. ``order`` is an optional
     (subreddit, subreddit_order) table; the default order is the subreddit value.
     """
+    edges = cut_lineage(edges)  # read twice below; computed once
     both = directed(edges)
     row_max = both.groupBy("subreddit_i").agg(F.max("shared_authors").alias("_mx"))
     strong = row_max.where(F.col("_mx") >= min_max_neighbours).select("subreddit_i")

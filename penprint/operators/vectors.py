@@ -184,8 +184,8 @@ def cosine_all_pairs(vectors: DataFrame, author: str = "author", slot: str = "sl
                                              F.explode(F.sequence(F.lit(0), F.col("blk") - 1)).alias("bi"),
                                              F.col("blk").alias("bj"), F.lit(1).alias("side"))
     grid = left.unionByName(right).groupBy("bi", "bj")
-    if not with_ids:
-        return grid.applyInPandas(_cos_block, "label int, value double")
+    if not with_ids:  # one-argument function: applyInPandas passes only the group
+        return grid.applyInPandas(lambda pdf: _cos_block(pdf, False), "label int, value double")
     fn = lambda pdf: _cos_block(pdf, True)
     return grid.applyInPandas(fn, "label int, value double, author_i string, slot_i int, author_j string, slot_j int")
 

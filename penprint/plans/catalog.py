@@ -17,6 +17,7 @@ from penprint.functions.columns import TOKEN_PATTERN
 from penprint.operators import scoring
 from penprint.operators import tokens as tok
 from penprint.plans import bindings as B
+from penprint.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,7 +50,8 @@ def sql_tokens(text: str) -> str:
 
 def _persona_counts(spark, sf_dir):
     docs = B.persona_documents(spark, sf_dir)
-    counts = tok.token_counts(docs, scoring.PERSONA_KEYS)
+    # Tokenize once; the model, the persona table and the checks all read it.
+    counts = cut_lineage(tok.token_counts(docs, scoring.PERSONA_KEYS))
     return docs, counts
 
 
