@@ -964,3 +964,25 @@ def q_similarity_examples(spark, sf_dir):
     below = (s.where((F.col("label") == 1) & ~(F.col("value") > 0.5))
              .orderBy(F.col("value").asc(), *ids).limit(5).withColumn("kind", F.lit("missed_match")))
     return rounded(above.unionByName(below).select("kind", *ids, "value"))
+
+
+@register("embeddings_roundtrip", f"""WITH {SQL_VECS}
+SELECT CASE WHEN {sql_sha256_mod_100('author')} < 70 THEN 'train'
+            WHEN {sql_sha256_mod_100('author')} < 85 THEN 'val' ELSE 'test' END AS arm,
+       author AS username, slot, CAST(label AS VARCHAR) AS subreddit, CAST(len(embedding) AS INTEGER) AS dim,
+       round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total
+FROM vecs""")
+def q_embeddings_roundtrip(spark, sf_dir):
+    vecs = B.persona_vectors(spark, sf_dir)
+    rows = P.with_arm(vecs, "author").select(
+        "arm", F.col("author").alias("username"), "slot", F.col("label").cast("string").alias("subreddit"),
+        F.col("embedding").cast("array<float>").alias("embedding"))
+    path = scratch_path(spark, "embeddings")
+    writers.write_embeddings(rows, path)
+    back = readers.read_embeddings(spark, path, ("train", "val", "test"))
+    dims = back.select(F.size("embedding").alias("d")).distinct().limit(2).collect()
+    if len(dims) > 1:
+        raise ValueError(f"embeddings of different sizes: {[r.d for r in dims]}")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return rounded(back.select("arm", "username", "slot", "subreddit", F.size("embedding").alias("dim"),
+                               total.alias("total")))
