@@ -63,44 +63,56 @@ def log_likelihood(model_counts: Column, model_total: Column, obs_counts: Column
     return F.when(n_obs == 0, F.lit(0.0)).otherwise(weighted / n_obs.cast("double") - norm)
 
 
-def score_log_likelihood(personas: DataFrame, k: int, pairs: DataFrame, check: bool = True) -> DataFrame:
-    """J10 + A16: entity1/persona1 is the model persona, entity2/persona2 the observation."""
+def _unknown_guard(value: Column, left: str, right: str) -> Column:
+    """Fail the job when a pair names a persona that has no row (checked while scoring,
+    so it costs no extra pass over the pairs)."""
+    msg = F.concat(F.lit("pair names a persona without documents: "),
+                   F.concat_ws("/", *[F.coalesce(F.col(c), F.lit("null")) for c in PAIR_COLUMNS]))
+    return F.when(F.col(left).isNull() | F.col(right).isNull(), F.raise_error(msg)).otherwise(value)
+
+
+def score_log_likelihood(personas: DataFrame, k: int, pairs: DataFrame, check: str = "lazy") -> DataFrame:
+    """J10 + A16: entity1/persona1 is the model persona, entity2/persona2 the observation.
+
+    ``check='lazy'`` fails the scoring job itself on an unknown persona;
+    ``'eager'`` runs an anti-join first and raises KeyError before scoring.
+    """
     numbered = number_pairs(pairs)
-    if check:
+    if check == "eager":
         check_known_personas(numbered, personas)
     m = personas.select(F.col("entity").alias("entity1"), F.col("persona").alias("persona1"),
                         F.col("counts").alias("_mc"), F.col("n_total").alias("_mn"))
     o = personas.select(F.col("entity").alias("entity2"), F.col("persona").alias("persona2"),
                         F.col("counts").alias("_oc"))
-    joined = numbered.join(m, ["entity1", "persona1"]).join(o, ["entity2", "persona2"])
-    return joined.select("pair_id", *PAIR_COLUMNS,
-                         log_likelihood(F.col("_mc"), F.col("_mn"), F.col("_oc"), k).alias("match_score"))
+    joined = numbered.join(m, ["entity1", "persona1"], "left").join(o, ["entity2", "persona2"], "left")
+    score = log_likelihood(F.col("_mc"), F.col("_mn"), F.col("_oc"), k)
+    return joined.select("pair_id", *PAIR_COLUMNS, _unknown_guard(score, "_mc", "_oc").alias("match_score"))
 
 
-def score_embedding(persona_embeddings: DataFrame, pairs: DataFrame, check: bool = True) -> DataFrame:
+def score_embedding(persona_embeddings: DataFrame, pairs: DataFrame, check: str = "lazy") -> DataFrame:
     """M9 (embedding model): cosine of the two personas' (projected) mean embeddings.
 
     ``persona_embeddings`` has entity, persona, embedding. A zero vector gives null.
     """
     numbered = number_pairs(pairs)
-    if check:
+    if check == "eager":
         check_known_personas(numbered, persona_embeddings)
     a = persona_embeddings.select(F.col("entity").alias("entity1"), F.col("persona").alias("persona1"),
                                   F.col("embedding").alias("_a"))
     b = persona_embeddings.select(F.col("entity").alias("entity2"), F.col("persona").alias("persona2"),
                                   F.col("embedding").alias("_b"))
-    joined = numbered.join(a, ["entity1", "persona1"]).join(b, ["entity2", "persona2"])
-    return joined.select("pair_id", *PAIR_COLUMNS, cosine("_a", "_b").alias("match_score"))
+    joined = numbered.join(a, ["entity1", "persona1"], "left").join(b, ["entity2", "persona2"], "left")
+    return joined.select("pair_id", *PAIR_COLUMNS, _unknown_guard(cosine("_a", "_b"), "_a", "_b").alias("match_score"))
 
 
 def run_inference(model_type: str, documents: DataFrame, pairs: DataFrame, model_tokens: DataFrame | None = None,
-                  embed=None, tokenizer=None) -> DataFrame:
+                  embed=None, tokenizer=None, check: str = "lazy") -> DataFrame:
     """M9: pick the scorer by model type and score every pair (order and duplicates kept)."""
     if model_type == "LOG_LIKELIHOOD_MODEL":
         personas, k = log_likelihood_personas(documents, model_tokens, tokenizer)
-        return score_log_likelihood(personas, k, pairs)
+        return score_log_likelihood(personas, k, pairs, check)
     if model_type == "EMBEDDING_MODEL":
         if embed is None:
             raise ValueError("an embedding model needs an embed function (documents -> persona embeddings)")
-        return score_embedding(embed(validate_documents(documents)), pairs)
+        return score_embedding(embed(validate_documents(documents)), pairs, check)
     raise ValueError(f"unknown model type {model_type!r}")

@@ -83,7 +83,9 @@ def test_pairs_keep_duplicates_and_unknown_persona_raises(spark):
     bad = spark.createDataFrame([("jekyll", "jekyll", "nobody", "none")],
                                 "entity1 STRING, persona1 STRING, entity2 STRING, persona2 STRING")
     with pytest.raises(KeyError):
-        scoring.run_inference("LOG_LIKELIHOOD_MODEL", docs, bad, model_tokens=tokens)
+        scoring.run_inference("LOG_LIKELIHOOD_MODEL", docs, bad, model_tokens=tokens, check="eager")
+    with pytest.raises(Exception, match="persona without documents"):
+        scoring.run_inference("LOG_LIKELIHOOD_MODEL", docs, bad, model_tokens=tokens).collect()
 
 
 def test_model_roundtrip_keeps_token_order(spark):
