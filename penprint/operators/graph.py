@@ -63,7 +63,9 @@ def _block_product(pdf: pd.DataFrame) -> pd.DataFrame:
     left = pdf[pdf["side"] == 0]
     right = left if diag else pdf[pdf["side"] == 1]
     empty = pd.DataFrame({"subreddit_a": pd.Series([], dtype=object), "subreddit_b": pd.Series([], dtype=object),
-                          "shared_authors": pd.Series([], dtype="int64"), "sole_author": pd.Series([], dtype=object)})
+                          "shared_authors": pd.Series([], dtype="int64"), "sole_author": pd.Series([], dtype=object),
+                          "sole_chars_a": pd.Series([], dtype="float64"),
+                          "sole_chars_b": pd.Series([], dtype="float64")})
     if left.empty or right.empty:
         return empty
     li, lsub = pd.factorize(left["subreddit"])
@@ -73,8 +75,10 @@ def _block_product(pdf: pd.DataFrame) -> pd.DataFrame:
     n_l, n_r, n_a = len(lsub), len(rsub), len(auth)
     ol = np.argsort(la, kind="stable")
     la, li = la[ol], li[ol]
+    lch = left["chars"].to_numpy(dtype=np.float64)[ol]
     orr = np.argsort(ra, kind="stable")
     ra, rj = ra[orr], rj[orr]
+    rch = right["chars"].to_numpy(dtype=np.float64)[orr]
     right_count = np.bincount(ra, minlength=n_a)
     right_start = np.concatenate([[0], np.cumsum(right_count)[:-1]])
     fan = right_count[la]                       # products contributed by each left entry
@@ -82,6 +86,8 @@ def _block_product(pdf: pd.DataFrame) -> pd.DataFrame:
     cells = n_l * n_r
     count = np.zeros(cells, dtype=np.int64)
     author_sum = np.zeros(cells, dtype=np.float64)
+    chars_a = np.zeros(cells, dtype=np.float64)   # for a single shared author: their characters
+    chars_b = np.zeros(cells, dtype=np.float64)
     start = 0
     while start < len(la):
         base = cum[start - 1] if start else 0
@@ -95,6 +101,8 @@ def _block_product(pdf: pd.DataFrame) -> pd.DataFrame:
             flat = li[lidx].astype(np.int64) * n_r + rj[ridx]
             count += np.bincount(flat, minlength=cells)
             author_sum += np.bincount(flat, weights=(la[lidx] + 1).astype(np.float64), minlength=cells)
+            chars_a += np.bincount(flat, weights=lch[lidx], minlength=cells)
+            chars_b += np.bincount(flat, weights=rch[ridx], minlength=cells)
         start = end
     nz = np.flatnonzero(count)
     i, j = nz // n_r, nz % n_r
@@ -110,50 +118,64 @@ def _block_product(pdf: pd.DataFrame) -> pd.DataFrame:
     if sole.dtype.kind in "iu":
         sole = sole.astype("Int64")
     sole[~one] = None
-    return pd.DataFrame({"subreddit_a": sub_a, "subreddit_b": sub_b, "shared_authors": c, "sole_author": sole})
+    ca = np.where(one, chars_a[nz], np.nan)
+    cb = np.where(one, chars_b[nz], np.nan)
+    return pd.DataFrame({"subreddit_a": sub_a, "subreddit_b": sub_b, "shared_authors": c, "sole_author": sole,
+                         "sole_chars_a": ca, "sole_chars_b": cb})
 
 
 def subreddit_adjacency(incidence: DataFrame, block_width: int = BLOCK_WIDTH,
                         chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Undirected edges (subreddit_a < subreddit_b, shared_authors >= 1, sole_author).
 
-    ``sole_author`` is the one shared author when shared_authors = 1, else null (J5).
+    ``sole_author`` is the one shared author when shared_authors = 1, else null (J5);
+    ``sole_chars_a`` / ``sole_chars_b`` are that author's characters in each community.
     """
-    inc = incidence.select("author", "subreddit").distinct()
+    has_chars = "num_characters" in incidence.columns
+    chars = F.col("num_characters").cast("double") if has_chars else F.lit(None).cast("double")
+    # One row per (author, subreddit), computed once: it is counted, then multiplied.
+    inc = cut_lineage(incidence.groupBy("author", "subreddit").agg(F.max(chars).alias("chars")))
     stats = inc.agg(F.approx_count_distinct("subreddit").alias("s"), F.count(F.lit(1)).alias("n")).collect()[0]
     nb = max(1, math.ceil((stats["s"] or 0) / block_width))
     nk = max(1, math.ceil((stats["n"] or 0) / chunk_rows))
-    tagged = inc.select("author", "subreddit",
+    tagged = inc.select("author", "subreddit", "chars",
                         F.pmod(F.xxhash64("subreddit"), F.lit(nb)).cast("int").alias("blk"),
                         F.pmod(F.xxhash64("author"), F.lit(nk)).cast("int").alias("chunk"))
-    as_left = tagged.select("author", "subreddit", "chunk", F.col("blk").alias("bi"),
+    as_left = tagged.select("author", "subreddit", "chars", "chunk", F.col("blk").alias("bi"),
                             F.explode(F.sequence(F.col("blk"), F.lit(nb - 1))).alias("bj"), F.lit(0).alias("side"))
     as_right = tagged.where(F.col("blk") > 0).select(
-        "author", "subreddit", "chunk", F.explode(F.sequence(F.lit(0), F.col("blk") - 1)).alias("bi"),
+        "author", "subreddit", "chars", "chunk", F.explode(F.sequence(F.lit(0), F.col("blk") - 1)).alias("bi"),
         F.col("blk").alias("bj"), F.lit(1).alias("side"))
     types = dict(incidence.dtypes)
     schema = (f"subreddit_a {types['subreddit']}, subreddit_b {types['subreddit']}, "
-              f"shared_authors bigint, sole_author {types['author']}")
+              f"shared_authors bigint, sole_author {types['author']}, sole_chars_a double, sole_chars_b double")
     partial = as_left.unionByName(as_right).groupBy("bi", "bj", "chunk").applyInPandas(_block_product, schema)
-    if nk == 1:  # one author chunk: every block of C is complete, no partial sums to add
-        return partial.select(F.least("subreddit_a", "subreddit_b").alias("subreddit_a"),
-                              F.greatest("subreddit_a", "subreddit_b").alias("subreddit_b"),
-                              "shared_authors", "sole_author")
+    swap = F.col("subreddit_a") > F.col("subreddit_b")
     oriented = partial.select(F.least("subreddit_a", "subreddit_b").alias("subreddit_a"),
                               F.greatest("subreddit_a", "subreddit_b").alias("subreddit_b"),
-                              "shared_authors", "sole_author")
+                              "shared_authors", "sole_author",
+                              F.when(swap, F.col("sole_chars_b")).otherwise(F.col("sole_chars_a")).alias("sole_chars_a"),
+                              F.when(swap, F.col("sole_chars_a")).otherwise(F.col("sole_chars_b")).alias("sole_chars_b"))
+    if nk == 1:  # one author chunk: every block of C is complete, no partial sums to add
+        return oriented
     summed = oriented.groupBy("subreddit_a", "subreddit_b").agg(
-        F.sum("shared_authors").alias("shared_authors"), F.max("sole_author").alias("_sole"))
+        F.sum("shared_authors").alias("shared_authors"), F.max("sole_author").alias("_sole"),
+        F.max("sole_chars_a").alias("_ca"), F.max("sole_chars_b").alias("_cb"))
+    one = F.col("shared_authors") == 1
     return summed.select("subreddit_a", "subreddit_b", "shared_authors",
-                         F.when(F.col("shared_authors") == 1, F.col("_sole")).alias("sole_author"))
+                         F.when(one, F.col("_sole")).alias("sole_author"),
+                         F.when(one, F.col("_ca")).alias("sole_chars_a"),
+                         F.when(one, F.col("_cb")).alias("sole_chars_b"))
 
 
 def directed(edges: DataFrame) -> DataFrame:
     """Both orientations of the undirected edge list: (subreddit_i, subreddit_j, ...)."""
     fwd = edges.select(F.col("subreddit_a").alias("subreddit_i"), F.col("subreddit_b").alias("subreddit_j"),
-                       "shared_authors", "sole_author")
+                       "shared_authors", "sole_author", F.col("sole_chars_a").alias("chars_i"),
+                       F.col("sole_chars_b").alias("chars_j"))
     back = edges.select(F.col("subreddit_b").alias("subreddit_i"), F.col("subreddit_a").alias("subreddit_j"),
-                        "shared_authors", "sole_author")
+                        "shared_authors", "sole_author", F.col("sole_chars_b").alias("chars_i"),
+                        F.col("sole_chars_a").alias("chars_j"))
     return fwd.unionByName(back)
 
 
@@ -177,13 +199,10 @@ def suitable_authors(incidence: DataFrame, edges: DataFrame, min_max_neighbours:
     both = directed(edges)
     row_max = both.groupBy("subreddit_i").agg(F.max("shared_authors").alias("_mx"))
     strong = row_max.where(F.col("_mx") >= min_max_neighbours).select("subreddit_i")
-    cand = (both.where(F.col("shared_authors") == 1).join(strong, "subreddit_i", "left_semi")
-            .select("subreddit_i", "subreddit_j", F.col("sole_author").alias("author")))
-    chars = incidence.select("author", "subreddit", "num_characters")
-    ci = chars.select("author", F.col("subreddit").alias("subreddit_i"), F.col("num_characters").alias("_ci"))
-    cj = chars.select("author", F.col("subreddit").alias("subreddit_j"), F.col("num_characters").alias("_cj"))
-    ok = (cand.join(ci, ["author", "subreddit_i"]).join(cj, ["author", "subreddit_j"])
-          .where((F.col("_ci") >= min_chars) & (F.col("_cj") >= min_chars)))
+    # P15 + P16: the single shared author's characters travel with the edge, so no join back.
+    ok = (both.where((F.col("shared_authors") == 1) & (F.col("chars_i") >= min_chars) & (F.col("chars_j") >= min_chars))
+          .join(strong, "subreddit_i", "left_semi")
+          .select("subreddit_i", "subreddit_j", F.col("sole_author").alias("author")))
     if order is not None:
         oi = order.select(F.col("subreddit").alias("subreddit_i"), F.col("subreddit_order").alias("_oi"))
         oj = order.select(F.col("subreddit").alias("subreddit_j"), F.col("subreddit_order").alias("_oj"))

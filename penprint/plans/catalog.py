@@ -282,7 +282,7 @@ def _graph(spark, sf_dir):
 SELECT subreddit_i AS subreddit_a, subreddit_j AS subreddit_b, shared_authors, sole_author
 FROM e WHERE subreddit_i < subreddit_j""")
 def q_subreddit_adjacency(spark, sf_dir):
-    return _graph(spark, sf_dir)[1]
+    return _graph(spark, sf_dir)[1].select("subreddit_a", "subreddit_b", "shared_authors", "sole_author")
 
 
 @register("subreddit_adjacency_summary", f"""WITH {SQL_DIRECTED}
