@@ -49,7 +49,8 @@ def sql_tokens(text: str) -> str:
 # ------------------------------------------------------------------ scoring (flagship)
 
 def _persona_counts(spark, sf_dir):
-    docs = B.persona_documents(spark, sf_dir)
+    # Documents feed the counts, the persona list and the pairs: computed once.
+    docs = cut_lineage(B.persona_documents(spark, sf_dir))
     # Tokenize once; the model, the persona table and the checks all read it.
     counts = cut_lineage(tok.token_counts(docs, scoring.PERSONA_KEYS))
     return docs, counts
