@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from penprint.llm.decontamination import contaminated_pairs
 from penprint.llm.minhash import near_duplicates
 from penprint.llm.packing import pack
+from penprint.llm.pii import find
+from penprint.llm.substrings import remove_repeats
 from penprint.llm.token_counts import count_tokens
 
 
@@ -19,6 +22,10 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -27,10 +34,21 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(table(spark, sf_dir, "documents"))
+
+
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op4_decontamination": op4_decontamination,
     "op6_packing": op6_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_pii": op9_pii,
+    "op10_substrings": op10_substrings,
 }
 
 SQL: dict[str, str] = {}

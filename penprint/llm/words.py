@@ -21,6 +21,10 @@ LONG_WORD = 1 << 16
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+# The same and all ASCII punctuation: words are then runs of letters, digits and wide characters.
+PUNCTUATED = SPACE.copy()
+PUNCTUATED[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
+
 _rng = np.random.Generator(np.random.PCG64(20_240_501))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE_FOLDED = _BYTE.copy()
@@ -104,11 +108,11 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, in
         row = last
 
 
-def word_spans(data: np.ndarray, starts_of_texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, starts_of_texts: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of the words; a text's first byte always begins a word or white space."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~SPACE[data]
+    inside = ~breaks[data]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[starts_of_texts] = True
     first[-1] = True
@@ -150,15 +154,15 @@ def hash_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, fold: boo
     return out
 
 
-def hashed_words(column, fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word in order, n + 1 word offsets per text). fold: A-Z as a-z."""
+def hashed_words(column, fold: bool, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word in order, n + 1 word offsets of the texts). fold: A-Z as a-z."""
     data, offsets = text_buffers(column)
     counts = np.zeros(len(offsets) - 1, np.int64)
     out = []
     for lo, hi, at, to in pieces(data, offsets):
         part = data[at:to]
         inner = np.clip(offsets[lo:hi] - at, 0, None)
-        begins, ends = word_spans(part, inner[inner < len(part)])
+        begins, ends = word_spans(part, inner[inner < len(part)], breaks)
         out.append(hash_spans(part, begins, ends, fold))
         if hi - lo == 1:
             counts[lo] += len(begins)
