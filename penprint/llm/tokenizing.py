@@ -26,7 +26,7 @@ from penprint.llm.words import SPACE, hash_spans, text_buffers
 # Bytes of text encoded together.
 BATCH_BYTES = 4 << 20
 # Parts of text remembered by a Python worker (about 30 bytes each); longer parts are not kept.
-MEMORY = 3_000_000
+MEMORY = 2_000_000
 LONGEST_KEPT = 64
 
 _VISIBLE = np.zeros(256, bool)
