@@ -10,6 +10,7 @@ from penprint.llm.decontamination import contaminated_pairs
 from penprint.llm.minhash import near_duplicates
 from penprint.llm.packing import pack
 from penprint.llm.pii import find
+from penprint.llm.quality import learn, score
 from penprint.llm.substrings import remove_repeats
 from penprint.llm.token_counts import count_tokens
 
@@ -18,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,6 +49,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op4_decontamination": op4_decontamination,
     "op6_packing": op6_packing,
