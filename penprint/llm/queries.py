@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from penprint.llm.decontamination import contaminated_pairs
 from penprint.llm.minhash import near_duplicates
 from penprint.llm.packing import pack
 from penprint.llm.pii import find
 from penprint.llm.quality import learn, score
+from penprint.llm.quality_rules import judge as judge_text
+from penprint.llm.sharding import assign
 from penprint.llm.substrings import remove_repeats
 from penprint.llm.token_counts import count_tokens
+from penprint.llm.urls import judge as judge_url
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,14 +32,26 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_text(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_url(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -51,11 +67,17 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
+    "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
+    "op7_hilbert_sharding": op7_hilbert_sharding,
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_substrings": op10_substrings,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

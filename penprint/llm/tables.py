@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penprint.session import scratch_path
@@ -45,3 +45,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = after
     return table.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
         table.select("b", "b").distinct())
+
+
+def constant_array(table: DataFrame, position: str, value: str, kind: str) -> Column:
+    """A table of a fixed number of rows as one constant array, for use inside higher-order functions.
+
+    Only for tables whose size is a parameter (one row per hash bucket).
+    """
+    text = table.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(position, value))),
+                                           lambda x: x[value]))).first()[0]
+    return F.from_json(F.lit(text), kind)
