@@ -43,8 +43,8 @@ WIDTH, OVERLAP = 5, 0.8
 SEGMENT, HALF = 64, 64
 THRESHOLD = 0.6
 BLOCK = 16
-# A term in more than this share of the segments counts as frequent.
-FREQUENT = 0.02
+# Terms in more than this share of the segments may count as frequent, up to this joint score of any segment.
+FREQUENT, JOINT = 0.02, 0.4
 INDEX_BYTES = 32 << 20
 # The usual BM25 parameters.
 K1, B = 1.2, 0.75
@@ -99,8 +99,18 @@ class Index:
         weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[self.seg])
         self.weight = weight / np.bincount(self.seg, weight, minlength=n)[self.seg]
         self.seg_start = np.searchsorted(self.seg, np.arange(n + 1))
-        frequent = df > max(1, FREQUENT * n)
-        joint = np.bincount(self.seg, self.weight * frequent[self.term], minlength=n)
+        # Frequent lists, longest first, as long as together they stay clear of the threshold: no segment is
+        # found by them alone.
+        by_term = np.argsort(self.term, kind="stable")
+        at = np.searchsorted(self.term[by_term], np.arange(v + 1))
+        joint, frequent = np.zeros(n), np.zeros(v, bool)
+        for t in np.argsort(-df, kind="stable").tolist():
+            mine = by_term[at[t]:at[t + 1]]
+            segs = self.seg[mine]
+            if df[t] <= max(1, FREQUENT * n) or (joint[segs] + self.weight[mine]).max() > JOINT:
+                break
+            joint[segs] += self.weight[mine]
+            frequent[t] = True
         self.joint = np.array([joint[k * BLOCK:(k + 1) * BLOCK].max() for k in range(self.blocks)])
         # Lists of the rarer terms: (block, largest weight in it).
         rare = ~frequent[self.term]

@@ -77,14 +77,15 @@ def _features(data, begins, ends, owner, opens) -> np.ndarray:
     n = int(owner[-1]) + 1
     heads = np.searchsorted(owner, np.arange(n + 1))
     words = np.diff(heads).astype(np.float64)
-    # A passage's bytes reach from its first word to the next passage's first word.
-    limits = np.append(begins[heads[:-1]], ends[-1])
-    size = np.diff(limits)
+    # A passage's bytes reach from its first word to the end of its last, whatever stands next to it.
+    low, high = begins[heads[:-1]], ends[heads[1:] - 1]
+    size = high - low
     cell = np.repeat(np.arange(n, dtype=np.int64), size)
-    body = data[limits[0]:limits[-1]]
+    body = data[np.repeat(low - (np.cumsum(size) - size), size) + np.arange(len(cell))]
     classes = np.bincount(cell * CLASSES + _CLASS[body], minlength=n * CLASSES).reshape(n, CLASSES)
     pair = (body[:-1].astype(np.uint16) * np.uint16(167) + body[1:].astype(np.uint16) * np.uint16(13)) >> 3 & (PAIRS - 1)
-    pairs = np.bincount(cell[:-1] * PAIRS + pair, minlength=n * PAIRS).reshape(n, PAIRS)
+    within = cell[:-1] == cell[1:]
+    pairs = np.bincount((cell[:-1] * PAIRS + pair)[within], minlength=n * PAIRS).reshape(n, PAIRS)
     hashes = hash_spans(data, begins, ends, fold=True)
     same = np.append(False, hashes[1:] == hashes[:-1]) & ~opens
     distinct = _distinct(owner, hashes, n)
