@@ -37,7 +37,7 @@ WIDTH = 5
 PERCENT = 85
 PERMUTATIONS, BANDS = 60, 24
 # Shingles of one part of a bucket; a task holds two parts.
-PART_SHINGLES = 1 << 20
+PART_SHINGLES = 1 << 16
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _MULTIPLY = (_rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
