@@ -1,182 +1,76 @@
 """Community graph.
 
-The subreddit adjacency is C = S^T S, where S is the author x subreddit
-incidence matrix and C[i, j] counts authors active in both i and j. It is
-computed as a blocked sparse matrix product, not as a self-join on author:
-
-* subreddits are hashed into ``nb`` column blocks and authors into ``nk`` row
-  chunks; every incidence (author, subreddit) is replicated to the ``nb``
-  block pairs (I, J), I <= J, that need its column block;
-* each (I, J, K) group multiplies two sparse slices with NumPy (sort by
-  author, run-length pairing, ``bincount`` into a dense block accumulator) and
-  emits only the non-zero entries of its block of C;
-* the partial blocks are summed over K by an ordinary aggregate.
-
-A group holds at most the incidences of two column blocks in one author
-chunk, so neither a very active author (bounded by the block width) nor a
-very popular subreddit (bounded by the chunk height) makes a group
-unbounded. Nothing emits per-author pairs into the shuffle. ``nb`` and ``nk``
-come from the data size.
-
-For pairs with exactly one shared author the product also carries that
-author: next to the count, it sums (author code + 1), which for a count of 1
-is the author itself.
+Two communities are joined by an edge that counts the authors active in both.
+The edges come from an equi self-join of the incidences (author, community).
+Every author's communities are cut into the same fixed number of parts by a
+hash of the community, and the join key is (author, part of one side, part of
+the other): an author active in very many communities is spread over
+PARTS * (PARTS + 1) / 2 keys, at any size of the data. Edges are counted by a
+grouped aggregate that combines map-side; beside the count it carries the
+smallest author and that author's characters, which for a count of 1 are the
+single shared author and theirs.
+
+P6 and P7 restrict the incidences before the join, so that only communities
+and authors that can matter are multiplied. A null author or community stops
+the job with an error: it would come from a damaged input line.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from penprint.session import cut_lineage
-
 # Default thresholds of the reference's selection rules.
 ACTIVE_SUBREDDIT_MIN_COUNT = 1000      # P6: count strictly greater than this
 MIN_MAX_NEIGHBOURS = 20                # P14: max shared authors with any other subreddit
 MIN_CHARS_PER_SUBREDDIT = 5000         # P16: characters in each of the two (>=)
 
-# Block sizing of the product.
-BLOCK_WIDTH = 2048                     # subreddits per column block (expected)
-CHUNK_ROWS = 2_000_000                 # incidences per author chunk (expected)
-PAIRS_PER_BATCH = 4_000_000            # in-task batch of the sparse product
+# Parts into which every author's communities are cut for the join.
+PARTS = 4
+
+
+def _known(name: str) -> Column:
+    return F.coalesce(F.col(name), F.raise_error(F.lit(f"null {name} in the author x community statistics: "
+                                                       "damaged input line")))
 
 
 def graph_incidence(stats: DataFrame, active: DataFrame | None = None,
                     min_activity: int = ACTIVE_SUBREDDIT_MIN_COUNT,
                     authors: DataFrame | None = None) -> DataFrame:
     """P6 + P7: stats rows of very active subreddits (count > min_activity) and chosen authors."""
-    inc = stats.select("author", "subreddit", "num_characters")
+    inc = stats.select(_known("author").alias("author"), _known("subreddit").alias("subreddit"), "num_characters")
     if active is not None:
-        keep = active.where(F.col("count") > min_activity).select("subreddit")
-        inc = inc.join(keep, "subreddit", "left_semi")
+        inc = inc.join(active.where(F.col("count") > min_activity).select("subreddit"), "subreddit", "left_semi")
     if authors is not None:
         inc = inc.join(authors.select("author"), "author", "left_semi")
-    return inc
-
-
-def _block_product(pdf: pd.DataFrame) -> pd.DataFrame:
-    diag = int(pdf["bi"].iat[0]) == int(pdf["bj"].iat[0])
-    left = pdf[pdf["side"] == 0]
-    right = left if diag else pdf[pdf["side"] == 1]
-    empty = pd.DataFrame({"subreddit_a": pd.Series([], dtype=object), "subreddit_b": pd.Series([], dtype=object),
-                          "shared_authors": pd.Series([], dtype="int64"), "sole_author": pd.Series([], dtype=object),
-                          "sole_chars_a": pd.Series([], dtype="float64"),
-                          "sole_chars_b": pd.Series([], dtype="float64")})
-    if left.empty or right.empty:
-        return empty
-    li, lsub = pd.factorize(left["subreddit"])
-    rj, rsub = pd.factorize(right["subreddit"])
-    codes, auth = pd.factorize(pd.concat([left["author"], right["author"]], ignore_index=True))
-    la, ra = codes[:len(left)], codes[len(left):]
-    n_l, n_r, n_a = len(lsub), len(rsub), len(auth)
-    ol = np.argsort(la, kind="stable")
-    la, li = la[ol], li[ol]
-    lch = left["chars"].to_numpy(dtype=np.float64)[ol]
-    orr = np.argsort(ra, kind="stable")
-    ra, rj = ra[orr], rj[orr]
-    rch = right["chars"].to_numpy(dtype=np.float64)[orr]
-    right_count = np.bincount(ra, minlength=n_a)
-    right_start = np.concatenate([[0], np.cumsum(right_count)[:-1]])
-    fan = right_count[la]                       # products contributed by each left entry
-    cum = np.cumsum(fan)
-    cells = n_l * n_r
-    count = np.zeros(cells, dtype=np.int64)
-    author_sum = np.zeros(cells, dtype=np.float64)
-    chars_a = np.zeros(cells, dtype=np.float64)   # for a single shared author: their characters
-    chars_b = np.zeros(cells, dtype=np.float64)
-    start = 0
-    while start < len(la):
-        base = cum[start - 1] if start else 0
-        end = max(int(np.searchsorted(cum, base + PAIRS_PER_BATCH, side="right")), start + 1)
-        f = fan[start:end]
-        total = int(f.sum())
-        if total:
-            lidx = np.repeat(np.arange(start, end), f)
-            offset = np.arange(total) - np.repeat(np.cumsum(f) - f, f)
-            ridx = right_start[la[lidx]] + offset
-            flat = li[lidx].astype(np.int64) * n_r + rj[ridx]
-            count += np.bincount(flat, minlength=cells)
-            author_sum += np.bincount(flat, weights=(la[lidx] + 1).astype(np.float64), minlength=cells)
-            chars_a += np.bincount(flat, weights=lch[lidx], minlength=cells)
-            chars_b += np.bincount(flat, weights=rch[ridx], minlength=cells)
-        start = end
-    nz = np.flatnonzero(count)
-    i, j = nz // n_r, nz % n_r
-    # Keep native dtypes (int64 keys stay int64) so the Arrow hand-off is columnar.
-    sub_a, sub_b = lsub.to_numpy()[i], rsub.to_numpy()[j]
-    c = count[nz]
-    if diag:  # C is symmetric inside a diagonal block: keep each unordered pair once
-        keep = (i != j) & (sub_a < sub_b)
-        sub_a, sub_b, c, nz = sub_a[keep], sub_b[keep], c[keep], nz[keep]
-    one = c == 1
-    code = np.where(one, author_sum[nz], 1).astype(np.int64) - 1
-    sole = pd.Series(auth.take(code))
-    if sole.dtype.kind in "iu":
-        sole = sole.astype("Int64")
-    sole[~one] = None
-    ca = np.where(one, chars_a[nz], np.nan)
-    cb = np.where(one, chars_b[nz], np.nan)
-    return pd.DataFrame({"subreddit_a": sub_a, "subreddit_b": sub_b, "shared_authors": c, "sole_author": sole,
-                         "sole_chars_a": ca, "sole_chars_b": cb})
-
-
-def subreddit_adjacency(incidence: DataFrame, block_width: int = BLOCK_WIDTH,
-                        chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    return inc.select("author", "subreddit", "num_characters")
+
+
+def subreddit_adjacency(incidence: DataFrame, parts: int = PARTS) -> DataFrame:
     """Undirected edges (subreddit_a < subreddit_b, shared_authors >= 1, sole_author).
 
     ``sole_author`` is the one shared author when shared_authors = 1, else null (J5);
     ``sole_chars_a`` / ``sole_chars_b`` are that author's characters in each community.
     """
-    has_chars = "num_characters" in incidence.columns
-    chars = F.col("num_characters").cast("double") if has_chars else F.lit(None).cast("double")
-    # One row per (author, subreddit), computed once: it is counted, then multiplied.
-    inc = cut_lineage(incidence.groupBy("author", "subreddit").agg(F.max(chars).alias("chars")))
-    stats = inc.agg(F.approx_count_distinct("subreddit").alias("s"), F.count(F.lit(1)).alias("n")).collect()[0]
-    nb = max(1, math.ceil((stats["s"] or 0) / block_width))
-    nk = max(1, math.ceil((stats["n"] or 0) / chunk_rows))
-    tagged = inc.select("author", "subreddit", "chars",
-                        F.pmod(F.xxhash64("subreddit"), F.lit(nb)).cast("int").alias("blk"),
-                        F.pmod(F.xxhash64("author"), F.lit(nk)).cast("int").alias("chunk"))
-    as_left = tagged.select("author", "subreddit", "chars", "chunk", F.col("blk").alias("bi"),
-                            F.explode(F.sequence(F.col("blk"), F.lit(nb - 1))).alias("bj"), F.lit(0).alias("side"))
-    as_right = tagged.where(F.col("blk") > 0).select(
-        "author", "subreddit", "chars", "chunk", F.explode(F.sequence(F.lit(0), F.col("blk") - 1)).alias("bi"),
-        F.col("blk").alias("bj"), F.lit(1).alias("side"))
-    types = dict(incidence.dtypes)
-    schema = (f"subreddit_a {types['subreddit']}, subreddit_b {types['subreddit']}, "
-              f"shared_authors bigint, sole_author {types['author']}, sole_chars_a double, sole_chars_b double")
-    partial = as_left.unionByName(as_right).groupBy("bi", "bj", "chunk").applyInPandas(_block_product, schema)
-    swap = F.col("subreddit_a") > F.col("subreddit_b")
-    oriented = partial.select(F.least("subreddit_a", "subreddit_b").alias("subreddit_a"),
-                              F.greatest("subreddit_a", "subreddit_b").alias("subreddit_b"),
-                              "shared_authors", "sole_author",
-                              F.when(swap, F.col("sole_chars_b")).otherwise(F.col("sole_chars_a")).alias("sole_chars_a"),
-                              F.when(swap, F.col("sole_chars_a")).otherwise(F.col("sole_chars_b")).alias("sole_chars_b"))
-    if nk == 1:  # one author chunk: every block of C is complete, no partial sums to add
-        return oriented
-    summed = oriented.groupBy("subreddit_a", "subreddit_b").agg(
-        F.sum("shared_authors").alias("shared_authors"), F.max("sole_author").alias("_sole"),
-        F.max("sole_chars_a").alias("_ca"), F.max("sole_chars_b").alias("_cb"))
+    chars = F.col("num_characters").cast("double") if "num_characters" in incidence.columns else F.lit(None).cast("double")
+    inc = (incidence.select(_known("author").alias("author"), _known("subreddit").alias("subreddit"), chars.alias("chars"))
+           .groupBy("author", "subreddit").agg(F.max("chars").alias("chars"))
+           .withColumn("part", F.pmod(F.xxhash64("subreddit"), F.lit(parts)).cast("int")))
+    left = inc.select("author", F.col("subreddit").alias("s1"), F.col("chars").alias("c1"), F.col("part").alias("p1"),
+                      F.explode(F.sequence(F.col("part"), F.lit(parts - 1))).alias("p2"))
+    right = inc.select("author", F.col("subreddit").alias("s2"), F.col("chars").alias("c2"),
+                       F.explode(F.sequence(F.lit(0), F.col("part"))).alias("p1"), F.col("part").alias("p2"))
+    met = left.join(right, ["author", "p1", "p2"]).where((F.col("p1") < F.col("p2")) | (F.col("s1") < F.col("s2")))
+    swap = F.col("s1") > F.col("s2")
+    edges = met.select("author", F.least("s1", "s2").alias("subreddit_a"), F.greatest("s1", "s2").alias("subreddit_b"),
+                       F.when(swap, F.col("c2")).otherwise(F.col("c1")).alias("ca"),
+                       F.when(swap, F.col("c1")).otherwise(F.col("c2")).alias("cb"))
     one = F.col("shared_authors") == 1
-    return summed.select("subreddit_a", "subreddit_b", "shared_authors",
-                         F.when(one, F.col("_sole")).alias("sole_author"),
-                         F.when(one, F.col("_ca")).alias("sole_chars_a"),
-                         F.when(one, F.col("_cb")).alias("sole_chars_b"))
-
-
-def directed(edges: DataFrame) -> DataFrame:
-    """Both orientations of the undirected edge list: (subreddit_i, subreddit_j, ...)."""
-    fwd = edges.select(F.col("subreddit_a").alias("subreddit_i"), F.col("subreddit_b").alias("subreddit_j"),
-                       "shared_authors", "sole_author", F.col("sole_chars_a").alias("chars_i"),
-                       F.col("sole_chars_b").alias("chars_j"))
-    back = edges.select(F.col("subreddit_b").alias("subreddit_i"), F.col("subreddit_a").alias("subreddit_j"),
-                        "shared_authors", "sole_author", F.col("sole_chars_b").alias("chars_i"),
-                        F.col("sole_chars_a").alias("chars_j"))
-    return fwd.unionByName(back)
+    return (edges.groupBy("subreddit_a", "subreddit_b")
+            .agg(F.count(F.lit(1)).alias("shared_authors"), F.min("author").alias("author"), F.min("ca").alias("ca"),
+                 F.min("cb").alias("cb"))
+            .select("subreddit_a", "subreddit_b", "shared_authors", F.when(one, F.col("author")).alias("sole_author"),
+                    F.when(one, F.col("ca")).alias("sole_chars_a"), F.when(one, F.col("cb")).alias("sole_chars_b")))
 
 
 def adjacency_histogram(edges: DataFrame) -> DataFrame:
@@ -184,7 +78,7 @@ def adjacency_histogram(edges: DataFrame) -> DataFrame:
     return edges.groupBy("shared_authors").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
-def suitable_authors(incidence: DataFrame, edges: DataFrame, min_max_neighbours: int = MIN_MAX_NEIGHBOURS,
+def suitable_authors(edges: DataFrame, min_max_neighbours: int = MIN_MAX_NEIGHBOURS,
                      min_chars: int = MIN_CHARS_PER_SUBREDDIT, order: DataFrame | None = None) -> DataFrame:
     """P14 + P15 + P16 + W1: one persona pair per author.
 
@@ -193,22 +87,35 @@ def suitable_authors(incidence: DataFrame, edges: DataFrame, min_max_neighbours:
     and that author has at least ``min_chars`` characters in both. Each author
     keeps the first candidate in (order(i), order(j)); a failed candidate
     leaves no trace, so this equals the greedy scan. ``order`` is an optional
-    (subreddit, subreddit_order) table; the default order is the subreddit value.
+    (subreddit, subreddit_order) table; communities it lacks come after all
+    others, by value. The default order is the subreddit value.
+
+    The edges are read once and never stored: both tests are rows of the same
+    stream, reduced to one row per (community, author) before communities are
+    put together.
     """
-    edges = cut_lineage(edges)  # read twice below; computed once
-    both = directed(edges)
-    row_max = both.groupBy("subreddit_i").agg(F.max("shared_authors").alias("_mx"))
-    strong = row_max.where(F.col("_mx") >= min_max_neighbours).select("subreddit_i")
-    # P15 + P16: the single shared author's characters travel with the edge, so no join back.
-    ok = (both.where((F.col("shared_authors") == 1) & (F.col("chars_i") >= min_chars) & (F.col("chars_j") >= min_chars))
-          .join(strong, "subreddit_i", "left_semi")
-          .select("subreddit_i", "subreddit_j", F.col("sole_author").alias("author")))
+    qualifies = ((F.col("shared_authors") == 1) & (F.col("sole_chars_a") >= min_chars)
+                 & (F.col("sole_chars_b") >= min_chars))
+    strong = F.col("shared_authors") >= min_max_neighbours
+    both = edges.where(qualifies | strong).select(
+        strong.alias("strong"), F.when(qualifies, F.col("sole_author")).alias("author"),
+        F.explode(F.array(F.struct(F.col("subreddit_a").alias("i"), F.col("subreddit_b").alias("j")),
+                          F.struct(F.col("subreddit_b").alias("i"), F.col("subreddit_a").alias("j")))).alias("e"))
+    rows = both.select("strong", "author", F.col("e.i").alias("i"), F.when(F.col("author").isNotNull(), F.col("e.j"))
+                       .alias("j"))
+    if order is not None:
+        place = order.select(F.col("subreddit").alias("j"), F.col("subreddit_order").alias("oj"))
+        rows = rows.join(place, "j", "left")
+        first_j = F.min(F.when(F.col("j").isNotNull(), F.struct(F.col("oj").isNull().alias("late"), "oj", "j")))
+    else:
+        first_j = F.min(F.when(F.col("j").isNotNull(), F.struct("j")))
+    reduced = rows.groupBy("i", "author").agg(F.max("strong").alias("strong"), first_j.alias("first"))
+    reduced = reduced.withColumn("strong", F.max("strong").over(Window.partitionBy("i")))
+    ok = reduced.where(F.col("strong") & F.col("author").isNotNull())
     if order is not None:
-        oi = order.select(F.col("subreddit").alias("subreddit_i"), F.col("subreddit_order").alias("_oi"))
-        oj = order.select(F.col("subreddit").alias("subreddit_j"), F.col("subreddit_order").alias("_oj"))
-        ok = ok.join(oi, "subreddit_i").join(oj, "subreddit_j")
+        ok = ok.join(order.select(F.col("subreddit").alias("i"), F.col("subreddit_order").alias("oi")), "i", "left")
+        key = F.struct(F.col("oi").isNull().alias("late"), "oi", "i", "first")
     else:
-        ok = ok.withColumn("_oi", F.col("subreddit_i")).withColumn("_oj", F.col("subreddit_j"))
-    first = ok.groupBy("author").agg(F.min(F.struct("_oi", "_oj", "subreddit_i", "subreddit_j")).alias("_f"))
-    return first.select("author", F.col("_f.subreddit_i").alias("subreddit_0"),
-                        F.col("_f.subreddit_j").alias("subreddit_1"))
+        key = F.struct("i", "first")
+    best = ok.groupBy("author").agg(F.min(key).alias("best"))
+    return best.select("author", F.col("best.i").alias("subreddit_0"), F.col("best.first.j").alias("subreddit_1"))

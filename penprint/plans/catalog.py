@@ -268,28 +268,35 @@ def q_shard_by_day(spark, sf_dir):
 from penprint.operators import graph  # noqa: E402
 
 SQL_DIRECTED = f"""
-stats AS ({B.SQL_GRAPH_STATS}),
+all_stats AS ({B.SQL_GRAPH_STATS}),
+active AS (SELECT subreddit, count(*) AS count FROM all_stats GROUP BY subreddit),
+chosen AS (SELECT author FROM all_stats GROUP BY author HAVING count(*) FILTER (WHERE num_characters >= 10) >= 2),
+stats AS (SELECT * FROM all_stats WHERE subreddit IN (SELECT subreddit FROM active WHERE count > 2)
+          AND author IN (SELECT author FROM chosen)),
 e AS (SELECT a.subreddit AS subreddit_i, b.subreddit AS subreddit_j, count(*) AS shared_authors,
              CASE WHEN count(*) = 1 THEN min(a.author) END AS sole_author
       FROM stats a JOIN stats b ON a.author = b.author AND a.subreddit <> b.subreddit GROUP BY 1, 2)"""
 
 
-def _graph(spark, sf_dir):
-    inc = graph.graph_incidence(B.graph_stats(spark, sf_dir))
-    return inc, graph.subreddit_adjacency(inc)
+def _edges(spark, sf_dir):
+    """P6 (communities with more than 2 authors) and P7 (authors with 10 characters in two of them), then J4."""
+    stats = cut_lineage(B.graph_stats(spark, sf_dir))
+    active = stats.groupBy("subreddit").agg(F.count(F.lit(1)).alias("count"))
+    chosen = corpus.prolific_authors(stats, 10, 2)
+    return graph.subreddit_adjacency(graph.graph_incidence(stats, active, 2, chosen))
 
 
 @register("subreddit_adjacency", f"""WITH {SQL_DIRECTED}
 SELECT subreddit_i AS subreddit_a, subreddit_j AS subreddit_b, shared_authors, sole_author
 FROM e WHERE subreddit_i < subreddit_j""")
 def q_subreddit_adjacency(spark, sf_dir):
-    return _graph(spark, sf_dir)[1].select("subreddit_a", "subreddit_b", "shared_authors", "sole_author")
+    return _edges(spark, sf_dir).select("subreddit_a", "subreddit_b", "shared_authors", "sole_author")
 
 
 @register("subreddit_adjacency_summary", f"""WITH {SQL_DIRECTED}
 SELECT shared_authors, count(*) AS n_pairs FROM e WHERE subreddit_i < subreddit_j GROUP BY 1""")
 def q_subreddit_adjacency_summary(spark, sf_dir):
-    return graph.adjacency_histogram(_graph(spark, sf_dir)[1])
+    return graph.adjacency_histogram(_edges(spark, sf_dir))
 
 
 SQL_SUITABLE = f"""WITH {SQL_DIRECTED},
@@ -305,13 +312,12 @@ suitable AS (SELECT author, subreddit_i AS subreddit_0, subreddit_j AS subreddit
 
 
 def _suitable(spark, sf_dir):
-    inc, edges = _graph(spark, sf_dir)
-    return inc, graph.suitable_authors(inc, edges, min_max_neighbours=3, min_chars=30)
+    return graph.suitable_authors(_edges(spark, sf_dir), min_max_neighbours=3, min_chars=30)
 
 
 @register("suitable_authors", f"{SQL_SUITABLE} SELECT * FROM suitable")
 def q_suitable_authors(spark, sf_dir):
-    return _suitable(spark, sf_dir)[1]
+    return _suitable(spark, sf_dir)
 
 
 # ------------------------------------------------------------------ personas

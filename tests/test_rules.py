@@ -95,42 +95,67 @@ def test_dense_index_and_following_pairs(spark):
     assert {(r.author_a, r.author_b) for r in got} == want
 
 
-def test_block_product_matches_brute_force(spark, monkeypatch):
+def test_adjacency_matches_brute_force(spark):
     rng = random.Random(7)
     rows = set()
     for a in range(60):
         for _ in range(rng.randint(1, 12)):
             rows.add((f"a{a}", rng.randint(0, 80)))
-    rows.add(("hot", 1))
-    for s in range(0, 80, 2):
-        rows.add(("hot", s))
+    rows |= {("hot", s) for s in range(81)}  # one author in every community
     inc = spark.createDataFrame([(a, s, 100) for a, s in rows], "author STRING, subreddit BIGINT, num_characters BIGINT")
-    for width, chunk in [(2048, 10 ** 9), (16, 50)]:  # one block and chunk; many of both
-        edges = graph.subreddit_adjacency(inc, block_width=width, chunk_rows=chunk).collect()
-        by_sub = {}
-        for a, s in rows:
-            by_sub.setdefault(s, set()).add(a)
-        want = {}
-        for s1, s2 in itertools.combinations(sorted(by_sub), 2):
-            shared = by_sub[s1] & by_sub[s2]
-            if shared:
-                want[(s1, s2)] = (len(shared), next(iter(shared)) if len(shared) == 1 else None)
-        got = {(r.subreddit_a, r.subreddit_b): (r.shared_authors, r.sole_author) for r in edges}
-        assert got == want
+    by_sub = {}
+    for a, s in rows:
+        by_sub.setdefault(s, set()).add(a)
+    want = {}
+    for s1, s2 in itertools.combinations(sorted(by_sub), 2):
+        shared = by_sub[s1] & by_sub[s2]
+        if shared:
+            want[(s1, s2)] = (len(shared), next(iter(shared)) if len(shared) == 1 else None)
+    for parts in (1, 4):
+        edges = graph.subreddit_adjacency(inc, parts=parts).collect()
+        assert {(r.subreddit_a, r.subreddit_b): (r.shared_authors, r.sole_author) for r in edges} == want
+
+
+def test_active_and_chosen_restrict_the_graph(spark):
+    stats = spark.createDataFrame([("a", "s1", 5), ("a", "s2", 5), ("b", "s1", 5), ("b", "s2", 5), ("c", "s1", 5),
+                                   ("c", "s3", 5)], "author STRING, subreddit STRING, num_characters BIGINT")
+    active = spark.createDataFrame([("s1", 1001), ("s2", 1001), ("s3", 1000)], "subreddit STRING, count BIGINT")
+    chosen = spark.createDataFrame([("a",), ("c",)], "author STRING")
+    inc = graph.graph_incidence(stats, active, authors=chosen)
+    assert sorted((r.author, r.subreddit) for r in inc.collect()) == [("a", "s1"), ("a", "s2"), ("c", "s1")]
+
+
+def test_null_author_is_an_error(spark):
+    stats = spark.createDataFrame([(None, "s1", 5), ("a", "s1", 5)], "author STRING, subreddit STRING, num_characters BIGINT")
+    with pytest.raises(Exception, match="null author"):
+        graph.subreddit_adjacency(graph.graph_incidence(stats)).collect()
+
+
+def _suitable_edges(spark):
+    # s1-s2 share only 'a' (a has 10 chars in s1, 100 in s2); s1-s3 share only 'b'; s1-s4 many.
+    stats = [("a", 1, 10), ("a", 2, 100), ("b", 1, 100), ("b", 3, 100), ("a", 5, 100), ("b", 5, 100), ("b", 6, 100)]
+    stats += [(f"m{i}", s, 100) for i in range(3) for s in (1, 4)]
+    return graph.subreddit_adjacency(spark.createDataFrame(stats, "author STRING, subreddit BIGINT, num_characters BIGINT"))
 
 
 def test_suitable_authors_first_qualifying_pair(spark):
-    # s1-s2 share only 'a' (a has 10 chars in s1, 100 in s2); s1-s3 share only 'b'; s1-s4 many.
-    stats = [("a", 1, 10), ("a", 2, 100), ("b", 1, 100), ("b", 3, 100), ("a", 5, 100), ("b", 5, 100)]
-    stats += [(f"m{i}", s, 100) for i in range(3) for s in (1, 4)]
-    inc = spark.createDataFrame(stats, "author STRING, subreddit BIGINT, num_characters BIGINT")
-    edges = graph.subreddit_adjacency(inc)
     got = {r.author: (r.subreddit_0, r.subreddit_1)
-           for r in graph.suitable_authors(inc, edges, min_max_neighbours=3, min_chars=50).collect()}
+           for r in graph.suitable_authors(_suitable_edges(spark), min_max_neighbours=3, min_chars=50).collect()}
     # a fails on (1, 2) (10 chars in s1) and has no other single-author pair from a strong subreddit
     assert got == {"b": (1, 3)}
 
 
+def test_suitable_authors_order_keeps_unlisted_communities(spark):
+    order = spark.createDataFrame([(6, 0), (1, 1)], "subreddit BIGINT, subreddit_order INT")
+    got = {r.author: (r.subreddit_0, r.subreddit_1) for r in graph.suitable_authors(
+        _suitable_edges(spark), min_max_neighbours=3, min_chars=50, order=order).collect()}
+    assert got == {"b": (1, 6)}
+    other = spark.createDataFrame([(9, 0)], "subreddit BIGINT, subreddit_order INT")
+    got = {r.author: (r.subreddit_0, r.subreddit_1) for r in graph.suitable_authors(
+        _suitable_edges(spark), min_max_neighbours=3, min_chars=50, order=other).collect()}
+    assert got == {"b": (1, 3)}
+
+
 def test_grid_bucket_matches_brute_force(spark):
     vals = [0.0, -0.05, -0.1, -0.15, -1.0, -19.95, -19.96, -3.3333, -0.0499999, -25.0]
     df = spark.createDataFrame([(v,) for v in vals], "s DOUBLE")
