@@ -1,9 +1,8 @@
 """Corpus cleaning and activity profiles.
 
-All steps are relational: scans, broadcast or shuffle joins and hash
-aggregates with partial (map-side) aggregation. The small tables that are
-broadcast (ignore list, per-subreddit flags) are bounded by the number of
-names or subreddits and are size-checked before the broadcast hint is used.
+All steps are lazy and relational: scans, joins without hints (adaptive
+execution broadcasts a side that turns out small) and hash aggregates with
+partial (map-side) aggregation. Nothing runs before the caller's action.
 """
 
 from __future__ import annotations
@@ -17,15 +16,6 @@ from penprint.sources.schemas import COMMENT, SUBMISSION
 # Fixed values of the reference's cleaning rules.
 NSFW_RATIO_CUTOFF = 0.1        # flagged when over / (over + other + 0.1) > 0.1
 NSFW_RATIO_SMOOTHING = 0.1
-# Rows of a side table above which no broadcast hint is given (the planner
-# then chooses, and adaptive execution may still broadcast at run time).
-BROADCAST_ROW_LIMIT = 2_000_000
-
-
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only for a side whose row count is checked to be small."""
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
 
 
 def nsfw_flags(submissions: DataFrame) -> DataFrame:
@@ -40,7 +30,7 @@ def nsfw_flags(submissions: DataFrame) -> DataFrame:
 
 def drop_ignored(df: DataFrame, ignored: DataFrame, author: str = "author") -> DataFrame:
     """Anti-join on the ignore list (case-sensitive names, list is data)."""
-    return df.join(maybe_broadcast(ignored.select(F.col("author").alias(author)).distinct()), author, "left_anti")
+    return df.join(ignored.select(F.col("author").alias(author)), author, "left_anti")
 
 
 def filter_submissions(submissions: DataFrame, ignored: DataFrame, flags: DataFrame | None = None,
@@ -49,18 +39,17 @@ def filter_submissions(submissions: DataFrame, ignored: DataFrame, flags: DataFr
     a post when it is over 18 *and* its subreddit is flagged.
 
     ``flags`` defaults to ``nsfw_flags(submissions)``. With a supplied flag table,
-    ``on_missing='error'`` raises when an over-18 post's subreddit has no flag.
+    ``on_missing='error'`` fails the job when an over-18 post's subreddit has no flag.
     """
     if flags is None:
         flags = nsfw_flags(submissions)
     posts = submissions.select(*[f.name for f in SUBMISSION.fields])
     over = F.coalesce(F.col("over_18"), F.lit(False))
-    joined = posts.join(maybe_broadcast(flags.select("subreddit", F.col("flagged").alias("_flag"))),
-                        "subreddit", "left")
+    joined = posts.join(flags.select("subreddit", F.col("flagged").alias("_flag")), "subreddit", "left")
     if on_missing == "error":
-        missing = joined.where(over & F.col("_flag").isNull()).select("subreddit").limit(5).collect()
-        if missing:
-            raise KeyError(f"over-18 posts in subreddits without a flag: {[r.subreddit for r in missing]}")
+        message = F.concat(F.lit("over-18 post in a subreddit without a flag: "), F.col("subreddit"))
+        joined = joined.withColumn("_flag", F.when(over & F.col("_flag").isNull(), F.raise_error(message))
+                                   .otherwise(F.col("_flag")))
     kept = joined.where(~(over & F.coalesce(F.col("_flag"), F.lit(False)))).drop("_flag")
     return drop_ignored(kept, ignored).select(*[f.name for f in SUBMISSION.fields])
 
@@ -112,6 +101,17 @@ def activity_counts(submissions: DataFrame, comments: DataFrame, key: str) -> Da
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("count"))
 
 
+def both_activity_counts(submissions: DataFrame, comments: DataFrame) -> DataFrame:
+    """A5 + A6 in one scan: (kind 'author' or 'subreddit', name, count) by grouping sets."""
+    keys = ["author", "subreddit"]
+    rows = submissions.select(*keys).unionByName(comments.select(*keys))
+    counted = rows.groupingSets([["author"], ["subreddit"]], *keys).agg(
+        F.count(F.lit(1)).alias("count"), F.grouping("author").alias("_by_subreddit"))
+    by_subreddit = F.col("_by_subreddit") == 1
+    return counted.select(F.when(by_subreddit, "subreddit").otherwise("author").alias("kind"),
+                          F.when(by_subreddit, F.col("subreddit")).otherwise(F.col("author")).alias("name"), "count")
+
+
 def at_least(counts: DataFrame, min_count: int) -> DataFrame:
     """P5: entries with count >= min_count."""
     return counts.where(F.col("count") >= min_count)
@@ -120,14 +120,13 @@ def at_least(counts: DataFrame, min_count: int) -> DataFrame:
 def activity_summary(submissions: DataFrame, comments: DataFrame, author_cutoff: int = 30,
                      subreddit_cutoff: int = 30) -> DataFrame:
     """Distinct authors and subreddits, before and after the cutoffs (one row)."""
-    a = activity_counts(submissions, comments, "author").agg(
-        F.count(F.lit(1)).alias("n_authors"),
-        F.count_if(F.col("count") >= author_cutoff).alias("n_active_authors"))
-    s = activity_counts(submissions, comments, "subreddit").agg(
-        F.count(F.lit(1)).alias("n_subreddits"),
-        F.count_if(F.col("count") >= subreddit_cutoff).alias("n_active_subreddits"))
-    # Both sides are single-row aggregates; join on a constant key.
-    return a.withColumn("_k", F.lit(1)).join(s.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    counts = both_activity_counts(submissions, comments)
+    author = F.col("kind") == "author"
+    return counts.agg(
+        F.count_if(author).alias("n_authors"),
+        F.count_if(author & (F.col("count") >= author_cutoff)).alias("n_active_authors"),
+        F.count_if(~author).alias("n_subreddits"),
+        F.count_if(~author & (F.col("count") >= subreddit_cutoff)).alias("n_active_subreddits"))
 
 
 def activity_extremes(counts: DataFrame, key: str, n: int = 5) -> DataFrame:

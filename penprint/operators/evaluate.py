@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from penprint.functions.columns import capped_bucket
 from penprint.operators.indexing import following_pairs, with_dense_index
 
 # The log-likelihood cutoff grid 0, -0.05, ..., -19.95.
@@ -33,11 +34,12 @@ def decreasing_grid_bucket(score: Column, size: int = LL_GRID_SIZE, step: float
 
 
 def grid_tail_counts(samples: DataFrame, keys: list[str], label: str, bucket: str, grid: DataFrame,
-                     totals: dict[int, int], implicit_bucket: int = 0) -> DataFrame:
-    """For every key and grid index g: n1(g), n0(g) = samples of label 1 / 0 whose bucket <= g.
+                     totals: dict[int, int] | None = None, implicit_bucket: int = 0) -> DataFrame:
+    """For every key and grid index g: n1_pass, n0_pass = samples of label 1 / 0 whose bucket <= g, out of n1, n0.
 
-    ``totals`` gives the number of samples per label; samples without a row
-    (implicit ones) are counted in ``implicit_bucket``.
+    Without ``totals`` every sample has a row and n1, n0 are counted per key.
+    With ``totals`` (samples per label, the same for every key) the samples
+    without a row (implicit ones) are counted in ``implicit_bucket``.
     """
     if not keys:  # one group: a constant key keeps the plan the same
         out = grid_tail_counts(samples.withColumn("_all", F.lit(0)), ["_all"], label, bucket,
@@ -50,25 +52,28 @@ def grid_tail_counts(samples: DataFrame, keys: list[str], label: str, bucket: st
     w = Window.partitionBy(*keys).orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
     cum = filled.withColumn("_c1", F.sum("_b1").over(w)).withColumn("_c0", F.sum("_b0").over(w))
     out = cum.join(present, keys, "left").fillna(0, ["_p1", "_p0"])
-    n1, n0 = int(totals.get(1, 0)), int(totals.get(0, 0))
-    extra1 = F.lit(n1) - F.col("_p1")
-    extra0 = F.lit(n0) - F.col("_p0")
-    c1 = F.col("_c1") + F.when(F.col("g") >= implicit_bucket, extra1).otherwise(F.lit(0))
-    c0 = F.col("_c0") + F.when(F.col("g") >= implicit_bucket, extra0).otherwise(F.lit(0))
-    return out.select(*keys, "g", c1.cast("bigint").alias("n1_pass"), c0.cast("bigint").alias("n0_pass"))
+    n1, n0 = (F.col("_p1"), F.col("_p0")) if totals is None else (F.lit(int(totals.get(1, 0))), F.lit(int(totals.get(0, 0))))
+    late = F.col("g") >= implicit_bucket
+    c1 = F.col("_c1") + F.when(late, n1 - F.col("_p1")).otherwise(F.lit(0))
+    c0 = F.col("_c0") + F.when(late, n0 - F.col("_p0")).otherwise(F.lit(0))
+    return out.select(*keys, "g", c1.cast("bigint").alias("n1_pass"), c0.cast("bigint").alias("n0_pass"),
+                      n1.cast("bigint").alias("n1"), n0.cast("bigint").alias("n0"))
 
 
-def pick_best(tails: DataFrame, keys: list[str], n1: int, n0: int, cutoff: Column, objective: str) -> DataFrame:
+def cutoff_accuracy(n1_pass: Column, n0_pass: Column, n1: Column, n0: Column) -> Column:
+    """(P(match passes) + 1 - P(mismatch passes)) / 2; null if a label has no sample."""
+    return F.lit(0.5) * (F.try_divide(n1_pass, n1) + F.lit(1.0) - F.try_divide(n0_pass, n0))
+
+
+def pick_best(tails: DataFrame, keys: list[str], cutoff: Column, objective: str) -> DataFrame:
     """Choose per key the grid point with the best objective (exact integer comparison),
     ties to the lowest grid index. ``objective``: 'distance' = max |acc - 1/2|
     (variant 1), 'accuracy' = max acc (variant 2)."""
-    diff = F.col("n1_pass") * F.lit(n0) - F.col("n0_pass") * F.lit(n1)
+    diff = F.col("n1_pass") * F.col("n0") - F.col("n0_pass") * F.col("n1")
     score = F.abs(diff) if objective == "distance" else diff
-    best = tails.withColumn("_cut", cutoff).groupBy(*keys).agg(
-        F.max(F.struct(score.alias("_s"), (-F.col("g")).alias("_ng"), "g", "_cut", "n1_pass", "n0_pass")).alias("_b"))
-    p1 = F.col("_b.n1_pass") / F.lit(n1) if n1 else F.lit(None).cast("double")
-    p0 = F.col("_b.n0_pass") / F.lit(n0) if n0 else F.lit(None).cast("double")
-    acc = F.lit(0.5) * (p1 + F.lit(1.0) - p0)
+    best = tails.withColumn("_cut", cutoff).groupBy(*keys).agg(F.max(F.struct(
+        score.alias("_s"), (-F.col("g")).alias("_ng"), "g", "_cut", "n1_pass", "n0_pass", "n1", "n0")).alias("_b"))
+    acc = cutoff_accuracy(*[F.col(f"_b.{c}") for c in ("n1_pass", "n0_pass", "n1", "n0")])
     return best.select(*keys, F.col("_b.g").alias("grid_index"), F.col("_b._cut").alias("cutoff"),
                        acc.alias("accuracy"))
 
@@ -80,17 +85,15 @@ def label_totals(samples: DataFrame, label: str) -> dict[int, int]:
 def best_cutoff_log_grid(scores: DataFrame, score: str = "score", label: str = "label",
                          keys: list[str] | None = None) -> DataFrame:
     """Cutoff among 0, -0.05, ..., -19.95 maximizing |accuracy - 1/2|, where
-    accuracy = (P(match >= c) + 1 - P(mismatch >= c)) / 2; first grid point on ties."""
+    accuracy = (P(match >= c) + 1 - P(mismatch >= c)) / 2, per key; first grid point on ties."""
     keys = keys or []
-    totals = label_totals(scores, label)
     s = F.round(F.col(score), SCORE_DECIMALS)
     samples = scores.select(*keys, label, decreasing_grid_bucket(s).alias("_bucket"))
     grid_rows = F.explode(F.sequence(F.lit(0), F.lit(LL_GRID_SIZE - 1))).alias("g")
     grid = (samples.select(*keys).distinct().select(*keys, grid_rows) if keys
             else scores.sparkSession.range(LL_GRID_SIZE).select(F.col("id").cast("int").alias("g")))
-    tails = grid_tail_counts(samples, keys, label, "_bucket", grid, totals)
-    return pick_best(tails, keys, totals.get(1, 0), totals.get(0, 0),
-                     F.col("g").cast("double") * F.lit(LL_GRID_STEP), "distance")
+    tails = grid_tail_counts(samples, keys, label, "_bucket", grid)
+    return pick_best(tails, keys, F.col("g").cast("double") * F.lit(LL_GRID_STEP), "distance")
 
 
 def mismatched_pairs(authors: DataFrame, author: str = "author", ahead: int = 4) -> DataFrame:
@@ -119,7 +122,7 @@ def token_accuracies(counts: DataFrame, candidates: DataFrame, pairs: DataFrame,
     (pair, token held by the observation) rows exist; absent rows are zeros,
     which pass every cutoff <= 0 and are added to every tail count.
     """
-    cand = F.broadcast(candidates.select("token"))
+    cand = candidates.select("token")
     obs = counts.where(F.col(slot) == 1).join(cand, "token").select(
         F.col(author).alias("author_b"), "token", F.col("n").alias("_o"))
     model = counts.where(F.col(slot) == 0)
@@ -133,8 +136,7 @@ def token_accuracies(counts: DataFrame, candidates: DataFrame, pairs: DataFrame,
     grid = candidates.select("token").distinct().select(
         "token", F.explode(F.sequence(F.lit(0), F.lit(LL_GRID_SIZE - 1))).alias("g"))
     tails = grid_tail_counts(samples, ["token"], "label", "_bucket", grid, totals)
-    return pick_best(tails, ["token"], totals.get(1, 0), totals.get(0, 0),
-                     F.col("g").cast("double") * F.lit(LL_GRID_STEP), "distance")
+    return pick_best(tails, ["token"], F.col("g").cast("double") * F.lit(LL_GRID_STEP), "distance")
 
 
 def rank_by_accuracy(accuracies: DataFrame, candidates: DataFrame, top_n: int | None = None) -> DataFrame:
@@ -148,76 +150,100 @@ def rank_by_accuracy(accuracies: DataFrame, candidates: DataFrame, top_n: int |
     return ranked.select("rank", "accuracy", "token", F.col("_cr").alias("token_index"))
 
 
-def spread_grid_cutoff(samples: DataFrame, value: str = "value", label: str = "label",
-                       size: int = SPREAD_GRID_SIZE, sigmas: float = SPREAD_SIGMAS) -> DataFrame:
-    """Grid of ``size`` points from min(min - 3sd) to max(max + 3sd) over both labels
-    (population sd); the cutoff with the highest accuracy, first on ties."""
-    per = samples.groupBy(label).agg(F.min(value).alias("mn"), F.max(value).alias("mx"),
-                                     F.stddev_pop(value).alias("sd"), F.count(F.lit(1)).alias("n")).collect()
-    stats = {int(r[label]): r for r in per}  # two rows
-    lo = min(float(r["mn"]) - sigmas * float(r["sd"]) for r in stats.values())
-    hi = max(float(r["mx"]) + sigmas * float(r["sd"]) for r in stats.values())
+def spread_grid(per_label: dict[int, dict], size: int = SPREAD_GRID_SIZE, sigmas: float = SPREAD_SIGMAS) -> list[float]:
+    """``size`` points from min(min - 3sd) to max(max + 3sd) over both labels (population sd)."""
+    lo = min(float(r["min"]) - sigmas * float(r["std"]) for r in per_label.values())
+    hi = max(float(r["max"]) + sigmas * float(r["std"]) for r in per_label.values())
     step = (hi - lo) / (size - 1)
-    totals = {k: int(r["n"]) for k, r in stats.items()}
-    v = F.col(value).cast("double")
-    # m(v) = number of grid points <= v; the grid is lo + i*step, last point exactly hi.
-    point = lambda i: F.when(i >= size - 1, F.lit(hi)).otherwise(i.cast("double") * F.lit(step) + F.lit(lo))  # noqa
-    m0 = F.least(F.greatest(F.floor((v - F.lit(lo)) / F.lit(step)).cast("int") + 1, F.lit(0)), F.lit(size))
-    m1 = F.when((m0 > 0) & (v < point(m0 - 1)), m0 - 1).otherwise(m0)
-    m2 = F.when((m1 < size) & (v >= point(m1)), m1 + 1).otherwise(m1)
-    # a sample passes grid point g when g < m(v): store the bucket as size - m so passing is bucket <= size-1-g
-    tagged = samples.select(label, (F.lit(size) - m2).alias("_rb"))
-    spark = samples.sparkSession
-    grid = spark.range(size).select(F.col("id").cast("int").alias("g"))
-    tails = grid_tail_counts(tagged, [], label, "_rb", grid, totals, implicit_bucket=size + 1)
-    # tails at g count samples with (size - m) <= g, i.e. passing grid point size-1-g.
-    flipped = tails.select((F.lit(size - 1) - F.col("g")).alias("g"), "n1_pass", "n0_pass")
-    cutoff = point(F.col("g"))
-    return pick_best(flipped, [], totals.get(1, 0), totals.get(0, 0), cutoff, "accuracy").withColumn(
-        "grid_low", F.lit(lo)).withColumn("grid_high", F.lit(hi))
+    return [hi if i == size - 1 else i * step + lo for i in range(size)]
+
+
+def spread_grid_cutoffs(samples: DataFrame, value: str = "value", label: str = "label", best: int = 5,
+                        size: int = SPREAD_GRID_SIZE, sigmas: float = SPREAD_SIGMAS) -> DataFrame:
+    """The ``best`` cutoffs of the grid by accuracy, first grid point on ties; null samples do not count."""
+    known = samples.where(F.col(value).isNotNull())
+    per = {int(r[label]): r.asDict() for r in known.groupBy(label).agg(
+        F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_pop(value).alias("std")).collect()}  # two rows
+    grid = spread_grid(per, size, sigmas)
+    v, n = F.col(value).cast("double"), F.lit(size)
+    # Number of grid points <= v, from the step, then corrected by one for rounding.
+    points = F.array(*[F.lit(x) for x in grid])
+    step = grid[1] - grid[0]
+    if step > 0:
+        near = F.least(F.greatest(F.floor((v - F.lit(grid[0])) / F.lit(step)).cast("int") + 1, F.lit(0)), n)
+    else:
+        near = F.when(v >= F.lit(grid[0]), n).otherwise(F.lit(0))
+    near = F.when((near > 0) & (v < F.get(points, near - 1)), near - 1).otherwise(near)
+    near = F.when((near < n) & (v >= F.get(points, near)), near + 1).otherwise(near)
+    counts = {(int(r[0]), int(r[1])): int(r[2]) for r in known.groupBy(label, near.alias("m")).count().collect()}
+    return best_of_grid(samples.sparkSession, grid, counts, best)
+
+
+def best_of_grid(spark, grid: list[float], counts: dict[tuple[int, int], int], best: int = 5) -> DataFrame:
+    """The ``best`` grid points, given how many samples of each label have m grid points at or below them.
+
+    The grid and its counts are bounded by the grid's size, so this is driver arithmetic in whole numbers.
+    """
+    size = len(grid)
+    total = {k: sum(n for (label, _), n in counts.items() if label == k) for k in (0, 1)}
+    passing = {k: [sum(counts.get((k, m), 0) for m in range(g + 1, size + 1)) for g in range(size)] for k in (0, 1)}
+    order = sorted(range(size), key=lambda g: (-(passing[1][g] * total[0] - passing[0][g] * total[1]), g))[:best]
+
+    def accuracy(g: int) -> float | None:
+        if not total[0] or not total[1]:
+            return None
+        return 0.5 * (passing[1][g] / total[1] + 1 - passing[0][g] / total[0])
+
+    rows = [(k, g, grid[g], accuracy(g), grid[0], grid[-1]) for k, g in enumerate(order)]
+    return spark.createDataFrame(rows, "rank int, grid_index int, cutoff double, accuracy double, grid_low double, "
+                                       "grid_high double")
 
 
 def exact_median(samples: DataFrame, value: str = "value", label: str = "label") -> DataFrame:
     """Exact median per label by a distributed sort: range-partitioned positions,
-    then the one or two middle ranks per label. No group is gathered in one task."""
-    pos = with_dense_index(samples.select(label, F.col(value).cast("double").alias("_v")), [label, "_v"], "_i")
+    then the one or two middle ranks per label. Equal values are spread by a tie
+    number; null values do not count."""
+    known = samples.where(F.col(value).isNotNull()).select(
+        label, F.col(value).cast("double").alias("_v"), F.monotonically_increasing_id().alias("_tie"))
+    pos = with_dense_index(known, [label, "_v", "_tie"], "_i")
     bounds = pos.groupBy(label).agg(F.min("_i").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    ranked = pos.join(F.broadcast(bounds), label).withColumn("_r", F.col("_i") - F.col("_start"))
+    ranked = pos.join(bounds, label).withColumn("_r", F.col("_i") - F.col("_start"))
     mid = ranked.where((F.col("_r") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_r") == F.floor(F.col("_n") / 2)))
     return mid.groupBy(label).agg(F.avg("_v").alias("median"))
 
 
 def distribution_summary(samples: DataFrame, value: str = "value", label: str = "label") -> DataFrame:
-    """Per label: n, mean, exact median, population sd, min, max."""
+    """Per label, over its values that are not null: n, mean, exact median, population sd, min, max."""
     moments = samples.groupBy(label).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"),
+        F.count(value).alias("n"), F.avg(value).alias("mean"),
         F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
     return moments.join(exact_median(samples, value, label), label)
 
 
 def histogram(samples: DataFrame, value: str = "value", label: str = "label", bins: int = 20) -> DataFrame:
     """Per label, ``bins`` equal bins over the label's own min..max, as density
-    (count / (n * width)); the maximum falls in the last bin."""
-    from penprint.functions.columns import capped_bucket
-    rng = samples.groupBy(label).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-                                     F.count(F.lit(1)).alias("_n"))
-    j = samples.join(F.broadcast(rng), label)
-    b = j.select(label, "_lo", "_hi", "_n", capped_bucket(value, "_lo", "_hi", bins).alias("bin"))
+    (count / (n * width)); the maximum falls in the last bin; null values do not count."""
+    known = samples.where(F.col(value).isNotNull())
+    rng = known.groupBy(label).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+                                   F.count(F.lit(1)).alias("_n"))
+    b = known.join(rng, label).select(label, "_lo", "_hi", "_n", capped_bucket(value, "_lo", "_hi", bins).alias("bin"))
     counts = b.groupBy(label, "bin", "_lo", "_hi", "_n").agg(F.count(F.lit(1)).alias("count"))
     width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / F.lit(bins)).otherwise(F.lit(1.0 / bins))
     return counts.select(label, "bin", "count", (F.col("count") / (F.col("_n") * width)).alias("density"))
 
 
+def threshold_shares(counted: DataFrame) -> DataFrame:
+    """The share of matches on either side of a threshold, from its four counts."""
+    share = lambda side: F.try_divide(F.col(f"n_match_{side}"), F.col(f"n_match_{side}")
+                                      + F.col(f"n_mismatch_{side}")).cast("double").alias(f"match_share_{side}")
+    return counted.select("*", share("above"), share("below"))
+
+
 def threshold_precision(samples: DataFrame, threshold: float, value: str = "value", label: str = "label") -> DataFrame:
-    """Among samples above / below a threshold, the share that are matches."""
-    above = F.col(value) > F.lit(threshold)
-    return samples.agg(
+    """Among samples strictly above / strictly below a threshold, the share that are matches."""
+    above, below = F.col(value) > F.lit(threshold), F.col(value) < F.lit(threshold)
+    return threshold_shares(samples.agg(
         F.count_if(above & (F.col(label) == 1)).alias("n_match_above"),
         F.count_if(above & (F.col(label) == 0)).alias("n_mismatch_above"),
-        F.count_if(~above & (F.col(label) == 1)).alias("n_match_below"),
-        F.count_if(~above & (F.col(label) == 0)).alias("n_mismatch_below"),
-    ).select("*",
-             F.try_divide(F.col("n_match_above"), F.col("n_match_above") + F.col("n_mismatch_above"))
-             .cast("double").alias("match_share_above"),
-             F.try_divide(F.col("n_match_below"), F.col("n_match_below") + F.col("n_mismatch_below"))
-             .cast("double").alias("match_share_below"))
+        F.count_if(below & (F.col(label) == 1)).alias("n_match_below"),
+        F.count_if(below & (F.col(label) == 0)).alias("n_mismatch_below")))

@@ -39,6 +39,11 @@ def with_dense_index(df: DataFrame, order: list[Column | str], name: str = "idx"
             .drop("_pid", "_local", "_off"))
 
 
+def at_index(indexed: DataFrame, n: int, idx: str = "idx") -> DataFrame:
+    """The row at position n of a dense index."""
+    return indexed.where(F.col(idx) == n)
+
+
 def following_pairs(indexed: DataFrame, key: str, idx: str = "idx", ahead: int = 4) -> DataFrame:
     """Each position i with positions i+1 .. i+ahead (when they exist).
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penprint.functions.columns import capped_bucket
+from penprint.operators.indexing import derangement_pairs
+from penprint.operators.personas import with_arm
 
 # Fixed values of the reference's learners.
 GBT_TREES = 100
@@ -30,13 +32,23 @@ def labelled_pairs(authors: DataFrame, deranged: DataFrame, author: str = "autho
     return same.unionByName(other)
 
 
+def arm_pairs(authors: DataFrame, arms: tuple[str, ...] = ("train", "val"), author: str = "author") -> DataFrame:
+    """J12 + U4 inside each arm: (author_a, author_b, label, arm). Both authors of a pair are in its arm."""
+    armed = with_arm(authors.select(F.col(author).alias("author")).distinct())
+    out = None
+    for arm in arms:
+        own = armed.where(F.col("arm") == arm).select("author")
+        pairs = labelled_pairs(own, derangement_pairs(own, "author")).withColumn("arm", F.lit(arm))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
 def concat_features(freq_long: DataFrame, pairs: DataFrame, k: int, value: str = "log_freq") -> DataFrame:
     """M1 + M2: [logfreq(persona 0 of a) ; logfreq(persona 1 of b)], width 2k, long form."""
     left = freq_long.where(F.col("slot") == 0).select(F.col("author").alias("author_a"), "rank", F.col(value).alias("v"))
     right = freq_long.where(F.col("slot") == 1).select(F.col("author").alias("author_b"), "rank", F.col(value).alias("v"))
-    a = pairs.join(left, "author_a").select("author_a", "author_b", "label", F.col("rank").alias("pos"),
-                                            F.col("v").alias("value"))
-    b = pairs.join(right, "author_b").select("author_a", "author_b", "label", (F.col("rank") + F.lit(k)).alias("pos"),
+    a = pairs.join(left, "author_a").select(*pairs.columns, F.col("rank").alias("pos"), F.col("v").alias("value"))
+    b = pairs.join(right, "author_b").select(*pairs.columns, (F.col("rank") + F.lit(k)).alias("pos"),
                                              F.col("v").alias("value"))
     return a.unionByName(b)
 
@@ -50,43 +62,30 @@ def weighted_features(freq_long: DataFrame, pairs: DataFrame) -> DataFrame:
                                                    F.col("n").alias("_n"), F.col("n_in_set").alias("_tot"))
     j = pairs.join(m, "author_a").join(o, ["author_b", "rank"])
     val = F.when(F.col("_tot") == 0, F.lit(0.0)).otherwise(F.col("_lf") * F.col("_n") / F.col("_tot"))
-    return j.select("author_a", "author_b", "label", F.col("rank").alias("pos"), val.alias("value"))
+    return j.select(*pairs.columns, F.col("rank").alias("pos"), val.alias("value"))
 
 
 def to_vectors(long: DataFrame) -> DataFrame:
     """Long features -> (author_a, author_b, label, features: ml Vector); width bounded by the set size."""
     arr = F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"].cast("double"))
-    g = long.groupBy("author_a", "author_b", "label").agg(arr.alias("_f"))
-    return g.select("author_a", "author_b", F.col("label").cast("double").alias("label"),
-                    array_to_vector("_f").alias("features"))
+    keys = [c for c in long.columns if c not in ("pos", "value")]
+    g = long.groupBy(*keys).agg(arr.alias("_f"))
+    return g.withColumn("label", F.col("label").cast("double")).withColumn("features", array_to_vector("_f")).drop("_f")
 
 
-def accuracy(pred: DataFrame) -> DataFrame:
-    return pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
-                    F.count(F.lit(1)).alias("n"))
+def accuracy(pred: DataFrame) -> float:
+    return pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
 
 
-def logistic_regression(train: DataFrame, validation: DataFrame) -> DataFrame:
-    """M4: L2 logistic regression (C = 1 -> regParam = 1 / n), no standardisation; accuracies."""
-    n = train.count()
-    lr = LogisticRegression(maxIter=LR_MAX_ITER, regParam=1.0 / max(n, 1), elasticNetParam=0.0,
-                            standardization=False)
-    model = lr.fit(train)
-    tr = accuracy(model.transform(train)).withColumn("split", F.lit("train"))
-    va = accuracy(model.transform(validation)).withColumn("split", F.lit("validation"))
-    return tr.unionByName(va)
+def logistic_regression(train: DataFrame):
+    """M4: L2 logistic regression (C = 1 -> regParam = 1 / n), no standardisation."""
+    return LogisticRegression(maxIter=LR_MAX_ITER, regParam=1.0 / max(train.count(), 1), elasticNetParam=0.0,
+                              standardization=False).fit(train)
 
 
-def boosted_trees(train: DataFrame, validation: DataFrame, depths=(2, 3, 4)) -> DataFrame:
-    """M5: gradient-boosted trees, 100 trees, depths 2/3/4, step 0.1, seed 42; accuracies."""
-    out = None
-    for d in depths:
-        model = GBTClassifier(maxIter=GBT_TREES, maxDepth=d, stepSize=GBT_STEP, seed=GBT_SEED).fit(train)
-        rows = (accuracy(model.transform(train)).withColumn("split", F.lit("train"))
-                .unionByName(accuracy(model.transform(validation)).withColumn("split", F.lit("validation")))
-                .withColumn("max_depth", F.lit(d)))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def boosted_trees(train: DataFrame, depth: int):
+    """M5: gradient-boosted trees, 100 trees, step 0.1, seed 42."""
+    return GBTClassifier(maxIter=GBT_TREES, maxDepth=depth, stepSize=GBT_STEP, seed=GBT_SEED).fit(train)
 
 
 def pca_scores(data: DataFrame, k: int = 3, top: int = 5) -> tuple[DataFrame, list[float]]:
@@ -105,7 +104,7 @@ def hist2d(x_y: DataFrame, keys: list[str], bins: int = 30) -> DataFrame:
     """Bins x bins counts of (x, y) per key, each axis over its own min..max."""
     rng = x_y.groupBy(*keys).agg(F.min("x").alias("_xl"), F.max("x").alias("_xh"),
                                  F.min("y").alias("_yl"), F.max("y").alias("_yh"))
-    j = x_y.join(F.broadcast(rng), keys) if len(keys) else x_y
+    j = x_y.join(rng, keys)
     b = j.select(*keys, capped_bucket("x", "_xl", "_xh", bins).alias("bx"),
                  capped_bucket("y", "_yl", "_yh", bins).alias("by"))
     return b.groupBy(*keys, "bx", "by").agg(F.count(F.lit(1)).alias("count"))

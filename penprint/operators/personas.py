@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from penprint.functions.columns import arm_of, sha256_mod_100
 
-DOC_KINDS = {"submission": 0, "comment": 1}
-
-
 def personas_from_selection(selection: DataFrame) -> DataFrame:
     """(author, subreddit_0, subreddit_1) -> (author, slot, subreddit), two rows per author."""
     return selection.select("author", F.posexplode(F.array("subreddit_0", "subreddit_1")).alias("slot", "subreddit")) \
@@ -103,13 +100,24 @@ def with_arm(df: DataFrame, name: str = "author") -> DataFrame:
 def persona_pairs(persona_rows: DataFrame, author: str = "author", slot: str = "slot",
                   value: str = "embedding") -> DataFrame:
     """M8: one row per author with the persona-0 and persona-1 values; every author
-    must have exactly the two slots 0 and 1, otherwise an error."""
+    must have exactly the two slots 0 and 1, otherwise the job fails."""
     agg = persona_rows.groupBy(author).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count_if(F.col(slot) == 0).alias("_n0"), F.count_if(F.col(slot) == 1).alias("_n1"),
         F.max(F.when(F.col(slot) == 0, F.col(value))).alias(f"{value}_0"),
         F.max(F.when(F.col(slot) == 1, F.col(value))).alias(f"{value}_1"))
-    bad = agg.where((F.col("_n") != 2) | (F.col("_n0") != 1) | (F.col("_n1") != 1)).select(author).limit(3).collect()
-    if bad:
-        raise ValueError(f"authors without exactly two personas (slots 0 and 1): {[r[0] for r in bad]}")
-    return agg.select(author, f"{value}_0", f"{value}_1")
+    wrong = (F.col("_n") != 2) | (F.col("_n0") != 1) | (F.col("_n1") != 1)
+    message = F.concat(F.lit("author without exactly two personas (slots 0 and 1): "), F.col(author).cast("string"))
+    return agg.select(F.when(wrong, F.raise_error(message)).otherwise(F.col(author)).alias(author),
+                      f"{value}_0", f"{value}_1")
+
+
+def group_documents(documents: DataFrame, order: str | None = None) -> DataFrame:
+    """A8, inference side: (entity, persona, texts in order). ``order`` is a column; the default is file order.
+
+    An export form like the nested record: scoring works on the flat rows.
+    """
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    rows = documents.select("entity", "persona", place.alias("_order"), "text")
+    return rows.groupBy("entity", "persona").agg(F.sort_array(F.collect_list(F.struct("_order", "text"))).alias("_t")) \
+        .select("entity", "persona", F.transform("_t", lambda x: x["text"]).alias("texts"))

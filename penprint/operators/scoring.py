@@ -1,19 +1,23 @@
-"""Pair scoring.
-
-A scorer is two DataFrame functions: a per-persona table (prepare) and a
-per-pair expression over two rows of that table (score). Pairs are joined to
-the persona table twice on equi keys; a hot persona named by many pairs is a
-skewed join key, which adaptive execution splits (the persona side has one row
-per key, so splitting the pair side is cheap).
+"""Pair scoring.
+
+A scorer prepares one table and scores pairs by equi joins with it. The
+log-likelihood scorer stays sparse: a pair meets the tokens its observed
+persona has, each looks up the model persona's count, and one grouped sum per
+pair gives the score, so no vector as wide as the token set travels with a
+pair. A hot persona named by many pairs is a skewed join key, which adaptive
+execution splits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penprint.functions.columns import cosine
 from penprint.operators import tokens as tok
+from penprint.operators import vectors
 from penprint.sources.readers import validate_documents, validate_pairs
 from penprint.sources.schemas import PAIR_COLUMNS
 
@@ -35,58 +39,59 @@ def check_known_personas(pairs: DataFrame, personas: DataFrame) -> None:
         raise KeyError(f"pairs name personas without documents: {[tuple(r) for r in unknown]}")
 
 
-def log_likelihood_personas(documents: DataFrame, model_tokens: DataFrame, tokenizer=None,
-                            counts: DataFrame | None = None) -> tuple[DataFrame, int]:
-    """Prepare step of the log-likelihood scorer: one row per persona with its
-    dense in-set count vector and its total token count."""
-    docs = validate_documents(documents)
-    if counts is None:
-        counts = tok.token_counts(docs.where(F.col("entity").isNotNull() & F.col("persona").isNotNull()),
-                                  PERSONA_KEYS, "text", tokenizer)
-    tset, k = tok.token_set(model_tokens)
-    personas = docs.select(*PERSONA_KEYS).where(F.col("entity").isNotNull() & F.col("persona").isNotNull())
-    return tok.persona_vectors(counts, tset, k, PERSONA_KEYS, personas), k
-
-
-def log_likelihood(model_counts: Column, model_total: Column, obs_counts: Column, k: int) -> Column:
-    """Mean smoothed log2 frequency under the model persona of the observed in-set tokens.
-
-    sum_t obs(t) * [log2(c(t) + .5) - log2(N + (k + 1) / 2)] / sum_t obs(t), and 0 when
-    the observation has no in-set token. N is every token of the model persona,
-    so the excluded bucket is included.
-    """
-    n_obs = F.aggregate(obs_counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    weighted = F.aggregate(F.zip_with(obs_counts, model_counts,
-                                      lambda o, c: o.cast("double") * F.log2(c.cast("double") + F.lit(0.5))),
-                           F.lit(0.0), lambda a, x: a + x)
-    norm = F.log2(model_total.cast("double") + F.lit((k + 1) / 2.0))
-    return F.when(n_obs == 0, F.lit(0.0)).otherwise(weighted / n_obs.cast("double") - norm)
+def document_counts(documents: DataFrame, tokenizer=None) -> tuple[DataFrame, DataFrame]:
+    """Prepare step: (personas with documents, their token counts)."""
+    docs = validate_documents(documents).where(F.col("entity").isNotNull() & F.col("persona").isNotNull())
+    return docs.select(*PERSONA_KEYS).distinct(), tok.token_counts(docs, PERSONA_KEYS, "text", tokenizer)
 
 
-def _unknown_guard(value: Column, left: str, right: str) -> Column:
+def _unknown_guard(value: Column, known: Column) -> Column:
     """Fail the job when a pair names a persona that has no row (checked while scoring,
     so it costs no extra pass over the pairs)."""
     msg = F.concat(F.lit("pair names a persona without documents: "),
                    F.concat_ws("/", *[F.coalesce(F.col(c), F.lit("null")) for c in PAIR_COLUMNS]))
-    return F.when(F.col(left).isNull() | F.col(right).isNull(), F.raise_error(msg)).otherwise(value)
+    return F.when(known, value).otherwise(F.raise_error(msg))
 
 
-def score_log_likelihood(personas: DataFrame, k: int, pairs: DataFrame, check: str = "lazy") -> DataFrame:
+def pair_log_likelihood(pairs: DataFrame, model: list[str], observed: list[str], personas: DataFrame,
+                        counts: DataFrame, tset: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """A16 for every row of ``pairs`` (a row id included): its columns, ``score``, ``_known``.
+
+    sum_t obs(t) * [log2(c(t) + .5) - log2(N + (k + 1) / 2)] / sum_t obs(t), and 0 when
+    the observation has no in-set token. N is every token of the model persona, so the
+    excluded bucket is included. ``model`` and ``observed`` name the pair columns that
+    hold the two personas' ``keys``.
+    """
+    inset = tok.in_set_counts(counts, tset).select(*keys, "token", "n")
+    totals = personas.join(counts.groupBy(*keys).agg(F.sum("n").alias("_total")), keys, "left")
+    named = lambda df, cols: df.select(*[F.col(a).alias(b) for a, b in zip(keys, cols, strict=True)],
+                                       *[c for c in df.columns if c not in keys])
+    seen = personas.join(inset, keys, "left").select(*keys, F.lit(True).alias("_o"), "token", F.col("n").alias("_obs"))
+    rows = (pairs.join(named(seen, observed), observed, "left")
+            .join(named(totals.withColumn("_m", F.lit(True)), model), model, "left")
+            .join(named(inset.withColumnRenamed("n", "_c"), model), [*model, "token"], "left"))
+    weighted = F.col("_obs") * F.log2(F.coalesce(F.col("_c"), F.lit(0)).cast("double") + F.lit(0.5))
+    summed = rows.groupBy(*pairs.columns, "_total", "_m", "_o").agg(F.sum(weighted).alias("_w"), F.sum("_obs").alias("_n"))
+    norm = F.log2(F.coalesce(F.col("_total"), F.lit(0)).cast("double") + F.lit((k + 1) / 2.0))
+    score = F.when(F.col("_n").isNull(), F.lit(0.0)).otherwise(F.col("_w") / F.col("_n") - norm)
+    return summed.select(*pairs.columns, score.alias("score"),
+                         (F.col("_m").isNotNull() & F.col("_o").isNotNull()).alias("_known"))
+
+
+def score_log_likelihood(personas: DataFrame, counts: DataFrame, model_tokens: DataFrame, pairs: DataFrame,
+                         check: str = "lazy") -> DataFrame:
     """J10 + A16: entity1/persona1 is the model persona, entity2/persona2 the observation.
 
     ``check='lazy'`` fails the scoring job itself on an unknown persona;
     ``'eager'`` runs an anti-join first and raises KeyError before scoring.
     """
-    numbered = number_pairs(pairs)
+    numbered = number_pairs(pairs).select("pair_id", *PAIR_COLUMNS)
     if check == "eager":
         check_known_personas(numbered, personas)
-    m = personas.select(F.col("entity").alias("entity1"), F.col("persona").alias("persona1"),
-                        F.col("counts").alias("_mc"), F.col("n_total").alias("_mn"))
-    o = personas.select(F.col("entity").alias("entity2"), F.col("persona").alias("persona2"),
-                        F.col("counts").alias("_oc"))
-    joined = numbered.join(m, ["entity1", "persona1"], "left").join(o, ["entity2", "persona2"], "left")
-    score = log_likelihood(F.col("_mc"), F.col("_mn"), F.col("_oc"), k)
-    return joined.select("pair_id", *PAIR_COLUMNS, _unknown_guard(score, "_mc", "_oc").alias("match_score"))
+    tset, k = tok.token_set(model_tokens)
+    scored = pair_log_likelihood(numbered, ["entity1", "persona1"], ["entity2", "persona2"], personas, counts, tset, k,
+                                 PERSONA_KEYS)
+    return scored.select("pair_id", *PAIR_COLUMNS, _unknown_guard(F.col("score"), F.col("_known")).alias("match_score"))
 
 
 def score_embedding(persona_embeddings: DataFrame, pairs: DataFrame, check: str = "lazy") -> DataFrame:
@@ -102,17 +107,32 @@ def score_embedding(persona_embeddings: DataFrame, pairs: DataFrame, check: str
     b = persona_embeddings.select(F.col("entity").alias("entity2"), F.col("persona").alias("persona2"),
                                   F.col("embedding").alias("_b"))
     joined = numbered.join(a, ["entity1", "persona1"], "left").join(b, ["entity2", "persona2"], "left")
-    return joined.select("pair_id", *PAIR_COLUMNS, _unknown_guard(cosine("_a", "_b"), "_a", "_b").alias("match_score"))
+    return joined.select("pair_id", *PAIR_COLUMNS, _unknown_guard(
+        cosine("_a", "_b"), F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("match_score"))
+
+
+def embedding_personas(documents: DataFrame, embedder: str | Callable | None = None, dim: int = vectors.HASH_DIM,
+                       layers: list | None = None, cache: DataFrame | None = None) -> DataFrame:
+    """Prepare step of the embedding scorer: (entity, persona, embedding), projected if ``layers`` are given.
+
+    J13: a persona found in ``cache`` (entity, persona, embedding before the projection) is not embedded again.
+    """
+    docs = validate_documents(documents).where(F.col("entity").isNotNull() & F.col("persona").isNotNull())
+
+    def compute(rows: DataFrame) -> DataFrame:
+        return vectors.persona_embeddings(vectors.embed_texts(rows, PERSONA_KEYS, "text", embedder, dim), PERSONA_KEYS, dim)
+
+    means = compute(docs) if cache is None else vectors.cached_or_computed(docs, cache, PERSONA_KEYS, compute)
+    return vectors.project(means, layers) if layers else means
 
 
 def run_inference(model_type: str, documents: DataFrame, pairs: DataFrame, model_tokens: DataFrame | None = None,
-                  embed=None, tokenizer=None, check: str = "lazy") -> DataFrame:
+                  tokenizer=None, check: str = "lazy", embedder: str | Callable | None = None,
+                  dim: int = vectors.HASH_DIM, layers: list | None = None, cache: DataFrame | None = None) -> DataFrame:
     """M9: pick the scorer by model type and score every pair (order and duplicates kept)."""
     if model_type == "LOG_LIKELIHOOD_MODEL":
-        personas, k = log_likelihood_personas(documents, model_tokens, tokenizer)
-        return score_log_likelihood(personas, k, pairs, check)
+        personas, counts = document_counts(documents, tokenizer)
+        return score_log_likelihood(personas, counts, model_tokens, pairs, check)
     if model_type == "EMBEDDING_MODEL":
-        if embed is None:
-            raise ValueError("an embedding model needs an embed function (documents -> persona embeddings)")
-        return score_embedding(embed(validate_documents(documents)), pairs, check)
+        return score_embedding(embedding_personas(documents, embedder, dim, layers, cache), pairs, check)
     raise ValueError(f"unknown model type {model_type!r}")

@@ -1,21 +1,19 @@
 """Token statistics.
 
 Counts are kept as a long table (keys..., token, n) so that every later step
-is a join or an aggregate. A persona's counts over a fixed token set become a
-dense ARRAY<BIGINT> in token-rank order only when a vector is needed; the set
-size is a model parameter, so that array is bounded.
+is a join or an aggregate, without hints and without a limit on the token set.
+A persona's counts over a token set become a dense ARRAY<BIGINT> in token-rank
+order only when a vector is needed, in time linear in the set's size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penprint.functions.columns import (safe_freq, smoothed_log2_freq, tokens as token_array,
                                         wilson_bounds)
-
-# Largest token set that is broadcast to the tasks (a model parameter, not data).
-MAX_TOKEN_SET = 200_000
+from penprint.operators.indexing import with_dense_index
 
 
 def explode_tokens(segments: DataFrame, keys: list[str], text: str = "text",
@@ -36,9 +34,14 @@ def token_counts(segments: DataFrame, keys: list[str], text: str = "text", token
             .groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n")))
 
 
-def token_totals(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Total tokens per key (in set and excluded)."""
-    return counts.groupBy(*keys).agg(F.sum("n").alias("n_total"))
+def roll_up(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """A12 from A11: counts per coarser key, without tokenizing again."""
+    return counts.groupBy(*keys, "token").agg(F.sum("n").alias("n"))
+
+
+def with_token_text(ids: DataFrame, vocabulary: DataFrame, token_id: str = "token_id") -> DataFrame:
+    """the text of each token id, from a vocabulary table (token_id, token); null for an unknown id."""
+    return ids.join(vocabulary.select(F.col("token_id").alias(token_id), "token"), token_id, "left")
 
 
 def token_frequencies(counts: DataFrame, author_keys: list[str], top_k: int | None = None,
@@ -54,41 +57,47 @@ def token_frequencies(counts: DataFrame, author_keys: list[str], top_k: int | No
                                                 F.count(F.lit(1)).alias("n_authors"))
     kept = per_token.where(F.col("n_authors") >= min_authors)
     order = [F.col("n").desc(), F.col("token").asc()]
-    if top_k is not None and top_k <= MAX_TOKEN_SET:
-        top = kept.orderBy(*order).limit(top_k)  # TakeOrderedAndProject: per-partition top-k, then merge
-        return top.withColumn("rank", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
-    from penprint.operators.indexing import with_dense_index
     ranked = with_dense_index(kept, order, name="rank").withColumn("rank", F.col("rank").cast("int"))
     return ranked.where(F.col("rank") < top_k) if top_k is not None else ranked
 
 
 def token_set(tokens: DataFrame) -> tuple[DataFrame, int]:
-    """Distinct tokens of a set with their first rank, and the set size.
+    """Distinct tokens of a set with dense ranks in order of their first rank, and the set size.
 
     Duplicate tokens in the set collapse onto their first position.
     """
-    distinct = tokens.groupBy("token").agg(F.min("rank").alias("rank"))
-    k = distinct.count()
-    if k > MAX_TOKEN_SET:
-        raise ValueError(f"token set of {k} exceeds {MAX_TOKEN_SET}; it is broadcast to every task")
-    dense = distinct.withColumn("rank", (F.row_number().over(Window.orderBy("rank")) - 1).cast("int"))
-    return dense, k
+    distinct = tokens.groupBy("token").agg(F.min("rank").alias("first"))
+    dense = with_dense_index(distinct, ["first", "token"], name="rank").select("token", F.col("rank").cast("int").alias("rank"))
+    return dense, dense.count()
 
 
 def in_set_counts(counts: DataFrame, tset: DataFrame) -> DataFrame:
-    """Counts restricted to the token set: (keys..., token, rank, n). Set is broadcast (size-checked)."""
-    return counts.join(F.broadcast(tset.select("token", "rank")), "token")
+    """Counts restricted to the token set: (keys..., token, rank, n)."""
+    return counts.join(tset.select("token", "rank"), "token")
 
 
 def persona_totals(counts: DataFrame, tset: DataFrame, keys: list[str]) -> DataFrame:
     """n_total, n_in_set, n_excluded per persona (one pass, no join)."""
-    flagged = counts.join(F.broadcast(tset.select("token", F.lit(True).alias("_in"))), "token", "left")
+    flagged = counts.join(tset.select("token", F.lit(True).alias("_in")), "token", "left")
     return flagged.groupBy(*keys).agg(
         F.sum("n").alias("n_total"),
         F.sum(F.when(F.col("_in"), F.col("n")).otherwise(F.lit(0))).alias("n_in_set")).withColumn(
         "n_excluded", F.col("n_total") - F.col("n_in_set"))
 
 
+def dense_array(entries: Column, position: str, value: str, size: int, zero: Column) -> Column:
+    """Sorted (position, value) structs as an array of ``size`` values, ``zero`` where there is no entry.
+
+    Each entry brings the gap in front of it, so the work is linear in ``size``.
+    """
+    before = lambda i: F.coalesce(F.get(entries, i - 1)[position], F.lit(-1))
+    filled = F.flatten(F.transform(entries, lambda e, i: F.concat(F.array_repeat(zero, e[position] - before(i) - 1),
+                                                                   F.array(e[value]))))
+    last = F.element_at(entries, -1)[position]
+    return F.when(entries.isNull(), F.array_repeat(zero, size)).otherwise(
+        F.concat(filled, F.array_repeat(zero, F.lit(size - 1) - last)))
+
+
 def persona_vectors(counts: DataFrame, tset: DataFrame, k: int, keys: list[str],
                     personas: DataFrame | None = None) -> DataFrame:
     """Per persona, ARRAY<BIGINT> of k counts in token-rank order (zero-filled),
@@ -96,14 +105,12 @@ def persona_vectors(counts: DataFrame, tset: DataFrame, k: int, keys: list[str],
     when they have no tokens at all (their vector is all zeros).
     """
     inset = in_set_counts(counts, tset)
-    sparse = inset.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "n"))).alias("_m"))
+    sparse = inset.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "n"))).alias("_s"))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("n_total"))
     base = totals if personas is None else personas.select(*keys).distinct().join(totals, keys, "left")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
-                        lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0).cast("bigint")))
     out = base.join(sparse, keys, "left").select(
         *keys, F.coalesce(F.col("n_total"), F.lit(0).cast("bigint")).alias("n_total"),
-        F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0).cast("bigint"), k)).otherwise(dense).alias("counts"))
+        dense_array(F.col("_s"), "rank", "n", k, F.lit(0).cast("bigint")).alias("counts"))
     n_in = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return out.withColumn("n_in_set", n_in).withColumn("n_excluded", F.col("n_total") - F.col("n_in_set"))
 
@@ -117,7 +124,7 @@ def persona_token_freq(counts: DataFrame, tset: DataFrame, k: int, keys: list[st
     """
     vec = persona_vectors(counts, tset, k, keys, personas)
     filled = (vec.select(*keys, "n_in_set", "n_excluded", F.posexplode("counts").alias("rank", "n"))
-              .join(F.broadcast(tset.select("token", "rank")), "rank"))
+              .join(tset.select("token", "rank"), "rank"))
     return filled.select(*keys, "rank", "token", "n", "n_in_set", "n_excluded",
                          safe_freq("n", "n_in_set").alias("freq"),
                          safe_freq("n", F.col("n_in_set") + F.col("n_excluded")).alias("freq_with_excluded"))
@@ -146,7 +153,3 @@ def authors_with_enough_tokens(counts: DataFrame, tset: DataFrame, author: str,
 def first_k_tokens_of_ranking(ranked: DataFrame, start: int, end: int) -> DataFrame:
     """Tokens from position ``start`` (inclusive) to ``end`` (exclusive) of a ranking."""
     return ranked.where((F.col("rank") >= start) & (F.col("rank") < end))
-
-
-def segment_column(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c

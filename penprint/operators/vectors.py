@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,43 +36,55 @@ def hash_bucket(token: Column, dim: int) -> Column:
     return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint") % F.lit(dim)).cast("int")
 
 
-def hashing_embedding_sparse(docs: DataFrame, keys: list[str], text: str = "text", dim: int = HASH_DIM) -> DataFrame:
-    """Default offline embedder, all JVM side: token counts hashed into ``dim``
-    buckets, L2-normalised. Sparse long form (keys..., pos, value)."""
-    exploded = docs.select(*keys, F.explode(token_array(F.col(text))).alias("token"))
-    counts = exploded.groupBy(*keys, hash_bucket(F.col("token"), dim).alias("pos")).agg(
-        F.count(F.lit(1)).alias("c"))
-    norms = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("_norm"))
-    return counts.join(norms, keys).select(*keys, "pos", (F.col("c") / F.col("_norm")).alias("value"))
+def hashing_embedding(text: Column, dim: int = HASH_DIM) -> Column:
+    """Default offline embedder, all JVM side and within the row: tokens counted in ``dim``
+    hash buckets, L2-normalised; zeros for a text without tokens."""
+    buckets = F.transform(token_array(text), lambda t: hash_bucket(t, dim))
 
+    def counted(b: Column) -> Column:
+        counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(b) - F.size(F.array_remove(b, d)))
+        return F.transform(F.array(counts), lambda c: F.transform(F.array(F.sqrt(F.aggregate(
+            c, F.lit(0.0), lambda a, x: a + x * x))), lambda norm: F.transform(
+                c, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0))))[0])[0]
 
-def dense_from_sparse(sparse: DataFrame, keys: list[str], dim: int, value: str = "value") -> DataFrame:
-    """(keys, pos, value) -> (keys, embedding ARRAY<FLOAT>[dim]); the group is bounded by dim."""
-    m = sparse.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", value))).alias("_m"))
-    arr = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)).cast("float"))
-    return m.select(*keys, arr.alias("embedding"))
+    return F.transform(F.array(buckets), counted)[0]
+
+
+# Fixed value: the task description that an instruction-tuned embedding model was asked with.
+INSTRUCTION = (
+    "Generate an embedding that captures the distinctive writing style, linguistic patterns, and authorial "
+    "voice of this text for the purpose of identifying and attributing authorship. Focus on stylistic features "
+    "such as vocabulary choice, sentence structure, tone, rhetorical patterns, and other linguistic "
+    "fingerprints that are characteristic of the author's writing style.")
+# what each named model wants in front of a text.
+PREFIXES = {"hashing": "", "nomic": "", "e5": "passage: ",
+            "e5-multilingual-large-instruct": f"Instruct: {INSTRUCTION}\nQuery: "}
+# Encoders by name, texts -> float32 [n, d]; models are registered by whoever has their weights.
+EMBEDDERS: dict[str, Callable[[list[str]], np.ndarray]] = {}
 
 
 def embed_texts(docs: DataFrame, keys: list[str], text: str = "text",
-                embedder: Callable[[list[str]], np.ndarray] | None = None, dim: int = HASH_DIM,
-                prefix: str = "") -> DataFrame:
-    """One embedding per text. ``embedder`` is any function from a list of
-    texts to a float32 [n, d] array (a neural model loaded once per Python
-    worker); it runs over Arrow batches with ``mapInPandas``. Without one, the
-    JVM-side hashing embedder is used. ``prefix`` is prepended to every text
-    (model-specific prefixes such as "passage: ")."""
+                embedder: str | Callable[[list[str]], np.ndarray] | None = None, dim: int = HASH_DIM) -> DataFrame:
+    """One embedding per row: (keys..., embedding); rows of equal keys stay apart.
+
+    ``embedder`` is a function from texts to a float32 [n, d] array (a neural
+    model loaded once per Python worker), run over Arrow batches, or the name
+    of one in EMBEDDERS, whose prefix from PREFIXES is put before every text.
+    None, or a known name without a registered model, uses the JVM-side hashing embedder.
+    """
+    if isinstance(embedder, str) and embedder not in PREFIXES and embedder not in EMBEDDERS:
+        raise ValueError(f"unknown embedder {embedder!r}")
+    prefix = PREFIXES.get(embedder, "") if isinstance(embedder, str) else ""
+    run_model = EMBEDDERS.get(embedder) if isinstance(embedder, str) else embedder
     src = docs.select(*keys, F.concat(F.lit(prefix), F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    if embedder is None:
-        return dense_from_sparse(hashing_embedding_sparse(src, keys, "_t", dim), keys, dim).join(
-            src.select(*keys), keys, "right").select(
-            *keys, F.coalesce(F.col("embedding"), F.array_repeat(F.lit(0.0).cast("float"), dim)).alias("embedding"))
+    if run_model is None:
+        return src.select(*keys, hashing_embedding(F.col("_t"), dim).alias("embedding"))
     key_fields = [f for f in src.schema.fields if f.name in keys]
     schema = T.StructType(key_fields + [T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(batches):
         for pdf in batches:
-            vecs = np.asarray(embedder(pdf["_t"].tolist()), dtype=np.float32)
+            vecs = np.asarray(run_model(pdf["_t"].tolist()), dtype=np.float32)
             out = pdf[keys].copy()
             out["embedding"] = list(vecs)
             yield out
@@ -90,20 +103,19 @@ def mean_embedding(vectors: DataFrame, keys: list[str], embedding: str = "embedd
     return long.groupBy(*keys, "pos").agg(F.avg(F.col("x").cast("double")).alias("value"))
 
 
-def persona_embeddings(doc_vectors: DataFrame, personas: DataFrame, keys: list[str], dim: int,
-                       embedding: str = "embedding") -> DataFrame:
-    """E2 "average posts": mean of a persona's document vectors; zeros for a persona without text."""
-    means = dense_from_sparse(mean_embedding(doc_vectors, keys, embedding), keys, dim)
-    return personas.select(*keys).distinct().join(means, keys, "left").select(
-        *keys, F.coalesce(F.col("embedding"), F.array_repeat(F.lit(0.0).cast("float"), dim)).alias("embedding"))
+def persona_embeddings(doc_vectors: DataFrame, keys: list[str], dim: int, embedding: str = "embedding") -> DataFrame:
+    """E2 "average posts": mean of a persona's document vectors, one aggregate (combined map-side)."""
+    return doc_vectors.groupBy(*keys).agg(F.array(*[F.avg(F.get(F.col(embedding), F.lit(i)).cast("double"))
+                                                    for i in range(dim)]).alias("embedding"))
 
 
 def cached_or_computed(requested: DataFrame, cache: DataFrame, keys: list[str],
                        compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Take the precomputed embedding when present, compute only the rest."""
-    hit = requested.select(*keys).join(cache.select(*keys, "embedding"), keys)
+    known = cache.select(*keys, F.col("embedding").cast("array<double>").alias("embedding"))
+    hit = known.join(requested.select(*keys), keys, "left_semi")
     miss = requested.join(cache.select(*keys), keys, "left_anti")
-    return hit.unionByName(compute(miss).select(*keys, "embedding"))
+    return hit.unionByName(compute(miss).select(*keys, F.col("embedding").cast("array<double>").alias("embedding")))
 
 
 # ---------------------------------------------------------------- M7: projection
@@ -133,49 +145,44 @@ def project(vectors: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], emb
 
 # ---------------------------------------------------------------- J9: all-pairs cosine
 
-def _cos_block(pdf: pd.DataFrame, with_ids: bool = False) -> pd.DataFrame:
+@dataclass
+class CosineBlock:
+    """The pairs of one block product, as flat arrays; a zero vector gives NaN."""
+
+    label: np.ndarray   # 1: two personas of one author
+    value: np.ndarray
+    left: np.ndarray    # row of the pair's first and second vector in ``frame``
+    right: np.ndarray
+    frame: pd.DataFrame
+
+
+def _block(pdf: pd.DataFrame) -> CosineBlock:
+    side = pdf["side"].to_numpy()
     diag = int(pdf["bi"].iat[0]) == int(pdf["bj"].iat[0])
-    a = pdf[pdf["side"] == 0]
-    b = a if diag else pdf[pdf["side"] == 1]
-    if a.empty or b.empty:
-        cols = {"label": pd.Series([], dtype="int32"), "value": pd.Series([], dtype="float64")}
-        if with_ids:
-            cols.update({"author_i": pd.Series([], dtype=object), "slot_i": pd.Series([], dtype="int32"),
-                         "author_j": pd.Series([], dtype=object), "slot_j": pd.Series([], dtype="int32")})
-        return pd.DataFrame(cols)
-    xa = np.stack([np.asarray(v, dtype=np.float64) for v in a["embedding"]])
-    xb = xa if diag else np.stack([np.asarray(v, dtype=np.float64) for v in b["embedding"]])
-    na, nb = np.linalg.norm(xa, axis=1), np.linalg.norm(xb, axis=1)
+    a = np.flatnonzero(side == 0)
+    b = a if diag else np.flatnonzero(side == 1)
+    x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
+    norm = np.linalg.norm(x, axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        sim = (xa @ xb.T) / np.outer(na, nb)
+        sim = (x[a] @ x[b].T) / np.outer(norm[a], norm[b])
     sim[~np.isfinite(sim)] = np.nan
-    if diag:
-        ii, jj = np.triu_indices(len(a), k=1)
-    else:
-        ii, jj = np.indices((len(a), len(b))).reshape(2, -1)
-    same = a["author"].to_numpy()[ii] == b["author"].to_numpy()[jj]
-    out = pd.DataFrame({"label": same.astype("int32"), "value": sim[ii, jj]})
-    if with_ids:
-        out["author_i"] = a["author"].to_numpy()[ii]
-        out["slot_i"] = a["slot"].to_numpy()[ii].astype("int32")
-        out["author_j"] = b["author"].to_numpy()[jj]
-        out["slot_j"] = b["slot"].to_numpy()[jj].astype("int32")
-    return out
+    ii, jj = np.triu_indices(len(a), k=1) if diag else np.indices((len(a), len(b))).reshape(2, -1)
+    names = pdf["author"].to_numpy()
+    left, right = a[ii], b[jj]
+    return CosineBlock((names[left] == names[right]).astype("int32"), sim[ii, jj], left, right, pdf)
 
 
-def cosine_all_pairs(vectors: DataFrame, author: str = "author", slot: str = "slot",
-                     block: int = COSINE_BLOCK, with_ids: bool = False) -> DataFrame:
-    """Cosine of every two persona vectors, label 1 for the two personas of
-    one author, 0 otherwise (n and 2n(n-1) values for n authors).
+def cosine_blocks(vectors: DataFrame, reduce: Callable[[CosineBlock], pd.DataFrame], schema: str,
+                  author: str = "author", slot: str = "slot", block: int = COSINE_BLOCK) -> DataFrame:
+    """Reduce every block of the all-pairs cosine matrix inside the task that computes it.
 
     Block grid: vectors are hashed into nb blocks; each vector is replicated
-    to the nb block pairs (I <= J) it takes part in; a block pair is one
-    matrix product of at most ``block`` x ``block`` vectors. Output is the
-    (label, value) stream, which callers aggregate in the same stage.
-    A zero vector gives a null value.
+    to the nb block pairs (I <= J) it takes part in; a block pair is one matrix
+    product of about ``block`` x ``block`` vectors. ``reduce`` sees the pairs
+    (label 1 for the two personas of one author) and returns a few rows, so the
+    pairs themselves are never written or shuffled.
     """
-    n = vectors.count()
-    nb = max(1, math.ceil(n / block))
+    nb = max(1, math.ceil(vectors.count() / block))
     v = vectors.select(F.col(author).cast("string").alias("author"), F.col(slot).cast("int").alias("slot"),
                        "embedding", F.pmod(F.xxhash64(author, slot), F.lit(nb)).cast("int").alias("blk"))
     left = v.select("author", "slot", "embedding", F.col("blk").alias("bi"),
@@ -183,11 +190,18 @@ def cosine_all_pairs(vectors: DataFrame, author: str = "author", slot: str = "sl
     right = v.where(F.col("blk") > 0).select("author", "slot", "embedding",
                                              F.explode(F.sequence(F.lit(0), F.col("blk") - 1)).alias("bi"),
                                              F.col("blk").alias("bj"), F.lit(1).alias("side"))
-    grid = left.unionByName(right).groupBy("bi", "bj")
-    if not with_ids:  # one-argument function: applyInPandas passes only the group
-        return grid.applyInPandas(lambda pdf: _cos_block(pdf, False), "label int, value double")
-    fn = lambda pdf: _cos_block(pdf, True)
-    return grid.applyInPandas(fn, "label int, value double, author_i string, slot_i int, author_j string, slot_j int")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return reduce(_block(pdf))
+    return left.unionByName(right).groupBy("bi", "bj").applyInPandas(run, schema)
+
+
+def cosine_all_pairs(vectors: DataFrame, author: str = "author", slot: str = "slot",
+                     block: int = COSINE_BLOCK) -> DataFrame:
+    """All pairs as rows (label, value); for small sets only, the summaries use ``cosine_blocks``."""
+    def rows(b: CosineBlock) -> pd.DataFrame:
+        return pd.DataFrame({"label": b.label, "value": b.value})
+    return cosine_blocks(vectors, rows, "label int, value double", author, slot, block)
 
 
 # ---------------------------------------------------------------- A26/A27: batch metrics
@@ -220,7 +234,7 @@ def _batch_metrics(pdf: pd.DataFrame) -> pd.DataFrame:
                          "loss": loss, "rank": rank.astype("int64")})
 
 
-def batch_rows(pairs: DataFrame, author: str = "author", batch_authors: int = EVAL_BATCH_AUTHORS,
+def batch_rows(pairs: DataFrame, author: str = "author", slot: str = "slot", batch_authors: int = EVAL_BATCH_AUTHORS,
                temperature: float = INFO_NCE_TEMPERATURE) -> DataFrame:
     """Per persona row of an evaluation batch: InfoNCE loss term and rank of its partner.
 
@@ -228,11 +242,16 @@ def batch_rows(pairs: DataFrame, author: str = "author", batch_authors: int = EV
     batches of ``batch_authors`` (the last one may be partial); each batch is
     one bounded NumPy problem of 2B x 2B similarities.
     """
-    authors = with_dense_index(pairs.select(author).distinct(), [author])
+    # An author must have the two slots 0 and 1, once each; otherwise the job fails.
+    message = F.concat(F.lit("author without exactly two personas (slots 0 and 1): "), F.col(author).cast("string"))
+    whole = pairs.groupBy(author).agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_set(slot)).alias("_slots"))
+    whole = whole.select(F.when((F.col("_n") == 2) & (F.col("_slots") == F.array(F.lit(0), F.lit(1))), F.col(author))
+                         .otherwise(F.raise_error(message)).alias(author))
+    authors = with_dense_index(whole, [author])
     tagged = pairs.join(authors, author).withColumn("batch", (F.col("idx") / F.lit(batch_authors)).cast("bigint"))
     tagged = tagged.withColumn("_tau", F.lit(float(temperature)))
     schema = "batch bigint, author string, slot int, loss double, rank bigint"
-    return tagged.select(F.col(author).cast("string").alias("author"), "slot", "embedding", "idx", "batch", "_tau") \
+    return tagged.select(F.col(author).cast("string").alias("author"), F.col(slot).alias("slot"), "embedding", "idx", "batch", "_tau") \
         .groupBy("batch").applyInPandas(_batch_metrics, schema)
 
 

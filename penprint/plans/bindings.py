@@ -2,8 +2,9 @@
 
 Each binding exists twice: as a Spark DataFrame builder and as a SQL CTE body
 that DuckDB runs over the same Parquet tables (the oracle). Both are written
-from the same rules; they read whole tables (the doc_id split below is a
-partition of ``documents`` into two kinds, not a sample).
+from the same rules; they read whole tables (queries on posts and comments
+together split ``documents`` into the two kinds by doc_id; queries on one kind
+alone take every document as that kind).
 
 Rules (fixed values of the test binding):
   submissions: documents with doc_id % 3 = 0, labels left-joined; author
@@ -13,9 +14,10 @@ Rules (fixed values of the test binding):
   ignored authors: u0 and u5.
   graph stats: orders joined to lineitem; author = o_custkey, subreddit =
     l_partkey, characters = sum(l_quantity).
-  persona documents: conversations with role user or assistant, of
-    conversations that have both; entity = conv_id as text, persona = role,
-    slot 0 = user, 1 = assistant, ordinal = turn.
+  persona documents: conversations; entity = conv_id as text, persona = user
+    for role user and assistant for every other role, slot 0 = user, 1 =
+    assistant, ordinal = turn. Queries that compare an entity's two personas
+    leave out entities with one side only.
   persona vectors: embeddings; author = floor(vec_id / 2), slot = vec_id % 2.
   day shards: events; created_utc = epoch seconds of ts (UTC).
 """
@@ -32,8 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("doc_id") % 3 == 0)
+def submissions(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Posts; ``every``: all documents as posts, not only the posts' part of the split."""
+    docs = table(spark, sf_dir, "documents")
+    docs = docs if every else docs.where(F.col("doc_id") % 3 == 0)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     d = docs.join(labels, "doc_id", "left")
     return d.select(
@@ -49,8 +53,9 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("doc_id") % 3 != 0)
+def comments(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs if every else docs.where(F.col("doc_id") % 3 != 0)
     return docs.select(
         F.concat(F.lit("u"), (F.col("doc_id") % 37).cast("string")).alias("author"),
         F.col("text").alias("body"),
@@ -75,22 +80,25 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def persona_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
-    both = (conv.groupBy("conv_id").agg(F.countDistinct("role").alias("_r"))
-            .where(F.col("_r") == 2).select("conv_id"))
-    kept = conv.join(both, "conv_id", "left_semi")
-    return kept.select(
+    user = F.col("role").eqNullSafe("user")
+    return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("entity"),
-        F.col("role").alias("persona"),
-        F.when(F.col("role") == "user", F.lit(0)).otherwise(F.lit(1)).alias("slot"),
+        F.when(user, F.lit("user")).otherwise(F.lit("assistant")).alias("persona"),
+        F.when(user, F.lit(0)).otherwise(F.lit(1)).alias("slot"),
         F.col("turn").alias("ordinal"),
         F.col("text"),
     )
 
 
+def two_sided(rows: DataFrame, key: str, slot: str) -> DataFrame:
+    """Keys that have both personas."""
+    return (rows.groupBy(key).agg(F.count_if(F.col(slot) == 0).alias("_a"), F.count_if(F.col(slot) == 1).alias("_b"))
+            .where("_a > 0 and _b > 0").select(key))
+
+
 def inference_pairs(docs: DataFrame) -> DataFrame:
     """Same-entity pairs (user -> assistant) and next-entity pairs (user of e, assistant of e + 1)."""
-    ents = docs.select("entity").distinct()
+    ents = two_sided(docs, "entity", "slot")
     same = ents.select(F.col("entity").alias("entity1"), F.lit("user").alias("persona1"),
                        F.col("entity").alias("entity2"), F.lit("assistant").alias("persona2"))
     nxt = (ents.select(F.col("entity").alias("entity1"),
@@ -110,6 +118,16 @@ def persona_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vector_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the persona vectors: document d belongs to vector d mod the number of vectors."""
+    n = table(spark, sf_dir, "embeddings").count()
+    vec = F.col("doc_id") % n
+    return table(spark, sf_dir, "documents").select(
+        F.floor(vec / 2).cast("bigint").cast("string").alias("author"), (vec % 2).cast("int").alias("slot"),
+        F.when(F.col("doc_id") % 3 == 0, "submission").otherwise("comment").alias("kind"),
+        F.col("doc_id").alias("ordinal"), "text")
+
+
 def events_with_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     secs = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
@@ -118,18 +136,20 @@ def events_with_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- SQL (DuckDB) forms
 
-SQL_SUBMISSIONS = """
+SQL_EVERY_SUBMISSION = """
   SELECT 'u' || CAST(d.doc_id % 37 AS VARCHAR) AS author, CAST(d.doc_id AS VARCHAR) AS id,
          d.source AS subreddit, 't5_' || d.source AS subreddit_id, 'r/' || d.source AS subreddit_name_prefixed,
          substring(d.text, 41) AS selftext, substring(d.text, 1, 40) AS title,
          (l.toxic = 1) AS over_18, 'doc/' || CAST(d.doc_id AS VARCHAR) AS url
-  FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id % 3 = 0"""
+  FROM documents d LEFT JOIN labels l USING (doc_id)"""
+SQL_SUBMISSIONS = SQL_EVERY_SUBMISSION + " WHERE d.doc_id % 3 = 0"
 
-SQL_COMMENTS = """
+SQL_EVERY_COMMENT = """
   SELECT 'u' || CAST(doc_id % 37 AS VARCHAR) AS author, text AS body, CAST(doc_id AS VARCHAR) AS id,
          source AS subreddit, 't5_' || source AS subreddit_id, 'r/' || source AS subreddit_name_prefixed,
          'doc/' || CAST(doc_id AS VARCHAR) AS permalink
-  FROM documents WHERE doc_id % 3 <> 0"""
+  FROM documents"""
+SQL_COMMENTS = SQL_EVERY_COMMENT + " WHERE doc_id % 3 <> 0"
 
 SQL_IGNORED = "SELECT * FROM (VALUES ('u0'), ('u5')) t(author)"
 
@@ -138,26 +158,30 @@ SQL_GRAPH_STATS = """
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2"""
 
 SQL_PERSONA_DOCS = """
-  SELECT CAST(conv_id AS VARCHAR) AS entity, role AS persona,
+  SELECT CAST(conv_id AS VARCHAR) AS entity,
+         CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS persona,
          CASE WHEN role = 'user' THEN 0 ELSE 1 END AS slot, turn AS ordinal, text
-  FROM conversations
-  WHERE role IN ('user', 'assistant') AND conv_id IN (
-    SELECT conv_id FROM conversations WHERE role IN ('user', 'assistant')
-    GROUP BY conv_id HAVING count(DISTINCT role) = 2)"""
+  FROM conversations"""
 
 SQL_INFERENCE_PAIRS = """
   SELECT e.entity AS entity1, 'user' AS persona1, e.entity AS entity2, 'assistant' AS persona2
-  FROM (SELECT DISTINCT entity FROM docs) e
+  FROM (SELECT entity FROM docs GROUP BY entity HAVING count(DISTINCT slot) = 2) e
   UNION ALL
   SELECT a.entity, 'user', b.entity, 'assistant'
-  FROM (SELECT DISTINCT entity FROM docs) a
-  JOIN (SELECT DISTINCT entity FROM docs) b ON CAST(CAST(a.entity AS BIGINT) + 1 AS VARCHAR) = b.entity"""
+  FROM (SELECT entity FROM docs GROUP BY entity HAVING count(DISTINCT slot) = 2) a
+  JOIN (SELECT entity FROM docs GROUP BY entity HAVING count(DISTINCT slot) = 2) b
+    ON CAST(CAST(a.entity AS BIGINT) + 1 AS VARCHAR) = b.entity"""
 
 SQL_PERSONA_VECTORS = """
   SELECT CAST(CAST(floor(vec_id / 2) AS BIGINT) AS VARCHAR) AS author, CAST(vec_id % 2 AS INTEGER) AS slot,
          label, embedding
   FROM embeddings"""
 
+SQL_VECTOR_DOCS = """
+  SELECT CAST(CAST(floor(v / 2) AS BIGINT) AS VARCHAR) AS author, CAST(v % 2 AS INTEGER) AS slot,
+         CASE WHEN doc_id % 3 = 0 THEN 'submission' ELSE 'comment' END AS kind, doc_id AS ordinal, text
+  FROM (SELECT *, doc_id % (SELECT count(*) FROM embeddings) AS v FROM documents)"""
+
 SQL_EVENTS = """
   SELECT *, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS created_utc FROM events"""
 
@@ -165,7 +189,7 @@ SQL_EVENTS = """
 # Persona documents as author records: conversations are authors, their user
 # and assistant sides are the two personas (slot 0, 1). Turns 0 and 1 are
 # posts (title = first 40 characters, selftext = the rest), later turns are
-# comments. Every turn of every kept conversation is used.
+# comments. Every turn of every conversation is used.
 
 def conv_personas(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("entity").alias("author"), "slot", F.col("persona").alias("subreddit")).distinct()

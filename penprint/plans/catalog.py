@@ -17,7 +17,8 @@ from penprint.functions.columns import TOKEN_PATTERN
 from penprint.operators import scoring
 from penprint.operators import tokens as tok
 from penprint.plans import bindings as B
-from penprint.session import cut_lineage
+from penprint.session import cut_lineage, scratch_path
+from penprint.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,14 +49,6 @@ def sql_tokens(text: str) -> str:
 
 # ------------------------------------------------------------------ scoring (flagship)
 
-def _persona_counts(spark, sf_dir):
-    # Documents feed the counts, the persona list and the pairs: computed once.
-    docs = cut_lineage(B.persona_documents(spark, sf_dir))
-    # Tokenize once; the model, the persona table and the checks all read it.
-    counts = cut_lineage(tok.token_counts(docs, scoring.PERSONA_KEYS))
-    return docs, counts
-
-
 SQL_PERSONA_COUNTS = f"""
 docs AS ({B.SQL_PERSONA_DOCS}),
 toks AS (SELECT entity, persona, unnest({sql_tokens('text')}) AS token FROM docs),
@@ -86,20 +79,23 @@ JOIN totals t ON t.entity = p.entity1 AND t.persona = p.persona1
 LEFT JOIN obs USING (entity1, persona1, entity2, persona2)
 CROSS JOIN k""")
 def q_infer_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: score same-author and next-author persona pairs with a
-    log-likelihood model whose token set is the corpus' 40 most frequent tokens."""
-    docs, counts = _persona_counts(spark, sf_dir)
-    model_tokens = tok.token_frequencies(counts, ["entity"], top_k=40, min_authors=2)
-    personas, k = scoring.log_likelihood_personas(docs, model_tokens, counts=counts)
-    scores = scoring.score_log_likelihood(personas, k, B.inference_pairs(docs))
-    return rounded(scores.drop("pair_id"))
+    """Flagship: documents and pairs from Parquet, same-author and next-author persona pairs scored with a
+    log-likelihood model whose token set is the corpus' 40 most frequent tokens, scores to Parquet."""
+    source = B.persona_documents(spark, sf_dir)
+    paths = [scratch_path(spark, n) for n in ("documents", "pairs", "scores")]
+    writers.write_parquet(source, paths[0])
+    writers.write_parquet(B.inference_pairs(source), paths[1])
+    docs, pairs = readers.read_documents(spark, paths[0]), readers.read_pairs(spark, paths[1])
+    personas, counts = scoring.document_counts(docs)
+    counts = cut_lineage(counts)  # the model and the scorer read it
+    model_tokens = cut_lineage(tok.token_frequencies(counts, ["entity"], top_k=40, min_authors=2))
+    writers.write_scores(scoring.score_log_likelihood(personas, counts, model_tokens, pairs), paths[2])
+    return rounded(readers.read_scores(spark, paths[2]))
 
 
 # ------------------------------------------------------------------ corpus (scan, clean, profile)
 
 from penprint.operators import corpus  # noqa: E402
-from penprint.session import cut_lineage, scratch_path  # noqa: E402
-from penprint.sources import readers, writers  # noqa: E402
 
 SQL_FILTERED_SUBS = f"""
 subs AS ({B.SQL_SUBMISSIONS}),
@@ -125,57 +121,85 @@ prolific AS (SELECT author FROM stats GROUP BY author
              HAVING count(*) FILTER (WHERE num_characters >= 10000) >= 2)"""
 
 
+SQL_EVERY_FILTERED = SQL_FILTERED_SUBS.replace(B.SQL_SUBMISSIONS, B.SQL_EVERY_SUBMISSION).replace(
+    B.SQL_COMMENTS, B.SQL_EVERY_COMMENT)
+
+
 def _filtered(spark, sf_dir):
     subs, coms = B.submissions(spark, sf_dir), B.comments(spark, sf_dir)
     ign = B.ignored_authors(spark)
     return corpus.filter_submissions(subs, ign), corpus.filter_comments(coms, ign)
 
 
+def _cleaned(spark, sf_dir):
+    """The clean step once, as Parquet: what is read from it afterwards keeps column pruning."""
+    out = []
+    for name, df in zip(("clean-posts", "clean-comments"), _filtered(spark, sf_dir), strict=True):
+        path = scratch_path(spark, name)
+        writers.write_parquet(df, path)
+        out.append(spark.read.schema(df.schema).parquet(path))
+    return out
+
+
 def _stats(spark, sf_dir):
-    fs, fc = _filtered(spark, sf_dir)
-    stats = corpus.characters_per_author_subreddit(fs, fc)
+    fs, fc = _cleaned(spark, sf_dir)
+    stats = cut_lineage(corpus.characters_per_author_subreddit(fs, fc))
     return fs, fc, stats, corpus.prolific_authors(stats, 10000)
 
 
-@register("scan_submissions", f"WITH s AS ({B.SQL_SUBMISSIONS}) SELECT * FROM s")
+@register("scan_submissions", f"WITH s AS ({B.SQL_EVERY_SUBMISSION}) SELECT * FROM s")
 def q_scan_submissions(spark, sf_dir):
     path = scratch_path(spark, "submissions")
-    writers.write_ndjson(B.submissions(spark, sf_dir), path)
+    writers.write_ndjson(B.submissions(spark, sf_dir, every=True), path)
     return readers.read_submissions(spark, path)
 
 
-@register("scan_comments", f"WITH c AS ({B.SQL_COMMENTS}) SELECT * FROM c")
+@register("scan_comments", f"WITH c AS ({B.SQL_EVERY_COMMENT}) SELECT * FROM c")
 def q_scan_comments(spark, sf_dir):
     path = scratch_path(spark, "comments")
-    writers.write_ndjson(B.comments(spark, sf_dir), path)
+    writers.write_ndjson(B.comments(spark, sf_dir, every=True), path)
     return readers.read_comments(spark, path)
 
 
-SQL_FLAGS = f"""WITH subs AS ({B.SQL_SUBMISSIONS})
+SQL_FLAGS = f"""WITH subs AS ({B.SQL_EVERY_SUBMISSION})
 SELECT subreddit, count(*) FILTER (WHERE coalesce(over_18, false)) / (count(*) + 0.1) > 0.1 AS flagged
 FROM subs GROUP BY subreddit"""
 
 
 @register("nsfw_flags", SQL_FLAGS)
 def q_nsfw_flags(spark, sf_dir):
-    return corpus.nsfw_flags(B.submissions(spark, sf_dir))
+    return corpus.nsfw_flags(B.submissions(spark, sf_dir, every=True))
 
 
 @register("nsfw_flags_roundtrip", SQL_FLAGS)
 def q_nsfw_flags_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "nsfw-flags")
-    writers.write_nsfw_flags(corpus.nsfw_flags(B.submissions(spark, sf_dir)), path)
+    writers.write_nsfw_flags(corpus.nsfw_flags(B.submissions(spark, sf_dir, every=True)), path)
     return readers.read_nsfw_flags(spark, path)
 
 
-@register("filter_submissions", f"WITH {SQL_FILTERED_SUBS} SELECT * FROM fsubs")
+@register("nsfw_flags_object", SQL_FLAGS)
+def q_nsfw_flags_object(spark, sf_dir):
+    path = scratch_path(spark, "nsfw-flag-object")
+    writers.write_nsfw_flag_object(corpus.nsfw_flags(B.submissions(spark, sf_dir, every=True)), path)
+    return readers.read_nsfw_flags(spark, path, single_object=True)
+
+
+@register("filter_submissions", f"WITH {SQL_EVERY_FILTERED} SELECT * FROM fsubs")
 def q_filter_submissions(spark, sf_dir):
-    return _filtered(spark, sf_dir)[0]
+    return corpus.filter_submissions(B.submissions(spark, sf_dir, every=True), B.ignored_authors(spark))
+
+
+@register("filter_with_given_flags", f"WITH {SQL_EVERY_FILTERED} SELECT * FROM fsubs")
+def q_filter_with_given_flags(spark, sf_dir):
+    """The flag map loaded from its object form instead of computed (S3)."""
+    subs = B.submissions(spark, sf_dir, every=True)
+    return corpus.filter_submissions(subs, B.ignored_authors(spark), q_nsfw_flags_object(spark, sf_dir), on_missing="error")
 
 
-@register("filter_comments", f"WITH {SQL_FILTERED_SUBS} SELECT * FROM fcoms")
+@register("filter_comments", f"WITH {SQL_EVERY_FILTERED} SELECT * FROM fcoms")
 def q_filter_comments(spark, sf_dir):
-    return _filtered(spark, sf_dir)[1]
+    return corpus.filter_comments(B.comments(spark, sf_dir, every=True), B.ignored_authors(spark))
 
 
 @register("prolific_authors", f"WITH {SQL_STATS} SELECT author FROM prolific")
@@ -201,13 +225,17 @@ def q_author_subreddit_stats(spark, sf_dir):
 @register("prolific_submissions", f"WITH {SQL_STATS} SELECT * FROM fsubs WHERE author IN (SELECT author FROM prolific)")
 def q_prolific_submissions(spark, sf_dir):
     fs, _, _, prolific = _stats(spark, sf_dir)
-    return corpus.of_authors(fs, prolific)
+    path = scratch_path(spark, "prolific-posts")
+    writers.write_ndjson(corpus.of_authors(fs, prolific), path)
+    return readers.read_submissions(spark, path)
 
 
 @register("prolific_comments", f"WITH {SQL_STATS} SELECT * FROM fcoms WHERE author IN (SELECT author FROM prolific)")
 def q_prolific_comments(spark, sf_dir):
     _, fc, _, prolific = _stats(spark, sf_dir)
-    return corpus.of_authors(fc, prolific)
+    path = scratch_path(spark, "prolific-comments")
+    writers.write_ndjson(corpus.of_authors(fc, prolific), path)
+    return readers.read_comments(spark, path)
 
 
 SQL_COUNTS = f"""WITH {SQL_FILTERED_SUBS},
@@ -354,18 +382,46 @@ def q_author_docs_roundtrip(spark, sf_dir):
     return P.flatten_author_docs(readers.read_author_infos(spark, path))
 
 
-@register("split_arms", f"""WITH {B.SQL_AUTHOR_DOCS},
-b AS (SELECT DISTINCT author FROM flat)
-SELECT author AS username,
-       CASE WHEN {sql_sha256_mod_100('author')} < 70 THEN 'train'
-            WHEN {sql_sha256_mod_100('author')} < 85 THEN 'val' ELSE 'test' END AS arm
-FROM b""")
-def q_split_arms(spark, sf_dir):
-    nested = P.nest_author_docs(_author_docs(spark, sf_dir)[1])
+SQL_ARMS = f"""WITH {B.SQL_AUTHOR_DOCS},
+armed AS (SELECT *, CASE WHEN {sql_sha256_mod_100('author')} < 70 THEN 'train'
+                         WHEN {sql_sha256_mod_100('author')} < 85 THEN 'val' ELSE 'test' END AS arm FROM flat)"""
+
+
+def _arms(spark, sf_dir, arms):
     path = scratch_path(spark, "arms")
-    writers.write_arms(P.with_arm(nested, "username"), path)
-    arms = readers.read_arms(spark, path, ("train", "val", "test"))
-    return arms.select("username", "arm")
+    writers.write_arms(P.with_arm(_author_docs(spark, sf_dir)[1], "author"), path)
+    return readers.read_arms(spark, path, arms)
+
+
+@register("split_arms", f"{SQL_ARMS} SELECT DISTINCT author AS username, arm FROM armed")
+def q_split_arms(spark, sf_dir):
+    return _arms(spark, sf_dir, ("train", "val", "test")).select(F.col("author").alias("username"), "arm").distinct()
+
+
+@register("train_val_documents", f"{SQL_ARMS} SELECT arm, author, slot, kind, ordinal, title, body FROM armed WHERE arm <> 'test'")
+def q_train_val_documents(spark, sf_dir):
+    """The loader of the train and val arms (partition pruning)."""
+    return _arms(spark, sf_dir, ("train", "val")).select("arm", "author", "slot", "kind", "ordinal", "title", "body")
+
+
+@register("selected_author_documents", f"""WITH {SQL_STATS},
+chosen AS (SELECT author, min(subreddit) AS subreddit_0, max(subreddit) AS subreddit_1 FROM stats
+           WHERE author IN (SELECT author FROM prolific) AND num_characters >= 10000 GROUP BY author),
+pers AS (SELECT author, 0 AS slot, subreddit_0 AS subreddit FROM chosen
+         UNION ALL SELECT author, 1, subreddit_1 FROM chosen),
+d AS (SELECT author, subreddit, 'submission' AS kind, CAST(id AS BIGINT) AS ordinal, title, body FROM
+        (SELECT author, subreddit, id, title, CAST(NULL AS VARCHAR) AS body FROM fsubs)
+      UNION ALL SELECT author, subreddit, 'comment', CAST(id AS BIGINT), NULL, body FROM fcoms)
+SELECT p.author, p.slot, p.subreddit, d.kind, d.ordinal, d.title, d.body FROM pers p LEFT JOIN d USING (author, subreddit)""")
+def q_selected_author_documents(spark, sf_dir):
+    """From a selection of one community pair per author to their documents."""
+    fs, fc, stats, prolific = _stats(spark, sf_dir)
+    rich = corpus.of_authors(stats.where(F.col("num_characters") >= 10000), prolific)
+    chosen = rich.groupBy("author").agg(F.min("subreddit").alias("subreddit_0"), F.max("subreddit").alias("subreddit_1"))
+    number = F.col("id").cast("bigint")
+    flat = P.attach_documents(P.personas_from_selection(chosen), fs.withColumn("ordinal", number),
+                              fc.withColumn("ordinal", number))
+    return flat.select("author", "slot", "subreddit", "kind", "ordinal", "title", "body")
 
 
 @register("persona_texts", f"""WITH {B.SQL_AUTHOR_DOCS}
@@ -399,29 +455,29 @@ def q_persona_token_counts(spark, sf_dir):
 
 @register("author_token_counts", f"WITH {SQL_SEGMENT_COUNTS} SELECT author, token, sum(n) AS n FROM pcounts GROUP BY ALL")
 def q_author_token_counts(spark, sf_dir):
-    flat = _author_docs(spark, sf_dir)[1]
-    return tok.token_counts(P.persona_segments(flat), ["author"])
+    return tok.roll_up(_segment_counts(spark, sf_dir)[1], ["author"])
 
 
-@register("persona_docs", f"WITH docs AS ({B.SQL_PERSONA_DOCS}) SELECT entity, persona, ordinal, text FROM docs")
+@register("persona_docs", f"WITH docs AS ({B.SQL_PERSONA_DOCS}) SELECT entity, persona, CAST(row_number() OVER (PARTITION BY entity, persona ORDER BY ordinal) - 1 AS INTEGER) AS position, text FROM docs")
 def q_persona_docs(spark, sf_dir):
     from penprint.sources.readers import validate_documents
     docs = validate_documents(B.persona_documents(spark, sf_dir))
-    return docs.where(F.col("entity").isNotNull() & F.col("persona").isNotNull()).select(
-        "entity", "persona", "ordinal", "text")
+    grouped = P.group_documents(docs, "ordinal")
+    return grouped.select("entity", "persona", F.posexplode("texts").alias("position", "text"))
 
 
 # ------------------------------------------------------------------ token model
 
 from penprint.operators import evaluate as ev  # noqa: E402
+from penprint.operators import indexing as IX  # noqa: E402
 
 SQL_CANDIDATES = f"""{SQL_SEGMENT_COUNTS},
 per_author AS (SELECT author, token, sum(n) AS n FROM pcounts GROUP BY ALL),
 freq AS (SELECT token, sum(n) AS n, count(*) AS n_authors FROM per_author GROUP BY token HAVING count(*) >= 20),
 cand AS (SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, token ASC) - 1 AS INTEGER) AS rank
          FROM freq ORDER BY n DESC, token ASC LIMIT 1000),
-tset AS (SELECT token, rank FROM cand WHERE rank < 40),
-authors AS (SELECT author, row_number() OVER (ORDER BY author) - 1 AS idx FROM (SELECT DISTINCT author FROM flat)),
+two AS (SELECT author FROM flat GROUP BY author HAVING count(DISTINCT slot) = 2),
+authors AS (SELECT author, row_number() OVER (ORDER BY author) - 1 AS idx FROM two),
 pairs AS (SELECT author AS author_a, author AS author_b, 1 AS label FROM authors
           UNION ALL
           SELECT a.author, b.author, 0 FROM authors a JOIN authors b ON b.idx BETWEEN a.idx + 1 AND a.idx + 4),
@@ -430,26 +486,32 @@ n1 AS (SELECT n FROM ptot WHERE label = 1), n0 AS (SELECT n FROM ptot WHERE labe
 grid AS (SELECT CAST(g AS INTEGER) AS g, CAST(g AS DOUBLE) * CAST(-0.05 AS DOUBLE) AS cutoff FROM range(400) t(g))"""
 
 
-def _token_model(spark, sf_dir):
+def _candidates(spark, sf_dir):
     flat, counts = _segment_counts(spark, sf_dir)
-    cand = cut_lineage(tok.token_frequencies(counts, ["author"], top_k=1000, min_authors=20))
-    authors = flat.select("author").distinct()
-    pairs = ev.evaluation_pairs(authors)
-    return flat, counts, cand, pairs
+    return flat, counts, cut_lineage(tok.token_frequencies(counts, ["author"], top_k=1000, min_authors=20))
+
+
+def _evaluation_pairs(flat):
+    return ev.evaluation_pairs(B.two_sided(flat, "author", "slot"))
 
 
 @register("token_frequencies", f"WITH {SQL_CANDIDATES} SELECT rank, token, n FROM cand")
 def q_token_frequencies(spark, sf_dir):
-    _, _, cand, _ = _token_model(spark, sf_dir)
     path = scratch_path(spark, "token-counts")
-    writers.write_token_counts(cand, path)
+    writers.write_token_counts(_candidates(spark, sf_dir)[2], path)
     return readers.read_token_counts(spark, path)
 
 
 @register("likelihood_mismatched", f"WITH {SQL_CANDIDATES} SELECT author_a, author_b FROM pairs WHERE label = 0")
 def q_likelihood_mismatched(spark, sf_dir):
-    _, _, _, pairs = _token_model(spark, sf_dir)
-    return pairs.where(F.col("label") == 0).select("author_a", "author_b")
+    authors = B.two_sided(_author_docs(spark, sf_dir)[1], "author", "slot")
+    return ev.mismatched_pairs(authors).select("author_a", "author_b")
+
+
+@register("author_at_index", f"WITH {SQL_CANDIDATES} SELECT author, idx FROM authors WHERE idx = 7")
+def q_author_at_index(spark, sf_dir):
+    authors = B.two_sided(_author_docs(spark, sf_dir)[1], "author", "slot")
+    return IX.at_index(IX.with_dense_index(authors, ["author"]), 7)
 
 
 SQL_TOKEN_ACCURACY = f"""{SQL_CANDIDATES},
@@ -479,7 +541,8 @@ acc AS (SELECT token, g AS grid_index, cutoff,
 
 
 def _token_accuracy(spark, sf_dir):
-    flat, counts, cand, pairs = _token_model(spark, sf_dir)
+    flat, counts, cand = _candidates(spark, sf_dir)
+    pairs = cut_lineage(_evaluation_pairs(flat))
     return flat, counts, cand, pairs, ev.token_accuracies(counts, cand, pairs)
 
 
@@ -513,7 +576,7 @@ def q_model_roundtrip(spark, sf_dir):
                          "token")
 
 
-SQL_TSET_STATS = f"""{SQL_CANDIDATES},
+SQL_SET_STATS = """,
 pers AS (SELECT DISTINCT author, slot FROM flat),
 ptotal AS (SELECT author, slot, sum(n) AS n_total FROM pcounts GROUP BY ALL),
 kk AS (SELECT count(*) AS k FROM tset),
@@ -535,11 +598,21 @@ freq_long AS (SELECT g.author, g.slot, g.rank, g.token, g.n, t.n_in_set, t.n_exc
               FROM tgrid g JOIN tot t USING (author, slot))"""
 
 
+# Statistics over the 40 most frequent tokens, and over the 40 most accurate ones (the learners' set).
+SQL_TSET_STATS = f"{SQL_CANDIDATES}, tset AS (SELECT token, rank FROM cand WHERE rank < 40){SQL_SET_STATS}"
+SQL_BEST_STATS = f"{SQL_TOPN}, tset AS (SELECT token, rank FROM topn){SQL_SET_STATS}"
+
+
 def _tset_stats(spark, sf_dir):
-    flat, counts, cand, pairs = _token_model(spark, sf_dir)
+    flat, counts, cand = _candidates(spark, sf_dir)
     tset, k = tok.token_set(cand.where(F.col("rank") < 40))
-    personas = flat.select("author", "slot").distinct()
-    return flat, counts, tset, k, personas
+    return flat, counts, tset, k, flat.select("author", "slot").distinct()
+
+
+def _best_stats(spark, sf_dir):
+    flat, counts, cand, _, acc = _token_accuracy(spark, sf_dir)
+    tset, k = tok.token_set(cut_lineage(ev.rank_by_accuracy(acc, cand, 40)))
+    return flat, counts, tset, k, flat.select("author", "slot").distinct()
 
 
 @register("persona_token_vectors", f"WITH {SQL_TSET_STATS} SELECT * FROM tot")
@@ -617,21 +690,48 @@ SELECT g AS grid_index, round(cutoff, 6) AS cutoff,
 FROM tl ORDER BY abs(n1_pass * (SELECT n FROM n0) - n0_pass * (SELECT n FROM n1)) DESC, g ASC LIMIT 1""")
 def q_likelihood_best_cutoff(spark, sf_dir):
     flat, counts, cand, pairs, acc = _token_accuracy(spark, sf_dir)
-    model_tokens = ev.rank_by_accuracy(acc, cand, 40).select("token", "rank")
-    tset, k = tok.token_set(model_tokens)
-    vec = tok.persona_vectors(counts, tset, k, ["author", "slot"], flat.select("author", "slot").distinct())
-    m = vec.where(F.col("slot") == 0).select(F.col("author").alias("author_a"), F.col("counts").alias("_mc"),
-                                             F.col("n_total").alias("_mn"))
-    o = vec.where(F.col("slot") == 1).select(F.col("author").alias("author_b"), F.col("counts").alias("_oc"))
-    scores = pairs.join(m, "author_a").join(o, "author_b").select(
-        "label", scoring.log_likelihood(F.col("_mc"), F.col("_mn"), F.col("_oc"), k).alias("score"))
-    return rounded(ev.best_cutoff_log_grid(scores))
+    tset, k = tok.token_set(cut_lineage(ev.rank_by_accuracy(acc, cand, 40).select("token", "rank")))
+    sides = pairs.select("label", F.col("author_a").alias("author1"), F.lit(0).alias("slot1"),
+                         F.col("author_b").alias("author2"), F.lit(1).alias("slot2"))
+    personas = flat.select("author", "slot").distinct()
+    scores = scoring.pair_log_likelihood(sides, ["author1", "slot1"], ["author2", "slot2"], personas, counts, tset, k,
+                                         ["author", "slot"])
+    return rounded(ev.best_cutoff_log_grid(scores.select("label", "score")))
+
+
+@register("likelihood_cutoff_by_arm", f"""WITH {SQL_TOPN},
+armed AS (SELECT *, CASE WHEN {sql_sha256_mod_100('author_a')} < 70 THEN 'train'
+                         WHEN {sql_sha256_mod_100('author_a')} < 85 THEN 'val' ELSE 'test' END AS arm FROM pairs),
+best_token AS (SELECT token FROM topn WHERE rank = 0),
+mtot2 AS (SELECT author, sum(n) AS total FROM pcounts WHERE slot = 0 GROUP BY author),
+sc AS (SELECT p.arm, p.label, round(CASE WHEN o.n IS NULL THEN 0.0
+              ELSE log2(coalesce(m.n, 0) + 0.5) - log2(coalesce(t.total, 0) + 1.0) END, 9) AS s
+       FROM armed p CROSS JOIN best_token b
+       LEFT JOIN pcounts o ON o.author = p.author_b AND o.slot = 1 AND o.token = b.token
+       LEFT JOIN pcounts m ON m.author = p.author_a AND m.slot = 0 AND m.token = b.token
+       LEFT JOIN mtot2 t ON t.author = p.author_a),
+tl AS (SELECT sc.arm, g.g, g.cutoff, count(*) FILTER (WHERE label = 1 AND s >= cutoff) AS p1,
+              count(*) FILTER (WHERE label = 0 AND s >= cutoff) AS p0, count(*) FILTER (WHERE label = 1) AS k1,
+              count(*) FILTER (WHERE label = 0) AS k0 FROM sc CROSS JOIN grid g GROUP BY ALL)
+SELECT arm, g AS grid_index, round(cutoff, 6) AS cutoff,
+       round(0.5 * (CAST(p1 AS DOUBLE) / nullif(k1, 0) + 1 - CAST(p0 AS DOUBLE) / nullif(k0, 0)), 6) AS accuracy
+FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY abs(p1 * k0 - p0 * k1) DESC, g) AS rn FROM tl) WHERE rn = 1""")
+def q_likelihood_cutoff_by_arm(spark, sf_dir):
+    """A23 per key: the best cutoff of the most accurate token within the arm of the model persona's author."""
+    flat, counts, cand, pairs, acc = _token_accuracy(spark, sf_dir)
+    tset, k = tok.token_set(cut_lineage(ev.rank_by_accuracy(acc, cand, 1).select("token", "rank")))
+    sides = P.with_arm(pairs, "author_a").select("arm", "label", F.col("author_a").alias("author1"), F.lit(0).alias("slot1"),
+                                                 F.col("author_b").alias("author2"), F.lit(1).alias("slot2"))
+    scores = scoring.pair_log_likelihood(sides, ["author1", "slot1"], ["author2", "slot2"],
+                                         flat.select("author", "slot").distinct(), counts, tset, k, ["author", "slot"])
+    return rounded(ev.best_cutoff_log_grid(scores.select("arm", "label", "score"), keys=["arm"]))
 
 
 # ------------------------------------------------------------------ vectors
 
 import numpy as np  # noqa: E402
 
+from penprint.operators import similarity as SIM  # noqa: E402
 from penprint.operators import vectors as V  # noqa: E402
 
 SQL_VECS = f"vecs AS ({B.SQL_PERSONA_VECTORS})"
@@ -672,7 +772,19 @@ def _doc_texts(spark, sf_dir):
 @register("embed_texts", f"WITH {SQL_DOC_EMBED} SELECT author, slot, doc_order, ordinal, pos, round(value, 6) AS value FROM sparse")
 def q_embed_texts(spark, sf_dir):
     keys = ["author", "slot", "doc_order", "ordinal"]
-    return rounded(V.hashing_embedding_sparse(_doc_texts(spark, sf_dir), keys, "text", 64))
+    vecs = V.embed_texts(_doc_texts(spark, sf_dir), keys, "text", "hashing", 64)
+    long = vecs.select(*keys, F.posexplode("embedding").alias("pos", "value"))
+    return rounded(long.where(F.col("value") != 0))
+
+
+# Fixed projection used by the tests: Linear(64 -> 16) -> ReLU -> Linear(16 -> 8);
+# weight[o][i] = ((7 o + 3 i) mod 11 - 5) / 10, bias[o] = (o mod 5 - 2) / 10.
+def projection_layers():
+    def layer(n_out, n_in):
+        w = np.array([[((7 * o + 3 * i) % 11 - 5) / 10.0 for i in range(n_in)] for o in range(n_out)])
+        b = np.array([((o % 5) - 2) / 10.0 for o in range(n_out)])
+        return w, b
+    return [layer(16, 64), layer(8, 16)]
 
 
 SQL_INFER_EMBED = f"""
@@ -683,42 +795,38 @@ dn AS (SELECT entity, persona, ordinal, sqrt(sum(c * c)) AS norm FROM db GROUP B
 nd AS (SELECT entity, persona, count(*) AS n_docs FROM docs GROUP BY ALL),
 pv AS (SELECT db.entity, db.persona, db.pos, sum(db.c / dn.norm) / any_value(nd.n_docs) AS v
        FROM db JOIN dn USING (entity, persona, ordinal) JOIN nd USING (entity, persona) GROUP BY ALL),
-pn AS (SELECT entity, persona, sqrt(sum(v * v)) AS norm FROM pv GROUP BY ALL),
+w1 AS (SELECT o, i, ((7 * o + 3 * i) % 11 - 5) / 10.0 AS w FROM range(16) a(o), range(64) b(i)),
+w2 AS (SELECT o, i, ((7 * o + 3 * i) % 11 - 5) / 10.0 AS w FROM range(8) a(o), range(16) b(i)),
+ha AS (SELECT nd.entity, nd.persona, r.o, coalesce(sum(pv.v * w1.w), 0.0) + ((r.o % 5) - 2) / 10.0 AS h
+       FROM nd CROSS JOIN range(16) r(o) LEFT JOIN pv ON pv.entity = nd.entity AND pv.persona = nd.persona
+       LEFT JOIN w1 ON w1.i = pv.pos AND w1.o = r.o GROUP BY nd.entity, nd.persona, r.o),
+pr AS (SELECT ha.entity, ha.persona, w2.o AS pos, sum(greatest(ha.h, 0.0) * w2.w) + ((w2.o % 5) - 2) / 10.0 AS v
+       FROM ha JOIN w2 ON w2.i = ha.o GROUP BY ha.entity, ha.persona, w2.o),
+pn AS (SELECT entity, persona, sqrt(sum(v * v)) AS norm FROM pr GROUP BY ALL),
 pairs AS ({B.SQL_INFERENCE_PAIRS}),
 dots AS (SELECT p.entity1, p.persona1, p.entity2, p.persona2, sum(a.v * b.v) AS dot
-         FROM pairs p JOIN pv a ON a.entity = p.entity1 AND a.persona = p.persona1
-         JOIN pv b ON b.entity = p.entity2 AND b.persona = p.persona2 AND b.pos = a.pos GROUP BY ALL)"""
+         FROM pairs p JOIN pr a ON a.entity = p.entity1 AND a.persona = p.persona1
+         JOIN pr b ON b.entity = p.entity2 AND b.persona = p.persona2 AND b.pos = a.pos GROUP BY ALL)"""
 
 
 @register("infer_embedding", f"""WITH {SQL_INFER_EMBED}
 SELECT p.entity1, p.persona1, p.entity2, p.persona2,
-       round(CASE WHEN coalesce(n1.norm, 0) = 0 OR coalesce(n2.norm, 0) = 0 THEN NULL
-                  ELSE coalesce(d.dot, 0) / (n1.norm * n2.norm) END, 6) AS match_score
+       round(CASE WHEN n1.norm = 0 OR n2.norm = 0 THEN NULL ELSE d.dot / (n1.norm * n2.norm) END, 6) AS match_score
 FROM pairs p
-LEFT JOIN dots d USING (entity1, persona1, entity2, persona2)
-LEFT JOIN pn n1 ON n1.entity = p.entity1 AND n1.persona = p.persona1
-LEFT JOIN pn n2 ON n2.entity = p.entity2 AND n2.persona = p.persona2""")
+JOIN dots d USING (entity1, persona1, entity2, persona2)
+JOIN pn n1 ON n1.entity = p.entity1 AND n1.persona = p.persona1
+JOIN pn n2 ON n2.entity = p.entity2 AND n2.persona = p.persona2""")
 def q_infer_embedding(spark, sf_dir):
-    docs = B.persona_documents(spark, sf_dir)
-
-    def embed(d):
-        doc_keys = ["entity", "persona", "ordinal"]
-        doc_vecs = V.embed_texts(d, doc_keys, "text", dim=64)
-        return V.persona_embeddings(doc_vecs, d, ["entity", "persona"], 64)
-    scores = scoring.run_inference("EMBEDDING_MODEL", docs, B.inference_pairs(docs), embed=embed)
+    """Cosine of projected persona means; the embeddings of even entities come from a precomputed table."""
+    source = B.persona_documents(spark, sf_dir)
+    docs = readers.validate_documents(source.select("entity", "persona", "text"))
+    even = docs.where(F.col("entity").cast("bigint") % 2 == 0)
+    cache = cut_lineage(scoring.embedding_personas(even, "hashing", 64))
+    scores = scoring.run_inference("EMBEDDING_MODEL", docs, B.inference_pairs(source), embedder="hashing", dim=64,
+                                   layers=projection_layers(), cache=cache)
     return rounded(scores.drop("pair_id"))
 
 
-# Fixed projection used by the tests: Linear(64 -> 16) -> ReLU -> Linear(16 -> 8);
-# weight[o][i] = ((7 o + 3 i) mod 11 - 5) / 10, bias[o] = (o mod 5 - 2) / 10.
-def projection_layers():
-    def layer(n_out, n_in):
-        w = np.array([[((7 * o + 3 * i) % 11 - 5) / 10.0 for i in range(n_in)] for o in range(n_out)])
-        b = np.array([((o % 5) - 2) / 10.0 for o in range(n_out)])
-        return w, b
-    return [layer(16, 64), layer(8, 16)]
-
-
 @register("project_embeddings", """
 WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS v FROM embeddings),
 w1 AS (SELECT o, i, ((7 * o + 3 * i) % 11 - 5) / 10.0 AS w FROM range(16) a(o), range(64) b(i)),
@@ -749,17 +857,12 @@ cs AS (SELECT CASE WHEN a.author = b.author THEN 1 ELSE 0 END AS label,
        FROM vecs a JOIN vecs b ON (a.author, a.slot) < (b.author, b.slot))"""
 
 
-def _all_pairs(spark, sf_dir):
-    return V.cosine_all_pairs(B.persona_vectors(spark, sf_dir))
-
-
 @register("cosine_all_pairs", f"""WITH {SQL_ALL_PAIRS}
 SELECT label, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS min_value,
        round(max(value), 6) AS max_value FROM cs GROUP BY label""")
 def q_cosine_all_pairs(spark, sf_dir):
-    s = _all_pairs(spark, sf_dir)
-    return rounded(s.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
-                                          F.min("value").alias("min_value"), F.max("value").alias("max_value")))
+    m = SIM.moments(B.persona_vectors(spark, sf_dir))
+    return rounded(m.select("label", "n", "mean", F.col("min").alias("min_value"), F.col("max").alias("max_value")))
 
 
 @register("similarity_summary", f"""WITH {SQL_ALL_PAIRS}
@@ -767,7 +870,7 @@ SELECT label, count(*) AS n, round(avg(value), 6) AS mean, round(median(value),
        round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max
 FROM cs GROUP BY label""")
 def q_similarity_summary(spark, sf_dir):
-    return rounded(ev.distribution_summary(cut_lineage(_all_pairs(spark, sf_dir)), "value", "label"))
+    return rounded(SIM.summary(B.persona_vectors(spark, sf_dir)))
 
 
 @register("similarity_histogram", f"""WITH {SQL_ALL_PAIRS},
@@ -778,7 +881,7 @@ b AS (SELECT cs.label, r.n, r.lo, r.hi,
 SELECT label, bin, count(*) AS count, round(count(*) / (any_value(n) * ((any_value(hi) - any_value(lo)) / 20)), 6) AS density
 FROM b GROUP BY label, bin""")
 def q_similarity_histogram(spark, sf_dir):
-    return rounded(ev.histogram(cut_lineage(_all_pairs(spark, sf_dir)), "value", "label", 20))
+    return rounded(SIM.histogram(B.persona_vectors(spark, sf_dir), 20))
 
 
 @register("similarity_best_cutoff", f"""WITH {SQL_ALL_PAIRS},
@@ -793,26 +896,27 @@ n1 AS (SELECT n FROM st WHERE label = 1), n0 AS (SELECT n FROM st WHERE label =
 tl AS (SELECT g.g, g.c, count(*) FILTER (WHERE cs.label = 1 AND cs.value >= g.c) AS p1,
               count(*) FILTER (WHERE cs.label = 0 AND cs.value >= g.c) AS p0
        FROM grid g CROSS JOIN cs GROUP BY ALL)
-SELECT g AS grid_index, round(c, 6) AS cutoff,
+SELECT CAST(row_number() OVER (ORDER BY p1 * (SELECT n FROM n0) - p0 * (SELECT n FROM n1) DESC, g ASC) - 1 AS INTEGER) AS rank,
+       g AS grid_index, round(c, 6) AS cutoff,
        round(0.5 * (p1 / (SELECT n FROM n1) + 1 - p0 / (SELECT n FROM n0)), 6) AS accuracy,
        round((SELECT lo FROM rg), 6) AS grid_low, round((SELECT hi FROM rg), 6) AS grid_high
-FROM tl ORDER BY p1 * (SELECT n FROM n0) - p0 * (SELECT n FROM n1) DESC, g ASC LIMIT 1""")
+FROM tl ORDER BY p1 * (SELECT n FROM n0) - p0 * (SELECT n FROM n1) DESC, g ASC LIMIT 5""")
 def q_similarity_best_cutoff(spark, sf_dir):
-    return rounded(ev.spread_grid_cutoff(cut_lineage(_all_pairs(spark, sf_dir)), "value", "label"))
+    return rounded(SIM.best_cutoffs(B.persona_vectors(spark, sf_dir), 5))
 
 
 @register("threshold_precision", f"""WITH {SQL_ALL_PAIRS}
 SELECT count(*) FILTER (WHERE value > 0.5 AND label = 1) AS n_match_above,
        count(*) FILTER (WHERE value > 0.5 AND label = 0) AS n_mismatch_above,
-       count(*) FILTER (WHERE NOT value > 0.5 AND label = 1) AS n_match_below,
-       count(*) FILTER (WHERE NOT value > 0.5 AND label = 0) AS n_mismatch_below,
+       count(*) FILTER (WHERE value < 0.5 AND label = 1) AS n_match_below,
+       count(*) FILTER (WHERE value < 0.5 AND label = 0) AS n_mismatch_below,
        round(CAST(count(*) FILTER (WHERE value > 0.5 AND label = 1) AS DOUBLE)
              / nullif(count(*) FILTER (WHERE value > 0.5), 0), 6) AS match_share_above,
-       round(CAST(count(*) FILTER (WHERE NOT value > 0.5 AND label = 1) AS DOUBLE)
-             / nullif(count(*) FILTER (WHERE NOT value > 0.5), 0), 6) AS match_share_below
+       round(CAST(count(*) FILTER (WHERE value < 0.5 AND label = 1) AS DOUBLE)
+             / nullif(count(*) FILTER (WHERE value < 0.5), 0), 6) AS match_share_below
 FROM cs""")
 def q_threshold_precision(spark, sf_dir):
-    return rounded(ev.threshold_precision(_all_pairs(spark, sf_dir), 0.5, "value", "label"))
+    return rounded(SIM.threshold_precision(B.persona_vectors(spark, sf_dir), 0.5))
 
 
 SQL_BATCH = f"""{SQL_VECS},
@@ -850,45 +954,47 @@ def q_retrieval_metrics(spark, sf_dir):
 
 # ------------------------------------------------------------------ learners
 
-from penprint.operators import indexing as IX  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
 from penprint.operators import learners as LRN  # noqa: E402
 
-SQL_DERANGED = f"""{SQL_TSET_STATS},
-di AS (SELECT author, row_number() OVER (ORDER BY sha256('424242:' || author), author) - 1 AS idx
-       FROM (SELECT DISTINCT author FROM flat)),
-dcount AS (SELECT count(*) AS n FROM di),
-dp AS (SELECT a.author AS author_a, b.author AS author_b FROM di a JOIN di b ON b.idx = (a.idx + 1) % (SELECT n FROM dcount)),
-lp AS (SELECT author AS author_a, author AS author_b, 1 AS label FROM (SELECT DISTINCT author FROM flat)
-       UNION ALL SELECT author_a, author_b, 0 FROM dp)"""
+SQL_DERANGE = f"""
+two_ AS (SELECT author FROM flat GROUP BY author HAVING count(DISTINCT slot) = 2),
+armed AS (SELECT author, CASE WHEN {sql_sha256_mod_100('author')} < 70 THEN 'train'
+                              WHEN {sql_sha256_mod_100('author')} < 85 THEN 'val' ELSE 'test' END AS arm FROM two_),
+di AS (SELECT author, arm, row_number() OVER (PARTITION BY arm ORDER BY sha256('424242:' || author), author) - 1 AS idx,
+              count(*) OVER (PARTITION BY arm) AS n FROM armed WHERE arm <> 'test'),
+lp AS (SELECT author AS author_a, author AS author_b, 1 AS label, arm FROM di
+       UNION ALL SELECT a.author, b.author, 0, a.arm FROM di a JOIN di b ON b.arm = a.arm AND b.idx = (a.idx + 1) % a.n)"""
+SQL_LEARN = f"{SQL_BEST_STATS}, {SQL_DERANGE}"
 
 
 def _learn_inputs(spark, sf_dir):
-    flat, counts, tset, k, personas = _tset_stats(spark, sf_dir)
+    """Log-frequencies over the 40 most accurate tokens, and pairs deranged inside the train and the val arm."""
+    flat, counts, tset, k, personas = _best_stats(spark, sf_dir)
     freq = tok.persona_log_freq(tok.persona_token_freq(counts, tset, k, ["author", "slot"], personas), k)
-    authors = flat.select("author").distinct()
-    der = IX.derangement_pairs(authors, "author").select(F.col("author_a"), F.col("author_b"))
-    return freq, k, LRN.labelled_pairs(authors, der)
+    return freq, k, LRN.arm_pairs(B.two_sided(flat, "author", "slot"))
 
 
-@register("derangement_pairs", f"WITH {SQL_DERANGED} SELECT author_a, author_b FROM dp")
+@register("derangement_pairs", f"WITH {B.SQL_AUTHOR_DOCS}, {SQL_DERANGE} SELECT author_a, author_b, arm FROM lp WHERE label = 0")
 def q_derangement_pairs(spark, sf_dir):
-    authors = _author_docs(spark, sf_dir)[1].select("author").distinct()
-    return IX.derangement_pairs(authors, "author").select("author_a", "author_b")
+    pairs = LRN.arm_pairs(B.two_sided(_author_docs(spark, sf_dir)[1], "author", "slot"))
+    return pairs.where(F.col("label") == 0).select("author_a", "author_b", "arm")
 
 
-@register("pair_features_concat", f"""WITH {SQL_DERANGED}
-SELECT lp.author_a, lp.author_b, lp.label, f.rank AS pos, round(f.log_freq, 6) AS value
+@register("pair_features_concat", f"""WITH {SQL_LEARN}
+SELECT lp.author_a, lp.author_b, lp.label, lp.arm, f.rank AS pos, round(f.log_freq, 6) AS value
 FROM lp JOIN freq_long f ON f.author = lp.author_a AND f.slot = 0
 UNION ALL
-SELECT lp.author_a, lp.author_b, lp.label, f.rank + (SELECT k FROM kk) AS pos, round(f.log_freq, 6) AS value
+SELECT lp.author_a, lp.author_b, lp.label, lp.arm, f.rank + (SELECT k FROM kk) AS pos, round(f.log_freq, 6) AS value
 FROM lp JOIN freq_long f ON f.author = lp.author_b AND f.slot = 1""")
 def q_pair_features_concat(spark, sf_dir):
     freq, k, pairs = _learn_inputs(spark, sf_dir)
     return rounded(LRN.concat_features(freq, pairs, k))
 
 
-@register("pair_features_weighted", f"""WITH {SQL_DERANGED}
-SELECT lp.author_a, lp.author_b, lp.label, a.rank AS pos,
+@register("pair_features_weighted", f"""WITH {SQL_LEARN}
+SELECT lp.author_a, lp.author_b, lp.label, lp.arm, a.rank AS pos,
        round(CASE WHEN b.n_in_set = 0 THEN 0.0 ELSE a.log_freq_with_excluded * b.n / b.n_in_set END, 6) AS value
 FROM lp JOIN freq_long a ON a.author = lp.author_a AND a.slot = 0
 JOIN freq_long b ON b.author = lp.author_b AND b.slot = 1 AND b.rank = a.rank""")
@@ -897,36 +1003,68 @@ def q_pair_features_weighted(spark, sf_dir):
     return rounded(LRN.weighted_features(freq, pairs))
 
 
-def _train_val(vectors):
-    armed = P.with_arm(vectors, "author_a")
-    return armed.where(F.col("arm") == "train"), armed.where(F.col("arm") != "train")
+def _vectors(spark, sf_dir, features):
+    freq, k, pairs = _learn_inputs(spark, sf_dir)
+    data = cut_lineage(LRN.to_vectors(features(freq, pairs, k)))
+    return data, data.where(F.col("arm") == "train")
 
 
-@register("model_logistic")
-def q_model_logistic(spark, sf_dir):
-    freq, _, pairs = _learn_inputs(spark, sf_dir)
-    train, val = _train_val(cut_lineage(LRN.to_vectors(LRN.weighted_features(freq, pairs))))
-    return rounded(LRN.logistic_regression(train, val))
+def _learned(data, models):
+    """One row per model, arm and label: rows, feature width, whether training ended before its limit and beat chance."""
+    rows = data.groupBy("arm", F.col("label").cast("int").alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size(vector_to_array("features"))).alias("width"))
+    out = None
+    for name, finished, train_accuracy in models:
+        some = rows.select(F.lit(name).alias("model"), "*", F.lit(bool(finished)).alias("finished"),
+                           F.lit(train_accuracy > 0.5).alias("beats_chance"))
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
-@register("model_gbt")
-def q_model_gbt(spark, sf_dir):
-    freq, k, pairs = _learn_inputs(spark, sf_dir)
-    train, val = _train_val(cut_lineage(LRN.to_vectors(LRN.concat_features(freq, pairs, k))))
-    return rounded(LRN.boosted_trees(train, val))
+def _sql_learned(names: list[str], width: str) -> str:
+    models = ", ".join(f"('{n}')" for n in names)
+    return f"""WITH {SQL_LEARN}
+SELECT m.model, lp.arm, lp.label, count(*) AS n, CAST({width} AS INTEGER) AS width, true AS finished, true AS beats_chance
+FROM lp CROSS JOIN (VALUES {models}) m(model) GROUP BY m.model, lp.arm, lp.label"""
 
 
-@register("model_pca")
-def q_model_pca(spark, sf_dir):
-    freq, k, pairs = _learn_inputs(spark, sf_dir)
-    data = cut_lineage(LRN.to_vectors(LRN.concat_features(freq, pairs, k)))
-    scores, ratios = LRN.pca_scores(data, 3, 5)
-    return rounded(scores.select("author_a", "author_b", "label",
-                                 *[F.col("scores")[i].alias(f"pc{i + 1}") for i in range(3)],
-                                 *[F.lit(r).alias(f"variance_ratio_{i + 1}") for i, r in enumerate(ratios)]))
+@register("model_logistic", _sql_learned(["logistic"], "(SELECT k FROM kk)"))
+def q_model_logistic(spark, sf_dir):
+    data, train = _vectors(spark, sf_dir, lambda freq, pairs, k: LRN.weighted_features(freq, pairs))
+    model = LRN.logistic_regression(train)
+    return _learned(data, [("logistic", model.summary.totalIterations < LRN.LR_MAX_ITER, LRN.accuracy(model.transform(train)))])
 
 
-@register("token_hist2d", f"""WITH {SQL_TSET_STATS},
+@register("model_gbt", _sql_learned(["gbt2", "gbt3", "gbt4"], "2 * (SELECT k FROM kk)"))
+def q_model_gbt(spark, sf_dir):
+    data, train = _vectors(spark, sf_dir, LRN.concat_features)
+    models = [(f"gbt{d}", LRN.boosted_trees(train, d)) for d in (2, 3, 4)]
+    return _learned(data, [(name, m.getNumTrees == LRN.GBT_TREES, LRN.accuracy(m.transform(train))) for name, m in models])
+
+
+@register("model_pca", f"""WITH {SQL_LEARN},
+feats AS (SELECT lp.author_a, lp.label, f.rank AS pos, f.log_freq AS v FROM lp JOIN freq_long f ON f.author = lp.author_a AND f.slot = 0
+          WHERE lp.arm = 'train'
+          UNION ALL SELECT lp.author_a, lp.label, f.rank + (SELECT k FROM kk), f.log_freq
+          FROM lp JOIN freq_long f ON f.author = lp.author_b AND f.slot = 1 WHERE lp.arm = 'train'),
+per AS (SELECT pos, var_samp(v) AS var FROM feats GROUP BY pos)
+SELECT (SELECT count(*) FROM lp WHERE arm = 'train') AS n, CAST(count(*) AS INTEGER) AS width,
+       round(sum(var), 6) AS total_variance, true AS ratios_descending, true AS scores_explain_ratios FROM per""")
+def q_model_pca(spark, sf_dir):
+    """M6: total variance, and whether the components' own variances are the reported ratios of it."""
+    _, train = _vectors(spark, sf_dir, LRN.concat_features)
+    scores, ratios = LRN.pca_scores(train, 3, 5)
+    values = train.select(F.posexplode(vector_to_array("features")).alias("pos", "v"))
+    total = values.groupBy("pos").agg(F.var_samp("v").alias("var")).agg(
+        F.sum("var").alias("total"), F.count(F.lit(1)).cast("int").alias("width")).first()
+    spread = scores.agg(F.count(F.lit(1)).alias("n"), *[F.var_samp(F.col("scores")[i]).alias(f"v{i}") for i in range(3)]).first()
+    explained = all(abs(spread[f"v{i}"] / total.total - ratios[i]) < 1e-6 for i in range(3))
+    return rounded(spark.createDataFrame(
+        [(spread.n, total.width, total.total, all(a >= b for a, b in zip(ratios, ratios[1:], strict=False)), explained)],
+        "n bigint, width int, total_variance double, ratios_descending boolean, scores_explain_ratios boolean"))
+
+
+@register("token_hist2d", f"""WITH {SQL_BEST_STATS},
 xy AS (SELECT a.token, a.author, a.log_freq_with_excluded AS x, b.log_freq_with_excluded AS y
        FROM freq_long a JOIN freq_long b ON a.author = b.author AND a.token = b.token AND a.slot = 0 AND b.slot = 1
        WHERE a.rank < 3),
@@ -940,7 +1078,8 @@ SELECT token,
        count(*) AS count
 FROM xy JOIN r USING (token) GROUP BY ALL""")
 def q_token_hist2d(spark, sf_dir):
-    freq, _, _ = _learn_inputs(spark, sf_dir)
+    _, counts, tset, k, personas = _best_stats(spark, sf_dir)
+    freq = tok.persona_log_freq(tok.persona_token_freq(counts, tset, k, ["author", "slot"], personas), k)
     top = freq.where(F.col("rank") < 3)
     a = top.where(F.col("slot") == 0).select("author", "token", F.col("log_freq_with_excluded").alias("x"))
     b = top.where(F.col("slot") == 1).select("author", "token", F.col("log_freq_with_excluded").alias("y"))
@@ -948,29 +1087,27 @@ def q_token_hist2d(spark, sf_dir):
 
 
 @register("similarity_examples", f"""WITH {SQL_VECS},
+vdocs AS ({B.SQL_VECTOR_DOCS}),
 cs AS (SELECT a.author AS author_i, a.slot AS slot_i, b.author AS author_j, b.slot AS slot_j,
               CASE WHEN a.author = b.author THEN 1 ELSE 0 END AS label,
               list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS value
-       FROM vecs a JOIN vecs b ON (a.author, a.slot) < (b.author, b.slot))
-SELECT * FROM (SELECT 'false_match' AS kind, author_i, slot_i, author_j, slot_j, round(value, 6) AS value FROM cs
-               WHERE label = 0 AND value > 0.5 ORDER BY value DESC, author_i, slot_i, author_j, slot_j LIMIT 5)
-UNION ALL
-SELECT * FROM (SELECT 'missed_match', author_i, slot_i, author_j, slot_j, round(value, 6) FROM cs
-               WHERE label = 1 AND NOT value > 0.5 ORDER BY value ASC, author_i, slot_i, author_j, slot_j LIMIT 5)""")
+       FROM vecs a JOIN vecs b ON (a.author, a.slot) < (b.author, b.slot)),
+kinds AS (SELECT *, CASE WHEN label = 1 AND value > 0.3 THEN 'true_match' WHEN label = 0 AND value > 0.3 THEN 'false_match'
+                         WHEN label = 1 AND value < 0.0 THEN 'missed_match' END AS kind FROM cs),
+ex AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY
+                CASE WHEN kind = 'missed_match' THEN value ELSE -value END, author_i, slot_i, author_j, slot_j) - 1 AS INTEGER) AS place
+              FROM kinds WHERE kind IS NOT NULL) WHERE place < 5),
+sides AS (SELECT *, 0 AS side, author_i AS author, slot_i AS slot FROM ex
+          UNION ALL SELECT *, 1, author_j, slot_j FROM ex),
+shown AS (SELECT s.kind, s.place, s.author_i, s.slot_i, s.author_j, s.slot_j, s.value, s.side, d.kind AS doc_kind, d.ordinal, d.text,
+                 CAST(row_number() OVER (PARTITION BY s.kind, s.place, s.side
+                      ORDER BY CASE WHEN d.kind = 'comment' THEN 0 ELSE 1 END, d.ordinal) - 1 AS INTEGER) AS position
+          FROM sides s LEFT JOIN vdocs d USING (author, slot))
+SELECT kind, place, author_i, slot_i, author_j, slot_j, round(value, 6) AS value, side, position, doc_kind, ordinal, text
+FROM shown WHERE position < 5""")
 def q_similarity_examples(spark, sf_dir):
-    raw = V.cosine_all_pairs(B.persona_vectors(spark, sf_dir), with_ids=True)
-    ids = ["author_i", "slot_i", "author_j", "slot_j"]
-    swap = F.struct("author_i", "slot_i") > F.struct("author_j", "slot_j")
-    s = raw.select("label", "value",
-                   F.when(swap, F.col("author_j")).otherwise(F.col("author_i")).alias("author_i"),
-                   F.when(swap, F.col("slot_j")).otherwise(F.col("slot_i")).alias("slot_i"),
-                   F.when(swap, F.col("author_i")).otherwise(F.col("author_j")).alias("author_j"),
-                   F.when(swap, F.col("slot_i")).otherwise(F.col("slot_j")).alias("slot_j"))
-    above = (s.where((F.col("label") == 0) & (F.col("value") > 0.5))
-             .orderBy(F.col("value").desc(), *ids).limit(5).withColumn("kind", F.lit("false_match")))
-    below = (s.where((F.col("label") == 1) & ~(F.col("value") > 0.5))
-             .orderBy(F.col("value").asc(), *ids).limit(5).withColumn("kind", F.lit("missed_match")))
-    return rounded(above.unionByName(below).select("kind", *ids, "value"))
+    found = SIM.examples(B.persona_vectors(spark, sf_dir), 0.3, 0.0, 5)
+    return rounded(SIM.with_documents(found, B.vector_documents(spark, sf_dir), 5))
 
 
 @register("embeddings_roundtrip", f"""WITH {SQL_VECS}

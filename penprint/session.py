@@ -7,8 +7,10 @@ unset (local runs and tests).
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,7 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -36,6 +39,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -50,31 +54,56 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder; set a local one only if none is configured (tests)."""
+    """Return the checkpoint folder. Without one a local master (tests) gets a temporary folder; a cluster,
+    whose executors could not share it, is an error."""
     value = checkpoint_dir(spark)
     if value:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(value)
         return value
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="penprint-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir() or local
 
 
+_scratch: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for a written table."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the shared checkpoint folder for a written table; deleted when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex[:12]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _scratch[app] = folder
+    return f"{_scratch[app]}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers if they could not import it themselves.
+
+    An installed package, or one on PYTHONPATH or in the working folder, is
+    left alone. Otherwise (a notebook that only changed ``sys.path``) a zip is
+    handed to Spark, which serves it to its executors.
+    """
+    app = spark.sparkContext.applicationId
+    root = Path(__file__).resolve().parent.parent
+    seen = [Path.cwd(), *map(Path, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))]
+    if app in _shipped or root in [p.resolve() for p in seen] or "site-packages" in root.parts:
+        return
+    name = os.path.join(tempfile.mkdtemp(prefix="penprint-code-"), "penprint")
+    spark.sparkContext.addPyFile(shutil.make_archive(name, "zip", root, "penprint"))
+    _shipped.add(app)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

@@ -16,13 +16,17 @@ from penprint.sources import schemas
 def read_submissions(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
     """Newline-delimited JSON posts (splittable text scan)."""
     schema = schemas.RAW_SUBMISSION if raw else schemas.SUBMISSION
-    return spark.read.schema(schema).json(path)
+    return _json(spark, schema, path)
+
+
+def _json(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    """A damaged line is an error that names its file, never a row of nulls."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def read_comments(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
     """Newline-delimited JSON comments."""
-    schema = schemas.RAW_COMMENT if raw else schemas.COMMENT
-    return spark.read.schema(schema).json(path)
+    return _json(spark, schemas.RAW_COMMENT if raw else schemas.COMMENT, path)
 
 
 def read_nsfw_flags(spark: SparkSession, path: str, single_object: bool = False) -> DataFrame:
@@ -34,7 +38,7 @@ def read_nsfw_flags(spark: SparkSession, path: str, single_object: bool = False)
     one to use at scale.
     """
     if not single_object:
-        return spark.read.schema(schemas.NSFW_FLAG).json(path)
+        return _json(spark, schemas.NSFW_FLAG, path)
     text = spark.read.text(path, wholetext=True)
     entries = text.select(F.explode(F.from_json("value", "MAP<STRING,STRING>")).alias("subreddit", "v"))
     falsy = F.lower(F.trim(F.col("v"))).isin("false", "0", "0.0", "", "null")
@@ -48,28 +52,25 @@ def read_count_csv(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 
 def read_line_list(spark: SparkSession, path: str, column: str = "author") -> DataFrame:
-    """One name per line, trimmed, deduplicated."""
-    return spark.read.text(path).select(F.trim("value").alias(column)).distinct()
+    """One name per line, white space of any kind trimmed, deduplicated."""
+    trimmed = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
+    return spark.read.text(path).select(trimmed.alias(column)).distinct()
 
 
 def read_author_subreddit_stats(spark: SparkSession, path: str) -> DataFrame:
     """Per (author, subreddit) counts as written by K4."""
-    return spark.read.schema(schemas.AUTHOR_SUBREDDIT_STATS).json(path)
+    return _json(spark, schemas.AUTHOR_SUBREDDIT_STATS, path)
 
 
 def read_author_infos(spark: SparkSession, path: str) -> DataFrame:
     """Nested author documents; a malformed record is an error."""
-    return spark.read.schema(schemas.AUTHOR_INFO).option("mode", "FAILFAST").json(path)
+    return _json(spark, schemas.AUTHOR_INFO, path)
 
 
 def read_arms(spark: SparkSession, path: str, arms: tuple[str, ...] = ("train", "val")) -> DataFrame:
-    """Arm-partitioned author documents; the arm filter prunes partitions."""
-    return read_author_infos_partitioned(spark, path).where(F.col("arm").isin(*arms))
-
-
-def read_author_infos_partitioned(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType(schemas.AUTHOR_INFO.fields + [T.StructField("arm", T.StringType())])
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Arm-partitioned flat author documents; the arm filter prunes partitions."""
+    schema = T.StructType(schemas.AUTHOR_DOCUMENT.fields + [T.StructField("arm", T.StringType())])
+    return _json(spark, schema, path).where(F.col("arm").isin(*arms))
 
 
 def _require_string_columns(df: DataFrame, columns: tuple[str, ...], what: str) -> None:
@@ -95,8 +96,9 @@ def validate_pairs(df: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents Parquet; only the three used columns are read (column pruning)."""
-    return validate_documents(spark.read.parquet(path))
+    """Documents Parquet; only the three used columns are read (column pruning), null keys dropped."""
+    docs = validate_documents(spark.read.parquet(path)).select(*schemas.DOCUMENT_COLUMNS)
+    return docs.where(F.col("entity").isNotNull() & F.col("persona").isNotNull())
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -104,6 +106,11 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     return validate_pairs(spark.read.parquet(path)).select(*schemas.PAIR_COLUMNS)
 
 
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """K14 read back: pairs with their scores."""
+    return spark.read.parquet(path).select(*schemas.PAIR_COLUMNS, "match_score")
+
+
 def read_token_counts(spark: SparkSession, path: str) -> DataFrame:
     """Ranked token counts (rank, token, n)."""
     return spark.read.schema(schemas.TOKEN_COUNT).parquet(path)
@@ -122,15 +129,24 @@ def read_model(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
     (token_index, string); for an embedding model it is one parameter row.
     The model type is checked against the known kinds; unknown kinds raise.
     """
-    header = spark.read.schema("model_type STRING").json(path)
-    kinds = [r.model_type for r in header.distinct().limit(2).collect()]  # one short row
-    if len(kinds) != 1 or kinds[0] not in schemas.MODEL_TYPES:
-        raise ValueError(f"unknown or mixed model type: {kinds}")
-    kind = kinds[0]
+    # One short record: its size is a parameter of the model.
+    raw = spark.read.text(path).select(F.from_json("value", "MAP<STRING,STRING>").alias("m"))
+    records = raw.select(F.col("m")["model_type"].alias("kind"), F.map_keys("m").alias("fields"),
+                         F.map_keys(F.from_json(F.col("m")["model_params"], "MAP<STRING,STRING>")).alias("params"),
+                         F.from_json(F.from_json(F.col("m")["model_params"], "MAP<STRING,STRING>")["tokens"],
+                                     "ARRAY<MAP<STRING,STRING>>").alias("tokens")).select(
+        "kind", "fields", "params", F.array_distinct(F.flatten(F.transform("tokens", F.map_keys))).alias("token_fields"))
+    found = records.distinct().limit(2).collect()
+    if len(found) != 1 or found[0].kind not in schemas.MODEL_TYPES:
+        raise ValueError(f"unknown or mixed model type: {[r.kind for r in found]}")
+    kind = found[0].kind
     params = schemas.MODEL_TYPES[kind]
-    full = (spark.read.schema(T.StructType([T.StructField("model_type", T.StringType()),
-                                            T.StructField("model_params", params)]))
-            .option("mode", "FAILFAST").json(path))
+    unknown = set(found[0].fields or []) - {"model_type", "model_params"} | set(found[0].params or []) - set(params.names)
+    unknown |= set(found[0].token_fields or []) - {"token_index", "string"}
+    if unknown:
+        raise ValueError(f"unknown fields in a model file: {sorted(unknown)}")
+    full = _json(spark, T.StructType([T.StructField("model_type", T.StringType()),
+                                      T.StructField("model_params", params)]), path)
     if kind == "LOG_LIKELIHOOD_MODEL":
         return kind, full.select(F.posexplode("model_params.tokens").alias("rank", "t")).select(
             "rank", F.col("t.token_index").alias("token_index"), F.col("t.string").alias("token"))

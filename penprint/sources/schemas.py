@@ -43,3 +43,7 @@ PERSONA_EMBEDDING = _struct(("arm", S), ("username", S), ("slot", I), ("subreddi
 
 DOCUMENT_COLUMNS = ("entity", "persona", "text")
 PAIR_COLUMNS = ("entity1", "persona1", "entity2", "persona2")
+
+# One row per document of a persona; a persona without documents has one row with null kind.
+AUTHOR_DOCUMENT = _struct(("author", S), ("slot", I), ("subreddit", S), ("kind", S), ("ordinal", L), ("title", S),
+                          ("selftext", S), ("url", S), ("body", S), ("permalink", S))

@@ -26,6 +26,12 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     writer.parquet(path)
 
 
+def write_nsfw_flag_object(flags: DataFrame, path: str) -> None:
+    """K2, interchange form: one JSON object subreddit -> flag (one record by definition; rows are the form for scale)."""
+    entries = F.collect_list(F.struct("subreddit", F.col("flagged").cast("boolean")))
+    flags.agg(F.to_json(F.map_from_entries(entries)).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_nsfw_flags(flags: DataFrame, path: str) -> None:
     """K2: (subreddit, flagged) rows."""
     write_ndjson(flags.select("subreddit", F.col("flagged").cast("boolean")), path)
@@ -41,9 +47,9 @@ def write_line_list(df: DataFrame, path: str, column: str = "author") -> None:
     df.select(column).distinct().orderBy(column).write.mode("overwrite").text(path)
 
 
-def write_arms(author_docs: DataFrame, path: str) -> None:
-    """K8: one directory per arm."""
-    write_ndjson(author_docs, path, partition_by=["arm"])
+def write_arms(flat: DataFrame, path: str) -> None:
+    """K8: flat author documents (one row per document, column ``arm``), one directory per arm."""
+    write_ndjson(flat.select(*schemas.AUTHOR_DOCUMENT.names, "arm"), path, partition_by=["arm"])
 
 
 def write_day_shards(df: DataFrame, path: str) -> None:

@@ -23,9 +23,9 @@ def clean_new_submissions(spark: SparkSession, source_dir: str, out_dir: str, ig
     """Filter newly arrived submission files (P1, P3, P4 with a fixed flag table) into Parquet."""
     stream = spark.readStream.schema(RAW_SUBMISSION).json(source_dir)
     over = F.coalesce(F.col("over_18"), F.lit(False))
-    kept = (stream.join(F.broadcast(flags.select("subreddit", F.col("flagged").alias("_flag"))), "subreddit", "left")
+    kept = (stream.join(flags.select("subreddit", F.col("flagged").alias("_flag")), "subreddit", "left")
             .where(~(over & F.coalesce(F.col("_flag"), F.lit(False))))
-            .join(F.broadcast(ignored.select("author").distinct()), "author", "left_anti")
+            .join(ignored.select("author").distinct(), "author", "left_anti")
             .select(*[f.name for f in SUBMISSION.fields]))
     return (kept.writeStream.format("parquet").option("path", out_dir)
             .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-submissions"))
@@ -36,7 +36,7 @@ def clean_new_comments(spark: SparkSession, source_dir: str, out_dir: str, ignor
                        checkpoint: str | None = None):
     """Filter newly arrived comment files (P2, P3) into Parquet."""
     stream = spark.readStream.schema(RAW_COMMENT).json(source_dir)
-    kept = (stream.join(F.broadcast(ignored.select("author").distinct()), "author", "left_anti")
+    kept = (stream.join(ignored.select("author").distinct(), "author", "left_anti")
             .select(*[f.name for f in COMMENT.fields]))
     return (kept.writeStream.format("parquet").option("path", out_dir)
             .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-comments"))

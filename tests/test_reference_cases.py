@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from penprint.operators import scoring, vectors
+from penprint.operators import personas, scoring, vectors
 from penprint.sources import readers, writers
 from penprint.session import scratch_path
 
@@ -13,12 +13,13 @@ def test_documents_grouping_keeps_order_and_ignores_extra_columns(spark):
         [("d1", "entity1", "persona1", "first", 0), ("d2", "entity1", "persona1", "second", 1),
          ("d3", "entity1", "persona2", "third", 2)],
         "document_id STRING, entity STRING, persona STRING, text STRING, ordinal INT")
-    readers.validate_documents(docs)
-    grouped = (docs.groupBy("entity", "persona")
-               .agg(F.sort_array(F.collect_list(F.struct("ordinal", "text"))).alias("t"))
-               .select("entity", "persona", F.transform("t", lambda x: x["text"]).alias("texts")))
-    got = {(r.entity, r.persona): r.texts for r in grouped.collect()}
-    assert got == {("entity1", "persona1"): ["first", "second"], ("entity1", "persona2"): ["third"]}
+    path = scratch_path(spark, "docs-test")
+    writers.write_parquet(docs.coalesce(1), path)
+    read = readers.read_documents(spark, path)
+    assert read.columns == ["entity", "persona", "text"]
+    want = {("entity1", "persona1"): ["first", "second"], ("entity1", "persona2"): ["third"]}
+    assert {(r.entity, r.persona): r.texts for r in personas.group_documents(read).collect()} == want
+    assert {(r.entity, r.persona): r.texts for r in personas.group_documents(docs, "ordinal").collect()} == want
 
 
 def test_documents_with_wrong_types_are_rejected(spark):
@@ -79,7 +80,7 @@ def test_pairs_keep_duplicates_and_unknown_persona_raises(spark):
     docs, pairs, tokens = _scoring_inputs(spark)
     dup = pairs.union(pairs.limit(1))
     out = scoring.run_inference("LOG_LIKELIHOOD_MODEL", docs, dup, model_tokens=tokens)
-    assert out.count() == 4
+    assert len(out.collect()) == 4
     bad = spark.createDataFrame([("jekyll", "jekyll", "nobody", "none")],
                                 "entity1 STRING, persona1 STRING, entity2 STRING, persona2 STRING")
     with pytest.raises(KeyError):
@@ -112,11 +113,86 @@ def test_embedding_averages_with_dummy_embedder(spark):
         for i, t in enumerate(texts):
             out[i, int(t) % 4] = 1.0
         return out
-    keys = ["author", "persona", "text"]
-    vecs = vectors.embed_texts(docs.withColumn("_id", F.monotonically_increasing_id()), keys + ["_id"], "text",
-                               embedder=one_hot)
-    means = vectors.persona_embeddings(vecs, docs, ["author", "persona"], 4)
-    got = {(r.author, r.persona): [round(x, 6) for x in r.embedding] for r in means.collect()}
+    keys = ["author", "persona"]  # not unique: two documents of one persona stay two vectors
+    vecs = vectors.embed_texts(docs, keys, "text", embedder=one_hot)
+    assert vecs.count() == 9
+    got = {(r.author, r.persona): [round(x, 6) for x in r.embedding]
+           for r in vectors.persona_embeddings(vecs, keys, 4).collect()}
     assert got[("a", 0)] == [0, 1, 0, 0]
     assert got[("c", 4)] == [0.5, 0, 0.5, 0]
     assert len(got) == 8
+
+
+def test_hashing_embedding_counts_and_normalises(spark):
+    docs = spark.createDataFrame([("a", "x x y"), ("a", "x x y"), ("b", ""), ("c", None)], "k STRING, text STRING")
+    rows = vectors.embed_texts(docs, ["k"], "text", "hashing", 32).collect()
+    assert len(rows) == 4
+    for r in rows:
+        values = sorted(v for v in r.embedding if v)
+        if r.k == "a":
+            assert [round(v, 9) for v in values] == [round(v / 5 ** 0.5, 9) for v in (1.0, 2.0)]
+        else:
+            assert values == [] and len(r.embedding) == 32
+
+
+def test_embedder_by_name_gets_its_prefix(spark):
+    import pytest
+    docs = spark.createDataFrame([("a", "text")], "k STRING, text STRING")
+    vectors.EMBEDDERS["e5"] = lambda texts: np.array([[len(t), t.startswith("passage: ")] for t in texts])
+    try:
+        row = vectors.embed_texts(docs, ["k"], "text", "e5").first()
+    finally:
+        del vectors.EMBEDDERS["e5"]
+    assert list(row.embedding) == [13.0, 1.0]
+    with pytest.raises(ValueError):
+        vectors.embed_texts(docs, ["k"], "text", "unheard of")
+    assert vectors.PREFIXES["e5-multilingual-large-instruct"].startswith("Instruct: Generate an embedding")
+
+
+def test_embedding_scores_project_and_use_the_cache(spark):
+    docs = spark.createDataFrame([("a", "0", "1"), ("a", "0", "2"), ("b", "0", "1"), ("c", "0", "3")],
+                                 "entity STRING, persona STRING, text STRING")
+    pairs = spark.createDataFrame([("a", "0", "b", "0"), ("c", "0", "b", "0")],
+                                  "entity1 STRING, persona1 STRING, entity2 STRING, persona2 STRING")
+
+    def one_hot(texts):
+        if any(t == "3" for t in texts):
+            raise AssertionError("a cached persona was embedded")
+        return np.eye(4, dtype=np.float32)[[int(t) % 4 for t in texts]]
+
+    cache = spark.createDataFrame([("c", "0", [0.0, 2.0, 0.0, 0.0]), ("unasked", "0", [1.0, 0.0, 0.0, 0.0])],
+                                  "entity STRING, persona STRING, embedding ARRAY<DOUBLE>")
+    weight, bias = np.array([[1.0, 0, 0, 0], [0, 1, 1, 0]]), np.array([0.5, -0.25])
+    out = scoring.run_inference("EMBEDDING_MODEL", docs, pairs, embedder=one_hot, dim=4, layers=[(weight, bias)], cache=cache)
+    got = {r.entity1: r.match_score for r in out.collect()}
+    project = lambda v: weight @ np.array(v) + bias
+    cos = lambda x, y: float(x @ y / np.linalg.norm(x) / np.linalg.norm(y))
+    b = project([0, 1, 0, 0])
+    assert abs(got["a"] - cos(project([0, 0.5, 0.5, 0]), b)) < 1e-9 and abs(got["c"] - cos(project([0, 2, 0, 0]), b)) < 1e-9
+
+
+def test_model_files_are_strict(spark):
+    import pytest
+    for text in ('{"model_type": "LOG_LIKELIHOOD_MODEL", "model_params": {"tokens": []}, "more": 1}',
+                 '{"model_type": "LOG_LIKELIHOOD_MODEL", "model_params": {"tokens": [], "k": 2}}',
+                 '{"model_type": "LOG_LIKELIHOOD_MODEL", "model_params": {"tokens": [{"token_index": 1, "string": "a", "x": 0}]}}',
+                 '{"model_type": "OTHER", "model_params": {}}'):
+        path = scratch_path(spark, "bad-model")
+        spark.createDataFrame([(text,)], "value STRING").coalesce(1).write.text(path)
+        with pytest.raises(ValueError):
+            readers.read_model(spark, path)
+    path = scratch_path(spark, "embedding-model")
+    writers.write_embedding_model(spark, path, "e5", "average_posts", "/models/one")
+    kind, params = readers.read_model(spark, path)
+    assert kind == "EMBEDDING_MODEL" and params.first().embedding_model == "e5"
+
+
+def test_damaged_lines_are_errors_and_names_are_trimmed(spark):
+    import pytest
+    path = scratch_path(spark, "damaged")
+    spark.createDataFrame([('{"author": "a", "subreddit": "s"}',), ("{broken",)], "value STRING").write.text(path)
+    with pytest.raises(Exception):
+        readers.read_submissions(spark, path).collect()
+    path = scratch_path(spark, "names")
+    spark.createDataFrame([("\t a b \u00a0",), ("a b",), ("c\r",)], "value STRING").write.text(path)
+    assert sorted(r.author for r in readers.read_line_list(spark, path).collect()) == ["a b", "c"]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from penprint.functions.columns import sha256_mod_100, utc_day_of_month
-from penprint.operators import corpus, evaluate, graph, indexing, tokens, vectors
+from penprint.operators import corpus, evaluate, graph, indexing, learners, similarity, tokens, vectors
 
 
 def test_nsfw_flags_and_filter(spark):
@@ -36,8 +36,8 @@ def test_filter_missing_flag_error(spark):
         subs = subs.withColumn(c, F.lit("x"))
     flags = spark.createDataFrame([("other", True)], "subreddit STRING, flagged BOOLEAN")
     ign = spark.createDataFrame([], "author STRING")
-    with pytest.raises(KeyError):
-        corpus.filter_submissions(subs, ign, flags, on_missing="error")
+    with pytest.raises(Exception, match="without a flag"):
+        corpus.filter_submissions(subs, ign, flags, on_missing="error").collect()
     assert corpus.filter_submissions(subs, ign, flags, on_missing="keep").count() == 1
 
 
@@ -209,6 +209,7 @@ def test_zero_vector_cosine_is_null(spark):
     vals = vectors.cosine_all_pairs(vecs).collect()
     assert len(vals) == 6
     assert sum(1 for r in vals if r.value is None or r.value != r.value) == 3
+    assert {r.label: r.n for r in similarity.moments(vecs).collect()} == {0: 2, 1: 1}
     assert sum(r.label for r in vals) == 2
 
 
@@ -217,3 +218,173 @@ def test_exact_median(spark):
     df = spark.createDataFrame(data, "label INT, value DOUBLE")
     got = {r.label: r.median for r in evaluate.exact_median(df).collect()}
     assert got == {1: 3.0, 0: 2.5}
+
+
+def test_thresholds_are_strict_on_both_sides(spark):
+    data = [(1, 0.0), (1, 0.0), (0, -0.1), (0, 0.2), (1, None), (1, -0.5)]
+    df = spark.createDataFrame(data, "label INT, value DOUBLE")
+    r = evaluate.threshold_precision(df, 0.0).first()
+    assert (r.n_match_above, r.n_mismatch_above, r.n_match_below, r.n_mismatch_below) == (0, 1, 1, 1)
+    assert r.match_share_below == 0.5 and r.match_share_above == 0.0
+
+
+def test_nulls_do_not_count_and_constants_have_a_cutoff(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 2.0), (1, None), (0, 2.0)], "label INT, value DOUBLE")
+    got = {r.label: (r.n, r.median, r["std"]) for r in evaluate.distribution_summary(df).collect()}
+    assert got == {1: (2, 2.0, 0.0), 0: (1, 2.0, 0.0)}
+    assert sum(r["count"] for r in evaluate.histogram(df).collect()) == 3
+    best = evaluate.spread_grid_cutoffs(df).collect()
+    assert len(best) == 5 and best[0].accuracy == 0.5 and best[0].cutoff == 2.0
+
+
+def _brute_best(samples, n):
+    match, other = (np.array([v for k, v in samples if k == label]) for label in (1, 0))
+    lo = min(match.min() - 3 * match.std(), other.min() - 3 * other.std())
+    hi = max(match.max() + 3 * match.std(), other.max() + 3 * other.std())
+    accuracy = [(0.5 * ((match >= c).mean() + 1 - (other >= c).mean()), -g) for g, c in enumerate(np.linspace(lo, hi, 100))]
+    return [(-g, round(a, 9)) for a, g in sorted(accuracy, reverse=True)[:n]]
+
+
+def test_five_best_cutoffs(spark):
+    rng = np.random.default_rng(4)
+    samples = [(1, float(v)) for v in rng.normal(1, 1, 60)] + [(0, float(v)) for v in rng.normal(0, 1, 80)]
+    out = evaluate.spread_grid_cutoffs(spark.createDataFrame(samples, "label INT, value DOUBLE")).collect()
+    got = [(r.grid_index, round(r.accuracy, 9)) for r in sorted(out, key=lambda r: r["rank"])]
+    assert [a for _, a in got] == [a for _, a in _brute_best(samples, 5)]
+
+
+def test_best_cutoff_per_key_uses_its_own_totals(spark):
+    rows = [("x", 1, -0.01), ("x", 0, -5.0), ("y", 1, -1.0), ("y", 0, -8.0), ("y", 0, -9.0)]
+    out = evaluate.best_cutoff_log_grid(spark.createDataFrame(rows, "k STRING, label INT, score DOUBLE"), keys=["k"])
+    assert {r.k: r.accuracy for r in out.collect()} == {"x": 1.0, "y": 1.0}
+
+
+def _vector_table(spark, n=40, dim=5):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(n, dim)).round(2)
+    x[3] = 0
+    x[6] = x[8]
+    rows = [(f"a{i // 2:02d}", i % 2, [float(v) for v in x[i]]) for i in range(n)]
+    pairs = []
+    for i, j in itertools.combinations(range(n), 2):
+        size = np.linalg.norm(x[i]) * np.linalg.norm(x[j])
+        if size:
+            pairs.append((int(rows[i][0] == rows[j][0]), float(x[i] @ x[j] / size), rows[i][:2] + rows[j][:2]))
+    return spark.createDataFrame(rows, "author STRING, slot INT, embedding ARRAY<DOUBLE>"), pairs
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_similarity_statistics_equal_those_of_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors.cosine_blocks, "__defaults__", ("author", "slot", block))
+    table, pairs = _vector_table(spark)
+    got = {r.label: r for r in similarity.summary(table).collect()}
+    for label in (0, 1):
+        v = np.array([s for k, s, _ in pairs if k == label])
+        r = got[label]
+        assert r.n == len(v) and np.allclose([r.mean, r.median, r["std"], r.min, r.max],
+                                             [v.mean(), np.median(v), v.std(), v.min(), v.max()])
+    hist = {(r.label, r.bin): r["count"] for r in similarity.histogram(table, 10).collect()}
+    for label in (0, 1):
+        want, _ = np.histogram([s for k, s, _ in pairs if k == label], 10)
+        assert [hist.get((label, b + 1), 0) for b in range(10)] == want.tolist()
+    best = sorted(similarity.best_cutoffs(table).collect(), key=lambda r: r["rank"])
+    assert [round(r.accuracy, 9) for r in best] == [a for _, a in _brute_best([p[:2] for p in pairs], 5)]
+    r = similarity.threshold_precision(table, 0.5).first()
+    count = lambda k, side: sum(1 for label, s, _ in pairs if label == k and (s > 0.5 if side else s < 0.5))
+    assert (r.n_match_above, r.n_mismatch_above, r.n_match_below, r.n_mismatch_below) == (
+        count(1, 1), count(0, 1), count(1, 0), count(0, 0))
+    shown = similarity.examples(table, 0.2, 0.0, 3).collect()
+    for kind, label, keep, sign in (("true_match", 1, lambda s: s > 0.2, -1), ("false_match", 0, lambda s: s > 0.2, -1),
+                                    ("missed_match", 1, lambda s: s < 0.0, 1)):
+        want = sorted((sign * round(s, 9), ids) for k, s, ids in pairs if k == label and keep(s))[:3]
+        mine = sorted((r.place, (r.author_i, r.slot_i, r.author_j, r.slot_j)) for r in shown if r.kind == kind)
+        assert [ids for _, ids in mine] == [ids for _, ids in want]
+
+
+def test_examples_show_comments_first(spark):
+    found = spark.createDataFrame([("true_match", 0, "a", 0, "a", 1, 0.9)], "kind STRING, place INT, author_i STRING, "
+                                  "slot_i INT, author_j STRING, slot_j INT, value DOUBLE")
+    docs = spark.createDataFrame([("a", 0, "submission", 1, "p1"), ("a", 0, "comment", 5, "c5"), ("a", 0, "comment", 2, "c2")],
+                                 "author STRING, slot INT, kind STRING, ordinal BIGINT, text STRING")
+    rows = similarity.with_documents(found, docs, 2).collect()
+    assert [(r.side, r.position, r.text) for r in sorted(rows, key=lambda r: (r.side, r.position))] == [
+        (0, 0, "c2"), (0, 1, "c5"), (1, 0, None)]
+
+
+def test_authors_need_exactly_two_personas(spark):
+    rows = [("b", 0, [1.0, 0.0]), ("c", 1, [1.0, 0.0])]
+    table = spark.createDataFrame(rows, "author STRING, slot INT, embedding ARRAY<DOUBLE>")
+    with pytest.raises(Exception, match="without exactly two personas"):
+        vectors.batch_rows(table).collect()
+
+
+def test_dense_vectors_fill_gaps(spark):
+    counts = spark.createDataFrame([("p", "t1", 2), ("p", "t4", 7), ("p", "zz", 5), ("q", "zz", 1)],
+                                   "k STRING, token STRING, n BIGINT")
+    tset, k = tokens.token_set(spark.createDataFrame([(f"t{i}", i) for i in range(6)] + [("t4", 9)], "token STRING, rank INT"))
+    everyone = spark.createDataFrame([("p",), ("q",), ("r",)], "k STRING")
+    got = {r.k: (list(r.counts), r.n_total, r.n_in_set, r.n_excluded)
+           for r in tokens.persona_vectors(counts, tset, k, ["k"], everyone).collect()}
+    assert k == 6 and got == {"p": ([0, 2, 0, 0, 7, 0], 14, 9, 5), "q": ([0] * 6, 1, 0, 1), "r": ([0] * 6, 0, 0, 0)}
+
+
+def test_token_ids_become_text(spark):
+    vocabulary = spark.createDataFrame([(7, "seven"), (8, "eight")], "token_id INT, token STRING")
+    ids = spark.createDataFrame([(8,), (9,)], "token_id INT")
+    assert {r.token_id: r.token for r in tokens.with_token_text(ids, vocabulary).collect()} == {8: "eight", 9: None}
+
+
+def test_summary_counts_in_one_scan(spark):
+    posts = spark.createDataFrame([("a", "s1"), ("a", "s2"), (None, "s1")], "author STRING, subreddit STRING")
+    notes = spark.createDataFrame([("b", "s1"), ("a", "s1")], "author STRING, subreddit STRING")
+    r = corpus.activity_summary(posts, notes, 2, 2).first()
+    assert (r.n_authors, r.n_active_authors, r.n_subreddits, r.n_active_subreddits) == (3, 1, 2, 1)
+
+
+def _pairs_with_features(spark, n=60, width=4):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(n, width))
+    y = (x @ np.array([1.5, -1, 0.5, 0]) + rng.normal(size=n) * 0.5 > 0).astype(int)
+    long = [(f"a{i}", "b", int(y[i]), "train", j, float(x[i, j])) for i in range(n) for j in range(width)]
+    table = spark.createDataFrame(long, "author_a STRING, author_b STRING, label INT, arm STRING, pos INT, value DOUBLE")
+    return learners.to_vectors(table), x, y
+
+
+def test_logistic_regression_equals_numpy(spark):
+    data, x, y = _pairs_with_features(spark)
+    model = learners.logistic_regression(data)
+    w, b = np.zeros(x.shape[1]), 0.0
+    for _ in range(50):  # Newton steps on the same objective: mean log loss + |w|^2 / (2 n)
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        z = np.hstack([x, np.ones((len(x), 1))])
+        grad = z.T @ (p - y) / len(y) + np.append(w, 0) / len(y)
+        hess = z.T @ (z * (p * (1 - p))[:, None]) / len(y) + np.diag([1 / len(y)] * x.shape[1] + [0])
+        step = np.linalg.solve(hess, grad)
+        w, b = w - step[:-1], b - step[-1]
+    assert np.allclose(model.coefficients.toArray(), w, atol=1e-3) and abs(model.intercept - b) < 1e-3
+
+
+def test_pca_equals_numpy(spark):
+    data, x, _ = _pairs_with_features(spark)
+    scores, ratios = learners.pca_scores(data, 2, 3)
+    centred = x - x.mean(axis=0)
+    _, s, vt = np.linalg.svd(centred, full_matrices=False)
+    assert np.allclose(ratios, (s ** 2 / (s ** 2).sum())[:3])
+    want = np.abs(centred @ vt[:2].T)
+    got = {r.author_a: np.abs(r.scores) for r in scores.collect()}
+    assert all(np.allclose(got[f"a{i}"], want[i]) for i in range(len(x)))
+
+
+def test_derangement_stays_inside_the_arm(spark):
+    authors = spark.createDataFrame([(f"a{i}",) for i in range(60)], "author STRING")
+    rows = learners.arm_pairs(authors).collect()
+    arm = lambda n: (lambda h: "train" if h < 70 else "val" if h < 85 else "test")(
+        int(hashlib.sha256(n.encode()).hexdigest(), 16) % 100)
+    assert {r.arm for r in rows} == {"train", "val"}
+    assert all(arm(r.author_a) == arm(r.author_b) == r.arm for r in rows)
+    assert all((r.author_a == r.author_b) == (r.label == 1) for r in rows)
+
+
+def test_boosted_trees_learn(spark):
+    data, _, _ = _pairs_with_features(spark)
+    assert learners.accuracy(learners.boosted_trees(data, 2).transform(data)) > 0.9
