@@ -24,9 +24,9 @@ import pyarrow as pa
 from penprint.llm.words import SPACE, hash_spans, text_buffers
 
 # Bytes of text encoded together.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 # Parts of text remembered by a Python worker (about 30 bytes each); longer parts are not kept.
-MEMORY = 2_000_000
+MEMORY = 1_200_000
 LONGEST_KEPT = 64
 
 _VISIBLE = np.zeros(256, bool)
