@@ -64,4 +64,4 @@ def test_entry_smoke(spark):
     df = entry(spark)
     assert [f.name for f in df.schema.fields] == ["entity1", "persona1", "entity2", "persona2", "match_score"]
     rows = df.collect()
-    assert len(rows) == 28 and all(r.match_score is not None and r.match_score <= 0 for r in rows)
+    assert len(rows) == 39 and all(r.match_score is not None and r.match_score <= 0 for r in rows)
