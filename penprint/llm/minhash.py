@@ -217,8 +217,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.concat_ws(":", F.coalesce(id_value.cast("string"), F.lit("null")), digest)
 
     signed, classes = _grouped(docs, id_col, text_col, part_shingles)
-    leaders = (signed.where("n_shingles > 0").join(classes.select("class", "root"), "class").groupBy("root")
-               .agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "digest")).alias("leader"))
+    # The copies of a text come down to one row before the join.
+    firsts = signed.where("n_shingles > 0").groupBy("class").agg(
+        F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "digest")).alias("leader"))
+    leaders = (firsts.join(classes.select("class", "root"), "class").groupBy("root").agg(F.min("leader").alias("leader"))
                .select(key(F.col("leader.id"), F.col("leader.digest")).alias("key")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key(
         F.col(id_col), F.md5(F.col(text_col).cast("binary"))).alias("key"), (F.length(F.translate(
