@@ -30,7 +30,7 @@ VOCABULARY = "byte_bpe_50k.json"
 WINDOW = 2048
 END_ID = 1
 # UTF-8 bytes of text in a shard, about; the number of shards grows with the input.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 # The seed is looked up by its most telling terms; neighbours asked for at a time.
 QUERY_TERMS = 24
 NEIGHBOURS = 16
