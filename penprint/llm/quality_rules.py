@@ -32,14 +32,14 @@ from penprint.llm.tables import constant_array, stored
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
+# A power of two.
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
 CUT = -0.4
 
 
 def words_of(text: Column) -> Column:
-    trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
 def _let(value: Column, body) -> Column:
@@ -47,38 +47,45 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
-    """Words inside windows that occur twice or more, given the words' hashes."""
-    n = F.size(hashes)
-    windows = F.when(n < window, F.array().cast("array<bigint>")).otherwise(F.transform(
-        F.sequence(F.lit(0), n - window), lambda i: F.xxhash64(*[hashes[i + k] for k in range(window)])))
+def with_hashes(rows: DataFrame) -> DataFrame:
+    """Adds to (.., text): ``words``, and the hashes of words, word pairs, five-word windows and word ends.
 
-    def covered(all_windows: Column) -> Column:
-        sorted_windows = F.array_sort(F.transform(all_windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        twice = _let(sorted_windows, lambda s: F.array_sort(F.transform(
-            F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"])),
-            lambda x: x["i"])))
-        return _let(twice, lambda at: F.aggregate(
-            F.transform(at, lambda i, k: F.least(F.coalesce(F.get(at, k + 1) - i, F.lit(window)), F.lit(window))),
-            F.lit(0).cast("bigint"), lambda total, x: total + x))
+    Every array is a column of its own, built from the one before by joining
+    it with itself shifted, so no step looks up positions.
+    """
+    def joined(a: str, b: str, shift: int, short: int) -> Column:
+        """Hashes of a[i] with b[i + shift], ``short`` fewer than there are words."""
+        n = F.greatest(F.size("words") - short, F.lit(0))
+        return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1 + shift), n), lambda x, y: F.xxhash64(x, y))
 
-    return _let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("bigint"))
-                .otherwise(F.coalesce(covered(w), F.lit(0).cast("bigint"))))
+    return (rows.withColumn("words", words_of(F.col("text")))
+            .withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+            .withColumn("ends", F.transform("words", lambda w: F.xxhash64(F.lit("end"), F.substring(w, -3, 3))))
+            .withColumn("pairs", joined("hashes", "hashes", 1, 1))
+            .withColumn("fours", joined("pairs", "pairs", 2, 3))
+            .withColumn("windows", joined("fours", "hashes", 4, 4)))
 
 
-def grams(words: Column, hashes: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of a document's n-grams."""
-    bucket = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
-    n = F.size(hashes)
-    pairs = F.when(n < 2, F.array().cast("array<int>")).otherwise(F.transform(
-        F.sequence(F.lit(0), n - 2), lambda i: bucket(F.xxhash64(hashes[i], hashes[i + 1]))))
-    ends = F.transform(words, lambda w: bucket(F.xxhash64(F.lit("end"), F.right(w, F.lit(3)))))
-    return F.concat(F.transform(hashes, bucket), pairs, ends)
+def repeated_words(windows: Column, width: int = WINDOW) -> Column:
+    """Words inside windows that occur twice or more, given the windows' hashes."""
+    by_hash = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    twice = _let(by_hash, lambda s: F.sort_array(F.transform(
+        F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"])),
+        lambda x: x["i"])))
+    covered = _let(twice, lambda at: F.aggregate(
+        F.transform(at, lambda i, k: F.least(F.coalesce(F.get(at, k + 1) - i, F.lit(width)), F.lit(width))),
+        F.lit(0).cast("bigint"), lambda total, x: total + x))
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("bigint")).otherwise(
+        F.coalesce(covered, F.lit(0).cast("bigint")))
 
 
-def _with_words(rows: DataFrame) -> DataFrame:
-    split = rows.withColumn("words", words_of(F.col("text")))
-    return split.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+def mean_ratio(ratio: Column, buckets: int = BUCKETS) -> Column:
+    """Sum of the n-grams' ratios divided by their number; 0 without words."""
+    def total(name: str) -> Column:
+        return F.aggregate(name, F.lit(0.0), lambda acc, h: acc + F.get(ratio, h.bitwiseAND(F.lit(buckets - 1))))
+
+    n = F.size("words")
+    return F.when(n == 0, F.lit(0.0)).otherwise((total("hashes") + total("pairs") + total("ends")) / (3 * n - 1))
 
 
 def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -87,8 +94,10 @@ def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     trusted = (labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
                .where("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label"))
                .where("label = 1").select("id", F.lit(True).alias("good")))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(trusted, "id", "left")
-    each = _with_words(rows).select("good", F.explode(grams(F.col("words"), F.col("hashes"), buckets)).alias("bucket"))
+    # Labels grow with the corpus: the same shuffled join at every size, no broadcast.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(trusted.hint("merge"), "id", "left")
+    each = with_hashes(rows).select("good", F.explode(F.concat("hashes", "pairs", "ends")).alias("gram")).select(
+        "good", F.col("gram").bitwiseAND(F.lit(buckets - 1)).alias("bucket"))
     counts = stored(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good")), "grams")
     raw, good = counts.agg(F.sum("raw"), F.sum("good")).first()
     spark = docs.sparkSession
@@ -103,18 +112,14 @@ def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def measured(docs: DataFrame, ratio: Column, id_col: str, text_col: str, buckets: int = BUCKETS) -> DataFrame:
     """All counts and the mean log ratio of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    n_words = F.size("words").cast("bigint")
-    lines = F.filter(F.split(text, "\n"), lambda line: F.trim(line, F.lit(SPACES)) != "")
-    rows = _with_words(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    rows = rows.select(
-        F.col("id"), n_words.alias("n_words"),
-        F.length(F.translate(text, SPACES, "")).cast("bigint").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+    lines = F.filter(F.split(text, "\n"), lambda line: F.ltrim(line, F.lit(SPACES)) != "")
+    rows = with_hashes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return rows.select(
+        F.col("id"), F.size("words").cast("bigint").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("bigint").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
-        repeated_words(F.col("hashes")).cast("bigint").alias("n_repeat_words"),
-        grams(F.col("words"), F.col("hashes"), buckets).alias("grams"))
-    total = F.aggregate("grams", F.lit(0.0), lambda acc, g: acc + F.get(ratio, g))
-    return rows.withColumn("score", F.coalesce(total / F.nullif(F.size("grams"), F.lit(0)), F.lit(0.0)))
+        repeated_words(F.col("windows")).alias("n_repeat_words"), mean_ratio(ratio, buckets).alias("score"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT,
