@@ -30,7 +30,7 @@ from penprint.llm.tables import constant_array, stored
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
          ("block", "com/de/"))
 ORDER = 4
-BUCKETS = 1 << 16
+BUCKETS = 1 << 15
 # Weight of the shorter context's estimate, in characters.
 PULL = 2.0
 ALPHABET = 256
