@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from penprint.session import cut_lineage
+
 # Default thresholds of the reference's selection rules.
 ACTIVE_SUBREDDIT_MIN_COUNT = 1000      # P6: count strictly greater than this
 MIN_MAX_NEIGHBOURS = 20                # P14: max shared authors with any other subreddit
@@ -53,9 +55,10 @@ def subreddit_adjacency(incidence: DataFrame, parts: int = PARTS) -> DataFrame:
     ``sole_chars_a`` / ``sole_chars_b`` are that author's characters in each community.
     """
     chars = F.col("num_characters").cast("double") if "num_characters" in incidence.columns else F.lit(None).cast("double")
-    inc = (incidence.select(_known("author").alias("author"), _known("subreddit").alias("subreddit"), chars.alias("chars"))
-           .groupBy("author", "subreddit").agg(F.max("chars").alias("chars"))
-           .withColumn("part", F.pmod(F.xxhash64("subreddit"), F.lit(parts)).cast("int")))
+    # Both sides of the join read the incidences: one row per author and community, written out once.
+    inc = cut_lineage(incidence.select(_known("author").alias("author"), _known("subreddit").alias("subreddit"), chars.alias("chars"))
+                      .groupBy("author", "subreddit").agg(F.max("chars").alias("chars"))
+                      .withColumn("part", F.pmod(F.xxhash64("subreddit"), F.lit(parts)).cast("int")))
     left = inc.select("author", F.col("subreddit").alias("s1"), F.col("chars").alias("c1"), F.col("part").alias("p1"),
                       F.explode(F.sequence(F.col("part"), F.lit(parts - 1))).alias("p2"))
     right = inc.select("author", F.col("subreddit").alias("s2"), F.col("chars").alias("c2"),

@@ -25,12 +25,18 @@ DEFAULTS = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+# Heap of a local run's single JVM.
+LOCAL_MEMORY = "8g"
+
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "penprint") -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local") and not os.environ.get("PYSPARK_SUBMIT_ARGS"):
+            # A local run is one JVM; Spark's default heap of 1 GB makes it spill on small tables.
+            builder = builder.config("spark.driver.memory", LOCAL_MEMORY)
     builder = builder.config("spark.ui.enabled", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
