@@ -39,15 +39,24 @@ class Span(NamedTuple):
 
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-# Runs are matched whole (possessive), which changes no match and keeps long digit runs linear.
+# Runs are matched whole (possessive), which keeps long digit runs linear; it changes no match but that of _IBAN.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+\b")
+# The longest run an account number can take; `_ibans` finds where in it the number ends.
+_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+")
+_GROUP_END = re.compile(r"(?<=\w)\b")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
-_ACCOUNT = re.compile(r"(?<![0-9.-])[0-9]{8,12}(?![0-9.-])")
+_ACCOUNT = re.compile(r"(?<![0-9.-])[0-9]{8,12}(?![0-9]|[.-][0-9])")
+# Characters of an account number by country.
+_IBAN_CHARS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 "
+    "ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 "
+    "LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 "
+    "PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 "
+    "YE30").split()}
 _WORDS = {
     "iban": re.compile(r"\b(?:iban|konto|account|bank|compte|cuenta)\b", re.I),
     "ssn": re.compile(r"\b(?:ssn|social security|tax id)\b", re.I),
@@ -63,9 +72,28 @@ def luhn(digits: str) -> bool:
     return (sum(doubled) + sum(map(int, digits[-1::-2]))) % 10 == 0
 
 
-def mod97(account: str) -> bool:
-    moved = account[4:] + account[:4]
-    return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers whose checksum holds: every start, ended after a whole group of letters and digits.
+
+    The end that gives the country's length is tried first, then every other one, longest first.
+    """
+    match = _IBAN.search(text)
+    while match:
+        start, done, sound = match.start(), 0, []
+        # Remainder of what follows the first four characters, and of those four moved behind it.
+        head = "".join(str(int(c, 36)) for c in match[0][:4])
+        moved, head, rest, n = 10 ** len(head), int(head), 0, 4
+        for at in range(start + 4, match.end()):
+            if text[at] == " ":
+                continue
+            value = int(text[at], 36)
+            rest, n = (rest * (100 if value > 9 else 10) + value) % 97, n + 1
+            if n >= 15 and (rest * moved + head) % 97 == 1 and _GROUP_END.match(text, at + 1):
+                sound.append((n == _IBAN_CHARS.get(match[0][:2]), n, at + 1))
+        if sound:
+            done = max(sound)[2]
+            yield start, done
+        match = _IBAN.search(text, done or start + 4)
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -104,15 +132,13 @@ def added_spans(text: str, taken: list[Span]) -> Iterator[Span]:
     for k, (kind, pattern) in enumerate((("iban", _IBAN), ("ssn", _SSN), ("local_phone", _LOCAL_PHONE),
                                          ("account", _ACCOUNT)), len(BASE)):
         own, near, sound = _SCORES[kind]
-        for m in pattern.finditer(text):
-            score = own
-            if kind == "iban":
-                score += sound if mod97(m[0].replace(" ", "")) else -own
-            around = text[max(0, m.start() - CONTEXT):m.start()] + " " + text[m.end():m.end() + CONTEXT]
+        for start, end in _ibans(text) if kind == "iban" else (m.span() for m in pattern.finditer(text)):
+            score = own + (sound if kind == "iban" else 0)
+            around = text[max(0, start - CONTEXT):start] + " " + text[end:end + CONTEXT]
             score += near if _WORDS[kind].search(around) else 0
-            if score + 1e-9 >= ACCEPT and not any(a < m.end() and m.start() < b for a, b in busy):
-                busy.append((m.start(), m.end()))
-                yield Span(m.start(), k, m.end(), round(score, 2))
+            if score + 1e-9 >= ACCEPT and not any(a < end and start < b for a, b in busy):
+                busy.append((start, end))
+                yield Span(start, k, end, round(score, 2))
 
 
 def spans_of(text: str | None) -> tuple[list[Span], list[Span]]:

@@ -72,3 +72,20 @@ def test_long_runs_take_linear_time():
         began = time.time()
         pii.spans_of(text)
         assert time.time() - began < 20
+
+
+def test_text_after_the_number_hides_no_account():
+    def found(text):
+        return [text[s.start:s.end] for s in pii.spans_of(text)[1] if s.kind >= 4]
+
+    for number in ("GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00",
+                   "NO9386011117947", "MT84MALT011000012345MTLCAST001S", "FR14 2004 1010 0505 0001 3M02 606"):
+        bare = number.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+        for after in ("", " Please confirm", " A note", " BIC COBADEFFXXX", " 12 MAY", ". Thanks", ", 5 EUR", " 7 AB12 CD"):
+            assert found(f"Pay {number}{after}") == [number], after
+        assert found(f"Pay {number}x") == [] and found(f"{number} {number}") == [number] * 2
+    assert found("AB12 GB82WEST12345698765432 OK") == ["GB82WEST12345698765432"]
+    assert found("account 12345678.") == ["12345678"] and found("account 12345678- closed") == ["12345678"]
+    assert found("account 12345678.5") == [] and found("account 12345678-9") == []
+    assert pii.redacted("To GB82WEST12345698765432 Please") == "To [IBAN] Please"
