@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from penprint.llm import decontamination, minhash, packing, pii, quality
 from penprint.llm.tables import stored
 
+# 85 is the contract of op2 alone.
+NEAR_PERCENT = 80
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -25,8 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return minhash.keep_one(docs)
+    """One document of each group of near copies; a link needs NEAR_PERCENT of two documents' shingles in common."""
+    return minhash.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 Words are A-Z folded runs outside white space; a document's set holds its
 distinct 5-word shingles (the whole sequence when it has fewer words). Under
 each of 60 permutations both the smallest and the largest image are kept: 120
-unbiased values from 60 evaluations. They are cut into 24 bands of 5; two sets
-at the threshold 0.85 share no band with probability below 1e-6.
+unbiased values from 60 evaluations. They are cut into 24 bands of 5, or for a
+threshold below ``PERCENT`` into bands short enough: two sets at the threshold
+share no band with probability below 1e-6 (0.85: 24 bands of 5; 0.8: 30 of 4).
 
 Equal sets form one class before anything is compared, so copies cost nothing.
 Classes that share a band meet in groups of bounded size (a larger bucket is
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +35,32 @@ from penprint.llm.tables import components, stored
 from penprint.llm.words import hashed_words, inside_texts, mix, rolling
 
 WIDTH = 5
-# A link needs 100 * intersection >= 85 * union.
+# A link needs 100 * intersection >= percent * union; PERCENT unless the caller says otherwise.
 PERCENT = 85
 PERMUTATIONS, BANDS = 60, 24
+# Probability, at most, that two sets at the threshold share no band.
+MISS = 1e-6
 # Shingles of one part of a bucket; a task holds two parts.
 PART_SHINGLES = 1 << 16
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _MULTIPLY = (_rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _ADD = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)[:, None]
-_BAND = _rng.integers(1, 1 << 63, (BANDS, 1 + 2 * PERMUTATIONS // BANDS), dtype=np.uint64)
+
+
+@cache
+def _band_factors(bands: int) -> np.ndarray:
+    rng = np.random.Generator(np.random.PCG64([77, bands]))
+    return rng.integers(1, 1 << 63, (bands, 1 + 2 * PERMUTATIONS // bands), dtype=np.uint64)
+
+
+def bands_for(percent: int) -> int:
+    """The fewest bands, BANDS at least, that miss two sets at the threshold with probability below MISS."""
+    values = 2 * PERMUTATIONS
+    for bands in range(BANDS, values + 1):
+        if values % bands == 0 and (1 - (percent / 100) ** (values // bands)) ** bands < MISS:
+            return bands
+    raise ValueError(f"no bands of {values} values find sets at {percent} % of similarity")
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -69,9 +87,9 @@ def min_max(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate([low, high])
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    cut = values.reshape(BANDS, -1).astype(np.uint64)
-    return mix((cut * (_BAND[:, 1:] | np.uint64(1))).sum(axis=1, dtype=np.uint64) + _BAND[:, 0])
+def band_keys(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    cut, by = values.reshape(bands, -1).astype(np.uint64), _band_factors(bands)
+    return mix((cut * (by[:, 1:] | np.uint64(1))).sum(axis=1, dtype=np.uint64) + by[:, 0])
 
 
 def set_class(shingles: np.ndarray) -> bytes:
@@ -79,7 +97,7 @@ def set_class(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def signatures(batches: Iterator[pa.RecordBatch], n_bands: int = BANDS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             some = batch.slice(at, 1000)
@@ -87,7 +105,7 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in shingle_sets(some.column(1)):
                 sizes.append(len(s))
                 classes.append(set_class(s) if len(s) else None)
-                bands.append(band_keys(min_max(s)).view(np.int64) if len(s) else None)
+                bands.append(band_keys(min_max(s), n_bands).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [some.column(0), some.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64()))], names=["id", "digest", "n_shingles", "class", "bands"])
@@ -152,22 +170,24 @@ def connect(sets: list[np.ndarray], part: np.ndarray, percent: int = PERCENT) ->
             index.setdefault(t, []).append(x)
 
 
-def confirm(table: pa.Table) -> pa.Table:
+def confirm(table: pa.Table, percent: int = PERCENT) -> pa.Table:
     """Links of one group of classes (or of two parts of a large bucket)."""
     names = table["class"].to_pylist()
     sets = [np.frombuffer(s, np.uint64) for s in table["set"].to_pylist()]
-    found = list(connect(sets, table["part"].to_numpy()))
+    found = list(connect(sets, table["part"].to_numpy(), percent))
     return pa.table({"a": pa.array([names[x] for x, _ in found], pa.binary()),
                      "b": pa.array([names[y] for _, y in found], pa.binary())})
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, part_shingles: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, part_shingles: int,
+             percent: int) -> tuple[DataFrame, DataFrame]:
     """(id, digest, n_shingles, class) of every row, and (class, root) of every class."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        F.md5(F.col(text_col).cast("binary")).alias("digest"))
     kind = rows.schema["id"].dataType.simpleString()
+    bands = bands_for(percent)
     signed = stored(rows.mapInArrow(
-        signatures, f"id {kind}, digest string, n_shingles bigint, class binary, bands array<bigint>"), "signatures")
+        lambda batches: signatures(batches, bands), f"id {kind}, digest string, n_shingles bigint, class binary, bands array<bigint>"), "signatures")
     classes = stored(signed.where("n_shingles > 0").groupBy("class").agg(
         F.min("id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")),
         "classes")
@@ -187,16 +207,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, part_shingles: int) ->
     met = members.select("bucket", "class", "part", F.explode(F.expr(
         "transform(sequence(0, parts - 1), j -> struct(least(part, j) as i, greatest(part, j) as j))")).alias("pair"))
     links = (met.select("bucket", "pair.i", "pair.j", "class", "part").join(sets, "class")
-             .groupBy("bucket", "i", "j").applyInArrow(confirm, "a binary, b binary"))
+             .groupBy("bucket", "i", "j").applyInArrow(lambda table: confirm(table, percent), "a binary, b binary"))
     roots = components(links)
     return signed, classes.select("class", "first_id").join(roots, F.col("class") == F.col("node"), "left").select(
         "class", "first_id", F.coalesce("root", "class").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    part_shingles: int = PART_SHINGLES) -> DataFrame:
+                    part_shingles: int = PART_SHINGLES, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
-    signed, classes = _grouped(docs, id_col, text_col, part_shingles)
+    signed, classes = _grouped(docs, id_col, text_col, part_shingles, percent)
     smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = classes.join(smallest, "root").select("class", "component_id")
     alone = signed.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
@@ -206,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             part_shingles: int = PART_SHINGLES) -> DataFrame:
+             part_shingles: int = PART_SHINGLES, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group, and every row without words.
 
     The row with the group's smallest id stays (a null id only if there is no
@@ -216,7 +236,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def key(id_value, digest):
         return F.concat_ws(":", F.coalesce(id_value.cast("string"), F.lit("null")), digest)
 
-    signed, classes = _grouped(docs, id_col, text_col, part_shingles)
+    signed, classes = _grouped(docs, id_col, text_col, part_shingles, percent)
     # The copies of a text come down to one row before the join.
     firsts = signed.where("n_shingles > 0").groupBy("class").agg(
         F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "digest")).alias("leader"))

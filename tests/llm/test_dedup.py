@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from cases import documents, prose, rows, words
 from penprint.llm import minhash, substrings
 from penprint.llm.tables import components
@@ -129,3 +130,27 @@ def test_repeated_windows_go(spark, block):
 def test_packed_hashes_round_trip():
     x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64))
     assert np.array_equal(substrings.unpack_hashes(substrings.pack_hashes(x)), x)
+
+
+def test_pipeline_stage_links_at_eighty_percent(spark):
+    """The stage against brute force at 0.8, on pairs of which most are at least 0.8 and below 0.85 alike."""
+    data = []
+    for k in range(40):
+        w = prose(3000 + k, 60 + k % 7).split()
+        data += [(10 * k, " ".join(w)), (10 * k + 1, " ".join(w[:30] + ["other"] + w[31:]))]
+    sets = [shingles(t) for _, t in data]
+    alike = [100 * len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(80 <= x < 85 for x in alike) >= 20
+    data += edited(30)
+    sets = [shingles(t) for _, t in data]
+    group = list(range(len(data)))
+    for a in range(len(data)):
+        for b in range(a):
+            if group[a] != group[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    first = {}
+    for (i, _), g in zip(data, group, strict=True):
+        first[g] = min(first.get(g, i), i)
+    kept = corpus_pipeline.near_duplicate_stage(spark, documents(spark, data), "")
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(first.values())
+    assert minhash.bands_for(85) == minhash.BANDS and minhash.bands_for(80) == 30
