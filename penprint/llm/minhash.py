@@ -189,7 +189,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, part_shingles: int,
     signed = stored(rows.mapInArrow(
         lambda batches: signatures(batches, bands), f"id {kind}, digest string, n_shingles bigint, class binary, bands array<bigint>"), "signatures")
     classes = stored(signed.where("n_shingles > 0").groupBy("class").agg(
-        F.min("id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")),
+        F.min("id").alias("first_id"), F.min(F.struct("id", "digest")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")),
         "classes")
     banded = classes.select("class", "n_shingles", F.explode("bands").alias("bucket"))
     buckets = (banded.groupBy("bucket").agg(
@@ -201,8 +201,11 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, part_shingles: int,
     members = stored(banded.join(buckets, "bucket").select(
         "bucket", "class", "parts", F.pmod(F.xxhash64("class", "bucket"), F.col("parts")).cast("int").alias("part")),
         "members")
-    wanted = members.select("class").distinct().join(classes.select("class", "first_id"), "class")
-    sets = (rows.join(wanted, F.col("id").eqNullSafe(F.col("first_id"))).select("class", "text")
+    # By id and text: rows without an id meet only the class of their text.
+    wanted = members.select("class").distinct().join(classes.select(
+        "class", F.col("one.id").alias("one_id"), F.col("one.digest").alias("one_digest")), "class")
+    sets = (rows.join(wanted, F.col("id").eqNullSafe(F.col("one_id")) & (F.col("digest") == F.col("one_digest")))
+            .select("class", "text")
             .mapInArrow(full_sets, "class binary, set binary").dropDuplicates(["class"]))
     met = members.select("bucket", "class", "part", F.explode(F.expr(
         "transform(sequence(0, parts - 1), j -> struct(least(part, j) as i, greatest(part, j) as j))")).alias("pair"))

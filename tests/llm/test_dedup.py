@@ -154,3 +154,19 @@ def test_pipeline_stage_links_at_eighty_percent(spark):
     kept = corpus_pipeline.near_duplicate_stage(spark, documents(spark, data), "")
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(first.values())
     assert minhash.bands_for(85) == minhash.BANDS and minhash.bands_for(80) == 30
+
+
+def test_rows_without_id_meet_only_their_own_class(spark, monkeypatch):
+    read, plain = spark.sparkContext.accumulator(0), minhash.full_sets
+
+    def counted(batches):
+        def seen():
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+        return plain(seen())
+
+    monkeypatch.setattr(minhash, "full_sets", counted)
+    data = [(None, prose(4000 + k // 2, 60) + " end" * (k % 2)) for k in range(80)]
+    assert minhash.near_duplicates(documents(spark, data)).count() == 80
+    assert 0 < read.value <= 4 * len(data)
