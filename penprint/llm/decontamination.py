@@ -13,9 +13,10 @@ block-max WAND: per block, the lists of frequent terms have one joint bound
 rarer term has its block maximum. A passage looks into a block only if the
 bounds of the terms it has reach the threshold, so all segments at or above
 it are found. They are then verified against the whole document: at least
-``OVERLAP`` of the five-word shingles of the item's question (all but the last
-quarter of its words) and of its answer (the last quarter, five words at
-least) have to occur.
+``OVERLAP`` of the item's five-word shingles have to occur, or that share of
+those of its question (all but the last quarter of its words) and of its
+answer (the last quarter, five words at least). The first finds an item one of
+whose words was changed wherever that word stands, in a short answer too.
 
 The index is built and broadcast for at most ``INDEX_BYTES`` of items at a
 time; a larger benchmark is searched in several rounds.
@@ -70,7 +71,7 @@ class Index:
                 segments.append(piece)
                 owner.append(len(self.ids))
             self.ids.append(ids[i])
-            self.parts.append((question, answer))
+            self.parts.append((question, answer, np.unique(runs[at:to - WIDTH + 1])))
         order = self._similar_first(segments)
         self.owner = np.array(owner, np.int64)[order]
         self._weigh([segments[k] for k in order])
@@ -188,8 +189,8 @@ class Index:
         for (d, item), score in sorted(found.items()):
             if d != held:
                 held, shingles = d, np.unique(runs[offsets[d]:max(offsets[d + 1] - WIDTH + 1, offsets[d])])
-            question, answer = (float(np.isin(p, shingles).mean()) for p in self.parts[item])
-            if question >= OVERLAP and answer >= OVERLAP:
+            question, answer, whole = (float(np.isin(p, shingles).mean()) for p in self.parts[item])
+            if whole >= OVERLAP or (question >= OVERLAP and answer >= OVERLAP):
                 yield d, item, score, question, answer
 
 

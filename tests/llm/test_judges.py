@@ -248,6 +248,24 @@ def test_items_are_found_wherever_they_stand(spark):
     assert decontamination.contaminated_pairs(docs, table.where("item_id < 0")).collect() == []
 
 
+def test_one_changed_word_hides_no_item():
+    """A copy that has 0.8 of its item's shingles is found whichever word was changed, in the short answer too."""
+    import pyarrow as pa
+    items = [prose(900 + n, n) for n in (9, 15, 16, 24, 29, 30, 40, 59)]
+    index = decontamination.Index(list(range(len(items))), items)
+    texts, want = [], set()
+    for k, item in enumerate(items):
+        w = item.split()
+        for at in range(len(w)):
+            changed = w[:at] + ["changed"] + w[at + 1:]
+            grams = [{tuple(x[j:j + 5]) for j in range(len(x) - 4)} for x in (w, changed)]
+            if len(grams[0] & grams[1]) >= 0.8 * len(grams[0]):
+                want.add((len(texts), k))
+            texts.append("some words before it " + " ".join(changed) + " and some more words behind")
+    found = {(d, i) for d, i, *_ in index.matches(pa.array(texts))}
+    assert want <= found and len(want) > 130
+
+
 def test_block_bounds_lose_no_segment():
     """Every passage that scores a segment at the threshold or above has the segment's block alive."""
     import pyarrow as pa
