@@ -202,6 +202,30 @@ def test_url_score_equals_a_plain_markov_model(spark):
         assert abs(out[i].score - (likelihood(t, counts["allow"]) - likelihood(t, counts["block"])) / len(t)) < 1e-9
 
 
+def test_url_counts_share_nothing_at_any_size(spark):
+    """With more n-grams than any fixed table, the score is still that of exact counts."""
+    data = [(k, f"http://{prose(k, 2).replace(' ', '')}{k}.{('org/', 'com/de/', 'net/')[k % 3]}{prose(9000 + k, 8).replace(' ', '-')}")
+            for k in range(1800)] + [(5000, "http://a.org/x"), (5001, "http://a.org/x")]
+    out = {r.page_id: r for r in urls.judge(spark.createDataFrame(data, "page_id bigint, url string")).collect()}
+    text = {i: "".join(plain_rule(u)[:2]) for i, u in data}
+    counts = {side: Counter(text[i][p - k:p + 1] for i, u in data if plain_rule(u)[3] == side for k in range(5)
+                            for p in range(k, len(text[i]))) for side in ("allow", "block")}
+    total = {side: sum(v for g, v in c.items() if len(g) == 1) for side, c in counts.items()}
+
+    def likelihood(t, side):
+        c, out_ = counts[side], 0.0
+        for i in range(len(t)):
+            p = (c[t[i]] + urls.PULL / urls.ALPHABET) / (total[side] + urls.PULL)
+            for k in range(1, min(i, 4) + 1):
+                p = (c[t[i - k:i + 1]] + urls.PULL * p) / (c[t[i - k:i]] + urls.PULL)
+            out_ += math.log(p)
+        return out_
+
+    assert len(out) == len(data)
+    for i, t in text.items():
+        assert abs(out[i].score - (likelihood(t, "allow") - likelihood(t, "block")) / len(t)) < 1e-9
+
+
 def test_urls_without_both_kinds_are_allowed(spark):
     pages = spark.createDataFrame([(1, "http://a.org/"), (2, "http://a.net/")], "page_id bigint, url string")
     assert {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages).collect()} == {1: ("org/", "allow"), 2: (None, "allow")}
