@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve, for file pruning in several dimensions at once.
 
-Every dimension (strings by their first bytes, numbers by value) is quantised
+Every dimension (strings and numbers by their whole values) is quantised
 into 2^BITS bins of about equal rows; the bins' Hilbert index orders the rows
 so that neighbours on the curve agree in all dimensions, and the curve is cut
 into runs of equal length. Law ``rows``: shard sizes differ by one row at most.
@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from penprint.llm.tables import stored
 from penprint.operators.indexing import with_dense_index
 
 BITS = 5
@@ -62,26 +63,42 @@ def hilbert_index(bins: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _code(docs: DataFrame, column: str) -> Column:
-    """A dimension as an order-keeping number: numbers as they are, others by their first six bytes."""
-    if isinstance(docs.schema[column].dataType, NumericType):
-        return F.col(column).cast("double")
-    raw = F.hex(F.substring(F.col(column).cast("string").cast("binary"), 1, 6))
-    return F.conv(F.rpad(raw, 12, "0"), 16, 10).cast("double")
+def _value_limits(docs: DataFrame, column: str, bins: int) -> list[str]:
+    """The whole values at which the column's sorted rows pass each of ``bins`` equal shares, the last one left out."""
+    counts = (docs.select(F.col(column).cast("string").alias("value")).where("value is not null")
+              .groupBy("value").agg(F.count(F.lit(1)).alias("n")))
+    runs = stored(counts.repartitionByRange("value").withColumn("run", F.spark_partition_id()), "values")
+    before, total = {}, 0
+    for run, n, _ in sorted(map(tuple, runs.groupBy("run").agg(F.sum("n"), F.min("value").alias("low")).collect()),
+                            key=lambda r: r[2]):
+        before[run], total = total, total + n
+    if not total:
+        return []
+    offset = F.create_map(*[F.lit(x).cast("bigint") for pair in before.items() for x in pair])[F.col("run").cast("bigint")]
+    window = Window.partitionBy("run").orderBy("value")
+    passed = (runs.withColumn("upto", F.sum("n").over(window) + offset)
+              .select("value", F.expr(f"((upto - n) * {bins}L) div {total}L").alias("low"),
+                      F.expr(f"(upto * {bins}L) div {total}L").alias("high")).where("high > low").collect())
+    return sorted(r.value for r in passed for k in range(r.low + 1, r.high + 1) if k < bins)
 
 
 def curve(docs: DataFrame, dimensions=DIMENSIONS, bits: int = BITS) -> Column:
     """Hilbert index of each row; the bins' limits are quantiles over all rows."""
-    codes = [_code(docs, d) for d in dimensions]
+    numeric = [isinstance(docs.schema[d].dataType, NumericType) for d in dimensions]
+    codes = [F.col(d).cast("double" if n else "string") for d, n in zip(dimensions, numeric, strict=True)]
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    limits = docs.agg(*[F.percentile_approx(c, shares, 10_000) for c in codes]).first()
-    limits = [np.array(x if x is not None else [], np.float64) for x in limits]
+    found = iter(docs.agg(F.count(F.lit(1)), *[F.percentile_approx(c, shares, 10_000)
+                                               for c, n in zip(codes, numeric, strict=True) if n]).first()[1:])
+    limits = [np.array(next(found) or [], np.float64) if n else np.array(_value_limits(docs, d, 1 << bits), object)
+              for d, n in zip(dimensions, numeric, strict=True)]
 
     @F.pandas_udf("bigint")
     def index(frame: pd.DataFrame) -> pd.Series:
-        values = frame.to_numpy(np.float64)
-        bins = np.column_stack([np.where(np.isnan(values[:, k]), 0, np.searchsorted(limits[k], values[:, k], side="left"))
-                                for k in range(values.shape[1])])
+        bins = np.zeros((len(frame), len(limits)), np.int64)
+        for k, limit in enumerate(limits):
+            known = frame.iloc[:, k].notna().to_numpy()
+            values = frame.iloc[:, k].to_numpy()[known]
+            bins[known, k] = np.searchsorted(limit, values.astype(limit.dtype), side="left")
         return pd.Series(hilbert_index(bins, bits))
 
     return index(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(codes)]))

@@ -336,3 +336,14 @@ def test_shards_are_equal_runs_of_the_curve(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.columns == docs.columns and back.count() == len(data)
     assert sharding.assign(documents(spark, [])).collect() == []
+
+
+def test_values_with_a_common_prefix_get_bins_of_their_own(spark):
+    data = [(k, f"common_crawl_{k % 8:02d}") for k in range(160)] + [(900, None)]
+    docs = spark.createDataFrame(data, "doc_id bigint, source string")
+    out = docs.select("source", sharding.curve(docs, ("source",)).alias("curve")).distinct().collect()
+    assert len(out) == 9 and len({r.curve for r in out if r.source}) == 8
+    known = sorted((r.source, r.curve) for r in out if r.source)
+    assert [c for _, c in known] == sorted(c for _, c in known)
+    assert sharding._value_limits(docs, "source", 4) == [f"common_crawl_{k:02d}" for k in (1, 3, 5)]
+    assert sharding._value_limits(docs.where("source is null"), "source", 4) == []
