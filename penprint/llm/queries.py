@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from penprint.llm.chat import CONTROL, END, START, TEXT, formatted_conversations
 from penprint.llm.decontamination import contaminated_pairs
 from penprint.llm.minhash import near_duplicates
 from penprint.llm.packing import pack
@@ -18,6 +19,7 @@ from penprint.llm.substrings import remove_repeats
 from penprint.llm.token_counts import count_tokens
 from penprint.llm.urls import judge as judge_url
 from penprint.llm.variants import spelling_variants
+from penprint.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +67,39 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+# A conversation whose texts hold the control strings of common chat formats.
+CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return formatted_conversations(turns.unionByName(spark.createDataFrame(CONTROL_TURNS, turns.schema)))
+
+
+def _escaped_sql(text: str) -> str:
+    text = f"replace({text}, chr(92), chr(92) || chr(92))"
+    for c in CONTROL:
+        text = f"replace({text}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return text
+
+
+OP12_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES {', '.join(map(str, CONTROL_TURNS))})
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(START + TEXT + END)} + length({_escaped_sql('role')}) + length({_escaped_sql('text')})) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -80,10 +115,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_substrings": op10_substrings,
+    "op11_whitening": op11_whitening,
+    "op12_chat_format": op12_chat_format,
     "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_chat_format": OP12_SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
