@@ -141,13 +141,15 @@ def token_accuracies(counts: DataFrame, candidates: DataFrame, pairs: DataFrame,
 
 def rank_by_accuracy(accuracies: DataFrame, candidates: DataFrame, top_n: int | None = None) -> DataFrame:
     """W4 + K11: tokens by accuracy descending (ties: candidate rank); rank after sorting.
-    Bounded by the candidate count (a parameter)."""
+
+    Candidates may be as many as the corpus has tokens: with ``top_n`` every task keeps its own best first,
+    and positions come from a distributed sort.
+    """
     j = accuracies.join(candidates.select("token", F.col("rank").alias("_cr")), "token")
     order = [F.col("accuracy").desc_nulls_last(), F.col("_cr").asc()]
-    ranked = j.withColumn("rank", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
-    if top_n is not None:
-        ranked = ranked.where(F.col("rank") < top_n)
-    return ranked.select("rank", "accuracy", "token", F.col("_cr").alias("token_index"))
+    best = j if top_n is None else j.orderBy(*order).limit(top_n)
+    ranked = with_dense_index(best, order, "rank")
+    return ranked.select(F.col("rank").cast("int").alias("rank"), "accuracy", "token", F.col("_cr").alias("token_index"))
 
 
 def spread_grid(per_label: dict[int, dict], size: int = SPREAD_GRID_SIZE, sigmas: float = SPREAD_SIGMAS) -> list[float]:

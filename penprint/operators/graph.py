@@ -2,13 +2,18 @@
 
 Two communities are joined by an edge that counts the authors active in both.
 The edges come from an equi self-join of the incidences (author, community).
-Every author's communities are cut into the same fixed number of parts by a
-hash of the community, and the join key is (author, part of one side, part of
-the other): an author active in very many communities is spread over
-PARTS * (PARTS + 1) / 2 keys, at any size of the data. Edges are counted by a
-grouped aggregate that combines map-side; beside the count it carries the
-smallest author and that author's characters, which for a count of 1 are the
-single shared author and theirs.
+Edges are counted by a grouped aggregate that combines map-side; beside the
+count it carries the smallest author and that author's characters, which for a
+count of 1 are the single shared author and theirs.
+
+Two things bound the join. An author's communities are cut into parts by the
+author's own degree (``PART`` communities a part), so an author of a few
+communities is one key, copied nowhere, and an author active everywhere is
+spread over a grid of parts. And the selection of authors needs only edges that
+touch a community with at least ``min_max_neighbours`` authors: no smaller
+community can share that many with another, so it cannot be the first of a
+pair, and two smaller ones need not meet. Such incidences meet on one side of
+the join only, and authors without a large community leave before it.
 
 P6 and P7 restrict the incidences before the join, so that only communities
 and authors that can matter are multiplied. A null author or community stops
@@ -17,7 +22,7 @@ the job with an error: it would come from a damaged input line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penprint.session import cut_lineage
@@ -27,8 +32,8 @@ ACTIVE_SUBREDDIT_MIN_COUNT = 1000      # P6: count strictly greater than this
 MIN_MAX_NEIGHBOURS = 20                # P14: max shared authors with any other subreddit
 MIN_CHARS_PER_SUBREDDIT = 5000         # P16: characters in each of the two (>=)
 
-# Parts into which every author's communities are cut for the join.
-PARTS = 4
+# Communities of one author in one part of the join.
+PART = 1024
 
 
 def _known(name: str) -> Column:
@@ -48,22 +53,56 @@ def graph_incidence(stats: DataFrame, active: DataFrame | None = None,
     return inc.select("author", "subreddit", "num_characters")
 
 
-def subreddit_adjacency(incidence: DataFrame, parts: int = PARTS) -> DataFrame:
+def _incidences(incidence: DataFrame) -> DataFrame:
+    """(author, subreddit, chars), one row each. Repeated rows must agree: which one stands is for the reader
+    of the statistics to decide (``readers.last_of``)."""
+    chars = F.col("num_characters").cast("double") if "num_characters" in incidence.columns else F.lit(None).cast("double")
+    rows = incidence.select(_known("author").alias("author"), _known("subreddit").alias("subreddit"), chars.alias("chars"))
+    one = rows.groupBy("author", "subreddit").agg(F.min("chars").alias("chars"), F.max("chars").alias("_most"))
+    message = F.concat(F.lit("repeated statistics of an author and community: "), F.col("author").cast("string"), F.lit(", "),
+                       F.col("subreddit").cast("string"))
+    agreed = F.when(F.col("chars").eqNullSafe(F.col("_most")), F.col("chars")).otherwise(F.raise_error(message))
+    return one.select("author", "subreddit", agreed.alias("chars"))
+
+
+def shared_author_rows(incidence: DataFrame, min_degree: int = 1, part: int = PART) -> DataFrame:
+    """The joined rows behind the edges: (s1, c1, s2, c2, author), s1 a community of at least ``min_degree`` authors.
+
+    Two such communities meet once (s1 < s2); a smaller one only as s2.
+    """
+    inc = cut_lineage(_incidences(incidence))
+    if min_degree > 1:
+        large = inc.groupBy("subreddit").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") >= min_degree)
+        inc = inc.join(large.select("subreddit", F.lit(True).alias("large")), "subreddit", "left")
+    else:
+        inc = inc.withColumn("large", F.lit(True))
+    # Degree of every author; one without a large community, or with one community, has no pair.
+    degree = inc.groupBy("author").agg(F.count(F.lit(1)).alias("_n"), F.count("large").alias("_l"))
+    degree = degree.where("_n > 1 AND _l > 0").select(
+        "author", F.ceil(F.col("_l") / part).cast("int").alias("parts1"), F.ceil(F.col("_n") / part).cast("int").alias("parts2"))
+    inc = cut_lineage(inc.join(degree, "author"))
+    own = F.pmod(F.xxhash64("subreddit"), F.col("parts1")).cast("int")
+    left = inc.where("large").select(
+        "author", F.col("subreddit").alias("s1"), F.col("chars").alias("c1"), own.alias("p1"),
+        F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)).alias("p2"))
+    other = F.pmod(F.xxhash64("subreddit"), F.col("parts2")).cast("int")
+    right = inc.select(
+        "author", F.col("subreddit").alias("s2"), F.col("chars").alias("c2"), F.coalesce("large", F.lit(False)).alias("_both"),
+        F.explode(F.sequence(F.lit(0), F.col("parts1") - 1)).alias("p1"), other.alias("p2"))
+    met = left.alias("a").join(right.alias("b"), (F.col("a.author") == F.col("b.author")) & (F.col("a.p1") == F.col("b.p1"))
+                               & (F.col("a.p2") == F.col("b.p2"))
+                               & ((F.col("s1") < F.col("s2")) | (~F.col("_both") & (F.col("s1") != F.col("s2")))))
+    return met.select("s1", "c1", "s2", "c2", "a.author")
+
+
+def subreddit_adjacency(incidence: DataFrame, min_degree: int = 1, part: int = PART) -> DataFrame:
     """Undirected edges (subreddit_a < subreddit_b, shared_authors >= 1, sole_author).
 
     ``sole_author`` is the one shared author when shared_authors = 1, else null (J5);
     ``sole_chars_a`` / ``sole_chars_b`` are that author's characters in each community.
+    With ``min_degree``, only edges that touch a community of at least so many authors.
     """
-    chars = F.col("num_characters").cast("double") if "num_characters" in incidence.columns else F.lit(None).cast("double")
-    # Both sides of the join read the incidences: one row per author and community, written out once.
-    inc = cut_lineage(incidence.select(_known("author").alias("author"), _known("subreddit").alias("subreddit"), chars.alias("chars"))
-                      .groupBy("author", "subreddit").agg(F.max("chars").alias("chars"))
-                      .withColumn("part", F.pmod(F.xxhash64("subreddit"), F.lit(parts)).cast("int")))
-    left = inc.select("author", F.col("subreddit").alias("s1"), F.col("chars").alias("c1"), F.col("part").alias("p1"),
-                      F.explode(F.sequence(F.col("part"), F.lit(parts - 1))).alias("p2"))
-    right = inc.select("author", F.col("subreddit").alias("s2"), F.col("chars").alias("c2"),
-                       F.explode(F.sequence(F.lit(0), F.col("part"))).alias("p1"), F.col("part").alias("p2"))
-    met = left.join(right, ["author", "p1", "p2"]).where((F.col("p1") < F.col("p2")) | (F.col("s1") < F.col("s2")))
+    met = shared_author_rows(incidence, min_degree, part)
     swap = F.col("s1") > F.col("s2")
     edges = met.select("author", F.least("s1", "s2").alias("subreddit_a"), F.greatest("s1", "s2").alias("subreddit_b"),
                        F.when(swap, F.col("c2")).otherwise(F.col("c1")).alias("ca"),
@@ -94,8 +133,9 @@ def suitable_authors(edges: DataFrame, min_max_neighbours: int = MIN_MAX_NEIGHBO
     others, by value. The default order is the subreddit value.
 
     The edges are read once and never stored: both tests are rows of the same
-    stream, reduced to one row per (community, author) before communities are
-    put together.
+    stream, reduced to one row per (community, author), and only those rows are
+    written; communities that pass P14 select them by a semi-join. Edges from
+    ``subreddit_adjacency(.., min_degree=min_max_neighbours)`` suffice.
     """
     qualifies = ((F.col("shared_authors") == 1) & (F.col("sole_chars_a") >= min_chars)
                  & (F.col("sole_chars_b") >= min_chars))
@@ -112,9 +152,9 @@ def suitable_authors(edges: DataFrame, min_max_neighbours: int = MIN_MAX_NEIGHBO
         first_j = F.min(F.when(F.col("j").isNotNull(), F.struct(F.col("oj").isNull().alias("late"), "oj", "j")))
     else:
         first_j = F.min(F.when(F.col("j").isNotNull(), F.struct("j")))
-    reduced = rows.groupBy("i", "author").agg(F.max("strong").alias("strong"), first_j.alias("first"))
-    reduced = reduced.withColumn("strong", F.max("strong").over(Window.partitionBy("i")))
-    ok = reduced.where(F.col("strong") & F.col("author").isNotNull())
+    reduced = cut_lineage(rows.groupBy("i", "author").agg(F.max("strong").alias("strong"), first_j.alias("first")))
+    strong_ones = reduced.where("strong").select("i").distinct()
+    ok = reduced.where(F.col("author").isNotNull()).join(strong_ones, "i", "left_semi")
     if order is not None:
         ok = ok.join(order.select(F.col("subreddit").alias("i"), F.col("subreddit_order").alias("oi")), "i", "left")
         key = F.struct(F.col("oi").isNull().alias("late"), "oi", "i", "first")

@@ -107,32 +107,40 @@ def score_embedding(persona_embeddings: DataFrame, pairs: DataFrame, check: str
     b = persona_embeddings.select(F.col("entity").alias("entity2"), F.col("persona").alias("persona2"),
                                   F.col("embedding").alias("_b"))
     joined = numbered.join(a, ["entity1", "persona1"], "left").join(b, ["entity2", "persona2"], "left")
+    alike = vectors.of_width(F.col("_a"), F.size("_b"))
+    score = F.when(F.col("_b").isNotNull(), cosine(alike, "_b"))
     return joined.select("pair_id", *PAIR_COLUMNS, _unknown_guard(
-        cosine("_a", "_b"), F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("match_score"))
+        score, F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("match_score"))
 
 
-def embedding_personas(documents: DataFrame, embedder: str | Callable | None = None, dim: int = vectors.HASH_DIM,
-                       layers: list | None = None, cache: DataFrame | None = None) -> DataFrame:
+def embedding_personas(documents: DataFrame, embedder: str | vectors.Embedder | Callable | None = None,
+                       dim: int = vectors.HASH_DIM, layers: list | None = None, cache: DataFrame | None = None,
+                       batch_size: int | None = None) -> DataFrame:
     """Prepare step of the embedding scorer: (entity, persona, embedding), projected if ``layers`` are given.
 
-    J13: a persona found in ``cache`` (entity, persona, embedding before the projection) is not embedded again.
+    ``dim`` is the width of the hashing embedder; a model's width is its own. J13: a persona found in
+    ``cache`` (entity, persona, embedding before the projection) is not embedded again; cached vectors of
+    another width than the computed ones fail the job.
     """
     docs = validate_documents(documents).where(F.col("entity").isNotNull() & F.col("persona").isNotNull())
 
     def compute(rows: DataFrame) -> DataFrame:
-        return vectors.persona_embeddings(vectors.embed_texts(rows, PERSONA_KEYS, "text", embedder, dim), PERSONA_KEYS, dim)
+        width = vectors.embedder_width(rows, "text", embedder, dim)
+        embedded = vectors.embed_texts(rows, PERSONA_KEYS, "text", embedder, dim, batch_size, width)
+        return vectors.persona_embeddings(embedded, PERSONA_KEYS, width)
 
     means = compute(docs) if cache is None else vectors.cached_or_computed(docs, cache, PERSONA_KEYS, compute)
     return vectors.project(means, layers) if layers else means
 
 
 def run_inference(model_type: str, documents: DataFrame, pairs: DataFrame, model_tokens: DataFrame | None = None,
-                  tokenizer=None, check: str = "lazy", embedder: str | Callable | None = None,
-                  dim: int = vectors.HASH_DIM, layers: list | None = None, cache: DataFrame | None = None) -> DataFrame:
+                  tokenizer=None, check: str = "lazy", embedder: str | vectors.Embedder | Callable | None = None,
+                  dim: int = vectors.HASH_DIM, layers: list | None = None, cache: DataFrame | None = None,
+                  batch_size: int | None = None) -> DataFrame:
     """M9: pick the scorer by model type and score every pair (order and duplicates kept)."""
     if model_type == "LOG_LIKELIHOOD_MODEL":
         personas, counts = document_counts(documents, tokenizer)
         return score_log_likelihood(personas, counts, model_tokens, pairs, check)
     if model_type == "EMBEDDING_MODEL":
-        return score_embedding(embedding_personas(documents, embedder, dim, layers, cache), pairs, check)
+        return score_embedding(embedding_personas(documents, embedder, dim, layers, cache, batch_size), pairs, check)
     raise ValueError(f"unknown model type {model_type!r}")

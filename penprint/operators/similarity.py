@@ -1,175 +1,371 @@
 """Statistics of all-pairs cosine similarity without all-pairs rows.
 
-Every statistic is a reduction inside the block tasks of ``vectors.cosine_blocks``:
-counts, moments, histogram cells or a handful of best pairs leave a block, so
-what is shuffled is bounded by the number of blocks times a parameter. The
-exact median refines the range that holds the middle rank, one pass over the
-blocks per refinement. Pairs with a zero vector have no similarity and do not
-count.
+Every statistic is a reducer: it turns the similarities of one block task of
+``vectors.cosine_blocks`` into a few rows, and combines the rows of all
+blocks afterwards. ``fuse`` runs any number of reducers on one stream of
+blocks, so a product is computed and its vectors are shuffled once for all of
+them. What leaves a block is bounded by a parameter.
+
+The exact median takes two products at most: a mergeable rank sketch from the
+first one brackets the middle ranks, with a bound on its error that always
+holds, and the second collects the values inside the brackets, from which the
+ranks are picked by a distributed sort. Pairs with a zero vector have no
+similarity and do not count.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from penprint.operators import evaluate
-from penprint.operators.vectors import CosineBlock, cosine_blocks
+from penprint.operators.vectors import Blocked, CosineBlock, blocked, cosine_blocks
+from penprint.session import cut_lineage
 
-# Cells into which a refinement of the median cuts its range.
-CELLS = 2048
+# Points of a rank sketch, and sketches merged by one task.
+POINTS = 2048
+MERGE = 64
 EXAMPLE_IDS = ["author_i", "slot_i", "author_j", "slot_j"]
+LABELS = (0, 1)
 
+# What every reducer's rows look like: which reducer, a label, a key, a count, numbers and names.
+_ROWS = pa.schema([("reducer", pa.string()), ("label", pa.int32()), ("key", pa.int64()), ("n", pa.int64()),
+                   ("x", pa.list_(pa.float64())), ("s", pa.list_(pa.string()))])
+_SCHEMA = "reducer string, label int, key bigint, n bigint, x array<double>, s array<string>"
+_Row = tuple[int, int, int, list, list]
 
-def _known(b: CosineBlock) -> tuple[np.ndarray, np.ndarray]:
-    keep = ~np.isnan(b.value)
-    return b.label[keep], b.value[keep]
 
+class Moments:
+    """Per label: n, mean, std (population), min, max."""
 
-def moments(vectors: DataFrame) -> DataFrame:
-    """Per label: n, mean, std (population), min, max of all pairs."""
-    def reduce(b: CosineBlock) -> pd.DataFrame:
-        label, value = _known(b)
+    def tile(self, b: CosineBlock) -> list[_Row]:
+        rows = []
+        for k in LABELS:
+            if len(v := b.values(k)):
+                mean = float(v.mean())
+                rows.append((k, 0, len(v), [mean, float(((v - mean) ** 2).sum()), float(v.min()), float(v.max())], []))
+        return rows
+
+    def combine(self, rows: DataFrame) -> DataFrame:
+        n, mean, m2 = F.col("n"), F.get("x", F.lit(0)), F.get("x", F.lit(1))
+        # Around a value inside the range of the means, so that nothing large is subtracted.
+        total = rows.groupBy("label").agg(
+            F.sum("n").alias("n"), (F.sum(n * mean) / F.sum("n")).alias("mean"), F.sum(m2).alias("_m2"),
+            F.sum(n * mean * mean).alias("_sq"), F.min(F.get("x", F.lit(2))).alias("min"), F.max(F.get("x", F.lit(3))).alias("max"))
+        spread = (F.col("_m2") + F.col("_sq")) / F.col("n") - F.col("mean") * F.col("mean")
+        return total.select("label", "n", "mean", F.sqrt(F.greatest(spread, F.lit(0.0))).alias("std"), "min", "max")
+
+
+def _compress(values: np.ndarray, weights: np.ndarray, points: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``points`` of the sorted weighted values; ranks move by the weight / points at most."""
+    if len(values) <= points:
+        return values, weights
+    upto = np.cumsum(weights)
+    at = np.searchsorted(upto, (np.arange(points) + 0.5) * (upto[-1] / points))
+    return values[np.minimum(at, len(values) - 1)], np.full(points, upto[-1] / points)
+
+
+class RankSketch:
+    """Per label a bounded sample of the sorted values with weights, mergeable; its rank error has a bound."""
+
+    def __init__(self, points: int | None = None, merge: int | None = None):
+        self.points, self.fan = points or POINTS, merge or MERGE
+
+    def tile(self, b: CosineBlock) -> list[_Row]:
         rows = []
-        for k in np.unique(label):
-            v = value[label == k]
-            rows.append((int(k), len(v), v.mean(), ((v - v.mean()) ** 2).sum(), v.min(), v.max()))
-        return pd.DataFrame(rows, columns=["label", "n", "mean", "m2", "min", "max"]).astype({"label": "int32", "n": "int64"})
-
-    per_block = cosine_blocks(vectors, reduce, "label int, n bigint, mean double, m2 double, min double, max double")
-    weighted = F.sum(F.col("n") * F.col("mean"))
-    squares = F.sum("m2") + F.sum(F.col("n") * F.col("mean") * F.col("mean"))
-    return per_block.groupBy("label").agg(
-        F.sum("n").alias("n"), (weighted / F.sum("n")).alias("mean"),
-        F.sqrt(F.greatest(squares / F.sum("n") - F.pow(weighted / F.sum("n"), F.lit(2)), F.lit(0.0))).alias("std"),
-        F.min("min").alias("min"), F.max("max").alias("max"))
-
-
-def _medians(vectors: DataFrame, per_label: dict[int, dict]) -> dict[int, float]:
-    """Exact median per label: every middle rank has a range that shrinks to one value."""
-    targets = [{"label": k, "rank": r, "below": 0, "lo": m["min"], "hi": m["max"]}
-               for k, m in per_label.items() for r in {(m["n"] - 1) // 2, m["n"] // 2}]
-    while open_ranges := sorted({(t["label"], t["lo"], t["hi"]) for t in targets if t["lo"] < t["hi"]}):
-        def reduce(b: CosineBlock, ranges=tuple(open_ranges)) -> pd.DataFrame:
-            label, value = _known(b)
-            parts = []
-            for i, (k, lo, hi) in enumerate(ranges):
-                v = value[(label == k) & (value >= lo) & (value <= hi)]
-                if len(v):
-                    cell = np.minimum(((v - lo) * (CELLS / (hi - lo))).astype(np.int64), CELLS - 1)
-                    grouped = pd.DataFrame({"cell": cell, "v": v}).groupby("cell").v.agg(["size", "min", "max"])
-                    parts.append(grouped.reset_index().assign(range=i))
-            return pd.concat(parts) if parts else pd.DataFrame({"cell": [], "size": [], "min": [], "max": [], "range": []})
-
-        cells = cosine_blocks(vectors, lambda b: reduce(b)[["range", "cell", "size", "min", "max"]],
-                              "range int, cell bigint, size bigint, min double, max double")
-        rows = cells.groupBy("range", "cell").agg(F.sum("size").alias("size"), F.min("min").alias("lo"),
-                                                  F.max("max").alias("hi")).orderBy("range", "cell").collect()
-        for t in targets:
-            key = (t["label"], t["lo"], t["hi"])
-            if key in open_ranges:
-                for r in (r for r in rows if r["range"] == open_ranges.index(key)):
-                    if t["rank"] < t["below"] + r["size"]:
-                        t["lo"], t["hi"] = r["lo"], r["hi"]
+        for k in LABELS:
+            if len(v := b.values(k)):
+                values, weights = _compress(np.sort(v), np.ones(len(v)), self.points)
+                rows.append((k, 0, 1, [*values.tolist(), *weights.tolist()], []))
+        return rows
+
+    def _merge(self, table: pa.Table) -> pa.Table:
+        sketches = table["x"].to_pylist()
+        values = np.concatenate([x[:len(x) // 2] for x in sketches])
+        weights = np.concatenate([x[len(x) // 2:] for x in sketches])
+        order = np.argsort(values, kind="stable")
+        values, weights = _compress(values[order], weights[order], self.points)
+        level = max(table["n"].to_pylist()) + 1
+        return pa.table({"label": pa.array([table["label"][0].as_py()], pa.int32()), "n": pa.array([level], pa.int64()),
+                         "x": pa.array([[*values.tolist(), *weights.tolist()]], pa.list_(pa.float64()))})
+
+    def combine(self, rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, int]]:
+        """label -> (values, weights, times that ranks were rounded); merged level by level inside tasks."""
+        left, schema = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0, "label int, n bigint, x array<double>"
+        rows = rows.select("label", "n", "x")
+        while left > 1:
+            parts = math.ceil(left / self.fan)
+            part = F.pmod(F.xxhash64("x"), F.lit(parts)).alias("_part")
+            rows = cut_lineage(rows.groupBy("label", part).applyInArrow(lambda table: self._merge(table), schema))
+            left = parts if parts > 1 else 1
+        return {r.label: (np.array(r.x[:len(r.x) // 2]), np.array(r.x[len(r.x) // 2:]), r.n) for r in rows.collect()}
+
+    def brackets(self, sketch: tuple[np.ndarray, np.ndarray, int], ranks: set[int], low: float, high: float) -> dict[int, tuple]:
+        """rank -> (lo, hi) that hold the value of this 0-based rank for certain."""
+        values, weights, rounds = sketch
+        upto = np.cumsum(weights)
+        if len(values) < self.points:  # nothing was left out
+            return {r: (float(values[at]),) * 2 for r in ranks for at in [np.searchsorted(upto, r + 0.5)]}
+        error = (rounds + 1) * upto[-1] / self.points + 1
+        out = {}
+        for r in ranks:
+            below = int(np.searchsorted(upto, r + 0.5 - error)) - 1
+            above = int(np.searchsorted(upto, r + 0.5 + error))
+            out[r] = (float(values[below]) if below >= 0 else low, float(values[above]) if above < len(values) else high)
+        return out
+
+
+class Inside:
+    """The values inside each (label, lo, hi) with their counts, and how many lie below."""
+
+    def __init__(self, ranges: list[tuple[int, float, float]]):
+        self.ranges = ranges
+
+    def tile(self, b: CosineBlock) -> list[_Row]:
+        rows = []
+        for i, (k, lo, hi) in enumerate(self.ranges):
+            v = b.values(k)
+            below = int((v < lo).sum())
+            values, counts = np.unique(v[(v >= lo) & (v <= hi)], return_counts=True)
+            rows.append((k, i, below, [], []))
+            rows += [(k, i, int(n), [float(x)], []) for x, n in zip(values, counts, strict=True)]
+        return rows
+
+    def combine(self, rows: DataFrame, ranks: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
+        """(range, rank over the label) -> value, by a range-partitioned sort and per-partition counts."""
+        below = {r.key: r.n for r in rows.where(F.size("x") == 0).groupBy("key").agg(F.sum("n").alias("n")).collect()}
+        values = rows.where(F.size("x") == 1).select("key", F.get("x", F.lit(0)).alias("v"), "n") \
+            .groupBy("key", "v").agg(F.sum("n").alias("n"))
+        placed = cut_lineage(values.repartitionByRange("key", "v").withColumn("_run", F.spark_partition_id()))
+        # One row per range and partition.
+        runs = sorted(tuple(r) for r in placed.groupBy("key", "_run").agg(F.min("v").alias("lo"), F.sum("n").alias("n"))
+                      .select("key", "lo", "_run", "n").collect())
+        wanted = {}
+        for key, rank in ranks:
+            left = rank - below.get(key, 0)
+            for k, _, run, n in runs:
+                if k == key:
+                    if left < n:
+                        wanted[key, rank] = (run, left)
                         break
-                    t["below"] += r["size"]
-    out: dict[int, list[float]] = {}
-    for t in targets:
-        out.setdefault(t["label"], []).append(t["lo"])
-    return {k: sum(v) / len(v) for k, v in out.items()}
+                    left -= n
+        upto = F.sum("n").over(Window.partitionBy("key", "_run").orderBy("v"))
+        hit = F.lit(False)
+        for (key, _), (run, left) in wanted.items():
+            hit = hit | ((F.col("key") == key) & (F.col("_run") == run) & (F.col("_upto") > left) & (F.col("_upto") - F.col("n") <= left))
+        found = [tuple(r) for r in placed.withColumn("_upto", upto).where(hit).select("key", "_run", "v", "n", "_upto").collect()]
+        return {(key, rank): next(v for k, r, v, n, u in found if k == key and r == run and u - n <= left < u)
+                for (key, rank), (run, left) in wanted.items()}
 
 
-def _per_label(vectors: DataFrame) -> dict[int, dict]:
-    return {r["label"]: r.asDict() for r in moments(vectors).collect()}  # two rows
+class Cells:
+    """Per label, counts of values by a function to whole numbers."""
 
+    def __init__(self, cell):
+        self.cell = cell
 
-def summary(vectors: DataFrame) -> DataFrame:
-    """Per label: n, mean, exact median, population sd, min, max."""
-    per = _per_label(vectors)
-    medians = _medians(vectors, per)
+    def tile(self, b: CosineBlock) -> list[_Row]:
+        rows = []
+        for k in LABELS:
+            cells, counts = np.unique(self.cell(k, b.values(k)), return_counts=True)
+            rows += [(k, int(c), int(n), [], []) for c, n in zip(cells, counts, strict=True)]
+        return rows
+
+    def combine(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("label", F.col("key").alias("cell")).agg(F.sum("n").alias("count"))
+
+
+class Sides:
+    """Matches and mismatches strictly above and strictly below a threshold."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+
+    def tile(self, b: CosineBlock) -> list[_Row]:
+        return [(k, side, int(beyond.sum()), [], []) for k in LABELS
+                for side, beyond in enumerate((b.values(k) < self.threshold, b.values(k) > self.threshold))]
+
+    def combine(self, rows: DataFrame) -> DataFrame:
+        def count(label: int, side: int):
+            return F.coalesce(F.sum(F.when((F.col("label") == label) & (F.col("key") == side), F.col("n"))), F.lit(0))
+        return evaluate.threshold_shares(rows.agg(*[
+            count(k, side).cast("bigint").alias(f"n_{name}_{word}") for side, word in ((1, "above"), (0, "below"))
+            for k, name in ((1, "match"), (0, "mismatch"))]))
+
+
+class Examples:
+    """The ``n`` clearest true and false matches above ``high`` and missed matches below ``low``."""
+
+    KINDS = ("true_match", "false_match", "missed_match")
+
+    def __init__(self, high: float, low: float, n: int = 5):
+        self.high, self.low, self.n = high, low, n
+
+    def tile(self, b: CosineBlock) -> list[_Row]:
+        out = []
+        for kind, (label, sign, beyond) in enumerate(((1, -1, lambda v: v > self.high), (0, -1, lambda v: v > self.high),
+                                                      (1, 1, lambda v: v < self.low))):
+            i, j = b.cells(label, beyond)
+            key = sign * b.sim[i, j]
+            if len(key) > self.n:  # everything up to the n-th best, ties included
+                keep = key <= np.partition(key, self.n - 1)[self.n - 1]
+                i, j, key = i[keep], j[keep], key[keep]
+            pairs = []
+            for x, one, two in zip(key.tolist(), i.tolist(), j.tolist(), strict=True):
+                ids = sorted([(b.left[0][one], int(b.left[1][one])), (b.right[0][two], int(b.right[1][two]))])
+                pairs.append((x, ids))
+            out += [(label, kind, 0, [sign * x], [ids[0][0], str(ids[0][1]), ids[1][0], str(ids[1][1])])
+                    for x, ids in sorted(pairs)[:self.n]]
+        return out
+
+    def combine(self, rows: DataFrame) -> DataFrame:
+        kinds = F.array(*[F.lit(k) for k in self.KINDS])
+        found = rows.select(
+            F.get(kinds, F.col("key").cast("int")).alias("kind"), F.get("s", F.lit(0)).alias("author_i"),
+            F.get("s", F.lit(1)).cast("int").alias("slot_i"), F.get("s", F.lit(2)).alias("author_j"),
+            F.get("s", F.lit(3)).cast("int").alias("slot_j"), F.get("x", F.lit(0)).alias("value"))
+        key = F.when(F.col("kind") == "missed_match", F.col("value")).otherwise(-F.col("value"))
+        # A limit on row_number: every task keeps its own best n of a kind before they meet.
+        best = found.withColumn("_rank", F.row_number().over(Window.partitionBy("kind").orderBy(key, *EXAMPLE_IDS)))
+        return best.where(F.col("_rank") <= self.n).select(
+            "kind", *EXAMPLE_IDS, "value", (F.col("_rank") - 1).cast("int").alias("place"))
+
+
+def fuse(vectors: DataFrame | Blocked, reducers: dict) -> dict[str, DataFrame]:
+    """The rows of every reducer, all from one product; kept on shared storage when there are several."""
+    def reduce(b: CosineBlock) -> pa.Table:
+        rows = [(name, *row) for name, reducer in reducers.items() for row in reducer.tile(b)]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_ROWS)
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ROWS, strict=True)], schema=_ROWS)
+
+    rows = cosine_blocks(vectors, reduce, _SCHEMA)
+    rows = cut_lineage(rows) if len(reducers) > 1 else rows
+    return {name: rows.where(F.col("reducer") == name) for name in reducers}
+
+
+def _run(vectors: DataFrame | Blocked, reducer):
+    return reducer.combine(fuse(vectors, {"one": reducer})["one"])
+
+
+def moments(vectors: DataFrame | Blocked) -> DataFrame:
+    """Per label: n, mean, std (population), min, max of all pairs."""
+    return _run(vectors, Moments())
+
+
+def _per_label(rows: DataFrame) -> dict[int, dict]:
+    return {r["label"]: r.asDict() for r in rows.collect()}  # two rows
+
+
+class _Median:
+    """The second half of the median: brackets from the first product, values from the second."""
+
+    def __init__(self, sketch: RankSketch, rows: DataFrame, per: dict[int, dict]):
+        ranks = {k: {(m["n"] - 1) // 2, m["n"] // 2} for k, m in per.items()}
+        merged = sketch.combine(rows)
+        found = {(k, r): lohi for k, m in per.items()
+                 for r, lohi in sketch.brackets(merged[k], ranks[k], m["min"], m["max"]).items()}
+        self.known = {kr: lo for kr, (lo, hi) in found.items() if lo == hi}
+        self.ranges = sorted({(k, lo, hi) for (k, _), (lo, hi) in found.items() if lo < hi})
+        self.asked = {kr: self.ranges.index((kr[0], *lohi)) for kr, lohi in found.items() if lohi[0] < lohi[1]}
+        self.reducer = Inside(self.ranges)
+
+    def medians(self, rows: DataFrame | None) -> dict[int, float]:
+        values = dict(self.known)
+        if self.asked:
+            picked = self.reducer.combine(rows, [(i, r) for (_, r), i in self.asked.items()])
+            values |= {kr: picked[i, kr[1]] for kr, i in self.asked.items()}
+        return {k: sum(v for (label, _), v in values.items() if label == k) / sum(label == k for label, _ in values)
+                for k in {label for label, _ in values}}
+
+
+def _summary_rows(spark, per: dict[int, dict], medians: dict[int, float]) -> DataFrame:
     rows = [(k, m["n"], m["mean"], medians[k], m["std"], m["min"], m["max"]) for k, m in per.items()]
-    return vectors.sparkSession.createDataFrame(
+    return spark.createDataFrame(
         rows, "label int, n bigint, mean double, median double, std double, min double, max double")
 
 
-def histogram(vectors: DataFrame, bins: int = 20) -> DataFrame:
-    """Per label, ``bins`` equal bins over its own min..max, as density; the maximum is in the last bin."""
-    per = _per_label(vectors)
-
-    def reduce(b: CosineBlock) -> pd.DataFrame:
-        label, value = _known(b)
-        parts = [pd.DataFrame({"label": [], "bin": [], "count": []})]
-        for k, m in per.items():
-            v, width = value[label == k], m["max"] - m["min"]
-            cell = np.clip(np.floor((v - m["min"]) * bins / width).astype(np.int64) + 1, 1, bins) if width > 0 \
-                else np.full(len(v), bins // 2 + 1, np.int64)
-            n = np.bincount(cell, minlength=bins + 1)
-            at = np.flatnonzero(n)
-            parts.append(pd.DataFrame({"label": k, "bin": at, "count": n[at]}))
-        return pd.concat(parts)
-
-    counts = cosine_blocks(vectors, reduce, "label int, bin int, count bigint").groupBy("label", "bin").agg(
-        F.sum("count").alias("count"))
+def _bins(per: dict[int, dict], bins: int) -> Cells:
+    def cell(label: int, v: np.ndarray) -> np.ndarray:
+        if label not in per or not len(v):
+            return np.zeros(0, np.int64)
+        m = per[label]
+        width = m["max"] - m["min"]
+        if width <= 0:
+            return np.full(len(v), bins // 2 + 1, np.int64)
+        return np.clip(np.floor((v - m["min"]) * bins / width).astype(np.int64) + 1, 1, bins)
+    return Cells(cell)
+
+
+def _densities(counts: DataFrame, per: dict[int, dict], bins: int) -> DataFrame:
     area = F.coalesce(*[F.when(F.col("label") == k, F.lit(m["n"] * ((m["max"] - m["min"]) / bins or 1.0 / bins)))
                         for k, m in per.items()], F.lit(1.0))
-    return counts.select("label", "bin", "count", (F.col("count") / area).alias("density"))
+    return counts.select("label", F.col("cell").cast("int").alias("bin"), "count", (F.col("count") / area).alias("density"))
 
 
-def best_cutoffs(vectors: DataFrame, best: int = 5) -> DataFrame:
-    """The ``best`` cutoffs of the spread grid by accuracy."""
-    grid = evaluate.spread_grid(_per_label(vectors))
+def _grid(per: dict[int, dict]) -> tuple[list[float], Cells]:
+    grid = evaluate.spread_grid(per)
     points = np.array(grid)
+    return grid, Cells(lambda label, v: np.searchsorted(points, v, side="right"))
+
+
+def _best(spark, grid: list[float], cells: DataFrame, best: int) -> DataFrame:
+    return evaluate.best_of_grid(spark, grid, {(r.label, r.cell): r["count"] for r in cells.collect()}, best)
+
+
+def summary(vectors: DataFrame) -> DataFrame:
+    """Per label: n, mean, exact median, population sd, min, max. Two products at most."""
+    spark, grid, sketch = vectors.sparkSession, blocked(vectors, keep=True), RankSketch()
+    first = fuse(grid, {"moments": Moments(), "ranks": sketch})
+    per = _per_label(Moments().combine(first["moments"]))
+    median = _Median(sketch, first["ranks"], per)
+    rows = fuse(grid, {"inside": median.reducer})["inside"] if median.ranges else None
+    return _summary_rows(spark, per, median.medians(rows))
+
+
+def histogram(vectors: DataFrame, bins: int = 20) -> DataFrame:
+    """Per label, ``bins`` equal bins over its own min..max, as density; the maximum is in the last bin."""
+    grid = blocked(vectors, keep=True)
+    per = _per_label(moments(grid))
+    return _densities(_run(grid, _bins(per, bins)), per, bins)
 
-    def reduce(b: CosineBlock) -> pd.DataFrame:
-        label, value = _known(b)
-        cells = pd.DataFrame({"label": label, "m": np.searchsorted(points, value, side="right")})
-        return cells.groupby(["label", "m"]).size().rename("n").reset_index()
 
-    rows = cosine_blocks(vectors, reduce, "label int, m int, n bigint").groupBy("label", "m").agg(F.sum("n").alias("n"))
-    return evaluate.best_of_grid(vectors.sparkSession, grid, {(r.label, r.m): r.n for r in rows.collect()}, best)
+def best_cutoffs(vectors: DataFrame, best: int = 5) -> DataFrame:
+    """The ``best`` cutoffs of the spread grid by accuracy."""
+    blocks = blocked(vectors, keep=True)
+    grid, cells = _grid(_per_label(moments(blocks)))
+    return _best(vectors.sparkSession, grid, _run(blocks, cells), best)
 
 
 def threshold_precision(vectors: DataFrame, threshold: float) -> DataFrame:
     """Matches and mismatches strictly above and strictly below a threshold."""
-    def reduce(b: CosineBlock) -> pd.DataFrame:
-        label, value = _known(b)
-        return pd.DataFrame({f"n_{name}_{side}": [int(((label == k) & beyond).sum())] for side, beyond in (
-            ("above", value > threshold), ("below", value < threshold)) for name, k in (("match", 1), ("mismatch", 0))})
-
-    names = [f"n_{name}_{side}" for side in ("above", "below") for name in ("match", "mismatch")]
-    counted = cosine_blocks(vectors, lambda b: reduce(b)[names], ", ".join(f"{n} bigint" for n in names))
-    return evaluate.threshold_shares(counted.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]))
+    return _run(vectors, Sides(threshold))
 
 
 def examples(vectors: DataFrame, high: float, low: float, n: int = 5) -> DataFrame:
     """The ``n`` clearest true matches and false matches strictly above ``high`` and the
     ``n`` clearest missed matches strictly below ``low``: (kind, ids of the pair, value)."""
-    kinds = [("true_match", 1, high, -1), ("false_match", 0, high, -1), ("missed_match", 1, low, 1)]
-
-    def reduce(b: CosineBlock) -> pd.DataFrame:
-        author, slot = b.frame["author"].to_numpy(), b.frame["slot"].to_numpy()
-        parts = []
-        for kind, label, limit, sign in kinds:
-            beyond = b.value > limit if sign < 0 else b.value < limit
-            at = np.flatnonzero((b.label == label) & beyond)
-            if len(at) > n:  # everything up to the n-th best, ties included
-                key = sign * b.value[at]
-                at = at[key <= np.partition(key, n - 1)[n - 1]]
-            one, two = b.left[at], b.right[at]
-            rows = pd.DataFrame({"author_i": author[one], "slot_i": slot[one], "author_j": author[two],
-                                 "slot_j": slot[two], "value": b.value[at]})
-            swap = ((rows.author_i > rows.author_j) | ((rows.author_i == rows.author_j) & (rows.slot_i > rows.slot_j)))
-            rows.loc[swap, EXAMPLE_IDS] = rows.loc[swap, ["author_j", "slot_j", "author_i", "slot_i"]].to_numpy()
-            rows = rows.assign(kind=kind, key=sign * rows.value).sort_values(["key", *EXAMPLE_IDS]).head(n)
-            parts.append(rows)
-        return pd.concat(parts)[["kind", *EXAMPLE_IDS, "value"]].astype({"slot_i": "int32", "slot_j": "int32"})
-
-    found = cosine_blocks(vectors, reduce, "kind string, author_i string, slot_i int, author_j string, slot_j int, value double")
-    key = F.when(F.col("kind") == "missed_match", F.col("value")).otherwise(-F.col("value"))
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(key, *EXAMPLE_IDS))
-    return found.withColumn("place", (place - 1).cast("int")).where(F.col("place") < n)
+    return _run(vectors, Examples(high, low, n))
+
+
+def report(vectors: DataFrame, bins: int = 20, best: int = 5, threshold: float = 0.5, high: float = 0.5,
+           low: float = 0.0, shown: int = 5) -> dict[str, DataFrame]:
+    """A19, A20, A22, A24 and P17 together, from two products: what needs no range of the values comes from
+    the first, the median's brackets, the histogram and the cutoff grid from the second."""
+    spark, blocks, sketch = vectors.sparkSession, blocked(vectors, keep=True), RankSketch()
+    first = fuse(blocks, {"moments": Moments(), "ranks": sketch, "sides": Sides(threshold),
+                          "examples": Examples(high, low, shown)})
+    per = _per_label(Moments().combine(first["moments"]))
+    median, histogram_cells, (grid, grid_cells) = _Median(sketch, first["ranks"], per), _bins(per, bins), _grid(per)
+    second = fuse(blocks, {"inside": median.reducer, "bins": histogram_cells, "grid": grid_cells})
+    return {"summary": _summary_rows(spark, per, median.medians(second["inside"])),
+            "histogram": _densities(histogram_cells.combine(second["bins"]), per, bins),
+            "best_cutoffs": _best(spark, grid, grid_cells.combine(second["grid"]), best),
+            "threshold": Sides(threshold).combine(first["sides"]),
+            "examples": Examples(high, low, shown).combine(first["examples"])}
 
 
 def with_documents(found: DataFrame, documents: DataFrame, per_persona: int = 5) -> DataFrame:

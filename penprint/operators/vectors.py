@@ -9,17 +9,21 @@ bounded by a parameter (block width, batch size), never by the data.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from penprint.functions.columns import tokens as token_array
 from penprint.operators.indexing import with_dense_index
+from penprint.session import cut_lineage
 
 # InfoNCE temperature and the evaluation batch size (authors).
 INFO_NCE_TEMPERATURE = 0.07
@@ -50,45 +54,124 @@ def hashing_embedding(text: Column, dim: int = HASH_DIM) -> Column:
     return F.transform(F.array(buckets), counted)[0]
 
 
-# Fixed value: the task description that an instruction-tuned embedding model was asked with.
-INSTRUCTION = (
-    "Generate an embedding that captures the distinctive writing style, linguistic patterns, and authorial "
-    "voice of this text for the purpose of identifying and attributing authorship. Focus on stylistic features "
-    "such as vocabulary choice, sentence structure, tone, rhetorical patterns, and other linguistic "
-    "fingerprints that are characteristic of the author's writing style.")
-# what each named model wants in front of a text.
-PREFIXES = {"hashing": "", "nomic": "", "e5": "passage: ",
-            "e5-multilingual-large-instruct": f"Instruct: {INSTRUCTION}\nQuery: "}
-# Encoders by name, texts -> float32 [n, d]; models are registered by whoever has their weights.
-EMBEDDERS: dict[str, Callable[[list[str]], np.ndarray]] = {}
+# what a named model wants in front of a text, unless its registration says otherwise.
+PREFIXES = {"hashing": "", "nomic": "", "e5": "passage: "}
+# Texts that a model sees at once, unless its registration says otherwise.
+EMBED_BATCH = 512
+
+Model = Callable[[list[str]], np.ndarray]
+
+
+@dataclass(frozen=True)
+class Embedder:
+    """How to get a model, texts -> float32 [n, d]. ``build`` runs once in each Python worker."""
+
+    build: Callable[[], Model]
+    prefix: str = ""
+    batch_size: int = EMBED_BATCH
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+
+# Encoders by name: an Embedder, or a plain function; registered by whoever has the weights.
+EMBEDDERS: dict[str, Embedder | Model] = {}
+_models: dict[str, Model] = {}
+
+
+def register_embedder(name: str, build: Callable[[], Model], prefix: str | None = None,
+                      batch_size: int = EMBED_BATCH) -> None:
+    EMBEDDERS[name] = Embedder(build, PREFIXES.get(name, "") if prefix is None else prefix, batch_size)
+
+
+def _embedder(given: str | Embedder | Model | None) -> Embedder | None:
+    """The model asked for; None for the built-in hashing embedder. A name without a model is an error."""
+    if given is None or (given == "hashing" and "hashing" not in EMBEDDERS):
+        return None
+    prefix = ""
+    if isinstance(given, str):
+        if given not in EMBEDDERS:
+            raise ValueError(f"no model is registered for embedder {given!r}")
+        prefix, given = PREFIXES.get(given, ""), EMBEDDERS[given]
+    return given if isinstance(given, Embedder) else Embedder(lambda model=given: model, prefix)
+
+
+def _model(embedder: Embedder) -> Model:
+    """The worker's copy of the model, built at its first use."""
+    if embedder.token not in _models:
+        _models[embedder.token] = embedder.build()
+    return _models[embedder.token]
+
+
+def width_of(vectors: DataFrame, embedding: str = "embedding") -> int | None:
+    """Length of the vectors, from one row; None for an empty table."""
+    row = vectors.select(F.size(embedding).alias("w")).where("w >= 0").first()
+    return row["w"] if row else None
+
+
+def of_width(embedding: Column, width: int | Column) -> Column:
+    """The vector itself; the job fails where its length is another one."""
+    width = width if isinstance(width, Column) else F.lit(width)
+    message = F.concat(F.lit("embeddings of different widths: "), F.concat_ws(" and ", F.size(embedding), width))
+    return F.when(embedding.isNull() | (F.size(embedding) == width), embedding).otherwise(F.raise_error(message))
+
+
+def embedder_width(docs: DataFrame, text: str = "text", embedder: str | Embedder | Model | None = None,
+                   dim: int = HASH_DIM) -> int | None:
+    """Width of an embedder's vectors: the hashing embedder's ``dim``, or a model's, from one text."""
+    chosen = _embedder(embedder)
+    if chosen is None:
+        return dim
+    one = docs.select(F.col(text).alias("_sample")).limit(1)
+    return width_of(embed_texts(one, [], "_sample", chosen, batch_size=1, width=0))
 
 
 def embed_texts(docs: DataFrame, keys: list[str], text: str = "text",
-                embedder: str | Callable[[list[str]], np.ndarray] | None = None, dim: int = HASH_DIM) -> DataFrame:
+                embedder: str | Embedder | Model | None = None, dim: int = HASH_DIM,
+                batch_size: int | None = None, width: int | None = None) -> DataFrame:
     """One embedding per row: (keys..., embedding); rows of equal keys stay apart.
 
-    ``embedder`` is a function from texts to a float32 [n, d] array (a neural
-    model loaded once per Python worker), run over Arrow batches, or the name
-    of one in EMBEDDERS, whose prefix from PREFIXES is put before every text.
-    None, or a known name without a registered model, uses the JVM-side hashing embedder.
+    ``embedder`` is an Embedder, a function from texts to a float32 [n, d]
+    array, or the name of one in EMBEDDERS; its prefix is put before every
+    text. A name without a registered model is an error; None and "hashing"
+    are the JVM-side hashing embedder of ``dim`` numbers.
+
+    A model is built once in each Python worker and sees ``batch_size`` texts
+    at a time (the last ones of a task may be fewer), whatever the size of
+    Spark's Arrow batches. The vectors' ``width`` is taken from a sample of
+    one text if it is not given; an array of another shape fails the job.
     """
-    if isinstance(embedder, str) and embedder not in PREFIXES and embedder not in EMBEDDERS:
-        raise ValueError(f"unknown embedder {embedder!r}")
-    prefix = PREFIXES.get(embedder, "") if isinstance(embedder, str) else ""
-    run_model = EMBEDDERS.get(embedder) if isinstance(embedder, str) else embedder
+    chosen = _embedder(embedder)
+    prefix = chosen.prefix if chosen else ""
     src = docs.select(*keys, F.concat(F.lit(prefix), F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    if run_model is None:
+    if chosen is None:
         return src.select(*keys, hashing_embedding(F.col("_t"), dim).alias("embedding"))
-    key_fields = [f for f in src.schema.fields if f.name in keys]
-    schema = T.StructType(key_fields + [T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    size = batch_size or chosen.batch_size
+    schema = T.StructType([f for f in src.schema.fields if f.name != "_t"]
+                          + [T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+    width = embedder_width(docs, text, chosen) if width is None else width
+
+    def embed(rows: pa.Table) -> pa.RecordBatch:
+        found = np.asarray(_model(chosen)(rows["_t"].to_pylist()), dtype=np.float32)
+        if found.ndim != 2 or found.shape[0] != len(rows) or (width and width != found.shape[1]):
+            raise ValueError(f"{len(rows)} texts gave an array of shape {found.shape}; vectors have {width or '?'} numbers")
+        flat = pa.array(np.ascontiguousarray(found).ravel())
+        lists = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * found.shape[1], flat)
+        columns = [rows[k].combine_chunks() for k in keys] + [lists]
+        return pa.RecordBatch.from_arrays(columns, [*keys, "embedding"])
 
     def run(batches):
-        for pdf in batches:
-            vecs = np.asarray(run_model(pdf["_t"].tolist()), dtype=np.float32)
-            out = pdf[keys].copy()
-            out["embedding"] = list(vecs)
-            yield out
-    return src.mapInPandas(run, schema)
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            full = len(held) - len(held) % size
+            for at in range(0, full, size):
+                yield embed(held.slice(at, size))
+            held = held.slice(full)
+        if held is not None and len(held):
+            yield embed(held)
+
+    return src.mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- A18: persona means
@@ -103,10 +186,31 @@ def mean_embedding(vectors: DataFrame, keys: list[str], embedding: str = "embedd
     return long.groupBy(*keys, "pos").agg(F.avg(F.col("x").cast("double")).alias("value"))
 
 
-def persona_embeddings(doc_vectors: DataFrame, keys: list[str], dim: int, embedding: str = "embedding") -> DataFrame:
-    """E2 "average posts": mean of a persona's document vectors, one aggregate (combined map-side)."""
-    return doc_vectors.groupBy(*keys).agg(F.array(*[F.avg(F.get(F.col(embedding), F.lit(i)).cast("double"))
-                                                    for i in range(dim)]).alias("embedding"))
+# Numbers of a vector averaged by one aggregate; wider vectors are cut into such slices.
+SLICE = 64
+
+
+def persona_embeddings(doc_vectors: DataFrame, keys: list[str], width: int | None = None,
+                       embedding: str = "embedding") -> DataFrame:
+    """E2 "average posts": mean of a persona's document vectors, combined map-side.
+
+    The width is the vectors' own, from a sample if it is not given; a vector
+    of another length fails the job. Wide vectors are averaged slice by slice.
+    """
+    width = width or width_of(doc_vectors, embedding) or 1
+
+    def means(part: Column, n: int) -> Column:
+        return F.array(*[F.avg(F.get(part, F.lit(i)).cast("double")) for i in range(n)])
+
+    vector = of_width(F.col(embedding), width)
+    if width <= SLICE:
+        return doc_vectors.select(*keys, vector.alias("_v")).groupBy(*keys).agg(means(F.col("_v"), width).alias("embedding"))
+    starts = F.sequence(F.lit(1), F.lit(width), F.lit(SLICE))
+    parts = doc_vectors.select(*keys, vector.alias("_v")).select(*keys, F.posexplode(F.transform(
+        starts, lambda at: F.slice(F.col("_v"), at, SLICE))).alias("_n", "_p"))
+    sliced = parts.groupBy(*keys, "_n").agg(means(F.col("_p"), SLICE).alias("_p"))
+    ordered = F.array_sort(F.collect_list(F.struct("_n", "_p")))
+    return sliced.groupBy(*keys).agg(F.slice(F.flatten(F.transform(ordered, lambda x: x["_p"])), 1, width).alias("embedding"))
 
 
 def cached_or_computed(requested: DataFrame, cache: DataFrame, keys: list[str],
@@ -147,60 +251,101 @@ def project(vectors: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], emb
 
 @dataclass
 class CosineBlock:
-    """The pairs of one block product, as flat arrays; a zero vector gives NaN."""
-
-    label: np.ndarray   # 1: two personas of one author
-    value: np.ndarray
-    left: np.ndarray    # row of the pair's first and second vector in ``frame``
-    right: np.ndarray
-    frame: pd.DataFrame
-
-
-def _block(pdf: pd.DataFrame) -> CosineBlock:
-    side = pdf["side"].to_numpy()
-    diag = int(pdf["bi"].iat[0]) == int(pdf["bj"].iat[0])
+    """The similarities of one block product. Cells that are no pair, or hold a zero vector, are NaN."""
+
+    sim: np.ndarray                       # [a, b]
+    match: tuple[np.ndarray, np.ndarray]  # cells of two personas of one author
+    left: tuple[np.ndarray, np.ndarray]   # author and slot of the rows
+    right: tuple[np.ndarray, np.ndarray]  # author and slot of the columns
+    diagonal: bool                        # rows and columns are the same vectors; only cells above the diagonal count
+
+    @cached_property
+    def _by_label(self) -> dict[int, np.ndarray]:
+        other = self.sim.copy()
+        other[self.match] = np.nan
+        matched = self.sim[self.match]
+        return {0: other[~np.isnan(other)], 1: matched[~np.isnan(matched)]}
+
+    def values(self, label: int) -> np.ndarray:
+        """All similarities of label 1 (two personas of one author) or 0 (of two authors)."""
+        return self._by_label[label]
+
+    def cells(self, label: int, wanted: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns of the label's cells whose similarity is ``wanted``."""
+        if label:
+            keep = wanted(self.sim[self.match])
+            return self.match[0][keep], self.match[1][keep]
+        found = wanted(self.sim)
+        found[self.match] = False
+        return np.nonzero(found)
+
+
+def _block(table: pa.Table) -> CosineBlock:
+    side = table["side"].to_numpy()
+    diag = table["bi"][0].as_py() == table["bj"][0].as_py()
     a = np.flatnonzero(side == 0)
     b = a if diag else np.flatnonzero(side == 1)
-    x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
+    lists = table["embedding"].combine_chunks()
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(side), -1)
     norm = np.linalg.norm(x, axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
         sim = (x[a] @ x[b].T) / np.outer(norm[a], norm[b])
     sim[~np.isfinite(sim)] = np.nan
-    ii, jj = np.triu_indices(len(a), k=1) if diag else np.indices((len(a), len(b))).reshape(2, -1)
-    names = pdf["author"].to_numpy()
-    left, right = a[ii], b[jj]
-    return CosineBlock((names[left] == names[right]).astype("int32"), sim[ii, jj], left, right, pdf)
+    author = table["author"].combine_chunks().dictionary_encode()
+    code, slot = author.indices.to_numpy(zero_copy_only=False), table["slot"].to_numpy()
+    match = np.nonzero(code[a][:, None] == code[b])
+    if diag:
+        sim[np.tril_indices(len(a))] = np.nan
+        upper = match[0] < match[1]
+        match = match[0][upper], match[1][upper]
+    names = author.dictionary.to_numpy(zero_copy_only=False)[code]
+    return CosineBlock(sim, match, (names[a], slot[a]), (names[b], slot[b]), diag)
+
+
+@dataclass(frozen=True)
+class Blocked:
+    """Vectors dealt to the blocks of the all-pairs grid: (author, slot, embedding, blk)."""
 
+    rows: DataFrame
+    n: int
 
-def cosine_blocks(vectors: DataFrame, reduce: Callable[[CosineBlock], pd.DataFrame], schema: str,
+
+def blocked(vectors: DataFrame, author: str = "author", slot: str = "slot", block: int = COSINE_BLOCK,
+            keep: bool = False) -> Blocked:
+    """Deal vectors to blocks of about ``block``; ``keep`` writes them out for several products."""
+    n = max(1, math.ceil(vectors.count() / block))
+    rows = vectors.select(F.col(author).cast("string").alias("author"), F.col(slot).cast("int").alias("slot"),
+                          F.col("embedding").cast("array<double>").alias("embedding"),
+                          F.pmod(F.xxhash64(author, slot), F.lit(n)).cast("int").alias("blk")).where("embedding is not null")
+    return Blocked(cut_lineage(rows) if keep else rows, n)
+
+
+def cosine_blocks(vectors: DataFrame | Blocked, reduce: Callable[[CosineBlock], pa.Table], schema: str,
                   author: str = "author", slot: str = "slot", block: int = COSINE_BLOCK) -> DataFrame:
     """Reduce every block of the all-pairs cosine matrix inside the task that computes it.
 
-    Block grid: vectors are hashed into nb blocks; each vector is replicated
-    to the nb block pairs (I <= J) it takes part in; a block pair is one matrix
-    product of about ``block`` x ``block`` vectors. ``reduce`` sees the pairs
-    (label 1 for the two personas of one author) and returns a few rows, so the
-    pairs themselves are never written or shuffled.
+    Block grid: vectors are hashed into n blocks; each vector is replicated
+    to the n block pairs (I <= J) it takes part in; a block pair is one matrix
+    product of about ``block`` x ``block`` vectors. ``reduce`` sees the
+    similarities (label 1 for the two personas of one author) and returns a few
+    rows, so the pairs themselves are never written or shuffled.
     """
-    nb = max(1, math.ceil(vectors.count() / block))
-    v = vectors.select(F.col(author).cast("string").alias("author"), F.col(slot).cast("int").alias("slot"),
-                       "embedding", F.pmod(F.xxhash64(author, slot), F.lit(nb)).cast("int").alias("blk"))
-    left = v.select("author", "slot", "embedding", F.col("blk").alias("bi"),
-                    F.explode(F.sequence(F.col("blk"), F.lit(nb - 1))).alias("bj"), F.lit(0).alias("side"))
-    right = v.where(F.col("blk") > 0).select("author", "slot", "embedding",
-                                             F.explode(F.sequence(F.lit(0), F.col("blk") - 1)).alias("bi"),
-                                             F.col("blk").alias("bj"), F.lit(1).alias("side"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return reduce(_block(pdf))
-    return left.unionByName(right).groupBy("bi", "bj").applyInPandas(run, schema)
+    grid = vectors if isinstance(vectors, Blocked) else blocked(vectors, author, slot, block)
+    other = F.explode(F.sequence(F.lit(0), F.lit(grid.n - 1))).alias("_other")
+    sides = grid.rows.select("author", "slot", "embedding", "blk", other).select(
+        "author", "slot", "embedding", F.least("blk", "_other").alias("bi"), F.greatest("blk", "_other").alias("bj"),
+        F.when(F.col("blk") <= F.col("_other"), 0).otherwise(1).alias("side"))
+    return sides.groupBy("bi", "bj").applyInArrow(lambda table: reduce(_block(table)), schema)
 
 
 def cosine_all_pairs(vectors: DataFrame, author: str = "author", slot: str = "slot",
                      block: int = COSINE_BLOCK) -> DataFrame:
     """All pairs as rows (label, value); for small sets only, the summaries use ``cosine_blocks``."""
-    def rows(b: CosineBlock) -> pd.DataFrame:
-        return pd.DataFrame({"label": b.label, "value": b.value})
+    def rows(b: CosineBlock) -> pa.Table:
+        pair = np.triu(np.ones(b.sim.shape, bool), 1 if b.diagonal else -b.sim.size)
+        label = np.zeros(b.sim.shape, np.int32)
+        label[b.match] = 1
+        return pa.table({"label": label[pair], "value": b.sim[pair]})
     return cosine_blocks(vectors, rows, "label int, value double", author, slot, block)
 
 

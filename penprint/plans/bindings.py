@@ -24,6 +24,7 @@ Rules (fixed values of the test binding):
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,51 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("l_quantity").alias("num_characters"))
 
 
+def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph's statistics as a file holds them: names are strings, characters whole numbers."""
+    return graph_stats(spark, sf_dir).select(F.col("author").cast("string"), F.col("subreddit").cast("string"),
+                                             F.col("num_characters").cast("bigint"))
+
+
+def write_in_order(rows: DataFrame, path: str, order: str, files: int, form: str = "json") -> None:
+    """Several files whose names and lines follow ``order``: the input of what reads files in their order."""
+    rows.repartitionByRange(files, order).sortWithinPartitions(order).write.format(form).save(path)
+
+
+# A tokenizer that gives ids: words by single spaces, lower case, the first 32 bits of their md5. The
+# vocabulary knows the words of conversations that are shorter than seven characters.
+def _id(word):
+    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint")
+
+
+def word_ids(text):
+    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), " "), _id)
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.split(F.lower("text"), " ")).alias("token"))
+    known = words.where(F.length("token") < 7).groupBy(_id(F.col("token")).alias("token_id"))
+    return known.agg(F.min("token").alias("token"))
+
+
+SQL_WORD_ID = "('0x' || substr(md5(t), 1, 8))::BIGINT"
+SQL_VOCABULARY = f"""SELECT {SQL_WORD_ID} AS token_id, min(t) AS token
+  FROM (SELECT unnest(string_split(lower(text), ' ')) AS t FROM conversations) WHERE length(t) < 7 GROUP BY 1"""
+
+WIDE_MODEL = "code points modulo 96"
+
+
+def build_wide_model():
+    """A model for the tests of the embedding job; see the query ``embed_texts_model``."""
+    def run(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), 96))
+        for row, text in zip(out, texts, strict=True):
+            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32) % 96
+            row += np.bincount(codes, minlength=96) / max(len(codes), 1)
+        return out.astype(np.float32)
+    return run
+
+
 def persona_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = F.col("role").eqNullSafe("user")
     return table(spark, sf_dir, "conversations").select(

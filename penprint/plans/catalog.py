@@ -306,19 +306,36 @@ e AS (SELECT a.subreddit AS subreddit_i, b.subreddit AS subreddit_j, count(*) AS
       FROM stats a JOIN stats b ON a.author = b.author AND a.subreddit <> b.subreddit GROUP BY 1, 2)"""
 
 
-def _edges(spark, sf_dir):
+def _edges(spark, sf_dir, min_degree=1):
+    return _graph(B.graph_stats(spark, sf_dir), min_degree)
+
+
+def _graph(stats, min_degree=1):
     """P6 (communities with more than 2 authors) and P7 (authors with 10 characters in two of them), then J4."""
-    stats = cut_lineage(B.graph_stats(spark, sf_dir))
+    stats = cut_lineage(stats)
     active = stats.groupBy("subreddit").agg(F.count(F.lit(1)).alias("count"))
     chosen = corpus.prolific_authors(stats, 10, 2)
-    return graph.subreddit_adjacency(graph.graph_incidence(stats, active, 2, chosen))
+    return graph.subreddit_adjacency(graph.graph_incidence(stats, active, 2, chosen), min_degree)
+
 
+SQL_FILE_STATS = """SELECT CAST(author AS VARCHAR) AS author, CAST(subreddit AS VARCHAR) AS subreddit, num_characters
+  FROM (""" + B.SQL_GRAPH_STATS + ")"
 
-@register("subreddit_adjacency", f"""WITH {SQL_DIRECTED}
-SELECT subreddit_i AS subreddit_a, subreddit_j AS subreddit_b, shared_authors, sole_author
-FROM e WHERE subreddit_i < subreddit_j""")
+
+@register("subreddit_adjacency", f"""WITH {SQL_DIRECTED.replace(B.SQL_GRAPH_STATS, SQL_FILE_STATS)},
+sole AS (SELECT e.*, a.num_characters AS chars_i, b.num_characters AS chars_j FROM e
+         LEFT JOIN stats a ON a.author = e.sole_author AND a.subreddit = e.subreddit_i
+         LEFT JOIN stats b ON b.author = e.sole_author AND b.subreddit = e.subreddit_j)
+SELECT subreddit_i AS subreddit_a, subreddit_j AS subreddit_b, shared_authors, sole_author,
+       CAST(chars_i AS DOUBLE) AS sole_chars_a, CAST(chars_j AS DOUBLE) AS sole_chars_b
+FROM sole WHERE subreddit_i < subreddit_j""")
 def q_subreddit_adjacency(spark, sf_dir):
-    return _edges(spark, sf_dir).select("subreddit_a", "subreddit_b", "shared_authors", "sole_author")
+    """S6 + J4: the graph from a statistics file in which every key has an older, larger line before its last one."""
+    path = scratch_path(spark, "stats-file")
+    stats = B.file_stats(spark, sf_dir)
+    writers.write_ndjson(stats.withColumn("num_characters", F.col("num_characters") + 1000), f"{path}/1")
+    writers.write_ndjson(stats, f"{path}/2")
+    return _graph(readers.read_author_subreddit_stats(spark, f"{path}/*"))
 
 
 @register("subreddit_adjacency_summary", f"""WITH {SQL_DIRECTED}
@@ -340,7 +357,7 @@ suitable AS (SELECT author, subreddit_i AS subreddit_0, subreddit_j AS subreddit
 
 
 def _suitable(spark, sf_dir):
-    return graph.suitable_authors(_edges(spark, sf_dir), min_max_neighbours=3, min_chars=30)
+    return graph.suitable_authors(_edges(spark, sf_dir, 3), min_max_neighbours=3, min_chars=30)
 
 
 @register("suitable_authors", f"{SQL_SUITABLE} SELECT * FROM suitable")
@@ -371,17 +388,35 @@ def q_author_docs(spark, sf_dir):
     return _author_docs(spark, sf_dir)[1]
 
 
-@register("author_docs_roundtrip", f"""WITH {B.SQL_AUTHOR_DOCS}
+SQL_POSITIONS = f"""WITH {B.SQL_AUTHOR_DOCS}
 SELECT author, slot, subreddit, kind,
        row_number() OVER (PARTITION BY author, slot, kind ORDER BY ordinal) - 1 AS position,
        title, selftext, url, body, permalink
-FROM flat WHERE kind IS NOT NULL""")
+FROM flat WHERE kind IS NOT NULL"""
+
+
+@register("author_docs_roundtrip", SQL_POSITIONS)
 def q_author_docs_roundtrip(spark, sf_dir):
+    """K7 + S7 with records of at most 2,000 bytes of text, so that authors have several."""
     path = scratch_path(spark, "author-docs")
-    writers.write_ndjson(P.nest_author_docs(_author_docs(spark, sf_dir)[1]), path)
+    writers.write_ndjson(P.nest_author_docs(_author_docs(spark, sf_dir)[1], 2000), path)
     return P.flatten_author_docs(readers.read_author_infos(spark, path))
 
 
+@register("author_docs_from_files", SQL_POSITIONS)
+def q_author_docs_from_files(spark, sf_dir):
+    """J6 + J7 over several files of posts and comments: documents come in file order, written and read back nested."""
+    docs = B.persona_documents(spark, sf_dir)
+    paths = [scratch_path(spark, n) for n in ("posts", "comments", "nested")]
+    B.write_in_order(B.conv_submissions(docs), paths[0], "ordinal", 5)
+    B.write_in_order(B.conv_comments(docs), paths[1], "ordinal", 5)
+    posts = readers.read_submissions(spark, paths[0], file_order="ordinal")
+    notes = readers.read_comments(spark, paths[1], file_order="ordinal")
+    flat = P.attach_documents(B.conv_personas(docs), posts, notes)
+    writers.write_ndjson(P.nest_author_docs(flat), paths[2])
+    return P.flatten_author_docs(readers.read_author_infos(spark, paths[2]))
+
+
 SQL_ARMS = f"""WITH {B.SQL_AUTHOR_DOCS},
 armed AS (SELECT *, CASE WHEN {sql_sha256_mod_100('author')} < 70 THEN 'train'
                          WHEN {sql_sha256_mod_100('author')} < 85 THEN 'val' ELSE 'test' END AS arm FROM flat)"""
@@ -453,6 +488,20 @@ def q_persona_token_counts(spark, sf_dir):
     return _segment_counts(spark, sf_dir)[1]
 
 
+@register("vocabulary_token_counts", f"""WITH {B.SQL_AUTHOR_DOCS},
+segs AS (SELECT author, slot, title AS text FROM flat WHERE kind = 'submission'
+         UNION ALL SELECT author, slot, selftext FROM flat WHERE kind = 'submission'
+         UNION ALL SELECT author, slot, body FROM flat WHERE kind = 'comment'),
+ids AS (SELECT author, slot, unnest(list_transform(string_split(lower(coalesce(text, '')), ' '), lambda t: {{}})) AS token_id FROM segs)
+SELECT author, slot, token_id, v.token, count(*) AS n FROM ids LEFT JOIN ({B.SQL_VOCABULARY}) v USING (token_id)
+GROUP BY ALL""".replace("{}", B.SQL_WORD_ID))
+def q_vocabulary_token_counts(spark, sf_dir):
+    """E4 + F12: texts through a tokenizer that gives ids, counted, and the ids turned back into text by a vocabulary."""
+    segments = P.persona_segments(_author_docs(spark, sf_dir)[1])
+    counts = tok.token_counts(segments, ["author", "slot"], tokenizer=B.word_ids).withColumnRenamed("token", "token_id")
+    return tok.with_token_text(counts, B.vocabulary(spark, sf_dir)).select("author", "slot", "token_id", "token", "n")
+
+
 @register("author_token_counts", f"WITH {SQL_SEGMENT_COUNTS} SELECT author, token, sum(n) AS n FROM pcounts GROUP BY ALL")
 def q_author_token_counts(spark, sf_dir):
     return tok.roll_up(_segment_counts(spark, sf_dir)[1], ["author"])
@@ -460,9 +509,10 @@ def q_author_token_counts(spark, sf_dir):
 
 @register("persona_docs", f"WITH docs AS ({B.SQL_PERSONA_DOCS}) SELECT entity, persona, CAST(row_number() OVER (PARTITION BY entity, persona ORDER BY ordinal) - 1 AS INTEGER) AS position, text FROM docs")
 def q_persona_docs(spark, sf_dir):
-    from penprint.sources.readers import validate_documents
-    docs = validate_documents(B.persona_documents(spark, sf_dir))
-    grouped = P.group_documents(docs, "ordinal")
+    """S9 + A8 over several Parquet files: texts stand in file order."""
+    path = scratch_path(spark, "persona-docs")
+    B.write_in_order(B.persona_documents(spark, sf_dir), path, "ordinal", 7, form="parquet")
+    grouped = P.group_documents(readers.read_documents(spark, path))
     return grouped.select("entity", "persona", F.posexplode("texts").alias("position", "text"))
 
 
@@ -777,6 +827,30 @@ def q_embed_texts(spark, sf_dir):
     return rounded(long.where(F.col("value") != 0))
 
 
+# A registered model of the tests: 96 numbers, the counts of a text's code points modulo 96, divided by its length.
+V.register_embedder(B.WIDE_MODEL, B.build_wide_model, prefix="passage: ", batch_size=100)
+
+SQL_WIDE = """
+wt AS (SELECT {keys}, 'passage: ' || coalesce(text, '') AS text FROM {docs}),
+wc AS (SELECT {keys}, length(text) AS size, unicode(unnest(string_split(text, ''))) % 96 AS pos FROM wt),
+wv AS (SELECT {keys}, CAST(pos AS INTEGER) AS pos, CAST(count(*) / any_value(size) AS FLOAT) AS value FROM wc GROUP BY {keys}, pos)"""
+
+
+@register("embed_texts_model", f"""WITH {B.SQL_AUTHOR_DOCS},
+texts AS (SELECT author, slot, CASE WHEN kind = 'submission' THEN 0 ELSE 1 END AS doc_order, ordinal,
+                 CASE WHEN kind = 'submission'
+                      THEN coalesce(title, '') || CASE WHEN coalesce(selftext, '') <> ''
+                                                       THEN chr(10) || chr(10) || selftext ELSE '' END
+                      ELSE body END AS text
+          FROM flat WHERE kind IS NOT NULL), {SQL_WIDE.format(keys='author, slot, doc_order, ordinal', docs='texts')}
+SELECT author, slot, doc_order, ordinal, pos, round(CAST(value AS DOUBLE), 6) AS value FROM wv""")
+def q_embed_texts_model(spark, sf_dir):
+    """E1 + F3 with a registered model: built once per worker, given 100 texts at a time, 96 numbers wide."""
+    keys = ["author", "slot", "doc_order", "ordinal"]
+    vecs = V.embed_texts(_doc_texts(spark, sf_dir), keys, "text", B.WIDE_MODEL)
+    return rounded(vecs.select(*keys, F.posexplode("embedding").alias("pos", "value")).where("value != 0"))
+
+
 # Fixed projection used by the tests: Linear(64 -> 16) -> ReLU -> Linear(16 -> 8);
 # weight[o][i] = ((7 o + 3 i) mod 11 - 5) / 10, bias[o] = (o mod 5 - 2) / 10.
 def projection_layers():
@@ -827,6 +901,26 @@ def q_infer_embedding(spark, sf_dir):
     return rounded(scores.drop("pair_id"))
 
 
+@register("infer_embedding_model", f"""WITH docs AS ({B.SQL_PERSONA_DOCS}), {SQL_WIDE.format(keys='entity, persona, ordinal', docs='docs')},
+nd AS (SELECT entity, persona, count(*) AS n FROM docs GROUP BY ALL),
+pv AS (SELECT wv.entity, wv.persona, wv.pos, sum(CAST(value AS DOUBLE)) / any_value(nd.n) AS v
+       FROM wv JOIN nd USING (entity, persona) GROUP BY wv.entity, wv.persona, wv.pos),
+pn AS (SELECT entity, persona, sqrt(sum(v * v)) AS norm FROM pv GROUP BY ALL),
+pairs AS ({B.SQL_INFERENCE_PAIRS}),
+dots AS (SELECT p.entity1, p.persona1, p.entity2, p.persona2, sum(a.v * b.v) AS dot
+         FROM pairs p JOIN pv a ON a.entity = p.entity1 AND a.persona = p.persona1
+         JOIN pv b ON b.entity = p.entity2 AND b.persona = p.persona2 AND b.pos = a.pos GROUP BY ALL)
+SELECT d.entity1, d.persona1, d.entity2, d.persona2, round(d.dot / (n1.norm * n2.norm), 6) AS match_score
+FROM dots d JOIN pn n1 ON n1.entity = d.entity1 AND n1.persona = d.persona1
+JOIN pn n2 ON n2.entity = d.entity2 AND n2.persona = d.persona2""")
+def q_infer_embedding_model(spark, sf_dir):
+    """M9 + E2 with a model of 96 numbers: the width comes with the vectors."""
+    source = B.persona_documents(spark, sf_dir)
+    docs = readers.validate_documents(source.select("entity", "persona", "text"))
+    scores = scoring.run_inference("EMBEDDING_MODEL", docs, B.inference_pairs(source), embedder=B.WIDE_MODEL)
+    return rounded(scores.drop("pair_id"))
+
+
 @register("project_embeddings", """
 WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS v FROM embeddings),
 w1 AS (SELECT o, i, ((7 * o + 3 * i) % 11 - 5) / 10.0 AS w FROM range(16) a(o), range(64) b(i)),

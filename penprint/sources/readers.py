@@ -13,10 +13,32 @@ from pyspark.sql import types as T
 from penprint.sources import schemas
 
 
-def read_submissions(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
-    """Newline-delimited JSON posts (splittable text scan)."""
-    schema = schemas.RAW_SUBMISSION if raw else schemas.SUBMISSION
-    return _json(spark, schema, path)
+# Place of a row in its input: file name, first byte of its piece of the file, position inside the piece.
+FILE_ORDER = "file_order"
+
+
+def with_file_order(rows: DataFrame, column: str = FILE_ORDER, source: str = "text") -> DataFrame:
+    """Add the rows' place in the files they are scanned from, as one sortable struct.
+
+    Files count in name order, rows in the order in which they stand in their
+    file, however Spark packs files and pieces of files into tasks. ``rows`` must
+    be the scan itself. Parquet rows carry their number in the file; the rows
+    of a text or JSON file have the first byte of their piece, and inside it
+    the task's running number, which only grows along a piece.
+    """
+    meta = F.col("_metadata")
+    if source == "parquet":
+        place = F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("piece"), F.lit(0).cast("bigint").alias("row"))
+    else:
+        place = F.struct(meta["file_path"].alias("file"), meta["file_block_start"].alias("piece"),
+                         F.monotonically_increasing_id().alias("row"))
+    return rows.select("*", place.alias(column))
+
+
+def read_submissions(spark: SparkSession, path: str, raw: bool = False, file_order: str | None = None) -> DataFrame:
+    """Newline-delimited JSON posts (splittable text scan); ``file_order`` names a column for their place."""
+    rows = _json(spark, schemas.RAW_SUBMISSION if raw else schemas.SUBMISSION, path)
+    return with_file_order(rows, file_order) if file_order else rows
 
 
 def _json(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
@@ -24,9 +46,10 @@ def _json(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_comments(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
-    """Newline-delimited JSON comments."""
-    return _json(spark, schemas.RAW_COMMENT if raw else schemas.COMMENT, path)
+def read_comments(spark: SparkSession, path: str, raw: bool = False, file_order: str | None = None) -> DataFrame:
+    """Newline-delimited JSON comments; ``file_order`` names a column for their place."""
+    rows = _json(spark, schemas.RAW_COMMENT if raw else schemas.COMMENT, path)
+    return with_file_order(rows, file_order) if file_order else rows
 
 
 def read_nsfw_flags(spark: SparkSession, path: str, single_object: bool = False) -> DataFrame:
@@ -58,8 +81,15 @@ def read_line_list(spark: SparkSession, path: str, column: str = "author") -> Da
 
 
 def read_author_subreddit_stats(spark: SparkSession, path: str) -> DataFrame:
-    """Per (author, subreddit) counts as written by K4."""
-    return _json(spark, schemas.AUTHOR_SUBREDDIT_STATS, path)
+    """Per (author, subreddit) counts as written by K4. Of repeated keys the last line of the last file stands."""
+    return last_of(with_file_order(_json(spark, schemas.AUTHOR_SUBREDDIT_STATS, path)), ["author", "subreddit"])
+
+
+def last_of(rows: DataFrame, keys: list[str], order: str = FILE_ORDER) -> DataFrame:
+    """The last row of every key; combined map-side, so repeated keys are reduced before the shuffle."""
+    values = [c for c in rows.columns if c not in (*keys, order)]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_last"))
+    return last.select(*[F.col(c) if c in keys else F.col("_last")[c].alias(c) for c in rows.columns if c != order])
 
 
 def read_author_infos(spark: SparkSession, path: str) -> DataFrame:
@@ -96,8 +126,12 @@ def validate_pairs(df: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents Parquet; only the three used columns are read (column pruning), null keys dropped."""
-    docs = validate_documents(spark.read.parquet(path)).select(*schemas.DOCUMENT_COLUMNS)
+    """Documents Parquet; only the three used columns are read (column pruning), null keys dropped.
+
+    ``file_order`` holds each document's place in its files; a step that does not use it does not read it.
+    """
+    docs = with_file_order(validate_documents(spark.read.parquet(path)), source="parquet")
+    docs = docs.select(*schemas.DOCUMENT_COLUMNS, FILE_ORDER)
     return docs.where(F.col("entity").isNotNull() & F.col("persona").isNotNull())
 
 

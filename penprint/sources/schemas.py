@@ -25,9 +25,11 @@ AUTHOR_SUBREDDIT_STATS = _struct(("author", S), ("subreddit", S), ("num_characte
 
 SUBMISSION_INFO = _struct(("title", S), ("selftext", S), ("url", S))
 COMMENT_INFO = _struct(("body", S), ("permalink", S))
+# slot, first_* and chunk are null in files that hold one record per author.
 PERSONA_INFO = _struct(("subreddit", S), ("submissions", T.ArrayType(SUBMISSION_INFO)),
-                       ("comments", T.ArrayType(COMMENT_INFO)))
-AUTHOR_INFO = _struct(("username", S), ("personas", T.ArrayType(PERSONA_INFO)))
+                       ("comments", T.ArrayType(COMMENT_INFO)), ("slot", I), ("first_submission", L),
+                       ("first_comment", L))
+AUTHOR_INFO = _struct(("username", S), ("chunk", I), ("personas", T.ArrayType(PERSONA_INFO)))
 
 TOKEN_COUNT = _struct(("rank", I), ("token", S), ("n", L))
 TOKEN_ACCURACY = _struct(("rank", I), ("accuracy", D), ("token", S))

@@ -1,6 +1,9 @@
 """Sinks (K1-K14). Every writer is a distributed ``DataFrameWriter`` call.
 
-Fan-out sinks use ``partitionBy`` so that later reads prune partitions.
+Fan-out sinks use ``partitionBy`` so that later reads prune partitions. Their
+rows are dealt by the partition columns first, so a directory gets a few files of
+a good size, not one from every task; adaptive execution splits a directory's
+rows by size where they are too many for one task.
 """
 
 from __future__ import annotations
@@ -11,19 +14,19 @@ from pyspark.sql import functions as F
 from penprint.sources import schemas
 
 
+def _writer(df: DataFrame, mode: str, partition_by: list[str] | None):
+    if not partition_by:
+        return df.write.mode(mode)
+    return df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by)
+
+
 def write_ndjson(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
     """K1/K3/K4/K7: newline-delimited JSON."""
-    writer = df.write.mode(mode)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.json(path)
+    _writer(df, mode, partition_by).json(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
-    writer = df.write.mode(mode)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    _writer(df, mode, partition_by).parquet(path)
 
 
 def write_nsfw_flag_object(flags: DataFrame, path: str) -> None:

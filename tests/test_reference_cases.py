@@ -146,7 +146,8 @@ def test_embedder_by_name_gets_its_prefix(spark):
     assert list(row.embedding) == [13.0, 1.0]
     with pytest.raises(ValueError):
         vectors.embed_texts(docs, ["k"], "text", "unheard of")
-    assert vectors.PREFIXES["e5-multilingual-large-instruct"].startswith("Instruct: Generate an embedding")
+    with pytest.raises(ValueError, match="no model is registered"):
+        vectors.embed_texts(docs, ["k"], "text", "nomic")
 
 
 def test_embedding_scores_project_and_use_the_cache(spark):

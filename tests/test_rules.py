@@ -111,9 +111,13 @@ def test_adjacency_matches_brute_force(spark):
         shared = by_sub[s1] & by_sub[s2]
         if shared:
             want[(s1, s2)] = (len(shared), next(iter(shared)) if len(shared) == 1 else None)
-    for parts in (1, 4):
-        edges = graph.subreddit_adjacency(inc, parts=parts).collect()
+    for part in (8, 1024):
+        edges = graph.subreddit_adjacency(inc, part=part).collect()
         assert {(r.subreddit_a, r.subreddit_b): (r.shared_authors, r.sole_author) for r in edges} == want
+    touching = {k: v for k, v in want.items() if max(len(by_sub[k[0]]), len(by_sub[k[1]])) >= 6}
+    for part in (5, 1024):
+        edges = graph.subreddit_adjacency(inc, 6, part).collect()
+        assert {(r.subreddit_a, r.subreddit_b): (r.shared_authors, r.sole_author) for r in edges} == touching
 
 
 def test_active_and_chosen_restrict_the_graph(spark):
@@ -131,6 +135,27 @@ def test_null_author_is_an_error(spark):
         graph.subreddit_adjacency(graph.graph_incidence(stats)).collect()
 
 
+def test_repeated_statistics_that_differ_are_an_error(spark):
+    rows = [("a", "s1", 5), ("a", "s1", 5), ("a", "s2", 5)]
+    schema = "author STRING, subreddit STRING, num_characters BIGINT"
+    assert graph.subreddit_adjacency(spark.createDataFrame(rows, schema)).first().shared_authors == 1
+    with pytest.raises(Exception, match="repeated statistics"):
+        graph.subreddit_adjacency(spark.createDataFrame([*rows, ("a", "s2", 6)], schema)).collect()
+
+
+def test_an_author_in_very_many_communities_meets_large_ones_only(spark):
+    # One author in 50,000 communities, of which 20 are large: 50,000 x 20 pairs, not 50,000 x 50,000.
+    hot = spark.range(50_000).select(F.lit("hot").alias("author"), F.col("id").alias("subreddit"), F.lit(100).alias("num_characters"))
+    others = spark.range(25).crossJoin(spark.range(20).withColumnRenamed("id", "subreddit")).select(
+        F.concat(F.lit("m"), "id").alias("author"), "subreddit", F.lit(100).alias("num_characters"))
+    inc = hot.unionByName(others)
+    rows = graph.shared_author_rows(inc, 20)
+    assert rows.count() == 20 * (50_000 - 20) + 26 * 190
+    got = graph.suitable_authors(graph.subreddit_adjacency(inc, 20), min_max_neighbours=20, min_chars=50)
+    assert [tuple(r) for r in got.collect()] == [("hot", 0, 20)]
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def _suitable_edges(spark):
     # s1-s2 share only 'a' (a has 10 chars in s1, 100 in s2); s1-s3 share only 'b'; s1-s4 many.
     stats = [("a", 1, 10), ("a", 2, 100), ("b", 1, 100), ("b", 3, 100), ("a", 5, 100), ("b", 5, 100), ("b", 6, 100)]
@@ -273,9 +298,70 @@ def _vector_table(spark, n=40, dim=5):
     return spark.createDataFrame(rows, "author STRING, slot INT, embedding ARRAY<DOUBLE>"), pairs
 
 
+@pytest.mark.parametrize("points", [16, 64, 4096])
+def test_summary_takes_two_products_at_most(spark, monkeypatch, points):
+    monkeypatch.setattr(vectors.cosine_blocks, "__defaults__", ("author", "slot", 9))
+    monkeypatch.setattr(vectors.blocked, "__defaults__", ("author", "slot", 9, False))
+    monkeypatch.setattr(similarity, "POINTS", points)
+    monkeypatch.setattr(similarity, "MERGE", 3)
+    table, pairs = _vector_table(spark, 60)
+    runs = []
+    product = vectors.cosine_blocks
+    monkeypatch.setattr(similarity, "cosine_blocks", lambda *a, **b: runs.append(1) or product(*a, **b))
+    got = {r.label: r for r in similarity.summary(table).collect()}
+    assert len(runs) <= 2
+    for label in (0, 1):
+        v = np.array([s for k, s, _ in pairs if k == label])
+        assert got[label].n == len(v) and np.isclose(got[label].median, np.median(v), rtol=0, atol=1e-12)
+    runs.clear()
+    whole = similarity.report(table, 10, 5, 0.5, 0.2, 0.0, 3)
+    assert len(runs) == 2
+    parts = {"summary": similarity.summary(table), "histogram": similarity.histogram(table, 10),
+             "best_cutoffs": similarity.best_cutoffs(table), "threshold": similarity.threshold_precision(table, 0.5),
+             "examples": similarity.examples(table, 0.2, 0.0, 3)}
+    def rows(df):
+        return sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
+    for name, alone in parts.items():
+        assert rows(whole[name]) == rows(alone), name
+
+
+def test_median_of_equal_and_two_valued_similarities(spark):
+    same = [(f"a{i // 2:02d}", i % 2, [1.0, 1.0]) for i in range(30)]
+    two = [(f"a{i // 2:02d}", i % 2, [1.0, 0.0] if i < 7 else [0.0, 1.0]) for i in range(30)]
+    for data in (same, two):
+        table = spark.createDataFrame(data, "author STRING, slot INT, embedding ARRAY<DOUBLE>")
+        got = {r.label: r.median for r in similarity.summary(table).collect()}
+        for label in (0, 1):
+            v = [float(np.dot(x[2], y[2]) / np.linalg.norm(x[2]) / np.linalg.norm(y[2]))
+                 for x, y in itertools.combinations(data, 2) if (x[0] == y[0]) == bool(label)]
+            assert abs(got[label] - np.median(v)) < 1e-12
+
+
+def test_rank_sketch_brackets_hold_every_rank():
+    rng = np.random.default_rng(5)
+    for points in (8, 32, 200):
+        sketch = similarity.RankSketch(points, 3)
+        for case in range(30):
+            parts = [np.sort(rng.normal(size=rng.integers(1, 90)).round(1 if case % 2 else 6)) for _ in range(9)]
+            level = [similarity._compress(p, np.ones(len(p)), points) for p in parts]
+            rounds = 1
+            while len(level) > 1:
+                merged = []
+                for at in range(0, len(level), 3):
+                    v = np.concatenate([x[0] for x in level[at:at + 3]])
+                    w = np.concatenate([x[1] for x in level[at:at + 3]])
+                    order = np.argsort(v, kind="stable")
+                    merged.append(similarity._compress(v[order], w[order], points))
+                level, rounds = merged, rounds + 1
+            values = np.sort(np.concatenate(parts))
+            found = sketch.brackets((*level[0], rounds), set(range(len(values))), values[0], values[-1])
+            assert all(lo <= values[r] <= hi for r, (lo, hi) in found.items())
+
+
 @pytest.mark.parametrize("block", [1024, 7])
 def test_similarity_statistics_equal_those_of_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(vectors.cosine_blocks, "__defaults__", ("author", "slot", block))
+    monkeypatch.setattr(vectors.blocked, "__defaults__", ("author", "slot", block, False))
     table, pairs = _vector_table(spark)
     got = {r.label: r for r in similarity.summary(table).collect()}
     for label in (0, 1):

@@ -12,8 +12,10 @@ def test_incremental_filter_equals_batch(spark):
     writers.write_ndjson(subs, src)
     flags = corpus.nsfw_flags(subs)
     out = scratch_path(spark, "stream-out")
-    q = clean_new_submissions(spark, src, out, B.ignored_authors(spark), flags)
-    q.awaitTermination(300)
+    checkpoint = scratch_path(spark, "stream-checkpoint")
+    for _ in range(2):  # the second run finds nothing new
+        q = clean_new_submissions(spark, src, out, B.ignored_authors(spark), flags, checkpoint)
+        q.awaitTermination(300)
     got = spark.read.parquet(out)
     want = corpus.filter_submissions(subs, B.ignored_authors(spark), flags)
     assert got.count() == want.count()
