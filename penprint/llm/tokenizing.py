@@ -5,7 +5,7 @@ a visible character, and between an ASCII letter and a full stop or comma. A
 byte-level BPE never joins characters across such a boundary, so encoding the
 parts one by one gives exactly the ids of the whole text. Equal parts of a
 batch are encoded once, and every Python worker remembers the parts it met in
-two flat arrays of bounded length, keyed by the parts' 64-bit hashes.
+flat arrays of bounded length, keyed by the parts' 128-bit hashes.
 
 Vocabularies of another kind (with a normaliser, a prefix space or white-space
 pieces) have no such boundary; their texts are encoded whole.
@@ -25,7 +25,7 @@ from penprint.llm.words import SPACE, hash_spans, text_buffers
 
 # Bytes of text encoded together.
 BATCH_BYTES = 1 << 20
-# Parts of text remembered by a Python worker (about 30 bytes each); longer parts are not kept.
+# Parts of text remembered by a Python worker (about 38 bytes each); longer parts are not kept.
 MEMORY = 1_200_000
 LONGEST_KEPT = 64
 
@@ -56,31 +56,33 @@ def safe_cuts(data: np.ndarray) -> np.ndarray:
 
 
 class Memory:
-    """Ids of parts by hash: sorted hashes with places in one flat array; new ones wait in a small second table."""
+    """Ids of parts by hash: sorted first lanes, second lanes to be sure, and places in one flat array."""
 
     def __init__(self, kind):
         self.keys = np.zeros(0, np.uint64)
+        self.sure = np.zeros(0, np.uint64)
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int32)
         self.flat = np.zeros(0, kind)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray, sure: np.ndarray) -> np.ndarray:
         """Place of every key, -1 where it is not known."""
         if not len(self.keys):
             return np.full(len(keys), -1, np.int64)
         at = np.searchsorted(self.keys, keys)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == keys, at, -1)
+        return np.where((self.keys[at] == keys) & (self.sure[at] == sure), at, -1)
 
-    def add(self, keys: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, sure: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
         room = MEMORY - len(self.keys)
         if room <= 0 or not len(keys):
             return
-        keys, sizes = keys[:room], sizes[:room]
+        keys, sure, sizes = keys[:room], sure[:room], sizes[:room]
         starts = np.cumsum(sizes) - sizes + len(self.flat)
         merged = np.concatenate([self.keys, keys])
         order = np.argsort(merged, kind="stable")
         self.keys = merged[order]
+        self.sure = np.concatenate([self.sure, sure])[order]
         self.start = np.concatenate([self.start, starts])[order]
         self.size = np.concatenate([self.size, sizes.astype(np.int32)])[order]
         self.flat = np.concatenate([self.flat, flat[:int(sizes.sum())]])
@@ -147,13 +149,15 @@ class Encoder:
     def coded(self, data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of the distinct parts end to end, start and size of each, index of every part)."""
         begins, ends = limits[:-1], limits[1:]
-        hashes = hash_spans(data, begins, ends)
+        hashes, second = (hash_spans(data, begins, ends, lane=k) for k in (0, 1))
         table = pa.array(hashes).dictionary_encode()
         index = table.indices.to_numpy(zero_copy_only=False)
-        keys = table.dictionary.to_numpy(zero_copy_only=False)
-        first = np.empty(len(keys), np.int64)
+        first = np.empty(len(table.dictionary), np.int64)
         first[index[::-1]] = np.arange(len(index) - 1, -1, -1)
-        place = self.memory.find(keys)
+        if (second[first][index] != second).any():  # equal in the first lane only
+            _, first, index = np.unique(np.stack([hashes, second], axis=1), axis=0, return_index=True, return_inverse=True)
+        keys, sure = hashes[first], second[first]
+        place = self.memory.find(keys, sure)
         new = np.flatnonzero(place < 0)
         if len(new):
             parts = [data[b:e].tobytes().decode() for b, e in zip(begins[first[new]].tolist(), ends[first[new]].tolist(),
@@ -171,7 +175,7 @@ class Encoder:
             if not short.all():
                 flat = flat[np.repeat(short, sizes)]
                 new, sizes = new[short], sizes[short]
-            self.memory.add(keys[new], sizes, flat)
+            self.memory.add(keys[new], sure[new], sizes, flat)
         return everything, start, size, index
 
     def _encode_all(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:

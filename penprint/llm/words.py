@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 20
-# A word longer than this is hashed by blake2b instead of the polynomial.
-LONG_WORD = 1 << 16
+# A word longer than this is hashed by blake2b, one by one.
+LONG_WORD = 256
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -25,16 +25,17 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 PUNCTUATED = SPACE.copy()
 PUNCTUATED[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
 
-_rng = np.random.Generator(np.random.PCG64(20_240_501))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_FOLDED = _BYTE.copy()
-_BYTE_FOLDED[ord("A"):ord("Z") + 1] = _BYTE[ord("a"):ord("z") + 1]
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_BASE = 0x9E3779B97F4A7C15 | 1
+_FOLDED = np.frombuffer(_FOLD, np.uint8)
+# The low k bytes of a 64-bit number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+# Two lanes of 64 bits, each with a start, a factor and a factor of the length.
+_LANES = np.array([[0x243F6A8885A308D3, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93],
+                   [0x452821E638D01377, 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25]], np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
 
-def powers(n: int, base: int = _BASE, name: str = "bytes") -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, base: int, name: str) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base and of its inverse modulo 2^64 (kept per process)."""
     have = _powers.get(name)
     if have is None or len(have) < n:
@@ -122,36 +123,31 @@ def word_spans(data: np.ndarray, starts_of_texts: np.ndarray, breaks: np.ndarray
     return np.flatnonzero(begins), np.flatnonzero(finishes) + 1
 
 
-def hash_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """64-bit hash of every span; spans are in order and do not overlap."""
+def hash_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, fold: bool = False, lane: int = 0) -> np.ndarray:
+    """64-bit hash of every span; the two lanes together name a span by 128 bits.
+
+    A span is read eight bytes at a time; each step multiplies, adds and mixes
+    (``mix`` is one-to-one and not linear), so, unlike a polynomial modulo 2^64,
+    there are no texts that collide whatever the factors are.
+    """
     if not len(begins):
         return np.zeros(0, np.uint64)
-    longest = int((ends - begins).max())
-    out = np.empty(len(begins), np.uint64)
-    if longest > LONG_WORD:
-        for i in np.flatnonzero(ends - begins > LONG_WORD):
-            raw = data[begins[i]:ends[i]].tobytes()
-            raw = raw.translate(_FOLD) if fold else raw
-            out[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
-        short = np.flatnonzero(ends - begins <= LONG_WORD)
-    else:
-        short = slice(None)
-    b, e = begins[short], ends[short]
-    if len(b):
-        # Runs of words, each within the powers at hand; a giant word in between is skipped over.
-        groups = [0, *(np.flatnonzero((b[1:] - e[:-1] > LONG_WORD) | (b[1:] // PIECE != b[:-1] // PIECE)) + 1).tolist(),
-                  len(b)]
-        part = np.empty(len(b), np.uint64)
-        for lo, hi in zip(groups[:-1], groups[1:], strict=True):
-            at, to = int(b[lo]), int(e[hi - 1])
-            up, down = powers(to - at + 1)
-            sums = np.zeros(to - at + 1, np.uint64)
-            values = (_BYTE_FOLDED if fold else _BYTE)[data[at:to]]
-            np.multiply(values, up[:-1], out=values)
-            np.cumsum(values, out=sums[1:])
-            part[lo:hi] = (sums[e[lo:hi] - at] - sums[b[lo:hi] - at]) * down[b[lo:hi] - at]
-        out[short] = mix(part + (e - b).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return out
+    start, factor, by_length = _LANES[lane]
+    size = ends - begins
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = _FOLDED[data] if fold else data
+    at_byte = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix((at_byte[begins] & _LOW[np.minimum(size, 8)]) + start)
+    rest = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    done = 8
+    while len(rest):
+        left = size[rest] - done
+        out[rest] = mix(out[rest] * factor + (at_byte[begins[rest] + done] & _LOW[np.minimum(left, 8)]))
+        rest, done = rest[left > 8], done + 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = hashlib.blake2b(padded[begins[i]:ends[i]].tobytes(), digest_size=16).digest()
+        out[i] = int.from_bytes(digest[8 * lane:8 * lane + 8], "little")
+    return mix(out + size.astype(np.uint64) * by_length)
 
 
 def hashed_words(column, fold: bool, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:

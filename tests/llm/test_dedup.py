@@ -170,3 +170,13 @@ def test_rows_without_id_meet_only_their_own_class(spark, monkeypatch):
     data = [(None, prose(4000 + k // 2, 60) + " end" * (k % 2)) for k in range(80)]
     assert minhash.near_duplicates(documents(spark, data)).count() == 80
     assert 0 < read.value <= 4 * len(data)
+
+
+def test_complement_strings_neither_link_nor_repeat(spark):
+    from test_words import complement_pair
+    one, two = complement_pair(2048, "ab")
+    data = [(1, one), (2, two), (3, " ".join([one] + [f"w{k}" for k in range(30)])), (4, " ".join([two] + [f"w{k}" for k in range(19)]))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, data)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+    removed = {r.doc_id: r.n_removed for r in substrings.remove_repeats(documents(spark, data)).collect()}
+    assert removed == {1: 0, 2: 0, 3: 0, 4: 0}

@@ -76,3 +76,57 @@ def test_vocabularies_without_safe_cuts_are_encoded_whole(name):
         expected = [len(lib.encode(t or "", add_special_tokens=False).ids) for t in some]
     assert tool.lengths(pa.array(some)).tolist() == expected
     assert np.array_equal(tool.lengths(pa.array(some)), expected)
+
+
+def complement_pair(length, letters):
+    """A Thue-Morse string and its complement: equal under every polynomial modulo 2^64 from 1,024 letters on."""
+    bits = np.zeros(1, np.int64)
+    while len(bits) < length:
+        bits = np.concatenate([bits, 1 - bits])
+    return ["".join(letters[b] for b in x) for x in (bits[:length], 1 - bits[:length])]
+
+
+@pytest.mark.parametrize("length", [64, 1024, 4096, 65_536])
+def test_complement_strings_are_different_words(length):
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(tokenizing.public_path("byte_bpe_50k.json"))
+    for letters in ("ab", "09", "xZ"):
+        pair = complement_pair(length, letters)
+        hashes, _ = W.hashed_words(pa.array(pair), True)
+        assert hashes[0] != hashes[1]
+        expected = [e.ids for e in plain.encode_batch(pair, add_special_tokens=False)]
+        tool = tokenizing.Encoder("byte_bpe_50k.json")
+        assert tool.lengths(pa.array(pair)).tolist() == [len(x) for x in expected]
+        got = [[], []]
+        for i, ids in tool.ids(pa.array(pair)):
+            got[i] += ids.tolist()
+        assert got == expected
+
+
+def test_parts_that_share_the_first_lane_stay_apart(monkeypatch):
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(tokenizing.public_path("byte_bpe_50k.json"))
+    whole = W.hash_spans
+    monkeypatch.setattr(tokenizing, "hash_spans", lambda d, b, e, lane: whole(d, b, e, lane=lane) & np.uint64(3 if lane == 0 else 2**64 - 1))
+    some = texts(300, 5)
+    tool = tokenizing.Encoder("byte_bpe_50k.json")
+    expected = [len(e.ids) for e in plain.encode_batch([t or "" for t in some], add_special_tokens=False)]
+    for _ in range(2):
+        assert tool.lengths(pa.array(some)).tolist() == expected
+
+
+def test_spans_hash_by_their_bytes_alone():
+    rnd = random.Random(6)
+    words = sorted({"".join(rnd.choice("abABé") for _ in range(rnd.choice([1, 2, 7, 8, 9, 15, 16, 17, 40, 255, 256, 257, 900])))
+                    for _ in range(3000)})
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    sizes = np.array([len(w.encode()) for w in words])
+    ends = np.cumsum(sizes + 1) - 1
+    for fold in (False, True):
+        for lane in (0, 1):
+            hashes = W.hash_spans(data, ends - sizes, ends, fold, lane)
+            want = {w.lower() if fold else w for w in words}
+            assert len(set(hashes.tolist())) == len(want)
+            for w, h in list(zip(words, hashes, strict=True))[::37]:
+                alone = np.frombuffer(w.encode(), np.uint8)
+                assert W.hash_spans(alone, np.array([0]), np.array([len(alone)]), fold, lane)[0] == h
