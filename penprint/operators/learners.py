@@ -3,19 +3,27 @@
 Features are built relationally in long form (pair, position, value) from the
 per-persona token table, then gathered into one vector per pair (bounded by
 the token-set size) for ``pyspark.ml``.
+
+A trained model becomes a table: weights by feature, or tree nodes by number.
+Accuracies come from scoring the long features by joins with that table, so
+they can be derived again outside Spark, and the logistic model carries a
+certificate, the gradient of its loss at the weights (0 only at the optimum).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penprint.functions.columns import capped_bucket
 from penprint.operators.indexing import derangement_pairs
 from penprint.operators.personas import with_arm
+from penprint.session import cut_lineage, scratch_path
 
 # Fixed values of the reference's learners.
 GBT_TREES = 100
@@ -88,6 +96,104 @@ def boosted_trees(train: DataFrame, depth: int):
     return GBTClassifier(maxIter=GBT_TREES, maxDepth=depth, stepSize=GBT_STEP, seed=GBT_SEED).fit(train)
 
 
+# ---------------------------------------------------------------- models as tables
+
+def loss_derivatives(train: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of sum(log loss) + |w|^2 / 2 at ``weights`` (the intercept, last, is not penalised).
+
+    One pass; each task sends one matrix as wide as the features.
+    """
+    size = len(weights)
+
+    def sums(batches):
+        total = np.zeros((size, size + 1))
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                x = np.hstack([x, np.ones((len(x), 1))])
+                p = 1.0 / (1.0 + np.exp(-(x @ weights)))
+                total[:, :size] += (x * (p * (1 - p))[:, None]).T @ x
+                total[:, size] += x.T @ (p - batch.column(0).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["cell", "value"])
+
+    rows = train.select(F.col("label").cast("double").alias("label"), vector_to_array("features").alias("x"))
+    cells = rows.mapInArrow(sums, "cell bigint, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
+    total = np.zeros(size * (size + 1))
+    for r in cells:
+        total[r.cell] = r.value
+    total = total.reshape(size, size + 1)
+    penalty = np.append(np.ones(size - 1), 0.0)
+    return total[:, size] + penalty * weights, total[:, :size] + np.diag(penalty)
+
+
+def exact_weights(model, train: DataFrame, limit: float = 1e-9, steps: int = 10) -> tuple[np.ndarray, float]:
+    """(weights with the intercept last, largest entry of the gradient there): the fitted model's, brought to the
+    optimum by Newton steps until the gradient is below ``limit``."""
+    weights = np.append(model.coefficients.toArray(), model.intercept)
+    gradient, hessian = loss_derivatives(train, weights)
+    for _ in range(steps):
+        if np.abs(gradient).max() <= limit:
+            break
+        weights = weights - np.linalg.solve(hessian, gradient)
+        gradient, hessian = loss_derivatives(train, weights)
+    return weights, float(np.abs(gradient).max())
+
+
+def weight_rows(spark: SparkSession, weights: np.ndarray) -> DataFrame:
+    """(pos, weight): one row per feature; the intercept has the position behind the last feature."""
+    return spark.createDataFrame([(k, float(w)) for k, w in enumerate(weights)], "pos int, weight double")
+
+
+def linear_predictions(long: DataFrame, weights: DataFrame) -> DataFrame:
+    """(pair columns, prediction) of long features by a table of weights."""
+    keys = [c for c in long.columns if c not in ("pos", "value")]
+    last = weights.agg(F.max("pos").alias("_last"))
+    one = long.select(*keys).distinct().crossJoin(last).select(*keys, F.col("_last").alias("pos"), F.lit(1.0).alias("value"))
+    rows = long.select(*keys, "pos", F.col("value").cast("double").alias("value")).unionByName(one).join(weights, "pos")
+    return rows.groupBy(*keys).agg((F.sum(F.col("value") * F.col("weight")) > 0).cast("int").alias("prediction"))
+
+
+def tree_rows(spark: SparkSession, model) -> DataFrame:
+    """(tree, node, feature, threshold, low, high, value): the nodes of a boosted model; a leaf has no feature.
+
+    A leaf's value is its prediction times the tree's weight. Read from the files that the model is saved as.
+    """
+    path = scratch_path(spark, "trees")
+    model.write().overwrite().save(path)
+    weights = spark.createDataFrame([(k, float(w)) for k, w in enumerate(model.treeWeights)], "tree int, w double")
+    nodes = spark.read.parquet(f"{path}/data").select(F.col("treeID").cast("int").alias("tree"), "nodeData.*")
+    leaf = F.col("leftChild") < 0
+    return nodes.join(weights, "tree").select(
+        "tree", F.col("id").alias("node"), F.when(~leaf, F.col("split.featureIndex")).alias("feature"),
+        F.when(~leaf, F.get("split.leftCategoriesOrThreshold", F.lit(0))).alias("threshold"),
+        F.when(~leaf, F.col("leftChild")).alias("low"), F.when(~leaf, F.col("rightChild")).alias("high"),
+        F.when(leaf, F.col("prediction") * F.col("w")).alias("value"))
+
+
+def tree_predictions(long: DataFrame, trees: DataFrame, depth: int) -> DataFrame:
+    """(pair columns, prediction) of long features by a table of tree nodes: one step down all trees a join."""
+    keys = [c for c in long.columns if c not in ("pos", "value")]
+    at = long.select(*keys).distinct().crossJoin(trees.where("node = 0").select("tree", "node"))
+    values = long.select(*keys, F.col("pos").alias("feature"), F.col("value").cast("double").alias("x"))
+    done = None
+    for step in range(depth + 1):
+        here = at.join(trees, ["tree", "node"])
+        ended = here.where("feature IS NULL").select(*keys, "value")
+        done = ended if done is None else done.unionByName(ended)
+        if step < depth:
+            at = cut_lineage(here.where("feature IS NOT NULL").join(values, [*keys, "feature"])
+                             .select(*keys, "tree", F.when(F.col("x") <= F.col("threshold"), F.col("low"))
+                                     .otherwise(F.col("high")).alias("node")))
+    return done.groupBy(*keys).agg((F.sum("value") > 0).cast("int").alias("prediction"))
+
+
+def accuracy_by_arm(predictions: DataFrame) -> DataFrame:
+    """(arm, n, n_correct, accuracy)."""
+    right = F.count_if(F.col("prediction") == F.col("label").cast("int"))
+    return predictions.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), right.alias("n_correct"),
+                                          (right / F.count(F.lit(1))).alias("accuracy"))
+
+
 def pca_scores(data: DataFrame, k: int = 3, top: int = 5) -> tuple[DataFrame, list[float]]:
     """M6: centre (no scaling), PCA; scores on the first ``k`` components and the
     explained-variance ratio of the first ``top``. Component signs are arbitrary."""
