@@ -89,3 +89,38 @@ def test_text_after_the_number_hides_no_account():
     assert found("account 12345678.") == ["12345678"] and found("account 12345678- closed") == ["12345678"]
     assert found("account 12345678.5") == [] and found("account 12345678-9") == []
     assert pii.redacted("To GB82WEST12345698765432 Please") == "To [IBAN] Please"
+
+
+def test_context_moves_the_scores_of_base_spans():
+    def score(text):
+        return pii.spans_of(text)[0][0].score
+
+    for kind, plain_text, telling in (("email", "x a@b.com y", "mail a@b.com"), ("ip", "x 10.0.0.1 y", "server 10.0.0.1"),
+                                      ("card", "x 4111111111111111 y", "credit card 4111111111111111"),
+                                      ("phone", "x +1 785 555 4434", "call +1 785 555 4434")):
+        assert pii.ACCEPT <= score(plain_text) < score(telling) <= 1, kind
+
+
+def test_accounts_of_unknown_countries_need_context():
+    def sound(head, body):
+        digits = "".join(str(int(c, 36)) for c in body + head + "00")
+        return head + f"{98 - int(digits) % 97:02d}" + body
+
+    def kinds(text):
+        return [(pii.BASE + pii.ADDED)[s.kind] for s in pii.spans_of(text)[1]]
+
+    unknown, short = sound("QX", "ABCD1234EFGH5678"), sound("DE", "ABCD1234EFGH5678")
+    assert kinds(f"code {unknown} here") == kinds(f"code {short} here") == []
+    assert kinds(f"iban {unknown} here") == kinds(f"bank {short} here") == ["iban"]
+    rnd = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    codes = ["QZ" + "".join(rnd.choice("0123456789") for _ in range(2)) + "".join(rnd.choice(letters) for _ in range(20))
+             for _ in range(3000)]
+    assert sum("iban" in kinds(f"part {c} end") for c in codes) == 0
+
+
+def test_very_many_spans_take_linear_time():
+    text = " ".join(f"account {10_000_000 + k}" for k in range(600_000))
+    began = time.time()
+    spans = pii.spans_of(text)[1]
+    assert len(spans) == 600_000 and len(text) > 10_000_000 and time.time() - began < 20
