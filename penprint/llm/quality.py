@@ -9,13 +9,15 @@ of the encoded passages.
 
 The network is fitted on the driver on at most ``SAMPLE`` labelled documents
 (half of each label where there are enough, chosen by a hash of the id,
-weighted back to the labels' shares), of each at most ``SAMPLE_PASSAGES``
-passages, evenly spread; these are the only bounds. Scoring reads every
-passage of every text.
+weighted back to the labels' shares) with at most ``FIT_PASSAGES`` passages
+together; a document takes part with all its passages, or, where they exceed
+what is left of its label's half, not at all. These are the only bounds.
+Scoring reads every passage of every text.
 
 Defined cases: a text without words (null, empty, white space) scores 0; a
 null id is scored, is never held out and takes no part in fitting; a label
-given several times counts once, 0 before 1; repeated rows are scored each; without
+given several times counts once, 0 before 1; repeated rows are scored each, and of an
+id's texts the first in byte order is learned from; without
 labels of both kinds every text with words scores the share of label 1 (0.5
 without any label); an empty table gives an empty result; other columns are
 ignored by ``score`` and kept by ``keep_good``.
@@ -32,10 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from penprint.llm.tables import stored
 from penprint.llm.words import hash_spans, pieces, text_buffers, word_spans
 
 PASSAGE = 64
-SAMPLE, SAMPLE_PASSAGES = 3000, 128
+SAMPLE, FIT_PASSAGES = 3000, 120_000
 THRESHOLD = 0.3
 PAIRS, HIDDEN, GATES = 64, 24, 12
 EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.01, 1e-4
@@ -217,19 +220,26 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, offsets = passages(batch.column(2))
-            kept = []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                take = np.unique(np.linspace(a, b - 1, min(b - a, SAMPLE_PASSAGES)).astype(np.int64)) if b > a else []
-                kept.append(rows[take].tobytes() if b > a else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary())],
-                                             names=["id", "label", "rows"])
+            kept = [rows[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), pa.array(kept, pa.large_binary())
+                 .cast(pa.binary())], names=["id", "label", "n", "rows"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # At most ``sample`` ids: broadcast.
-    found = texts.join(F.broadcast(chosen), "id").select("id", "label", "text")
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     kind = found.schema["id"].dataType.simpleString()
-    fitted = sorted((tuple(r) for r in found.mapInArrow(bags, f"id {kind}, label int, rows binary")
-                     .dropDuplicates(["id"]).collect() if r["rows"]), key=lambda r: (r[0], r[1]))
+    bagged = stored(found.mapInArrow(bags, f"id {kind}, label int, n bigint, rows binary").where("n > 0"), "bags")
+    taken, left = [], {0: FIT_PASSAGES // 2, 1: FIT_PASSAGES // 2}
+    for r in bagged.select("id", "label", "n").orderBy(F.xxhash64("id"), "id").collect():
+        if r.n <= left[r.label]:
+            left[r.label] -= r.n
+            taken.append((r.id,))
+    if not taken:
+        return Model(prior)
+    ids = docs.sparkSession.createDataFrame(taken, f"id {kind}")
+    fitted = sorted((tuple(r) for r in bagged.join(F.broadcast(ids), "id").select("id", "label", "rows").collect()),
+                    key=lambda r: (r[0], r[1]))
     target = np.array([r[1] for r in fitted], np.float64)
     if len(set(target.tolist())) < 2:
         return Model(prior)
