@@ -1,12 +1,15 @@
 """Packing: documents that share vocabulary fill a training window together.
 
-Every document becomes its token ids plus one end id. Documents are dealt to
-shards of bounded size by a hash of their content, never by source or
-language, so a frequent value cannot fill one shard. A shard holds a BM25
-inverted index of its documents; a window starts with a seed document, asks
-the index for unused neighbours of the seed and takes them, best first, until
-the window is full. The last document taken is cut at the window's end and its
-rest seeds the next window, so only the last window of a shard is not full.
+Every document becomes its token ids plus one end id. Documents are put in a
+lexical order: by the smallest hashes of their runs of three ids under
+``KEYS`` permutations, so that copies stand side by side and documents that share
+many runs are likely to. A distributed sort spreads the order over tasks, also
+where a third of all documents are alike, and each task cuts its stretch into
+shards of about ``SHARD_BYTES``. A shard holds a BM25 inverted index of its
+documents; a window starts with a seed document, asks the index with all the
+seed's terms for unused neighbours and takes them, best first, until the window
+is full. The last document taken is cut at the window's end and its rest seeds
+the next window, so only the last window of a shard is not full.
 
 Defined cases: a null or empty text is the end id alone; a null id is passed
 through; repeated rows are packed each; a text longer than a window fills
@@ -21,19 +24,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from penprint.llm.tables import stored
 from penprint.llm.tokenizing import encoder
+from penprint.llm.words import mix
 
 VOCABULARY = "byte_bpe_50k.json"
 WINDOW = 2048
 END_ID = 1
-# UTF-8 bytes of text in a shard, about; the number of shards grows with the input.
+# Bytes of ids in a shard, about, at two each; shards of one task.
 SHARD_BYTES = 4 << 20
-# The seed is looked up by its most telling terms; neighbours asked for at a time.
-QUERY_TERMS = 24
+TASK_SHARDS = 4
+# Neighbours asked for at a time.
 NEIGHBOURS = 16
+# Permutations of the lexical order, and the factors of the ids in a run.
+KEYS = 3
+_RUN = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 # The usual BM25 parameters.
 K1, B = 1.2, 0.75
 
@@ -54,25 +63,49 @@ class Index:
         idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lens / max(lens.mean(), 1e-9)) if len(docs) else lens
         self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
-        # The seed's terms, most telling first: its own postings in order of weight.
-        order = np.lexsort((term, -self.weight, self.doc))
-        self.term = term[order]
+        self.top = np.zeros(size, np.float32)
+        np.maximum.at(self.top, term, self.weight)
+        # The same by document: its terms in rising order, and what each gives it.
+        order = np.argsort(self.doc, kind="stable")
+        self.term, self.own = term[order], self.weight[order].astype(np.float64)
         self.first = np.searchsorted(self.doc[order], np.arange(len(docs) + 1))
-        self.scores = np.zeros(len(docs), np.float32)
+        self.asked = np.zeros(size, bool)
+
+    def _sums(self, some: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """Scores of some documents for these terms, each summed in the order of its own terms."""
+        n = self.first[some + 1] - self.first[some]
+        ends = np.cumsum(n)
+        take = np.repeat(self.first[some] - (ends - n), n) + np.arange(int(n.sum()))
+        self.asked[terms] = True
+        out = np.add.reduceat(self.own[take] * self.asked[self.term[take]], ends - n) if len(some) else np.zeros(0)
+        self.asked[terms] = False
+        return out
 
     def neighbours(self, doc: int, free: np.ndarray) -> np.ndarray:
-        """Unused documents that share terms with ``doc``, best first (ties by number)."""
-        terms = self.term[self.first[doc]:self.first[doc + 1]][:QUERY_TERMS]
-        spans = [slice(self.start[t], self.start[t + 1]) for t in terms]
-        if not spans:
-            return np.zeros(0, np.int64)
-        hits = np.concatenate([self.doc[s] for s in spans])
-        weights = np.concatenate([self.weight[s] for s in spans])
-        scores = np.bincount(hits, weights, len(self.scores))
-        scores[~free] = 0
-        best = np.argpartition(-scores, min(NEIGHBOURS, len(scores) - 1))[:NEIGHBOURS]
-        best = best[scores[best] > 0]
-        return best[np.lexsort((best, -scores[best]))]
+        """The best unused documents that share terms with ``doc``, best first (ties by number).
+
+        All its terms count. The lists of the most telling terms are summed first, until the rest cannot lift
+        a document that has none of them into the best; those that it could lift are summed whole.
+        """
+        terms = self.term[self.first[doc]:self.first[doc + 1]]
+        telling = terms[np.argsort(-self.top[terms], kind="stable")]
+        rest = np.append(np.cumsum(self.top[telling][::-1].astype(np.float64))[::-1], 0.0)
+        scores, at, step = np.zeros(len(free)), 0, 16
+        while at < len(telling):
+            some = telling[at:at + step]
+            n = self.start[some + 1] - self.start[some]
+            take = np.repeat(self.start[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            scores += np.bincount(self.doc[take], self.weight[take], len(free))
+            at, step = at + len(some), 2 * step
+            met = np.flatnonzero((scores > 0) & free)
+            least = -np.partition(-scores[met], NEIGHBOURS - 1)[NEIGHBOURS - 1] if len(met) > NEIGHBOURS else 0.0
+            if rest[at] < least:
+                met = met[scores[met] + rest[at] >= least * (1 - 1e-9)]
+                break
+        else:
+            met = np.flatnonzero((scores > 0) & free)
+        exact = self._sums(met, terms)
+        return met[np.lexsort((met, -exact))][:NEIGHBOURS]
 
 
 def fill(docs: list[np.ndarray], size: int, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
@@ -107,50 +140,78 @@ def fill(docs: list[np.ndarray], size: int, window: int = WINDOW) -> Iterator[tu
             sequence, offset = sequence + 1, 0
 
 
-def encoded(docs: DataFrame, vocabulary: str, shards: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, shard, ids as little-endian bytes, item size) of every document, the end id included."""
+def lexical_keys(ids: np.ndarray) -> list[int]:
+    """The smallest hash of any run of three ids (or of all, where there are fewer) under every permutation."""
+    x = ids.astype(np.uint64)
+    if len(x) >= len(_RUN):
+        runs = sum(x[k:len(x) - len(_RUN) + 1 + k] * f for k, f in enumerate(_RUN))
+    else:
+        runs = (x * _RUN[:len(x)]).sum(keepdims=True, dtype=np.uint64)
+    return [int(mix(runs ^ np.uint64(k * 0xD6E8FEB86659FD93 % 2 ** 64)).min() >> np.uint64(1)) for k in range(KEYS)]
+
+
+def encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
+    """(id, ids as little-endian bytes, their width, lexical keys) of every document, the end id included."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tool = encoder(vocabulary)
             kind = "<u2" if tool.size <= 1 << 16 else "<u4"
-            parts: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
-            for row, ids in tool.ids(batch.column(2)):
-                parts[row].append(ids.astype(kind, copy=False).tobytes())
-            end = np.array([END_ID], kind).tobytes()
+            parts: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
+            for row, ids in tool.ids(batch.column(1)):
+                parts[row].append(ids.astype(kind, copy=False))
+            end = np.array([END_ID], kind)
             for at in range(0, batch.num_rows, 2000):
                 some = batch.slice(at, 2000)
+                whole = [np.concatenate([*p, end]) for p in parts[at:at + 2000]]
+                keys = np.array([lexical_keys(ids) for ids in whole], np.int64).reshape(-1, KEYS)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1),
-                     pa.array([b"".join(p) + end for p in parts[at:at + 2000]], pa.binary()),
-                     pa.array(np.full(some.num_rows, int(kind[-1]), np.int32))],
-                    names=["id", "shard", "ids", "width"])
+                    [some.column(0), pa.array([ids.tobytes() for ids in whole], pa.binary()),
+                     pa.array(np.full(some.num_rows, int(kind[-1]), np.int32)), *(pa.array(k) for k in keys.T)],
+                    names=["id", "ids", "width", *(f"k{n}" for n in range(KEYS))])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(shards))
-                       .cast("int").alias("shard"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(encode, f"id {kind}, shard int, ids binary, width int")
+    return rows.mapInArrow(encode, f"id {kind}, ids binary, width int, " + ", ".join(f"k{n} bigint" for n in range(KEYS)))
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, shard_bytes: int = SHARD_BYTES,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col)) + 1)).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-
-    def pieces(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("ids", "ascending"), ("id", "ascending")])
-        kind = "<u2" if not table.num_rows or table["width"][0].as_py() == 2 else "<u4"
-        texts = [np.frombuffer(x, kind) for x in table["ids"].to_pylist()]
-        shard = table["shard"][0].as_py() if table.num_rows else 0
-        out = list(fill(texts, 1 << (16 if kind == "<u2" else 20), window))
-        doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*out, strict=True)) if out else (
-            np.zeros(0, np.int64),) * 5
+    # Written once: the sort reads it twice, and the number of a row settles ties between equal ones.
+    table = stored(encoded(docs, vocabulary, id_col, text_col).withColumn("nr", F.monotonically_increasing_id()), "ids")
+    total = table.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    tasks = max(1, -(-total // (shard_bytes * TASK_SHARDS)))
+    kind = table.schema["id"].dataType.simpleString()
+
+    def shard(ids: list, raw: list[bytes], width: int, sequences: int) -> pa.RecordBatch:
+        texts = [np.frombuffer(x, "<u2" if width == 2 else "<u4") for x in raw]
+        out = list(fill(texts, 1 << (16 if width == 2 else 20), window))
+        doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*out, strict=True))
         crc = np.array([zlib.crc32(texts[d][s:s + n].astype("<u4").tobytes()) for d, s, n, _, _ in out], np.int64)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        return pa.table({id_col: table["id"].combine_chunks().take(pa.array(doc)), "start": start, "length": length,
-                         "ids_crc32": crc, "doc_tokens": sizes[doc], "sequence_id": sequence + (shard << 32),
-                         "offset": offset})
+        return pa.RecordBatch.from_arrays(
+            [pa.concat_arrays(ids).take(pa.array(doc)), *(pa.array(x) for x in (
+                start, length, crc, sizes[doc], sequence + sequences, offset))],
+            names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    ids = encoded(docs, vocabulary, shards, id_col, text_col)
-    kind = ids.schema["id"].dataType.simpleString()
-    return ids.groupBy("shard").applyInArrow(pieces, f"`{id_col}` {kind}, {PIECES}")
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequences, ids, raw, held, width = TaskContext.get().partitionId() << 32, [], [], 0, 2
+        for batch in batches:
+            begin = 0
+            sizes = batch.column(1).to_pylist()
+            width = batch.column(2)[0].as_py() if batch.num_rows else width
+            for row, x in enumerate(sizes):
+                raw.append(x)
+                held += len(x)
+                if held >= shard_bytes:
+                    out = shard([*ids, batch.column(0).slice(begin, row + 1 - begin)], raw, width, sequences)
+                    yield out
+                    sequences = out.column(5)[-1].as_py() + 1
+                    ids, raw, held, begin = [], [], 0, row + 1
+            ids.append(batch.column(0).slice(begin))
+        if raw:
+            yield shard(ids, raw, width, sequences)
+
+    order = [*(f"k{n}" for n in range(KEYS)), "nr"]
+    return (table.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("id", "ids", "width")
+            .mapInArrow(pieces, f"`{id_col}` {kind}, {PIECES}"))
