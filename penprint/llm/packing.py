@@ -62,50 +62,31 @@ class Index:
         df = np.diff(self.start)
         idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lens / max(lens.mean(), 1e-9)) if len(docs) else lens
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
-        self.top = np.zeros(size, np.float32)
-        np.maximum.at(self.top, term, self.weight)
-        # The same by document: its terms in rising order, and what each gives it.
+        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
+        # Every document's terms, in rising order.
         order = np.argsort(self.doc, kind="stable")
-        self.term, self.own = term[order], self.weight[order].astype(np.float64)
+        self.term = term[order]
         self.first = np.searchsorted(self.doc[order], np.arange(len(docs) + 1))
-        self.asked = np.zeros(size, bool)
-
-    def _sums(self, some: np.ndarray, terms: np.ndarray) -> np.ndarray:
-        """Scores of some documents for these terms, each summed in the order of its own terms."""
-        n = self.first[some + 1] - self.first[some]
-        ends = np.cumsum(n)
-        take = np.repeat(self.first[some] - (ends - n), n) + np.arange(int(n.sum()))
-        self.asked[terms] = True
-        out = np.add.reduceat(self.own[take] * self.asked[self.term[take]], ends - n) if len(some) else np.zeros(0)
-        self.asked[terms] = False
-        return out
+        self.listed = len(docs)
 
     def neighbours(self, doc: int, free: np.ndarray) -> np.ndarray:
-        """The best unused documents that share terms with ``doc``, best first (ties by number).
-
-        All its terms count. The lists of the most telling terms are summed first, until the rest cannot lift
-        a document that has none of them into the best; those that it could lift are summed whole.
-        """
+        """The best unused documents that share terms with ``doc``, best first (ties by number); all its terms count."""
+        if 2 * int(free.sum()) < self.listed:
+            # Postings of used documents go; the others keep their weights.
+            keep = free[self.doc]
+            self.start = np.concatenate([[0], np.cumsum(keep)])[self.start]
+            self.doc, self.weight, self.listed = self.doc[keep], self.weight[keep], int(free.sum())
         terms = self.term[self.first[doc]:self.first[doc + 1]]
-        telling = terms[np.argsort(-self.top[terms], kind="stable")]
-        rest = np.append(np.cumsum(self.top[telling][::-1].astype(np.float64))[::-1], 0.0)
-        scores, at, step = np.zeros(len(free)), 0, 16
-        while at < len(telling):
-            some = telling[at:at + step]
-            n = self.start[some + 1] - self.start[some]
-            take = np.repeat(self.start[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            scores += np.bincount(self.doc[take], self.weight[take], len(free))
-            at, step = at + len(some), 2 * step
-            met = np.flatnonzero((scores > 0) & free)
-            least = -np.partition(-scores[met], NEIGHBOURS - 1)[NEIGHBOURS - 1] if len(met) > NEIGHBOURS else 0.0
-            if rest[at] < least:
-                met = met[scores[met] + rest[at] >= least * (1 - 1e-9)]
-                break
-        else:
-            met = np.flatnonzero((scores > 0) & free)
-        exact = self._sums(met, terms)
-        return met[np.lexsort((met, -exact))][:NEIGHBOURS]
+        lists = [slice(a, b) for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True) if a < b]
+        if not lists:
+            return np.zeros(0, np.int64)
+        scores = np.bincount(np.concatenate([self.doc[s] for s in lists]),
+                             np.concatenate([self.weight[s] for s in lists]), len(free))
+        met = np.flatnonzero((scores > 0) & free)
+        if len(met) > NEIGHBOURS:
+            least = -np.partition(-scores[met], NEIGHBOURS - 1)[NEIGHBOURS - 1]
+            met = met[scores[met] >= least]
+        return met[np.lexsort((met, -scores[met]))][:NEIGHBOURS]
 
 
 def fill(docs: list[np.ndarray], size: int, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:

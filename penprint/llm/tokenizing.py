@@ -21,7 +21,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from penprint.llm.words import SPACE, hash_spans, text_buffers
+from penprint.llm.words import SPACE, name_spans, text_buffers
 
 # Bytes of text encoded together.
 BATCH_BYTES = 1 << 20
@@ -149,7 +149,7 @@ class Encoder:
     def coded(self, data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of the distinct parts end to end, start and size of each, index of every part)."""
         begins, ends = limits[:-1], limits[1:]
-        hashes, second = (hash_spans(data, begins, ends, lane=k) for k in (0, 1))
+        hashes, second = name_spans(data, begins, ends)
         table = pa.array(hashes).dictionary_encode()
         index = table.indices.to_numpy(zero_copy_only=False)
         first = np.empty(len(table.dictionary), np.int64)

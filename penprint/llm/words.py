@@ -29,7 +29,7 @@ _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _FOLDED = np.frombuffer(_FOLD, np.uint8)
 # The low k bytes of a 64-bit number.
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-# Two lanes of 64 bits, each with a start, a factor and a factor of the length.
+# For each number of a name a start, a factor and a factor of the length.
 _LANES = np.array([[0x243F6A8885A308D3, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93],
                    [0x452821E638D01377, 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25]], np.uint64)
 _powers: dict[str, np.ndarray] = {}
@@ -123,31 +123,41 @@ def word_spans(data: np.ndarray, starts_of_texts: np.ndarray, breaks: np.ndarray
     return np.flatnonzero(begins), np.flatnonzero(finishes) + 1
 
 
-def hash_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, fold: bool = False, lane: int = 0) -> np.ndarray:
-    """64-bit hash of every span; the two lanes together name a span by 128 bits.
+def hash_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+    """64-bit hash of every span (see ``name_spans``)."""
+    return name_spans(data, begins, ends, fold, 1)[0]
 
-    A span is read eight bytes at a time; each step multiplies, adds and mixes
-    (``mix`` is one-to-one and not linear), so, unlike a polynomial modulo 2^64,
-    there are no texts that collide whatever the factors are.
+
+def name_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, fold: bool = False, lanes: int = 2) -> list[np.ndarray]:
+    """One or two 64-bit numbers that name every span by its bytes.
+
+    A span is read eight bytes at a time; each step mixes (``mix`` is
+    one-to-one and not linear), multiplies and adds, so, unlike a polynomial
+    modulo 2^64, there are no texts that collide whatever the factors are. The
+    second number of a span of at most eight bytes is those bytes themselves:
+    with the first, which takes in the length, it names such a span for certain.
     """
     if not len(begins):
-        return np.zeros(0, np.uint64)
-    start, factor, by_length = _LANES[lane]
+        return [np.zeros(0, np.uint64)] * lanes
     size = ends - begins
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[:len(data)] = _FOLDED[data] if fold else data
     at_byte = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    out = mix((at_byte[begins] & _LOW[np.minimum(size, 8)]) + start)
-    rest = np.flatnonzero((size > 8) & (size <= LONG_WORD))
-    done = 8
+    head = at_byte[begins] & _LOW[np.minimum(size, 8)]
+    out = [head + (size.astype(np.uint64) * _LANES[0, 2] + _LANES[0, 0]), head][:lanes]
+    rest, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
     while len(rest):
         left = size[rest] - done
-        out[rest] = mix(out[rest] * factor + (at_byte[begins[rest] + done] & _LOW[np.minimum(left, 8)]))
+        more = at_byte[begins[rest] + done] & _LOW[np.minimum(left, 8)]
+        for lane, numbers in enumerate(out):
+            numbers[rest] = mix(numbers[rest] + _LANES[lane, 0]) * _LANES[lane, 1] + more
         rest, done = rest[left > 8], done + 8
     for i in np.flatnonzero(size > LONG_WORD).tolist():
         digest = hashlib.blake2b(padded[begins[i]:ends[i]].tobytes(), digest_size=16).digest()
-        out[i] = int.from_bytes(digest[8 * lane:8 * lane + 8], "little")
-    return mix(out + size.astype(np.uint64) * by_length)
+        for lane, numbers in enumerate(out):
+            numbers[i] = int.from_bytes(digest[8 * lane:8 * lane + 8], "little")
+    out[0] = mix(out[0])
+    return out
 
 
 def hashed_words(column, fold: bool, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:

@@ -106,8 +106,12 @@ def test_complement_strings_are_different_words(length):
 def test_parts_that_share_the_first_lane_stay_apart(monkeypatch):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(tokenizing.public_path("byte_bpe_50k.json"))
-    whole = W.hash_spans
-    monkeypatch.setattr(tokenizing, "hash_spans", lambda d, b, e, lane: whole(d, b, e, lane=lane) & np.uint64(3 if lane == 0 else 2**64 - 1))
+    def weak(data, begins, ends):
+        first, second = W.name_spans(data, begins, ends)
+        return first & np.uint64(3), mix(second + mix(first))
+
+    mix = W.mix
+    monkeypatch.setattr(tokenizing, "name_spans", weak)
     some = texts(300, 5)
     tool = tokenizing.Encoder("byte_bpe_50k.json")
     expected = [len(e.ids) for e in plain.encode_batch([t or "" for t in some], add_special_tokens=False)]
@@ -123,10 +127,18 @@ def test_spans_hash_by_their_bytes_alone():
     sizes = np.array([len(w.encode()) for w in words])
     ends = np.cumsum(sizes + 1) - 1
     for fold in (False, True):
-        for lane in (0, 1):
-            hashes = W.hash_spans(data, ends - sizes, ends, fold, lane)
-            want = {w.lower() if fold else w for w in words}
-            assert len(set(hashes.tolist())) == len(want)
-            for w, h in list(zip(words, hashes, strict=True))[::37]:
-                alone = np.frombuffer(w.encode(), np.uint8)
-                assert W.hash_spans(alone, np.array([0]), np.array([len(alone)]), fold, lane)[0] == h
+        first, second = W.name_spans(data, ends - sizes, ends, fold)
+        want = {w.lower() if fold else w for w in words}
+        assert len(set(first.tolist())) == len(set(zip(first.tolist(), second.tolist(), strict=True))) == len(want)
+        long = sizes > 8
+        assert len(set(second[long].tolist())) == len({w.lower() if fold else w for w in words if len(w.encode()) > 8})
+        for w, x, y in list(zip(words, first, second, strict=True))[::37]:
+            alone = np.frombuffer(w.encode(), np.uint8)
+            got = W.name_spans(alone, np.array([0]), np.array([len(alone)]), fold)
+            assert (got[0][0], got[1][0]) == (x, y)
+
+
+def test_trailing_zero_bytes_count():
+    data = np.array([97, 0, 97, 0, 0, 97], np.uint8)
+    first, second = W.name_spans(data, np.array([0, 2, 5]), np.array([2, 5, 6]))
+    assert len(set(first.tolist())) == 3 and len(set(second.tolist())) == 1
