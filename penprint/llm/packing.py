@@ -43,6 +43,7 @@ NEIGHBOURS = 16
 # Permutations of the lexical order, and the factors of the ids in a run.
 KEYS = 3
 _RUN = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_PERMUTED = np.array([0x452821E638D01377, 0xBE5466CF34E90C6D, 0xC0AC29B7C97C50DD], np.uint64)[:KEYS]
 # The usual BM25 parameters.
 K1, B = 1.2, 0.75
 
@@ -71,7 +72,7 @@ class Index:
 
     def neighbours(self, doc: int, free: np.ndarray) -> np.ndarray:
         """The best unused documents that share terms with ``doc``, best first (ties by number); all its terms count."""
-        if 2 * int(free.sum()) < self.listed:
+        if 10 * int(free.sum()) < 9 * self.listed:
             # Postings of used documents go; the others keep their weights.
             keep = free[self.doc]
             self.start = np.concatenate([[0], np.cumsum(keep)])[self.start]
@@ -125,10 +126,14 @@ def lexical_keys(ids: np.ndarray) -> list[int]:
     """The smallest hash of any run of three ids (or of all, where there are fewer) under every permutation."""
     x = ids.astype(np.uint64)
     if len(x) >= len(_RUN):
-        runs = sum(x[k:len(x) - len(_RUN) + 1 + k] * f for k, f in enumerate(_RUN))
+        runs = x[:-2] * _RUN[0]
+        runs += x[1:-1] * _RUN[1]
+        runs += x[2:] * _RUN[2]
     else:
         runs = (x * _RUN[:len(x)]).sum(keepdims=True, dtype=np.uint64)
-    return [int(mix(runs ^ np.uint64(k * 0xD6E8FEB86659FD93 % 2 ** 64)).min() >> np.uint64(1)) for k in range(KEYS)]
+    runs = mix(runs)
+    # Mixed numbers times an odd one are another permutation.
+    return [int((runs * f).min() >> np.uint64(1)) for f in _PERMUTED]
 
 
 def encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
