@@ -147,8 +147,8 @@ def weight_rows(spark: SparkSession, weights: np.ndarray) -> DataFrame:
 def linear_predictions(long: DataFrame, weights: DataFrame) -> DataFrame:
     """(pair columns, prediction) of long features by a table of weights."""
     keys = [c for c in long.columns if c not in ("pos", "value")]
-    last = weights.agg(F.max("pos").alias("_last"))
-    one = long.select(*keys).distinct().crossJoin(last).select(*keys, F.col("_last").alias("pos"), F.lit(1.0).alias("value"))
+    last = weights.agg(F.max("pos")).first()[0]
+    one = long.select(*keys).distinct().select(*keys, F.lit(last).alias("pos"), F.lit(1.0).alias("value"))
     rows = long.select(*keys, "pos", F.col("value").cast("double").alias("value")).unionByName(one).join(weights, "pos")
     return rows.groupBy(*keys).agg((F.sum(F.col("value") * F.col("weight")) > 0).cast("int").alias("prediction"))
 
@@ -173,7 +173,9 @@ def tree_rows(spark: SparkSession, model) -> DataFrame:
 def tree_predictions(long: DataFrame, trees: DataFrame, depth: int) -> DataFrame:
     """(pair columns, prediction) of long features by a table of tree nodes: one step down all trees a join."""
     keys = [c for c in long.columns if c not in ("pos", "value")]
-    at = long.select(*keys).distinct().crossJoin(trees.where("node = 0").select("tree", "node"))
+    last = trees.agg(F.max("tree")).first()[0]
+    at = long.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(last))).alias("tree"),
+                                              F.lit(0).alias("node"))
     values = long.select(*keys, F.col("pos").alias("feature"), F.col("value").cast("double").alias("x"))
     done = None
     for step in range(depth + 1):

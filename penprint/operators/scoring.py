@@ -1,11 +1,12 @@
 """Pair scoring.
 
 A scorer prepares one table and scores pairs by equi joins with it. The
-log-likelihood scorer stays sparse: a pair meets the tokens its observed
-persona has, each looks up the model persona's count, and one grouped sum per
-pair gives the score, so no vector as wide as the token set travels with a
-pair. A hot persona named by many pairs is a skewed join key, which adaptive
-execution splits.
+log-likelihood scorer stays sparse: a persona is one row with the tokens of the
+set that it has, in order of rank. A pair meets the rows of its two personas
+and merges them inside the row, linear in what they hold, so pairs are neither
+multiplied by tokens nor grouped again, and no vector as wide as the token set
+travels with them. A hot persona named by many pairs is a skewed join key,
+which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -62,20 +63,45 @@ def pair_log_likelihood(pairs: DataFrame, model: list[str], observed: list[str],
     excluded bucket is included. ``model`` and ``observed`` name the pair columns that
     hold the two personas' ``keys``.
     """
-    inset = tok.in_set_counts(counts, tset).select(*keys, "token", "n")
-    totals = personas.join(counts.groupBy(*keys).agg(F.sum("n").alias("_total")), keys, "left")
-    named = lambda df, cols: df.select(*[F.col(a).alias(b) for a, b in zip(keys, cols, strict=True)],
-                                       *[c for c in df.columns if c not in keys])
-    seen = personas.join(inset, keys, "left").select(*keys, F.lit(True).alias("_o"), "token", F.col("n").alias("_obs"))
-    rows = (pairs.join(named(seen, observed), observed, "left")
-            .join(named(totals.withColumn("_m", F.lit(True)), model), model, "left")
-            .join(named(inset.withColumnRenamed("n", "_c"), model), [*model, "token"], "left"))
-    weighted = F.col("_obs") * F.log2(F.coalesce(F.col("_c"), F.lit(0)).cast("double") + F.lit(0.5))
-    summed = rows.groupBy(*pairs.columns, "_total", "_m", "_o").agg(F.sum(weighted).alias("_w"), F.sum("_obs").alias("_n"))
+    known = tset.select("token", "rank")
+    entry = F.when(F.col("rank").isNotNull(), F.struct("rank", "n"))
+    sparse = counts.select(*keys, "token", F.col("n").cast("bigint").alias("n")).join(known, "token", "left").groupBy(*keys).agg(
+        F.sum("n").alias("_total"), F.array_sort(F.collect_list(entry)).alias("_has"))
+    rows = personas.select(*keys).distinct().join(sparse, keys, "left")
+
+    def side(columns: list[str], mark: str, total: str, has: str) -> DataFrame:
+        names = [F.col(k).alias(c) for k, c in zip(keys, columns, strict=True)]
+        return rows.select(*names, F.lit(True).alias(mark), F.col("_total").alias(total), F.col("_has").alias(has))
+
+    met = (pairs.join(side(model, "_m", "_total", "_c"), model, "left")
+           .join(side(observed, "_o", "_unused", "_obs"), observed, "left"))
     norm = F.log2(F.coalesce(F.col("_total"), F.lit(0)).cast("double") + F.lit((k + 1) / 2.0))
-    score = F.when(F.col("_n").isNull(), F.lit(0.0)).otherwise(F.col("_w") / F.col("_n") - norm)
-    return summed.select(*pairs.columns, score.alias("score"),
-                         (F.col("_m").isNotNull() & F.col("_o").isNotNull()).alias("_known"))
+    score = F.transform(F.array(_merged(F.col("_c"), F.col("_obs"))),
+                        lambda s: F.when(s["n"] == 0, F.lit(0.0)).otherwise(s["w"] / s["n"] - norm))[0]
+    return met.select(*pairs.columns, score.alias("score"),
+                      (F.col("_m").isNotNull() & F.col("_o").isNotNull()).alias("_known"))
+
+
+def _merged(model: Column, observed: Column) -> Column:
+    """Struct of w = sum over observed tokens of n * log2(model's count + 1/2), and n = their number.
+
+    Both are arrays of (rank, n). Put in order of rank, the model's entry first, each observed entry finds the
+    model's count in the entry before it.
+    """
+    def tagged(entries: Column, who: int) -> Column:
+        some = F.transform(entries, lambda e: F.struct(e["rank"].alias("r"), F.lit(who).alias("who"), e["n"].alias("n")))
+        return F.coalesce(some, F.array().cast("array<struct<r:int,who:int,n:bigint>>"))
+
+    def step(done: Column, e: Column) -> Column:
+        count = F.when(done["r"] == e["r"], done["c"]).otherwise(F.lit(0).cast("bigint"))
+        gain = e["n"] * F.log2(count.cast("double") + F.lit(0.5))
+        return F.when(e["who"] == 0, F.struct(e["r"].alias("r"), e["n"].alias("c"), done["w"].alias("w"), done["n"].alias("n"))) \
+            .otherwise(F.struct(done["r"].alias("r"), done["c"].alias("c"), (done["w"] + gain).alias("w"),
+                                (done["n"] + e["n"]).alias("n")))
+
+    nothing = F.struct(F.lit(-1).alias("r"), F.lit(0).cast("bigint").alias("c"), F.lit(0.0).alias("w"),
+                       F.lit(0).cast("bigint").alias("n"))
+    return F.aggregate(F.array_sort(F.concat(tagged(model, 0), tagged(observed, 1))), nothing, step)
 
 
 def score_log_likelihood(personas: DataFrame, counts: DataFrame, model_tokens: DataFrame, pairs: DataFrame,

@@ -1157,8 +1157,7 @@ def q_model_logistic(spark, sf_dir):
     """M4: accuracy in both arms, scored by the table of weights, and the certificate of the optimum."""
     long, weights, gradient = _logistic(spark, sf_dir)
     scored = LRN.accuracy_by_arm(LRN.linear_predictions(long, weights))
-    return rounded(scored.crossJoin(weights.agg(F.count(F.lit(1)).cast("int").alias("n_weights")))
-                   .withColumn("gradient", F.lit(gradient)))
+    return rounded(scored.withColumn("n_weights", F.lit(weights.count()).cast("int")).withColumn("gradient", F.lit(gradient)))
 
 
 @register("logistic_weights", f"""WITH RECURSIVE {SQL_WEIGHTED}
@@ -1175,9 +1174,9 @@ def q_model_gbt(spark, sf_dir):
     """M5: the pairs that each model scores, by arm and label; ``model_gbt_accuracy`` says how well."""
     out = None
     for name, _, long, predicted in _boosted(spark, sf_dir):
-        width = long.groupBy("author_a", "author_b", "label", "arm").count().agg(F.max("count").cast("int").alias("width"))
+        width = long.agg(F.max("pos")).first()[0] + 1
         rows = predicted.groupBy(F.lit(name).alias("model"), "arm", F.col("label").cast("int").alias("label")).agg(
-            F.count("prediction").alias("n")).crossJoin(width)
+            F.count("prediction").alias("n")).withColumn("width", F.lit(width).cast("int"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
