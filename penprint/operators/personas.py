@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from penprint.functions.columns import arm_of, sha256_mod_100
 from penprint.session import cut_lineage
-from penprint.sources.readers import FILE_ORDER
+from penprint.sources.readers import FILE_ORDER, with_file_order
 
 
 def personas_from_selection(selection: DataFrame) -> DataFrame:
@@ -170,12 +170,14 @@ def persona_pairs(persona_rows: DataFrame, author: str = "author", slot: str = "
                       f"{value}_0", f"{value}_1")
 
 
-def group_documents(documents: DataFrame, order: str = FILE_ORDER) -> DataFrame:
-    """A8, inference side: (entity, persona, texts in order). ``order`` is a column; the default is the place
-    in the files, as ``readers.read_documents`` gives it.
+def group_documents(documents: DataFrame, order: str | None = None) -> DataFrame:
+    """A8, inference side: (entity, persona, texts in order). ``order`` is a column; the default is file order,
+    for documents as ``readers.read_documents`` gives them.
 
     An export form like the nested record: scoring works on the flat rows.
     """
+    if order is None:
+        documents, order = with_file_order(documents, source="parquet"), FILE_ORDER
     rows = documents.select("entity", "persona", F.col(order).alias("_order"), "text")
     return rows.groupBy("entity", "persona").agg(F.array_sort(F.collect_list(F.struct("_order", "text"))).alias("_t")) \
         .select("entity", "persona", F.transform("_t", lambda x: x["text"]).alias("texts"))

@@ -978,6 +978,33 @@ def q_similarity_histogram(spark, sf_dir):
     return rounded(SIM.histogram(B.persona_vectors(spark, sf_dir), 20))
 
 
+@register("similarity_report", f"""WITH {SQL_ALL_PAIRS},
+r AS (SELECT label, min(value) AS lo, max(value) AS hi FROM cs GROUP BY label),
+b AS (SELECT cs.label, least(greatest(CAST(floor((cs.value - r.lo) * 20.0 / (r.hi - r.lo)) AS INTEGER) + 1, 1), 20) AS bin
+      FROM cs JOIN r USING (label))
+SELECT 'mean' AS part, label, 0 AS cell, round(avg(value), 6) AS value FROM cs GROUP BY label
+UNION ALL SELECT 'median', label, 0, round(median(value), 6) FROM cs GROUP BY label
+UNION ALL SELECT 'bin', label, bin, CAST(count(*) AS DOUBLE) FROM b GROUP BY label, bin
+UNION ALL SELECT 'above', label, 0, CAST(count(*) FILTER (WHERE value > 0.5) AS DOUBLE) FROM cs GROUP BY label
+UNION ALL SELECT 'below', label, 0, CAST(count(*) FILTER (WHERE value < 0.5) AS DOUBLE) FROM cs GROUP BY label""")
+def q_similarity_report(spark, sf_dir):
+    """A19, A20 and A22 from one stream of blocks and, for what needs the range, a second one."""
+    parts = SIM.report(B.persona_vectors(spark, sf_dir), 20, 5, 0.5, 0.3, 0.0, 5)
+    summary, counts = parts["summary"], parts["threshold"]
+
+    def rows(df, part, label, cell, value):
+        return df.select(F.lit(part).alias("part"), label.cast("int").alias("label"), cell.cast("int").alias("cell"),
+                         value.cast("double").alias("value"))
+
+    out = rows(parts["histogram"], "bin", F.col("label"), F.col("bin"), F.col("count"))
+    for part in ("mean", "median"):
+        out = out.unionByName(rows(summary, part, F.col("label"), F.lit(0), F.col(part)))
+    for side in ("above", "below"):
+        for label, name in ((1, "match"), (0, "mismatch")):
+            out = out.unionByName(rows(counts, side, F.lit(label), F.lit(0), F.col(f"n_{name}_{side}")))
+    return rounded(out)
+
+
 @register("similarity_best_cutoff", f"""WITH {SQL_ALL_PAIRS},
 st AS (SELECT label, min(value) - 3 * stddev_pop(value) AS lo, max(value) + 3 * stddev_pop(value) AS hi, count(*) AS n
        FROM cs GROUP BY label),

@@ -21,8 +21,8 @@ def with_file_order(rows: DataFrame, column: str = FILE_ORDER, source: str = "te
     """Add the rows' place in the files they are scanned from, as one sortable struct.
 
     Files count in name order, rows in the order in which they stand in their
-    file, however Spark packs files and pieces of files into tasks. ``rows`` must
-    be the scan itself. Parquet rows carry their number in the file; the rows
+    file, however Spark packs files and pieces of files into tasks. ``rows`` is a
+    scan, or a selection or filter of one. Parquet rows carry their number in the file; the rows
     of a text or JSON file have the first byte of their piece, and inside it
     the task's running number, which only grows along a piece.
     """
@@ -128,10 +128,9 @@ def validate_pairs(df: DataFrame) -> DataFrame:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Documents Parquet; only the three used columns are read (column pruning), null keys dropped.
 
-    ``file_order`` holds each document's place in its files; a step that does not use it does not read it.
+    ``with_file_order`` adds each document's place in its files.
     """
-    docs = with_file_order(validate_documents(spark.read.parquet(path)), source="parquet")
-    docs = docs.select(*schemas.DOCUMENT_COLUMNS, FILE_ORDER)
+    docs = validate_documents(spark.read.parquet(path)).select(*schemas.DOCUMENT_COLUMNS)
     return docs.where(F.col("entity").isNotNull() & F.col("persona").isNotNull())
 
 

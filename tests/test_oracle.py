@@ -15,7 +15,8 @@ FAST = ["infer_log_likelihood", "filter_submissions", "filter_with_given_flags",
         "prolific_submissions", "activity_summary", "suitable_authors", "subreddit_adjacency_summary", "split_arms",
         "train_val_documents", "selected_author_documents", "persona_docs", "persona_token_counts", "author_at_index",
         "token_accuracy", "likelihood_best_cutoff", "likelihood_cutoff_by_arm", "persona_log_freq", "infer_embedding",
-        "similarity_summary", "similarity_histogram", "similarity_best_cutoff", "similarity_examples",
+        "similarity_summary", "similarity_histogram", "similarity_report", "subreddit_adjacency", "author_docs_from_files",
+        "vocabulary_token_counts", "embed_texts_model", "infer_embedding_model", "similarity_best_cutoff", "similarity_examples",
         "threshold_precision", "retrieval_metrics", "derangement_pairs", "model_logistic", "model_pca", "token_hist2d",
         "embeddings_roundtrip"]
 
