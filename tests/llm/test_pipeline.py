@@ -42,5 +42,5 @@ def test_stages_apply_to_what_is_left(spark, tmp_path):
 def test_registered_queries():
     from __spark_entry__ import queries
     names = set(queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {q[:q.index("_") + 1] for q in names if q.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {q[:q.index("_") + 1] for q in names if q.startswith("op")}
     assert "pipeline" in names
