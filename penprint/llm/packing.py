@@ -132,8 +132,9 @@ def lexical_keys(ids: np.ndarray) -> list[int]:
     else:
         runs = (x * _RUN[:len(x)]).sum(keepdims=True, dtype=np.uint64)
     runs = mix(runs)
-    # Mixed numbers times an odd one are another permutation.
-    return [int((runs * f).min() >> np.uint64(1)) for f in _PERMUTED]
+    # Mixed numbers times an odd one are another permutation. The smallest ones are mixed again: long documents
+    # have smaller ones, and would all stand at the beginning of the order.
+    return (mix(np.array([(runs * f).min() for f in _PERMUTED])) >> np.uint64(1)).astype(np.int64).tolist()
 
 
 def encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
