@@ -1,19 +1,23 @@
 """Community graph.
 
 Two communities are joined by an edge that counts the authors active in both.
-The edges come from an equi self-join of the incidences (author, community).
-Edges are counted by a grouped aggregate that combines map-side; beside the
-count it carries the smallest author and that author's characters, which for a
+An author's communities become one list, ordered by the number of authors of a
+community; each of them takes the part of the list behind it to its cell, and
+the cell unpacks the lists and counts. So a pair is a list entry on its way to
+its edge and a row only where it is counted, and a community meets no smaller
+one, which keeps the cells of very large communities small. Beside the count an
+edge carries the smallest author and that author's characters, which for a
 count of 1 are the single shared author and theirs.
 
-Two things bound the join. An author's communities are cut into parts by the
-author's own degree (``PART`` communities a part), so an author of a few
-communities is one key, copied nowhere, and an author active everywhere is
-spread over a grid of parts. And the selection of authors needs only edges that
-touch a community with at least ``min_max_neighbours`` authors: no smaller
-community can share that many with another, so it cannot be the first of a
-pair, and two smaller ones need not meet. Such incidences meet on one side of
-the join only, and authors without a large community leave before it.
+Three things are bounded. A list holds ``PART`` communities; an author of more
+has several lists, which meet in pairs. A cell is a community, or a share of
+the other sides of a community of many pairs, and the number of tasks follows
+the number of pairs (``CELL`` a task), so neither a task nor its memory grows
+with the input. And the selection of authors needs only edges that touch a
+community with at least ``min_max_neighbours`` authors: no smaller community
+can share that many with another, so it cannot be the first of a pair, and two
+smaller ones need not meet. Such communities are behind no other in a list,
+and authors without a large community leave before.
 
 P6 and P7 restrict the incidences before the join, so that only communities
 and authors that can matter are multiplied. A null author or community stops
@@ -22,7 +26,9 @@ the job with an error: it would come from a damaged input line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penprint.session import cut_lineage
@@ -32,8 +38,9 @@ ACTIVE_SUBREDDIT_MIN_COUNT = 1000      # P6: count strictly greater than this
 MIN_MAX_NEIGHBOURS = 20                # P14: max shared authors with any other subreddit
 MIN_CHARS_PER_SUBREDDIT = 5000         # P16: characters in each of the two (>=)
 
-# Communities of one author in one part of the join.
+# Communities of one author in one list, and pairs counted by one task.
 PART = 1024
+CELL = 1 << 20
 
 
 def _known(name: str) -> Column:
@@ -65,34 +72,66 @@ def _incidences(incidence: DataFrame) -> DataFrame:
     return one.select("author", "subreddit", agreed.alias("chars"))
 
 
+def _lists(incidence: DataFrame, min_degree: int, part: int) -> DataFrame:
+    """(author, n, l, part, s, c): the communities of an author and their characters, ``part`` to a list, in the order of
+    their numbers of authors; ``n`` communities in all, the last ``l`` of them with at least ``min_degree`` authors."""
+    inc = cut_lineage(_incidences(incidence))
+    sizes = inc.groupBy("subreddit").agg(F.count(F.lit(1)).alias("d"))
+    inc = inc.join(sizes, "subreddit")
+    # An author without a large community, or with one community, has no pair.
+    degree = inc.groupBy("author").agg(F.count(F.lit(1)).cast("int").alias("n"),
+                                       F.count_if(F.col("d") >= min_degree).cast("int").alias("l")).where("n > 1 AND l > 0")
+    place = F.row_number().over(Window.partitionBy("author").orderBy("d", "subreddit"))
+    placed = inc.join(degree, "author").withColumn("place", place)
+    lists = placed.groupBy("author", "n", "l", F.floor((F.col("place") - 1) / part).cast("int").alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("place", F.col("subreddit").alias("s"), F.col("chars").alias("c")))).alias("e"))
+    return cut_lineage(lists.select("author", "n", "l", "part", F.col("e.s").alias("s"), F.col("e.c").alias("c")))
+
+
+def _cells(incidence: DataFrame, min_degree: int, part: int) -> DataFrame:
+    """(s1, q, author, c1, s, c), in the tasks that count: s1 of ``author`` meets the communities ``s``; ``q`` is the
+    share of a community of very many pairs."""
+    lists = _lists(incidence, min_degree, part)
+    n, l, at = F.col("n"), F.col("l"), F.col("at")
+    one = lists.select("author", "n", "l", "part", F.posexplode("s").alias("at", "s1"), "s", "c")
+    place = F.col("part") * part + at + 1
+    # Pairs of every community: what lies behind it and is large.
+    weight = one.groupBy("s1").agg(F.sum(F.least(n - place, l)).alias("w")).where("w > 0")
+    weight = cut_lineage(weight)
+    tasks = max(1, math.ceil((weight.agg(F.sum("w")).first()[0] or 0) / CELL))
+    heavy = weight.where(F.col("w") > CELL).select("s1", F.ceil(F.col("w") / CELL).cast("int").alias("m"))
+
+    # The same list: what is behind the place, from the first large community on.
+    start = F.greatest(at + 2, n - l - F.col("part") * part + 1)
+    same = one.where((start <= F.size("s")) & (F.least(n - place, l) > 0)).select(
+        "author", "s1", F.get("c", at).alias("c1"), F.slice("s", start, F.size("s")).alias("s"),
+        F.slice("c", start, F.size("c")).alias("c"))
+    # Later lists of an author of several, each pair of lists for itself.
+    several = lists.where(n > part)
+    first = F.greatest(n - l - F.col("part") * part + 1, F.lit(1))
+    later = several.where(first <= F.size("s")).select(
+        "author", F.col("part").alias("part2"), F.slice("s", first, F.size("s")).alias("s2"),
+        F.slice("c", first, F.size("c")).alias("c2"))
+    met = several.join(later, "author").where("part < part2").repartition("author", "part", "part2")
+    across = met.select("author", F.posexplode("s").alias("at", "s1"), "c", "s2", "c2").select(
+        "author", "s1", F.get("c", at).alias("c1"), F.col("s2").alias("s"), F.col("c2").alias("c"))
+    rows = same.unionByName(across).join(F.broadcast(heavy), "s1", "left")
+    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("m") - 1, F.lit(0)))))
+
+    def share(side: str) -> Column:
+        kept = F.filter(F.arrays_zip("s", "c"), lambda x: F.pmod(F.xxhash64(x["s"]), F.col("m")) == F.col("q"))
+        return F.when(F.col("m").isNull(), F.col(side)).otherwise(kept[side]).alias(side)
+    return rows.select("s1", "q", "author", "c1", share("s"), share("c")).repartition(tasks, "s1", "q")
+
+
 def shared_author_rows(incidence: DataFrame, min_degree: int = 1, part: int = PART) -> DataFrame:
-    """The joined rows behind the edges: (s1, c1, s2, c2, author), s1 a community of at least ``min_degree`` authors.
+    """The rows behind the edges: (s1, q, c1, s2, c2, author), s2 a community of at least ``min_degree`` authors.
 
-    Two such communities meet once (s1 < s2); a smaller one only as s2.
+    Two communities meet once, the one of fewer authors as s1; all rows of s1 and q are in one task.
     """
-    inc = cut_lineage(_incidences(incidence))
-    if min_degree > 1:
-        large = inc.groupBy("subreddit").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") >= min_degree)
-        inc = inc.join(large.select("subreddit", F.lit(True).alias("large")), "subreddit", "left")
-    else:
-        inc = inc.withColumn("large", F.lit(True))
-    # Degree of every author; one without a large community, or with one community, has no pair.
-    degree = inc.groupBy("author").agg(F.count(F.lit(1)).alias("_n"), F.count("large").alias("_l"))
-    degree = degree.where("_n > 1 AND _l > 0").select(
-        "author", F.ceil(F.col("_l") / part).cast("int").alias("parts1"), F.ceil(F.col("_n") / part).cast("int").alias("parts2"))
-    inc = cut_lineage(inc.join(degree, "author"))
-    own = F.pmod(F.xxhash64("subreddit"), F.col("parts1")).cast("int")
-    left = inc.where("large").select(
-        "author", F.col("subreddit").alias("s1"), F.col("chars").alias("c1"), own.alias("p1"),
-        F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)).alias("p2"))
-    other = F.pmod(F.xxhash64("subreddit"), F.col("parts2")).cast("int")
-    right = inc.select(
-        "author", F.col("subreddit").alias("s2"), F.col("chars").alias("c2"), F.coalesce("large", F.lit(False)).alias("_both"),
-        F.explode(F.sequence(F.lit(0), F.col("parts1") - 1)).alias("p1"), other.alias("p2"))
-    met = left.alias("a").join(right.alias("b"), (F.col("a.author") == F.col("b.author")) & (F.col("a.p1") == F.col("b.p1"))
-                               & (F.col("a.p2") == F.col("b.p2"))
-                               & ((F.col("s1") < F.col("s2")) | (~F.col("_both") & (F.col("s1") != F.col("s2")))))
-    return met.select("s1", "c1", "s2", "c2", "a.author")
+    cells = _cells(incidence, min_degree, part)
+    met = cells.select("s1", "q", "c1", "author", "c", F.posexplode("s").alias("at", "s2"))
+    return met.select("s1", "q", "c1", "s2", F.get("c", F.col("at")).alias("c2"), "author")
 
 
 def subreddit_adjacency(incidence: DataFrame, min_degree: int = 1, part: int = PART) -> DataFrame:
@@ -102,17 +141,15 @@ def subreddit_adjacency(incidence: DataFrame, min_degree: int = 1, part: int = P
     ``sole_chars_a`` / ``sole_chars_b`` are that author's characters in each community.
     With ``min_degree``, only edges that touch a community of at least so many authors.
     """
-    met = shared_author_rows(incidence, min_degree, part)
-    swap = F.col("s1") > F.col("s2")
-    edges = met.select("author", F.least("s1", "s2").alias("subreddit_a"), F.greatest("s1", "s2").alias("subreddit_b"),
-                       F.when(swap, F.col("c2")).otherwise(F.col("c1")).alias("ca"),
-                       F.when(swap, F.col("c1")).otherwise(F.col("c2")).alias("cb"))
-    one = F.col("shared_authors") == 1
-    return (edges.groupBy("subreddit_a", "subreddit_b")
-            .agg(F.count(F.lit(1)).alias("shared_authors"), F.min("author").alias("author"), F.min("ca").alias("ca"),
-                 F.min("cb").alias("cb"))
-            .select("subreddit_a", "subreddit_b", "shared_authors", F.when(one, F.col("author")).alias("sole_author"),
-                    F.when(one, F.col("ca")).alias("sole_chars_a"), F.when(one, F.col("cb")).alias("sole_chars_b")))
+    edges = shared_author_rows(incidence, min_degree, part).groupBy("s1", "q", "s2").agg(
+        F.count(F.lit(1)).alias("shared_authors"), F.min("author").alias("author"), F.min("c1").alias("c1"),
+        F.min("c2").alias("c2"))
+    one, swap = F.col("shared_authors") == 1, F.col("s1") > F.col("s2")
+    return edges.select(
+        F.least("s1", "s2").alias("subreddit_a"), F.greatest("s1", "s2").alias("subreddit_b"), "shared_authors",
+        F.when(one, F.col("author")).alias("sole_author"),
+        F.when(one, F.when(swap, F.col("c2")).otherwise(F.col("c1"))).alias("sole_chars_a"),
+        F.when(one, F.when(swap, F.col("c1")).otherwise(F.col("c2"))).alias("sole_chars_b"))
 
 
 def adjacency_histogram(edges: DataFrame) -> DataFrame:

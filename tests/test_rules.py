@@ -120,6 +120,33 @@ def test_adjacency_matches_brute_force(spark):
         assert {(r.subreddit_a, r.subreddit_b): (r.shared_authors, r.sole_author) for r in edges} == touching
 
 
+def test_pairs_are_counted_where_the_lists_of_a_community_meet(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = {(f"a{a:02d}", f"s{rng.randint(0, 30):02d}") for a in range(50) for _ in range(rng.randint(1, 9))}
+    rows |= {(f"a{a:02d}", s) for a in range(0, 50, 2) for s in ("s00", "s99")} | {("hot", f"s{s:02d}") for s in range(31)}
+    chars = {r: 100 + i for i, r in enumerate(sorted(rows))}
+    inc = spark.createDataFrame([(*r, n) for r, n in chars.items()], "author STRING, subreddit STRING, num_characters BIGINT")
+    of = {}
+    for a, s in rows:
+        of.setdefault(s, set()).add(a)
+    for cell, part, least in ((20, 7, 12), (20, 1024, 1), (1 << 20, 7, 1)):
+        monkeypatch.setattr(graph, "CELL", cell)
+        want = {}
+        for s1, s2 in itertools.combinations(sorted(of), 2):
+            if (shared := of[s1] & of[s2]) and max(len(of[s1]), len(of[s2])) >= least:
+                sole = next(iter(shared)) if len(shared) == 1 else None
+                want[s1, s2] = (len(shared), sole, chars.get((sole, s1)), chars.get((sole, s2)))
+        edges = graph.subreddit_adjacency(inc, least, part)
+        assert {tuple(r)[:2]: tuple(r)[2:] for r in edges.collect()} == want
+        # Every pair goes to its edge inside a list: no shuffle and no join lies between the unpacked pairs and their count.
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[:plan.index("posexplode")]
+        pairs = sum(v[0] for v in want.values())
+        met = graph.shared_author_rows(inc, least, part)
+        assert met.count() == pairs and met.rdd.getNumPartitions() == -(-pairs // cell)
+        assert max(r["count"] for r in met.groupBy("s1", "q").count().collect()) <= (3 * cell)
+
+
 def test_active_and_chosen_restrict_the_graph(spark):
     stats = spark.createDataFrame([("a", "s1", 5), ("a", "s2", 5), ("b", "s1", 5), ("b", "s2", 5), ("c", "s1", 5),
                                    ("c", "s3", 5)], "author STRING, subreddit STRING, num_characters BIGINT")
