@@ -1,21 +1,22 @@
 """Statistics of all-pairs cosine similarity without all-pairs rows.
 
-Every statistic is a reducer: it turns the similarities of one block task of
-``vectors.cosine_blocks`` into a few rows, and combines the rows of all
-blocks afterwards. ``fuse`` runs any number of reducers on one stream of
-blocks, so a product is computed and its vectors are shuffled once for all of
-them. What leaves a block is bounded by a parameter.
-
-The exact median takes two products at most: a mergeable rank sketch from the
-first one brackets the middle ranks, with a bound on its error that always
-holds, and the second collects the values inside the brackets, from which the
-ranks are picked by a distributed sort. Pairs with a zero vector have no
+Every statistic is a reducer: it turns the similarities of one tile of
+``vectors.cosine_blocks`` into a few rows, folds the rows of a task's tiles into
+as few, and combines the rows of all tasks afterwards. ``fuse`` runs any number
+of reducers on one stream of tiles, so a product is computed and its vectors
+are shuffled once for all of them. What leaves a task is bounded by a parameter.
+
+The exact median takes two products at most: counts in ``POINTS`` equal bins of
+-1..1 from the first one bracket the middle ranks, and the second collects the
+values inside the brackets, from which the ranks are picked by a distributed
+sort. Pairs with a zero vector have no
 similarity and do not count.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,11 @@ from penprint.operators import evaluate
 from penprint.operators.vectors import Blocked, CosineBlock, blocked, cosine_blocks
 from penprint.session import cut_lineage
 
-# Points of a rank sketch, and sketches merged by one task.
-POINTS = 2048
+# Bins of the rank counts or points of a rank sketch, sketches merged by one task, tiles folded at once, values in a row.
+POINTS = 1 << 15
 MERGE = 64
+FOLD = 32
+VALUES = 8192
 EXAMPLE_IDS = ["author_i", "slot_i", "author_j", "slot_j"]
 LABELS = (0, 1)
 
@@ -39,6 +42,17 @@ _SCHEMA = "reducer string, label int, key bigint, n bigint, x array<double>, s a
 _Row = tuple[int, int, int, list, list]
 
 
+def _by_key(rows: list[_Row]) -> dict[tuple[int, int], list[_Row]]:
+    found: dict[tuple[int, int], list[_Row]] = {}
+    for row in rows:
+        found.setdefault(row[:2], []).append(row)
+    return found
+
+
+def _sum_counts(rows: list[_Row]) -> list[_Row]:
+    return [(*key, sum(r[2] for r in same), [], []) for key, same in _by_key(rows).items()]
+
+
 class Moments:
     """Per label: n, mean, std (population), min, max."""
 
@@ -50,6 +64,16 @@ class Moments:
                 rows.append((k, 0, len(v), [mean, float(((v - mean) ** 2).sum()), float(v.min()), float(v.max())], []))
         return rows
 
+    def fold(self, rows: list[_Row]) -> list[_Row]:
+        out = []
+        for key, same in _by_key(rows).items():
+            n = np.array([r[2] for r in same])
+            mean, m2, low, high = np.array([r[3] for r in same]).T
+            middle = float((n * mean).sum() / n.sum())
+            out.append((*key, int(n.sum()), [middle, float((m2 + n * (mean - middle) ** 2).sum()), float(low.min()),
+                                             float(high.max())], []))
+        return out
+
     def combine(self, rows: DataFrame) -> DataFrame:
         n, mean, m2 = F.col("n"), F.get("x", F.lit(0)), F.get("x", F.lit(1))
         # Around a value inside the range of the means, so that nothing large is subtracted.
@@ -70,7 +94,8 @@ def _compress(values: np.ndarray, weights: np.ndarray, points: int) -> tuple[np.
 
 
 class RankSketch:
-    """Per label a bounded sample of the sorted values with weights, mergeable; its rank error has a bound."""
+    """Per label a bounded sample of the sorted values with weights, mergeable; its rank error has a bound. For values of
+    any range; similarities have one, see ``RankCounts``."""
 
     def __init__(self, points: int | None = None, merge: int | None = None):
         self.points, self.fan = points or POINTS, merge or MERGE
@@ -119,6 +144,42 @@ class RankSketch:
         return out
 
 
+class RankCounts:
+    """Per label the counts of similarities in ``points`` equal bins of -1..1."""
+
+    def __init__(self, points: int | None = None):
+        self.points = points or POINTS
+
+    def tile(self, b: CosineBlock) -> list[_Row]:
+        rows = []
+        for k in LABELS:
+            if len(v := b.values(k)):
+                cell = np.clip(((v + 1.0) * (self.points / 2)).astype(np.int64), 0, self.points - 1)
+                rows.append((k, 0, len(v), np.bincount(cell, minlength=self.points), []))
+        return rows
+
+    def fold(self, rows: list[_Row]) -> list[_Row]:
+        return [(*key, sum(r[2] for r in same), np.sum([r[3] for r in same], axis=0), []) for key, same in _by_key(rows).items()]
+
+    def combine(self, rows: DataFrame) -> dict[int, np.ndarray]:
+        """label -> counts by bin."""
+        bins = rows.select("label", F.posexplode("x").alias("bin", "n")).where("n > 0").groupBy("label", "bin").agg(F.sum("n").alias("n"))
+        out = {k: np.zeros(self.points, np.int64) for k in LABELS}
+        for r in bins.collect():  # ``points`` rows a label at most
+            out[r.label][r.bin] = int(r.n)
+        return out
+
+    def brackets(self, counts: np.ndarray, ranks: set[int], low: float, high: float) -> dict[int, tuple]:
+        """rank -> (lo, hi) that hold the value of this 0-based rank for certain."""
+        upto, out = np.cumsum(counts), {}
+        for r in ranks:
+            cell = int(np.searchsorted(upto, r, side="right"))
+            # Wider than the rounding of a similarity and of its bin.
+            lo, hi = cell * 2 / self.points - 1 - 1e-9, (cell + 1) * 2 / self.points - 1 + 1e-9
+            out[r] = (max(lo, low) if cell else low, min(hi, high) if cell < self.points - 1 else high)
+        return out
+
+
 class Inside:
     """The values inside each (label, lo, hi) with their counts, and how many lie below."""
 
@@ -129,17 +190,27 @@ class Inside:
         rows = []
         for i, (k, lo, hi) in enumerate(self.ranges):
             v = b.values(k)
-            below = int((v < lo).sum())
             values, counts = np.unique(v[(v >= lo) & (v <= hi)], return_counts=True)
-            rows.append((k, i, below, [], []))
-            rows += [(k, i, int(n), [float(x)], []) for x, n in zip(values, counts, strict=True)]
+            rows.append((k, i, int(np.count_nonzero(v < lo)), [*values.tolist(), *counts.tolist()], []))
         return rows
 
+    def fold(self, rows: list[_Row]) -> list[_Row]:
+        out = []
+        for key, same in _by_key(rows).items():
+            below = sum(r[2] for r in same)
+            values, at = np.unique(np.concatenate([r[3][:len(r[3]) // 2] for r in same]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([r[3][len(r[3]) // 2:] for r in same]), len(values))
+            for begin in range(0, max(len(values), 1), VALUES):
+                some = slice(begin, begin + VALUES)
+                out.append((*key, 0 if begin else below, [*values[some].tolist(), *counts[some].tolist()], []))
+        return out
+
     def combine(self, rows: DataFrame, ranks: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
         """(range, rank over the label) -> value, by a range-partitioned sort and per-partition counts."""
-        below = {r.key: r.n for r in rows.where(F.size("x") == 0).groupBy("key").agg(F.sum("n").alias("n")).collect()}
-        values = rows.where(F.size("x") == 1).select("key", F.get("x", F.lit(0)).alias("v"), "n") \
-            .groupBy("key", "v").agg(F.sum("n").alias("n"))
+        below = {r.key: r.n for r in rows.groupBy("key").agg(F.sum("n").alias("n")).collect()}
+        half = (F.size("x") / 2).cast("int")
+        values = rows.where(F.size("x") > 0).select("key", half.alias("half"), "x", F.posexplode(F.slice("x", F.lit(1), half)).alias("at", "v"))
+        values = values.groupBy("key", "v").agg(F.sum(F.get("x", F.col("half") + F.col("at"))).cast("bigint").alias("n"))
         placed = cut_lineage(values.repartitionByRange("key", "v").withColumn("_run", F.spark_partition_id()))
         # One row per range and partition.
         runs = sorted(tuple(r) for r in placed.groupBy("key", "_run").agg(F.min("v").alias("lo"), F.sum("n").alias("n"))
@@ -171,10 +242,12 @@ class Cells:
     def tile(self, b: CosineBlock) -> list[_Row]:
         rows = []
         for k in LABELS:
-            cells, counts = np.unique(self.cell(k, b.values(k)), return_counts=True)
-            rows += [(k, int(c), int(n), [], []) for c, n in zip(cells, counts, strict=True)]
+            counts = np.bincount(self.cell(k, b.values(k)))  # cells are small whole numbers
+            rows += [(k, int(c), int(counts[c]), [], []) for c in np.flatnonzero(counts)]
         return rows
 
+    fold = staticmethod(_sum_counts)
+
     def combine(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy("label", F.col("key").alias("cell")).agg(F.sum("n").alias("count"))
 
@@ -189,6 +262,8 @@ class Sides:
         return [(k, side, int(beyond.sum()), [], []) for k in LABELS
                 for side, beyond in enumerate((b.values(k) < self.threshold, b.values(k) > self.threshold))]
 
+    fold = staticmethod(_sum_counts)
+
     def combine(self, rows: DataFrame) -> DataFrame:
         def count(label: int, side: int):
             return F.coalesce(F.sum(F.when((F.col("label") == label) & (F.col("key") == side), F.col("n"))), F.lit(0))
@@ -222,6 +297,12 @@ class Examples:
                     for x, ids in sorted(pairs)[:self.n]]
         return out
 
+    def fold(self, rows: list[_Row]) -> list[_Row]:
+        def order(row: _Row) -> tuple:
+            value, (one, slot1, two, slot2) = row[3][0], row[4]
+            return value if row[1] == 2 else -value, one, int(slot1), two, int(slot2)
+        return [row for same in _by_key(rows).values() for row in sorted(same, key=order)[:self.n]]
+
     def combine(self, rows: DataFrame) -> DataFrame:
         kinds = F.array(*[F.lit(k) for k in self.KINDS])
         found = rows.select(
@@ -237,8 +318,14 @@ class Examples:
 
 def fuse(vectors: DataFrame | Blocked, reducers: dict) -> dict[str, DataFrame]:
     """The rows of every reducer, all from one product; kept on shared storage when there are several."""
-    def reduce(b: CosineBlock) -> pa.Table:
-        rows = [(name, *row) for name, reducer in reducers.items() for row in reducer.tile(b)]
+    def reduce(tiles: Iterator[CosineBlock]) -> pa.Table:
+        kept = {name: [] for name in reducers}
+        for at, tile in enumerate(tiles, 1):
+            for name, reducer in reducers.items():
+                kept[name] += reducer.tile(tile)
+                if at % FOLD == 0:
+                    kept[name] = reducer.fold(kept[name])
+        rows = [(name, *row) for name, reducer in reducers.items() for row in reducer.fold(kept[name])]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_ROWS)
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ROWS, strict=True)], schema=_ROWS)
 
@@ -263,7 +350,7 @@ def _per_label(rows: DataFrame) -> dict[int, dict]:
 class _Median:
     """The second half of the median: brackets from the first product, values from the second."""
 
-    def __init__(self, sketch: RankSketch, rows: DataFrame, per: dict[int, dict]):
+    def __init__(self, sketch: RankCounts, rows: DataFrame, per: dict[int, dict]):
         ranks = {k: {(m["n"] - 1) // 2, m["n"] // 2} for k, m in per.items()}
         merged = sketch.combine(rows)
         found = {(k, r): lohi for k, m in per.items()
@@ -306,10 +393,19 @@ def _densities(counts: DataFrame, per: dict[int, dict], bins: int) -> DataFrame:
     return counts.select("label", F.col("cell").cast("int").alias("bin"), "count", (F.col("count") / area).alias("density"))
 
 
+def _upto(points: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """How many of the ascending points are at most v: a guess from their even spacing, mended by one where rounding asks."""
+    step = (points[-1] - points[0]) / max(len(points) - 1, 1)
+    if not step > 0 or np.abs(np.diff(points) - step).max() > 1e-3 * step:
+        return np.searchsorted(points, v, side="right")
+    guess = np.clip((v - points[0]) * (1 / step), 0, len(points) - 1).astype(np.int64)
+    return guess + 1 - (points[guess] > v) + (np.append(points[1:], np.inf)[guess] <= v)
+
+
 def _grid(per: dict[int, dict]) -> tuple[list[float], Cells]:
     grid = evaluate.spread_grid(per)
     points = np.array(grid)
-    return grid, Cells(lambda label, v: np.searchsorted(points, v, side="right"))
+    return grid, Cells(lambda label, v: _upto(points, v))
 
 
 def _best(spark, grid: list[float], cells: DataFrame, best: int) -> DataFrame:
@@ -318,7 +414,7 @@ def _best(spark, grid: list[float], cells: DataFrame, best: int) -> DataFrame:
 
 def summary(vectors: DataFrame) -> DataFrame:
     """Per label: n, mean, exact median, population sd, min, max. Two products at most."""
-    spark, grid, sketch = vectors.sparkSession, blocked(vectors, keep=True), RankSketch()
+    spark, grid, sketch = vectors.sparkSession, blocked(vectors, keep=True), RankCounts()
     first = fuse(grid, {"moments": Moments(), "ranks": sketch})
     per = _per_label(Moments().combine(first["moments"]))
     median = _Median(sketch, first["ranks"], per)
@@ -355,7 +451,7 @@ def report(vectors: DataFrame, bins: int = 20, best: int = 5, threshold: float =
            low: float = 0.0, shown: int = 5) -> dict[str, DataFrame]:
     """A19, A20, A22, A24 and P17 together, from two products: what needs no range of the values comes from
     the first, the median's brackets, the histogram and the cutoff grid from the second."""
-    spark, blocks, sketch = vectors.sparkSession, blocked(vectors, keep=True), RankSketch()
+    spark, blocks, sketch = vectors.sparkSession, blocked(vectors, keep=True), RankCounts()
     first = fuse(blocks, {"moments": Moments(), "ranks": sketch, "sides": Sides(threshold),
                           "examples": Examples(high, low, shown)})
     per = _per_label(Moments().combine(first["moments"]))

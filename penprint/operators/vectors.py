@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -30,6 +30,10 @@ INFO_NCE_TEMPERATURE = 0.07
 EVAL_BATCH_AUTHORS = 64
 # Vectors per block of the all-pairs product.
 COSINE_BLOCK = 1024
+# All-pairs products: blocks of the grid, numbers in one block at most, rows and columns multiplied at once.
+GRID = 24
+BLOCK_NUMBERS = 1 << 22
+TILE = 512
 HASH_DIM = 64
 
 
@@ -251,16 +255,21 @@ def project(vectors: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], emb
 
 @dataclass
 class CosineBlock:
-    """The similarities of one block product. Cells that are no pair, or hold a zero vector, are NaN."""
+    """The similarities of one tile of a block product. Cells that are no pair, or hold a zero vector, are NaN."""
 
     sim: np.ndarray                       # [a, b]
     match: tuple[np.ndarray, np.ndarray]  # cells of two personas of one author
     left: tuple[np.ndarray, np.ndarray]   # author and slot of the rows
     right: tuple[np.ndarray, np.ndarray]  # author and slot of the columns
     diagonal: bool                        # rows and columns are the same vectors; only cells above the diagonal count
+    whole: bool = False                   # no cell is NaN
 
     @cached_property
     def _by_label(self) -> dict[int, np.ndarray]:
+        if self.whole:
+            flat = self.sim.ravel()
+            cells = np.ravel_multi_index(self.match, self.sim.shape)
+            return {0: np.delete(flat, cells) if len(cells) else flat, 1: flat[cells]}
         other = self.sim.copy()
         other[self.match] = np.nan
         matched = self.sim[self.match]
@@ -280,7 +289,8 @@ class CosineBlock:
         return np.nonzero(found)
 
 
-def _block(table: pa.Table) -> CosineBlock:
+def _tiles(table: pa.Table) -> Iterator[CosineBlock]:
+    """The product of one block pair, ``TILE`` x ``TILE`` similarities at a time."""
     side = table["side"].to_numpy()
     diag = table["bi"][0].as_py() == table["bj"][0].as_py()
     a = np.flatnonzero(side == 0)
@@ -288,18 +298,25 @@ def _block(table: pa.Table) -> CosineBlock:
     lists = table["embedding"].combine_chunks()
     x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(side), -1)
     norm = np.linalg.norm(x, axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        sim = (x[a] @ x[b].T) / np.outer(norm[a], norm[b])
-    sim[~np.isfinite(sim)] = np.nan
     author = table["author"].combine_chunks().dictionary_encode()
     code, slot = author.indices.to_numpy(zero_copy_only=False), table["slot"].to_numpy()
-    match = np.nonzero(code[a][:, None] == code[b])
-    if diag:
-        sim[np.tril_indices(len(a))] = np.nan
-        upper = match[0] < match[1]
-        match = match[0][upper], match[1][upper]
-    names = author.dictionary.to_numpy(zero_copy_only=False)[code]
-    return CosineBlock(sim, match, (names[a], slot[a]), (names[b], slot[b]), diag)
+    names = author.dictionary.to_numpy(zero_copy_only=False)
+    for i in range(0, len(a), TILE):
+        for j in range(i if diag else 0, len(b), TILE):
+            one, two = a[i:i + TILE], b[j:j + TILE]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sim = x[one] @ x[two].T
+                sim /= np.outer(norm[one], norm[two])
+            same = diag and i == j
+            whole = not same and bool(np.isfinite(sim.sum()))
+            if not whole:
+                sim[~np.isfinite(sim)] = np.nan
+            match = np.nonzero(code[one][:, None] == code[two])
+            if same:
+                sim[np.tril_indices(len(one))] = np.nan
+                upper = match[0] < match[1]
+                match = match[0][upper], match[1][upper]
+            yield CosineBlock(sim, match, (names[code[one]], slot[one]), (names[code[two]], slot[two]), same, whole)
 
 
 @dataclass(frozen=True)
@@ -312,30 +329,43 @@ class Blocked:
 
 def blocked(vectors: DataFrame, author: str = "author", slot: str = "slot", block: int = COSINE_BLOCK,
             keep: bool = False) -> Blocked:
-    """Deal vectors to blocks of about ``block``; ``keep`` writes them out for several products."""
-    n = max(1, math.ceil(vectors.count() / block))
+    """Deal vectors to ``GRID`` blocks: fewer if they would hold less than ``block`` vectors, more if one would hold more
+    than ``BLOCK_NUMBERS`` numbers. ``keep`` writes them out for several products."""
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    n = min(math.ceil(size.n / block), max(GRID, math.ceil(size.n * max(size.width or 1, 1) / BLOCK_NUMBERS)))
+    return _dealt(vectors, author, slot, max(1, n), keep)
+
+
+def _dealt(vectors: DataFrame, author: str, slot: str, n: int, keep: bool = False) -> Blocked:
+    # Floats stay floats until they are multiplied.
+    number = "float" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "double"
     rows = vectors.select(F.col(author).cast("string").alias("author"), F.col(slot).cast("int").alias("slot"),
-                          F.col("embedding").cast("array<double>").alias("embedding"),
+                          F.col("embedding").cast(f"array<{number}>").alias("embedding"),
                           F.pmod(F.xxhash64(author, slot), F.lit(n)).cast("int").alias("blk")).where("embedding is not null")
+    if n > 1:  # Every vector becomes n rows, so a task of the product's input takes few.
+        rows = rows.repartition(4 * n, "author", "slot")
     return Blocked(cut_lineage(rows) if keep else rows, n)
 
 
-def cosine_blocks(vectors: DataFrame | Blocked, reduce: Callable[[CosineBlock], pa.Table], schema: str,
+def cosine_blocks(vectors: DataFrame | Blocked, reduce: Callable[[Iterator[CosineBlock]], pa.Table], schema: str,
                   author: str = "author", slot: str = "slot", block: int = COSINE_BLOCK) -> DataFrame:
     """Reduce every block of the all-pairs cosine matrix inside the task that computes it.
 
     Block grid: vectors are hashed into n blocks; each vector is replicated
-    to the n block pairs (I <= J) it takes part in; a block pair is one matrix
-    product of about ``block`` x ``block`` vectors. ``reduce`` sees the
-    similarities (label 1 for the two personas of one author) and returns a few
-    rows, so the pairs themselves are never written or shuffled.
+    to the n block pairs (I <= J) it takes part in; a block pair is one task,
+    which multiplies tile by tile. n does not grow with the number of vectors
+    (see ``blocked``), so what is shuffled grows as the vectors do. ``reduce``
+    sees the similarities of all tiles (label 1 for the two personas of one
+    author) and returns a few rows, so the pairs themselves are never written
+    or shuffled.
     """
     grid = vectors if isinstance(vectors, Blocked) else blocked(vectors, author, slot, block)
     other = F.explode(F.sequence(F.lit(0), F.lit(grid.n - 1))).alias("_other")
     sides = grid.rows.select("author", "slot", "embedding", "blk", other).select(
         "author", "slot", "embedding", F.least("blk", "_other").alias("bi"), F.greatest("blk", "_other").alias("bj"),
         F.when(F.col("blk") <= F.col("_other"), 0).otherwise(1).alias("side"))
-    return sides.groupBy("bi", "bj").applyInArrow(lambda table: reduce(_block(table)), schema)
+    sides = sides.repartition(grid.n * (grid.n + 1) // 2, "bi", "bj")
+    return sides.groupBy("bi", "bj").applyInArrow(lambda table: reduce(_tiles(table)), schema)
 
 
 def cosine_all_pairs(vectors: DataFrame, author: str = "author", slot: str = "slot",
@@ -346,7 +376,9 @@ def cosine_all_pairs(vectors: DataFrame, author: str = "author", slot: str = "sl
         label = np.zeros(b.sim.shape, np.int32)
         label[b.match] = 1
         return pa.table({"label": label[pair], "value": b.sim[pair]})
-    return cosine_blocks(vectors, rows, "label int, value double", author, slot, block)
+    empty = pa.table({"label": np.zeros(0, np.int32), "value": np.zeros(0)})
+    grid = _dealt(vectors, author, slot, max(1, math.ceil(vectors.count() / block)))
+    return cosine_blocks(grid, lambda tiles: pa.concat_tables([empty, *map(rows, tiles)]), "label int, value double")
 
 
 # ---------------------------------------------------------------- A26/A27: batch metrics

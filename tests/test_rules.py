@@ -414,6 +414,45 @@ def test_similarity_statistics_equal_those_of_all_pairs(spark, monkeypatch, bloc
         assert [ids for _, ids in mine] == [ids for _, ids in want]
 
 
+def test_blocks_of_several_tiles_send_each_vector_to_a_bounded_number_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "GRID", 3)
+    monkeypatch.setattr(vectors, "TILE", 4)
+    monkeypatch.setattr(similarity, "FOLD", 2)
+    monkeypatch.setattr(similarity, "VALUES", 5)
+    table, pairs = _vector_table(spark, 60)
+    grid = vectors.blocked(table, block=4)
+    assert grid.n == 3  # not 15: what is shuffled is the vectors times 3
+    bare = vectors.blocked(table.withColumn("embedding", F.col("embedding").cast("array<float>")))
+    assert bare.rows.schema["embedding"].dataType.elementType.simpleString() == "float"
+    monkeypatch.setattr(vectors.blocked, "__defaults__", ("author", "slot", 4, False))
+    for points in (2, 64, 1 << 15):
+        monkeypatch.setattr(similarity, "POINTS", points)
+        parts = similarity.report(table, 10, 5, 0.5, 0.2, 0.0, 3)
+        got = {r.label: r for r in parts["summary"].collect()}
+        bins = {(r.label, r.bin): r["count"] for r in parts["histogram"].collect()}
+        for label in (0, 1):
+            v = np.array([s for k, s, _ in pairs if k == label])
+            r = got[label]
+            assert r.n == len(v) and np.allclose([r.mean, r.median, r["std"], r.min, r.max],
+                                                 [v.mean(), np.median(v), v.std(), v.min(), v.max()], rtol=0, atol=1e-12)
+            assert [bins.get((label, b + 1), 0) for b in range(10)] == np.histogram(v, 10)[0].tolist()
+    assert [round(r.accuracy, 9) for r in sorted(parts["best_cutoffs"].collect(), key=lambda r: r["rank"])] == [
+        a for _, a in _brute_best([p[:2] for p in pairs], 5)]
+    shown = [(r.kind, r.place, r.author_i, r.slot_i, r.author_j, r.slot_j) for r in parts["examples"].collect()]
+    want = sorted((-round(s, 9), ids) for k, s, ids in pairs if k == 0 and s > 0.2)[:3]
+    assert sorted(x[1:] for x in shown if x[0] == "false_match") == [(n, *ids) for n, (_, ids) in enumerate(want)]
+
+
+def test_even_grid_counts_as_a_search_does():
+    rng = np.random.default_rng(3)
+    for low, high in ((-1.3, 1.4), (0.1, 0.1 + 1e-9), (0.5, 0.5)):
+        points = np.array([low + i * ((high - low) / 99) for i in range(99)] + [high])
+        v = np.concatenate([points, np.nextafter(points, 9), np.nextafter(points, -9), rng.uniform(low - 1, high + 1, 999)])
+        assert (similarity._upto(points, v) == np.searchsorted(points, v, side="right")).all()
+    uneven = np.array([0.0, 0.1, 5.0])
+    assert (similarity._upto(uneven, np.array([-1, 0.2, 7.0])) == [0, 2, 3]).all()
+
+
 def test_examples_show_comments_first(spark):
     found = spark.createDataFrame([("true_match", 0, "a", 0, "a", 1, 0.9)], "kind STRING, place INT, author_i STRING, "
                                   "slot_i INT, author_j STRING, slot_j INT, value DOUBLE")
