@@ -55,15 +55,30 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], size: int):
         lens = np.fromiter(map(len, docs), np.int64, len(docs))
-        flat = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(docs), dtype=np.int64), lens)
-        keys, tf = np.unique(flat * max(len(docs), 1) + owner, return_counts=True)
-        term, self.doc = np.divmod(keys, max(len(docs), 1))
-        self.start = np.searchsorted(term, np.arange(size + 1))
+        # One array is sorted in place: a task's memory is a few numbers an id.
+        keys = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
+        keys *= max(len(docs), 1)
+        keys += np.repeat(np.arange(len(docs), dtype=np.int64), lens)
+        keys.sort()
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        tf = np.diff(first, append=len(keys))
+        keys = keys[first]
+        del first
+        self.doc = keys % max(len(docs), 1)
+        keys //= max(len(docs), 1)
+        term = keys.astype(np.int32)
+        del keys
+        self.start = np.searchsorted(term, np.arange(size + 1, dtype=np.int32))
         df = np.diff(self.start)
         idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lens / max(lens.mean(), 1e-9)) if len(docs) else lens
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
+        norm = K1 * (1 - B + B * lens / max(lens.mean(), 1e-9)) if len(docs) else lens.astype(float)
+        self.weight = idf[term]
+        self.weight *= tf
+        self.weight *= K1 + 1
+        below = norm[self.doc]
+        below += tf
+        self.weight /= below
+        del tf, below
         # Every document's terms, in rising order.
         order = np.argsort(self.doc, kind="stable")
         self.term = term[order]

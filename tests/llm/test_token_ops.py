@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -115,3 +116,15 @@ def test_lexical_keys_meet_for_copies_and_likely_for_near_copies():
         meet += packing.lexical_keys(ids)[0] == packing.lexical_keys(near)[0]
     assert meet > 140
     assert packing.lexical_keys(np.array([1])) != packing.lexical_keys(np.array([2]))
+
+
+def test_index_of_a_shard_takes_few_numbers_an_id():
+    rng = np.random.default_rng(0)
+    docs = [(rng.zipf(1.3, rng.integers(1, 2500)) % 50_000).astype(np.uint16) for _ in range(400)]
+    tracemalloc.start()
+    index = packing.Index(docs, 1 << 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * sum(map(len, docs))
+    terms = [np.unique(d) for d in docs]
+    assert all((index.term[index.first[i]:index.first[i + 1]] == t).all() for i, t in enumerate(terms))
