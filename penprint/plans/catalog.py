@@ -1195,15 +1195,20 @@ def q_logistic_weights(spark, sf_dir):
 
 
 @register("model_gbt", f"""WITH {SQL_LEARN}
-SELECT m.model, lp.arm, lp.label, count(*) AS n, CAST(2 * (SELECT k FROM kk) AS INTEGER) AS width
+SELECT m.model, lp.arm, lp.label, count(*) AS n, CAST(2 * (SELECT k FROM kk) AS INTEGER) AS width, true AS finished, true AS beats_chance
 FROM lp CROSS JOIN (VALUES ('gbt2'), ('gbt3'), ('gbt4')) m(model) GROUP BY m.model, lp.arm, lp.label""")
 def q_model_gbt(spark, sf_dir):
-    """M5: the pairs that each model scores, by arm and label; ``model_gbt_accuracy`` says how well."""
+    """M5: the pairs that each model scores, by arm and label, whether it has all its trees, and whether it tells the
+    train arm's pairs better than chance; ``model_gbt_accuracy`` says how well."""
     out = None
-    for name, _, long, predicted in _boosted(spark, sf_dir):
+    for name, trees, long, predicted in _boosted(spark, sf_dir):
         width = long.agg(F.max("pos")).first()[0] + 1
+        finished = trees.select("tree").distinct().count() == LRN.GBT_TREES
+        predicted = cut_lineage(predicted)
+        train = LRN.accuracy_by_arm(predicted).where(F.col("arm") == "train").first()
         rows = predicted.groupBy(F.lit(name).alias("model"), "arm", F.col("label").cast("int").alias("label")).agg(
-            F.count("prediction").alias("n")).withColumn("width", F.lit(width).cast("int"))
+            F.count("prediction").alias("n")).withColumn("width", F.lit(width).cast("int")).withColumn(
+            "finished", F.lit(finished)).withColumn("beats_chance", F.lit(train is not None and train.accuracy > 0.5))
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -69,3 +69,13 @@ def test_tree_tables_score_as_the_model_does(spark, long, tmp_path, depth):
         score AS (SELECT author_a, arm, label, sum(t.value) AS s FROM walk w JOIN t USING (tree, node) WHERE t.feature IS NULL GROUP BY ALL)
         SELECT arm, count(*), count(*) FILTER (WHERE (s > 0) = (label = 1)) FROM score GROUP BY arm""").fetchall()
     assert {arm: (n, right) for arm, n, right in again} == {k: v[:2] for k, v in got.items()}
+
+
+def test_model_gbt_says_whether_trees_are_missing_and_chance_is_beaten(spark, monkeypatch):
+    from penprint.plans import catalog
+    long = spark.createDataFrame([("a", "b", 1, "train", 0, 0.5)], "author_a STRING, author_b STRING, label INT, arm STRING, pos INT, value DOUBLE")
+    for n, right in ((100, 1), (99, 0)):
+        trees = spark.range(n).selectExpr("cast(id as int) AS tree")
+        predicted = spark.createDataFrame([("train", 1, right), ("val", 1, 1)], "arm STRING, label INT, prediction INT")
+        monkeypatch.setattr(catalog, "_boosted", lambda *_, t=trees, p=predicted: iter([("gbt2", t, long, p)]))
+        assert {(r.finished, r.beats_chance) for r in catalog.QUERIES["model_gbt"](spark, "").collect()} == {(n == 100, right == 1)}
