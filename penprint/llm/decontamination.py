@@ -39,13 +39,12 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penprint.llm.tables import stored
-from penprint.llm.words import PUNCTUATED, hashed_words, inside_texts, rolling
+from penprint.llm.words import PUNCTUATED, hashed_words, inside_texts, release, rolling
 
 WIDTH, OVERLAP = 5, 0.8
 SEGMENT, HALF = 64, 64
@@ -326,13 +325,13 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
 
 
 def _detector(index):
-    @F.pandas_udf("boolean")
-    def contaminated(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def contaminated(texts: pa.Array) -> pa.Array:
         hit = np.zeros(len(texts), bool)
         for at in range(0, len(texts), 500):
-            column = pa.array(texts.iloc[at:at + 500], pa.string(), from_pandas=True)
-            for row, *_ in index.value.matches(column):
+            for row, *_ in index.value.matches(texts.slice(at, 500)):
                 hit[at + row] = True
-        return pd.Series(hit)
+        release()
+        return pa.array(hit)
 
     return contaminated

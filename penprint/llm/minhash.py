@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from penprint.llm.tables import components, stored
-from penprint.llm.words import hashed_words, inside_texts, mix, rolling
+from penprint.llm.words import hashed_words, inside_texts, mix, release, rolling
 
 WIDTH = 5
 # A link needs 100 * intersection >= percent * union; PERCENT unless the caller says otherwise.
@@ -109,6 +109,7 @@ def signatures(batches: Iterator[pa.RecordBatch], n_bands: int = BANDS) -> Itera
             yield pa.RecordBatch.from_arrays(
                 [some.column(0), some.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64()))], names=["id", "digest", "n_shingles", "class", "bands"])
+        release()
 
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,6 +121,8 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                                       strict=True) if len(s) and set_class(s) == c]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.binary()),
                                               pa.array([s for _, s in found], pa.binary())], names=["class", "set"])
+            del found
+        release()
 
 
 def connect(sets: list[np.ndarray], part: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:

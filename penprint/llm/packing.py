@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penprint.llm.tables import stored
-from penprint.llm.tokenizing import encoder
-from penprint.llm.words import mix
+from penprint.llm.tokenizing import encoder, forget
+from penprint.llm.words import mix, release
 
 VOCABULARY = "byte_bpe_50k.json"
 WINDOW = 2048
@@ -158,18 +158,21 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> Dat
         for batch in batches:
             tool = encoder(vocabulary)
             kind = "<u2" if tool.size <= 1 << 16 else "<u4"
-            parts: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
-            for row, ids in tool.ids(batch.column(1)):
-                parts[row].append(ids.astype(kind, copy=False))
             end = np.array([END_ID], kind)
             for at in range(0, batch.num_rows, 2000):
                 some = batch.slice(at, 2000)
-                whole = [np.concatenate([*p, end]) for p in parts[at:at + 2000]]
+                parts: list[list[np.ndarray]] = [[] for _ in range(some.num_rows)]
+                for row, ids in tool.ids(some.column(1)):
+                    parts[row].append(ids.astype(kind, copy=False))
+                whole = [np.concatenate([*p, end]) for p in parts]
+                del parts
                 keys = np.array([lexical_keys(ids) for ids in whole], np.int64).reshape(-1, KEYS)
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.array([ids.tobytes() for ids in whole], pa.binary()),
                      pa.array(np.full(some.num_rows, int(kind[-1]), np.int32)), *(pa.array(k) for k in keys.T)],
                     names=["id", "ids", "width", *(f"k{n}" for n in range(KEYS))])
+                del whole
+            release()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -197,6 +200,8 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, sh
             names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        release()
         sequences, ids, raw, held, width = TaskContext.get().partitionId() << 32, [], [], 0, 2
         for batch in batches:
             begin = 0
@@ -210,9 +215,12 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, sh
                     yield out
                     sequences = out.column(5)[-1].as_py() + 1
                     ids, raw, held, begin = [], [], 0, row + 1
+                    release()
             ids.append(batch.column(0).slice(begin))
         if raw:
             yield shard(ids, raw, width, sequences)
+            del ids, raw
+        release()
 
     order = [*(f"k{n}" for n in range(KEYS)), "nr"]
     return (table.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("id", "ids", "width")

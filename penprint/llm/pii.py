@@ -24,11 +24,12 @@ from collections.abc import Iterator
 from heapq import merge
 from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from penprint.llm.words import release
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "local_phone", "account")
 CONTEXT = 40
@@ -232,8 +233,11 @@ def redacted(text: str | None) -> str | None:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the spans in its texts replaced; all other columns as they were."""
-    @F.pandas_udf("string")
-    def replaced(texts: pd.Series) -> pd.Series:
-        return texts.map(redacted)
+    @F.arrow_udf("string")
+    def replaced(texts: pa.Array) -> pa.Array:
+        out = [pa.array([redacted(t) for t in texts.slice(at, 1000).to_pylist()], pa.string())
+               for at in range(0, len(texts), 1000)]
+        release()
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return docs.withColumn(text_col, replaced(F.col(text_col)))

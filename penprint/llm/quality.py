@@ -29,13 +29,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penprint.llm.tables import stored
-from penprint.llm.words import hash_spans, pieces, text_buffers, word_spans
+from penprint.llm.words import hash_spans, pieces, release, text_buffers, word_spans
 
 PASSAGE = 64
 SAMPLE, FIT_PASSAGES = 3000, 120_000
@@ -224,6 +223,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), pa.array(kept, pa.large_binary())
                  .cast(pa.binary())], names=["id", "label", "n", "rows"])
+            del rows, kept
+            release()
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # At most ``sample`` ids: broadcast.
@@ -258,11 +259,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def scorer(model: Model):
     """Column function: text -> score."""
-    @F.pandas_udf("double")
-    def scores(texts: pd.Series) -> pd.Series:
-        out = [model.scores(pa.array(texts.iloc[at:at + 1000], pa.string(), from_pandas=True))
-               for at in range(0, len(texts), 1000)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        out = [model.scores(texts.slice(at, 1000)) for at in range(0, len(texts), 1000)]
+        release()
+        return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return scores
 

@@ -213,6 +213,11 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def forget() -> None:
+    """Drop the worker's encoders, with the parts they remember: for tasks that only work on ids."""
+    _encoders.clear()
+
+
 def encoder(name: str) -> Encoder:
     """The worker's encoder for a vocabulary file (loaded once per process)."""
     if name not in _encoders:

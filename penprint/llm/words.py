@@ -8,6 +8,7 @@ the temporary arrays stay small however large a batch or a text is.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -33,6 +34,16 @@ _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _LANES = np.array([[0x243F6A8885A308D3, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93],
                    [0x452821E638D01377, 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25]], np.uint64)
 _powers: dict[str, np.ndarray] = {}
+# The C library's own, where it has one (glibc).
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give memory that is free in this process back to the system: a Python worker lives longer than its task, and
+    what the C library keeps of one batch's arrays would stay with the executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def powers(n: int, base: int, name: str) -> tuple[np.ndarray, np.ndarray]:

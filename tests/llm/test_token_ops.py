@@ -128,3 +128,21 @@ def test_index_of_a_shard_takes_few_numbers_an_id():
     assert peak < 24 * sum(map(len, docs))
     terms = [np.unique(d) for d in docs]
     assert all((index.term[index.first[i]:index.first[i + 1]] == t).all() for i, t in enumerate(terms))
+
+
+def test_free_memory_goes_back_and_encoders_are_dropped():
+    import psutil
+
+    from penprint.llm import tokenizing
+    from penprint.llm.words import release
+    process = psutil.Process()
+    # Blocks too small to be mapped one by one, the last of them still in use: without a trim all stay with the process.
+    blocks = [bytes([k % 256]) * 100_000 for k in range(2000)]
+    last = blocks[-1]
+    held = process.memory_info().rss
+    del blocks
+    release()
+    assert held - process.memory_info().rss > 100e6 and len(last) == 100_000
+    tokenizing.encoder("byte_bpe_50k.json")
+    tokenizing.forget()
+    assert not tokenizing._encoders
