@@ -5,20 +5,24 @@ per-persona token table, then gathered into one vector per pair (bounded by
 the token-set size) for ``pyspark.ml``.
 
 A trained model becomes a table: weights by feature, or tree nodes by number.
-Accuracies come from scoring the long features by joins with that table, so
-they can be derived again outside Spark, and the logistic model carries a
+Accuracies come from scoring the long features by that table (weights by a join,
+trees inside the row), so they can be derived again outside Spark, and the logistic model carries a
 certificate, the gradient of its loss at the weights (0 only at the optimum).
 """
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from penprint.functions.columns import capped_bucket
 from penprint.operators.indexing import derangement_pairs
@@ -96,6 +100,12 @@ def boosted_trees(train: DataFrame, depth: int):
     return GBTClassifier(maxIter=GBT_TREES, maxDepth=depth, stepSize=GBT_STEP, seed=GBT_SEED).fit(train)
 
 
+def boosted_by_depth(train: DataFrame, depths: tuple[int, ...]) -> list:
+    """M5 for several depths at once: one tree's passes are short, so a fit alone leaves most cores waiting."""
+    with ThreadPool(len(depths)) as pool:
+        return pool.map(inheritable_thread_target(train.sparkSession)(lambda depth: boosted_trees(train, depth)), depths)
+
+
 # ---------------------------------------------------------------- models as tables
 
 def loss_derivatives(train: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,22 +181,56 @@ def tree_rows(spark: SparkSession, model) -> DataFrame:
 
 
 def tree_predictions(long: DataFrame, trees: DataFrame, depth: int) -> DataFrame:
-    """(pair columns, prediction) of long features by a table of tree nodes: one step down all trees a join."""
+    """(pair columns, prediction) of long features by a table of tree nodes.
+
+    A pair's features meet in one row, which goes down all trees inside its task; the nodes, fewer than
+    2^(depth + 1) a tree whatever the pairs are, go there with the function. A tree that asks for a feature
+    which the pair has not says nothing, and a pair without any tree's word has no row.
+    """
     keys = [c for c in long.columns if c not in ("pos", "value")]
-    last = trees.agg(F.max("tree")).first()[0]
-    at = long.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(last))).alias("tree"),
-                                              F.lit(0).alias("node"))
-    values = long.select(*keys, F.col("pos").alias("feature"), F.col("value").cast("double").alias("x"))
-    done = None
-    for step in range(depth + 1):
-        here = at.join(trees, ["tree", "node"])
-        ended = here.where("feature IS NULL").select(*keys, "value")
-        done = ended if done is None else done.unionByName(ended)
-        if step < depth:
-            at = cut_lineage(here.where("feature IS NOT NULL").join(values, [*keys, "feature"])
-                             .select(*keys, "tree", F.when(F.col("x") <= F.col("threshold"), F.col("low"))
-                                     .otherwise(F.col("high")).alias("node")))
-    return done.groupBy(*keys).agg((F.sum("value") > 0).cast("int").alias("prediction"))
+    nodes = trees.select("tree", "node", "feature", "threshold", "low", "high", "value").collect()
+    shape = (max(r.tree for r in nodes) + 1, max(r.node for r in nodes) + 1)
+    feature, low, high = (np.full(shape, -1, np.int32) for _ in range(3))
+    threshold, value, known = np.zeros(shape), np.zeros(shape), np.zeros(shape, bool)
+    for r in nodes:
+        known[r.tree, r.node] = True
+        if r.feature is None:
+            value[r.tree, r.node] = r.value
+        else:
+            feature[r.tree, r.node], threshold[r.tree, r.node] = r.feature, r.threshold
+            low[r.tree, r.node], high[r.tree, r.node] = r.low, r.high
+    width = int(feature.max()) + 1
+
+    def walk(batches):
+        every = np.arange(shape[0])
+        for batch in batches:
+            entries = batch.column(len(keys))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(entries.offsets.to_numpy()))
+            flat = entries.flatten()
+            pos = flat.field("pos").to_numpy(zero_copy_only=False)
+            x, has = np.full((batch.num_rows, width), np.nan), np.zeros((batch.num_rows, width), bool)
+            asked = pos < width
+            x[row[asked], pos[asked]] = flat.field("value").to_numpy(zero_copy_only=False)[asked]
+            has[row[asked], pos[asked]] = True
+            at = np.zeros((batch.num_rows, shape[0]), np.int32)
+            alive = np.broadcast_to(known[:, 0], at.shape).copy()
+            for _ in range(depth):
+                inner, tree = np.nonzero(alive & (feature[every, at] >= 0))
+                node = at[inner, tree]
+                asks = feature[tree, node]
+                alive[inner, tree] = has[inner, asks]
+                # Null and NaN go to the high side.
+                at[inner, tree] = np.where(x[inner, asks] <= threshold[tree, node], low[tree, node], high[tree, node])
+            alive &= feature[every, at] < 0
+            total = np.where(alive, value[every, at], 0.0).sum(axis=1)
+            out = pa.RecordBatch.from_arrays([*batch.columns[:len(keys)], pa.array((total > 0).astype(np.int32))],
+                                             names=[*keys, "prediction"])
+            yield out.filter(pa.array(alive.any(axis=1)))
+
+    gathered = long.groupBy(*keys).agg(F.collect_list(F.struct(
+        F.col("pos").cast("int").alias("pos"), F.col("value").cast("double").alias("value"))).alias("_x"))
+    schema = StructType([*(long.schema[c] for c in keys), StructField("prediction", IntegerType())])
+    return gathered.mapInArrow(walk, schema)
 
 
 def accuracy_by_arm(predictions: DataFrame) -> DataFrame:

@@ -1218,8 +1218,9 @@ def _boosted(spark, sf_dir):
     freq, k, pairs = _learn_inputs(spark, sf_dir)
     long = cut_lineage(LRN.concat_features(freq, pairs, k))
     train = cut_lineage(LRN.to_vectors(long).where(F.col("arm") == "train"))
-    for depth in (2, 3, 4):
-        trees = cut_lineage(LRN.tree_rows(spark, LRN.boosted_trees(train, depth)))
+    depths = (2, 3, 4)
+    for depth, model in zip(depths, LRN.boosted_by_depth(train, depths), strict=True):
+        trees = cut_lineage(LRN.tree_rows(spark, model))
         yield f"gbt{depth}", trees, long, LRN.tree_predictions(long, trees, depth)
 
 

@@ -71,6 +71,26 @@ def test_tree_tables_score_as_the_model_does(spark, long, tmp_path, depth):
     assert {arm: (n, right) for arm, n, right in again} == {k: v[:2] for k, v in got.items()}
 
 
+def test_trees_are_walked_inside_the_row_and_absent_features_say_nothing(spark, long):
+    trees = spark.createDataFrame(
+        [(0, 0, 0, 0.5, 1, 2, None), (0, 1, None, None, None, None, -1.0), (0, 2, 1, 0.0, 3, 4, None),
+         (0, 3, None, None, None, None, 2.0), (0, 4, None, None, None, None, -3.0),
+         (1, 0, None, None, None, None, 0.5)],
+        "tree int, node int, feature int, threshold double, low int, high int, value double")
+    some = spark.createDataFrame(
+        [("a", 0, 0.5), ("a", 1, 9.0), ("b", 0, 0.6), ("b", 1, 0.0), ("c", 0, 0.7), ("c", 1, None), ("d", 0, float("nan")),
+         ("d", 1, -1.0), ("e", 0, 2.0), ("f", 7, 1.0)], "id string, pos int, value double")
+    got = {r.id: r.prediction for r in LRN.tree_predictions(some, trees, 2).collect()}
+    assert got == {"a": 0, "b": 1, "c": 0, "d": 1, "e": 1, "f": 1}
+    # Without the tree that is one leaf, pairs that lack what the other asks for have no row.
+    assert {r.id for r in LRN.tree_predictions(some, trees.where("tree = 0"), 2).collect()} == set("abcd")
+    # No row for each pair and tree: nothing is joined or written step by step.
+    plan = LRN.tree_predictions(some, trees, 2)._jdf.queryExecution().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") <= 1
+    models = LRN.boosted_by_depth(LRN.to_vectors(long).where("arm = 'train'").limit(40), (1, 2))
+    assert [max(t.depth for t in m.trees) for m in models] == [1, 2]
+
+
 def test_model_gbt_says_whether_trees_are_missing_and_chance_is_beaten(spark, monkeypatch):
     from penprint.plans import catalog
     long = spark.createDataFrame([("a", "b", 1, "train", 0, 0.5)], "author_a STRING, author_b STRING, label INT, arm STRING, pos INT, value DOUBLE")
