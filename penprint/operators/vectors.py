@@ -17,7 +17,7 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -360,25 +360,37 @@ def cosine_blocks(vectors: DataFrame | Blocked, reduce: Callable[[Iterator[Cosin
     or shuffled.
     """
     grid = vectors if isinstance(vectors, Blocked) else blocked(vectors, author, slot, block)
+    return _block_pairs(grid).applyInArrow(lambda table: reduce(_tiles(table)), schema)
+
+
+def _block_pairs(grid: Blocked) -> GroupedData:
+    """Every vector at each of the n block pairs it takes part in, grouped by block pair."""
     other = F.explode(F.sequence(F.lit(0), F.lit(grid.n - 1))).alias("_other")
     sides = grid.rows.select("author", "slot", "embedding", "blk", other).select(
         "author", "slot", "embedding", F.least("blk", "_other").alias("bi"), F.greatest("blk", "_other").alias("bj"),
         F.when(F.col("blk") <= F.col("_other"), 0).otherwise(1).alias("side"))
-    sides = sides.repartition(grid.n * (grid.n + 1) // 2, "bi", "bj")
-    return sides.groupBy("bi", "bj").applyInArrow(lambda table: reduce(_tiles(table)), schema)
+    return sides.repartition(grid.n * (grid.n + 1) // 2, "bi", "bj").groupBy("bi", "bj")
 
 
-def cosine_all_pairs(vectors: DataFrame, author: str = "author", slot: str = "slot",
-                     block: int = COSINE_BLOCK) -> DataFrame:
-    """All pairs as rows (label, value); for small sets only, the summaries use ``cosine_blocks``."""
-    def rows(b: CosineBlock) -> pa.Table:
-        pair = np.triu(np.ones(b.sim.shape, bool), 1 if b.diagonal else -b.sim.size)
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of one block pair, a tile at a time."""
+    for b in _tiles(pa.Table.from_batches(list(batches))):
         label = np.zeros(b.sim.shape, np.int32)
         label[b.match] = 1
-        return pa.table({"label": label[pair], "value": b.sim[pair]})
-    empty = pa.table({"label": np.zeros(0, np.int32), "value": np.zeros(0)})
-    grid = _dealt(vectors, author, slot, max(1, math.ceil(vectors.count() / block)))
-    return cosine_blocks(grid, lambda tiles: pa.concat_tables([empty, *map(rows, tiles)]), "label int, value double")
+        pair = np.triu(np.ones(b.sim.shape, bool), 1) if b.diagonal else np.ones(b.sim.shape, bool)
+        yield pa.RecordBatch.from_pydict({"label": label[pair], "value": b.sim[pair]})
+
+
+def cosine_all_pairs(vectors: DataFrame | Blocked, author: str = "author", slot: str = "slot",
+                     block: int = COSINE_BLOCK) -> DataFrame:
+    """All pairs as rows (label, value); the value of a pair with a zero vector is NaN.
+
+    A task hands its pairs on tile by tile, so it holds two blocks of vectors and
+    one tile at any number of pairs; what aggregates them next combines them in the
+    same task, before any shuffle.
+    """
+    grid = vectors if isinstance(vectors, Blocked) else blocked(vectors, author, slot, block)
+    return _block_pairs(grid).applyInArrow(_pair_rows, "label int, value double")
 
 
 # ---------------------------------------------------------------- A26/A27: batch metrics

@@ -955,8 +955,9 @@ cs AS (SELECT CASE WHEN a.author = b.author THEN 1 ELSE 0 END AS label,
 SELECT label, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS min_value,
        round(max(value), 6) AS max_value FROM cs GROUP BY label""")
 def q_cosine_all_pairs(spark, sf_dir):
-    m = SIM.moments(B.persona_vectors(spark, sf_dir))
-    return rounded(m.select("label", "n", "mean", F.col("min").alias("min_value"), F.col("max").alias("max_value")))
+    s = V.cosine_all_pairs(B.persona_vectors(spark, sf_dir))
+    return rounded(s.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
+                                          F.min("value").alias("min_value"), F.max("value").alias("max_value")))
 
 
 @register("similarity_summary", f"""WITH {SQL_ALL_PAIRS}

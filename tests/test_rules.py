@@ -265,6 +265,37 @@ def test_zero_vector_cosine_is_null(spark):
     assert sum(r.label for r in vals) == 2
 
 
+def test_cosine_all_pairs_aggregates_the_rows_of_all_pairs(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from penprint.plans import catalog
+
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 3, [float(x) for x in rng.standard_normal(4) * (i != 5)]) for i in range(40)]  # vector 5 is zero
+    spark.createDataFrame(rows, "vec_id BIGINT, label INT, embedding ARRAY<FLOAT>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = {r[0]: r[1:] for r in con.execute(catalog.SQL["cosine_all_pairs"]).fetchall()}
+    monkeypatch.setattr(vectors, "TILE", 8)
+    made, operator = [], vectors.cosine_all_pairs
+    monkeypatch.setattr(vectors, "cosine_all_pairs", lambda *a, **b: made.append(operator(*a, block=7, **b)) or made[-1])
+    got = {r.label: tuple(r)[1:] for r in catalog.QUERIES["cosine_all_pairs"](spark, str(tmp_path)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {0: 40 * 39 // 2 - 20, 1: 20} and made[0].count() == 40 * 39 // 2
+    for k, v in want.items():  # pairs with the zero vector count, and their value is no number
+        assert got[k] == pytest.approx(v, abs=1e-6, nan_ok=True)
+
+
+def test_pairs_leave_a_block_tile_by_tile(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(vectors, "TILE", 10)
+    table = pa.RecordBatch.from_pydict({
+        "author": [f"a{i // 2}" for i in range(35)], "slot": pa.array([i % 2 for i in range(35)], pa.int32()),
+        "embedding": [[1.0, float(i)] for i in range(35)], "side": [0] * 35, "bi": [0] * 35, "bj": [0] * 35})
+    sizes = [b.num_rows for b in vectors._pair_rows(iter([table]))]
+    assert sum(sizes) == 35 * 34 // 2 and max(sizes) <= 100
+
+
 def test_exact_median(spark):
     data = [(1, float(v)) for v in [5, 1, 3, 2, 4]] + [(0, float(v)) for v in [1, 2, 3, 10]]
     df = spark.createDataFrame(data, "label INT, value DOUBLE")
