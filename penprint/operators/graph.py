@@ -1,23 +1,22 @@
 """Community graph.
 
 Two communities are joined by an edge that counts the authors active in both.
-An author's communities become one list, ordered by the number of authors of a
-community; each of them takes the part of the list behind it to its cell, and
-the cell unpacks the lists and counts. So a pair is a list entry on its way to
-its edge and a row only where it is counted, and a community meets no smaller
-one, which keeps the cells of very large communities small. Beside the count an
-edge carries the smallest author and that author's characters, which for a
-count of 1 are the single shared author and theirs.
-
-Three things are bounded. A list holds ``PART`` communities; an author of more
-has several lists, which meet in pairs. A cell is a community, or a share of
-the other sides of a community of many pairs, and the number of tasks follows
-the number of pairs (``CELL`` a task), so neither a task nor its memory grows
-with the input. And the selection of authors needs only edges that touch a
-community with at least ``min_max_neighbours`` authors: no smaller community
-can share that many with another, so it cannot be the first of a pair, and two
-smaller ones need not meet. Such communities are behind no other in a list,
-and authors without a large community leave before.
+Communities have dense numbers and are dealt to blocks by them; two blocks are a
+cell, and a cell is one task. An author's communities are one list, which lies
+packed with those of many authors, and every cell gets the author's communities
+of its two blocks if they have a pair. So what is shuffled are list entries, as
+often as there are blocks, in two or three bytes each, and a pair is made where
+it is counted. Beside the count an edge of one author carries that author and
+the characters in both communities.
+
+Three things are bounded. The number of cells follows the number of pairs
+(``CELL`` a task at most), a cell makes its pairs a run at a time in the order
+of the first community (``pairing.RUN``) and holds only lists beside, so the
+memory of a task follows its entries and not its pairs. And the selection of
+authors needs only edges that touch a community with at least
+``min_max_neighbours`` authors: no smaller community can share that many with
+another, so it cannot be the first of a pair, and two smaller ones need not
+meet. A list holds the larger ones first, and authors without one leave before.
 
 P6 and P7 restrict the incidences before the join, so that only communities
 and authors that can matter are multiplied. A null author or community stops
@@ -31,16 +30,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from penprint.session import cut_lineage
+from penprint.operators import pairing
+from penprint.session import stored
 
 # Default thresholds of the reference's selection rules.
 ACTIVE_SUBREDDIT_MIN_COUNT = 1000      # P6: count strictly greater than this
 MIN_MAX_NEIGHBOURS = 20                # P14: max shared authors with any other subreddit
 MIN_CHARS_PER_SUBREDDIT = 5000         # P16: characters in each of the two (>=)
 
-# Communities of one author in one list, and pairs counted by one task.
-PART = 1024
-CELL = 1 << 20
+# Entries of a packed batch of lists, pairs of a cell at most and, with no more than ``TASKS`` cells, at least.
+PART = 1 << 17
+CELL, LEAST, TASKS = 1 << 25, 1 << 20, 28
 
 
 def _known(name: str) -> Column:
@@ -53,10 +53,10 @@ def graph_incidence(stats: DataFrame, active: DataFrame | None = None,
                     authors: DataFrame | None = None) -> DataFrame:
     """P6 + P7: stats rows of very active subreddits (count > min_activity) and chosen authors."""
     inc = stats.select(_known("author").alias("author"), _known("subreddit").alias("subreddit"), "num_characters")
-    if active is not None:
-        inc = inc.join(active.where(F.col("count") > min_activity).select("subreddit"), "subreddit", "left_semi")
     if authors is not None:
         inc = inc.join(authors.select("author"), "author", "left_semi")
+    if active is not None:  # Last, so that the rows lie by community, as the graph wants them.
+        inc = inc.join(active.where(F.col("count") > min_activity).select("subreddit"), "subreddit", "left_semi")
     return inc.select("author", "subreddit", "num_characters")
 
 
@@ -64,74 +64,68 @@ def _incidences(incidence: DataFrame) -> DataFrame:
     """(author, subreddit, chars), one row each. Repeated rows must agree: which one stands is for the reader
     of the statistics to decide (``readers.last_of``)."""
     chars = F.col("num_characters").cast("double") if "num_characters" in incidence.columns else F.lit(None).cast("double")
-    rows = incidence.select(_known("author").alias("author"), _known("subreddit").alias("subreddit"), chars.alias("chars"))
-    one = rows.groupBy("author", "subreddit").agg(F.min("chars").alias("chars"), F.max("chars").alias("_most"))
+    one = incidence.select("author", "subreddit", chars.alias("chars")).groupBy("author", "subreddit").agg(
+        F.min("chars").alias("chars"), F.max("chars").alias("_most"))
     message = F.concat(F.lit("repeated statistics of an author and community: "), F.col("author").cast("string"), F.lit(", "),
                        F.col("subreddit").cast("string"))
     agreed = F.when(F.col("chars").eqNullSafe(F.col("_most")), F.col("chars")).otherwise(F.raise_error(message))
-    return one.select("author", "subreddit", agreed.alias("chars"))
-
-
-def _lists(incidence: DataFrame, min_degree: int, part: int) -> DataFrame:
-    """(author, n, l, part, s, c): the communities of an author and their characters, ``part`` to a list, in the order of
-    their numbers of authors; ``n`` communities in all, the last ``l`` of them with at least ``min_degree`` authors."""
-    inc = cut_lineage(_incidences(incidence))
-    sizes = inc.groupBy("subreddit").agg(F.count(F.lit(1)).alias("d"))
-    inc = inc.join(sizes, "subreddit")
-    # An author without a large community, or with one community, has no pair.
-    degree = inc.groupBy("author").agg(F.count(F.lit(1)).cast("int").alias("n"),
-                                       F.count_if(F.col("d") >= min_degree).cast("int").alias("l")).where("n > 1 AND l > 0")
-    place = F.row_number().over(Window.partitionBy("author").orderBy("d", "subreddit"))
-    placed = inc.join(degree, "author").withColumn("place", place)
-    lists = placed.groupBy("author", "n", "l", F.floor((F.col("place") - 1) / part).cast("int").alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("place", F.col("subreddit").alias("s"), F.col("chars").alias("c")))).alias("e"))
-    return cut_lineage(lists.select("author", "n", "l", "part", F.col("e.s").alias("s"), F.col("e.c").alias("c")))
-
-
-def _cells(incidence: DataFrame, min_degree: int, part: int) -> DataFrame:
-    """(s1, q, author, c1, s, c), in the tasks that count: s1 of ``author`` meets the communities ``s``; ``q`` is the
-    share of a community of very many pairs."""
-    lists = _lists(incidence, min_degree, part)
-    n, l, at = F.col("n"), F.col("l"), F.col("at")
-    one = lists.select("author", "n", "l", "part", F.posexplode("s").alias("at", "s1"), "s", "c")
-    place = F.col("part") * part + at + 1
-    # Pairs of every community: what lies behind it and is large.
-    weight = one.groupBy("s1").agg(F.sum(F.least(n - place, l)).alias("w")).where("w > 0")
-    weight = cut_lineage(weight)
-    tasks = max(1, math.ceil((weight.agg(F.sum("w")).first()[0] or 0) / CELL))
-    heavy = weight.where(F.col("w") > CELL).select("s1", F.ceil(F.col("w") / CELL).cast("int").alias("m"))
-
-    # The same list: what is behind the place, from the first large community on.
-    start = F.greatest(at + 2, n - l - F.col("part") * part + 1)
-    same = one.where((start <= F.size("s")) & (F.least(n - place, l) > 0)).select(
-        "author", "s1", F.get("c", at).alias("c1"), F.slice("s", start, F.size("s")).alias("s"),
-        F.slice("c", start, F.size("c")).alias("c"))
-    # Later lists of an author of several, each pair of lists for itself.
-    several = lists.where(n > part)
-    first = F.greatest(n - l - F.col("part") * part + 1, F.lit(1))
-    later = several.where(first <= F.size("s")).select(
-        "author", F.col("part").alias("part2"), F.slice("s", first, F.size("s")).alias("s2"),
-        F.slice("c", first, F.size("c")).alias("c2"))
-    met = several.join(later, "author").where("part < part2").repartition("author", "part", "part2")
-    across = met.select("author", F.posexplode("s").alias("at", "s1"), "c", "s2", "c2").select(
-        "author", "s1", F.get("c", at).alias("c1"), F.col("s2").alias("s"), F.col("c2").alias("c"))
-    rows = same.unionByName(across).join(F.broadcast(heavy), "s1", "left")
-    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("m") - 1, F.lit(0)))))
-
-    def share(side: str) -> Column:
-        kept = F.filter(F.arrays_zip("s", "c"), lambda x: F.pmod(F.xxhash64(x["s"]), F.col("m")) == F.col("q"))
-        return F.when(F.col("m").isNull(), F.col(side)).otherwise(kept[side]).alias(side)
-    return rows.select("s1", "q", "author", "c1", share("s"), share("c")).repartition(tasks, "s1", "q")
+    # The keys stay as they are, and with them where the rows lie.
+    known = F.when(_known("author").isNotNull() & _known("subreddit").isNotNull(), agreed)
+    return one.select("author", "subreddit", known.alias("chars"))
+
+
+def _lists(incidence: DataFrame, min_degree: int, part: int) -> tuple[DataFrame, DataFrame]:
+    """(data, pairs): packed batches of the lists of authors that have a pair, and (id, name) of the communities."""
+    inc = _incidences(incidence)
+    large = F.count(F.lit(1)).over(Window.partitionBy("subreddit")) >= min_degree
+    rows = inc.select("author", "subreddit", "chars", large.alias("large")).sortWithinPartitions("subreddit")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    rows = stored(rows.mapInArrow(pairing.number, f"pid int, n bigint, author {kind['author']}, name {kind['subreddit']}, "
+                                                  "chars double, large boolean"), "incidences")
+    # One row per partition: how many communities lie before it.
+    counts = {r.pid: r.n + 1 for r in rows.groupBy("pid").agg(F.max("n").alias("n")).collect()}
+    before = [sum(counts.get(i, 0) for i in range(pid)) for pid in range(max(counts, default=0) + 1)]
+    place = F.get(F.array(*map(F.lit, before)), F.col("pid")) + F.col("n")
+    rows = rows.select("author", "large", place.cast("bigint").alias("id"), "chars", "name")
+    listed = rows.select("author", "large", "id", "chars").repartition("author").sortWithinPartitions(
+        "author", F.col("large").desc(), "id")
+    batches = stored(listed.mapInArrow(pairing.batch(part), "data binary, pairs bigint"), "lists").where("pairs > 0")
+    return batches, rows.where(F.col("name").isNotNull()).select("id", "name")
+
+
+def _cells(incidence: DataFrame, min_degree: int, part: int) -> tuple[DataFrame, int]:
+    """(cell, kind, data), every cell in the task of its number, and the number of blocks."""
+    batches, names = _lists(incidence, min_degree, part)
+    pairs = batches.agg(F.sum("pairs")).first()[0] or 0
+    tasks = max(1, math.ceil(pairs / min(CELL, max(LEAST, pairs // TASKS))))
+    blocks = (math.isqrt(8 * tasks + 1) - 1) // 2  # as many as have a cell for every task, or nearly
+    schema = "cell int, kind int, data binary"
+    rows = batches.select("data").mapInArrow(pairing.split_lists(blocks), schema).unionByName(
+        names.mapInArrow(pairing.split_names(blocks), schema))
+    return rows.repartitionById(tasks, "cell"), blocks
+
+
+def _types(incidence: DataFrame) -> tuple[str, str]:
+    return tuple(incidence.schema[c].dataType.simpleString() for c in ("author", "subreddit"))
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """Rows of equally long lists -> one row per place."""
+    first, *others = rows.columns
+    one = rows.select(F.posexplode(first).alias("at", first), *others)
+    return one.select(first, *[F.get(c, F.col("at")).alias(c) for c in others])
 
 
 def shared_author_rows(incidence: DataFrame, min_degree: int = 1, part: int = PART) -> DataFrame:
     """The rows behind the edges: (s1, q, c1, s2, c2, author), s2 a community of at least ``min_degree`` authors.
 
-    Two communities meet once, the one of fewer authors as s1; all rows of s1 and q are in one task.
+    Two communities meet once; all rows of s1 and q, the block of s2, are in one task.
     """
-    cells = _cells(incidence, min_degree, part)
-    met = cells.select("s1", "q", "c1", "author", "c", F.posexplode("s").alias("at", "s2"))
-    return met.select("s1", "q", "c1", "s2", F.get("c", F.col("at")).alias("c2"), "author")
+    author, subreddit = _types(incidence)
+    cells, blocks = _cells(incidence, min_degree, part)
+    return _unpacked(cells.mapInArrow(
+        pairing.pairs(blocks), f"s1 array<{subreddit}>, q array<int>, c1 array<double>, s2 array<{subreddit}>, "
+                               f"c2 array<double>, author array<{author}>"))
 
 
 def subreddit_adjacency(incidence: DataFrame, min_degree: int = 1, part: int = PART) -> DataFrame:
@@ -141,15 +135,16 @@ def subreddit_adjacency(incidence: DataFrame, min_degree: int = 1, part: int = P
     ``sole_chars_a`` / ``sole_chars_b`` are that author's characters in each community.
     With ``min_degree``, only edges that touch a community of at least so many authors.
     """
-    edges = shared_author_rows(incidence, min_degree, part).groupBy("s1", "q", "s2").agg(
-        F.count(F.lit(1)).alias("shared_authors"), F.min("author").alias("author"), F.min("c1").alias("c1"),
-        F.min("c2").alias("c2"))
-    one, swap = F.col("shared_authors") == 1, F.col("s1") > F.col("s2")
+    author, subreddit = _types(incidence)
+    cells, _ = _cells(incidence, min_degree, part)
+    edges = _unpacked(cells.mapInArrow(
+        pairing.edges, f"s1 array<{subreddit}>, s2 array<{subreddit}>, n array<bigint>, author array<{author}>, "
+                       "c1 array<double>, c2 array<double>"))
+    swap = F.col("s1") > F.col("s2")
     return edges.select(
-        F.least("s1", "s2").alias("subreddit_a"), F.greatest("s1", "s2").alias("subreddit_b"), "shared_authors",
-        F.when(one, F.col("author")).alias("sole_author"),
-        F.when(one, F.when(swap, F.col("c2")).otherwise(F.col("c1"))).alias("sole_chars_a"),
-        F.when(one, F.when(swap, F.col("c1")).otherwise(F.col("c2"))).alias("sole_chars_b"))
+        F.least("s1", "s2").alias("subreddit_a"), F.greatest("s1", "s2").alias("subreddit_b"), F.col("n").alias("shared_authors"),
+        F.col("author").alias("sole_author"), F.when(swap, F.col("c2")).otherwise(F.col("c1")).alias("sole_chars_a"),
+        F.when(swap, F.col("c1")).otherwise(F.col("c2")).alias("sole_chars_b"))
 
 
 def adjacency_histogram(edges: DataFrame) -> DataFrame:
@@ -189,7 +184,7 @@ def suitable_authors(edges: DataFrame, min_max_neighbours: int = MIN_MAX_NEIGHBO
         first_j = F.min(F.when(F.col("j").isNotNull(), F.struct(F.col("oj").isNull().alias("late"), "oj", "j")))
     else:
         first_j = F.min(F.when(F.col("j").isNotNull(), F.struct("j")))
-    reduced = cut_lineage(rows.groupBy("i", "author").agg(F.max("strong").alias("strong"), first_j.alias("first")))
+    reduced = stored(rows.groupBy("i", "author").agg(F.max("strong").alias("strong"), first_j.alias("first")), "candidates")
     strong_ones = reduced.where("strong").select("i").distinct()
     ok = reduced.where(F.col("author").isNotNull()).join(strong_ones, "i", "left_semi")
     if order is not None:

@@ -17,7 +17,7 @@ from penprint.functions.columns import TOKEN_PATTERN
 from penprint.operators import scoring
 from penprint.operators import tokens as tok
 from penprint.plans import bindings as B
-from penprint.session import cut_lineage, scratch_path
+from penprint.session import cut_lineage, scratch_path, stored
 from penprint.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -312,7 +312,7 @@ def _edges(spark, sf_dir, min_degree=1):
 
 def _graph(stats, min_degree=1):
     """P6 (communities with more than 2 authors) and P7 (authors with 10 characters in two of them), then J4."""
-    stats = cut_lineage(stats)
+    stats = stored(stats, "graph-stats")
     active = stats.groupBy("subreddit").agg(F.count(F.lit(1)).alias("count"))
     chosen = corpus.prolific_authors(stats, 10, 2)
     return graph.subreddit_adjacency(graph.graph_incidence(stats, active, 2, chosen), min_degree)
@@ -332,9 +332,9 @@ FROM sole WHERE subreddit_i < subreddit_j""")
 def q_subreddit_adjacency(spark, sf_dir):
     """S6 + J4: the graph from a statistics file in which every key has an older, larger line before its last one."""
     path = scratch_path(spark, "stats-file")
-    stats = B.file_stats(spark, sf_dir)
-    writers.write_ndjson(stats.withColumn("num_characters", F.col("num_characters") + 1000), f"{path}/1")
-    writers.write_ndjson(stats, f"{path}/2")
+    stats = stored(B.file_stats(spark, sf_dir), "stats")
+    writers.write_ndjson(stats.withColumn("num_characters", F.col("num_characters") + 1000), f"{path}/1", compression="gzip")
+    writers.write_ndjson(stats, f"{path}/2", compression="gzip")
     return _graph(readers.read_author_subreddit_stats(spark, f"{path}/*"))
 
 

@@ -20,9 +20,10 @@ def _writer(df: DataFrame, mode: str, partition_by: list[str] | None):
     return df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by)
 
 
-def write_ndjson(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
-    """K1/K3/K4/K7: newline-delimited JSON."""
-    _writer(df, mode, partition_by).json(path)
+def write_ndjson(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None,
+                 compression: str | None = None) -> None:
+    """K1/K3/K4/K7: newline-delimited JSON; readers take compressed files as they are."""
+    _writer(df, mode, partition_by).json(path, compression=compression)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:

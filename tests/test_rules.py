@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from penprint.functions.columns import sha256_mod_100, utc_day_of_month
-from penprint.operators import corpus, evaluate, graph, indexing, learners, similarity, tokens, vectors
+from penprint.operators import corpus, evaluate, graph, indexing, learners, pairing, similarity, tokens, vectors
 
 
 def test_nsfw_flags_and_filter(spark):
@@ -147,6 +147,56 @@ def test_pairs_are_counted_where_the_lists_of_a_community_meet(spark, monkeypatc
         assert max(r["count"] for r in met.groupBy("s1", "q").count().collect()) <= (3 * cell)
 
 
+def test_cells_make_every_pair_once_in_short_runs(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(pairing, "RUN", 5)
+    monkeypatch.setattr(pairing, "LOOK", 3)
+    monkeypatch.setattr(pairing, "ROWS", 4)
+    rng = random.Random(11)
+    lists = {f"a{a:02d}": sorted(rng.sample(range(40), rng.randint(2, 9))) for a in range(30)} | {"hot": list(range(40))}
+    chars = {(a, s): None if (a, s) == ("hot", 3) else 10.5 * i for i, (a, s) in enumerate((a, s) for a in lists for s in lists[a])}
+    for large, blocks, least in ((lambda s: True, 1, 1000), (lambda s: True, 4, 7), (lambda s: s % 3 == 0, 3, 20)):
+        rows = [(a, large(s), s, chars[a, s]) for a in sorted(lists) for s in sorted(lists[a], key=lambda s: (not large(s), s))]
+        pieces = [pa.RecordBatch.from_pydict(dict(zip(("author", "large", "id", "chars"), map(list, zip(*rows[i:i + 11])))),
+                                             pa.schema([("author", pa.string()), ("large", pa.bool_()), ("id", pa.int64()), ("chars", pa.float64())]))
+                  for i in range(0, len(rows), 11)]
+        names = pa.RecordBatch.from_pydict({"id": list(range(40)), "name": [f"s{i:02d}" for i in range(40)]})
+        batches, want = list(pairing.batch(least)(iter(pieces))), {}
+        for a, communities in lists.items():
+            for one, two in itertools.combinations(communities, 2):
+                if large(one) or large(two):
+                    want.setdefault((f"s{one:02d}", f"s{two:02d}"), []).append((a, chars[a, one], chars[a, two]))
+        assert sum(b["pairs"][0].as_py() for b in batches) == sum(map(len, want.values()))
+        rows = pa.Table.from_batches([*pairing.split_lists(blocks)(iter(batches)), *pairing.split_names(blocks)(iter([names]))])
+        got = {}
+        for cell in set(rows["cell"].to_pylist()):
+            for out in pairing.edges(iter(rows.filter(pa.compute.field("cell") == cell).to_batches())):
+                for lists_of in out.to_pylist():
+                    for s1, s2, n, author, c1, c2 in zip(*(lists_of[k] for k in ("s1", "s2", "n", "author", "c1", "c2")), strict=True):
+                        assert (min(s1, s2), max(s1, s2)) not in got
+                        got[min(s1, s2), max(s1, s2)] = (n, author, *((c1, c2) if s1 < s2 else (c2, c1)))
+        assert got == {k: (1, *v[0]) if len(v) == 1 else (len(v), None, None, None) for k, v in want.items()}
+
+
+def test_lists_travel_in_few_bytes(spark):
+    rows = spark.range(2000).select(F.col("id").alias("author"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k"))
+    rows = rows.select("author", F.pmod(F.xxhash64("author", "k"), F.lit(4000)).alias("subreddit")).distinct()
+    inc = rows.select("author", "subreddit", (F.col("subreddit") % 50).alias("num_characters"))
+    cells, blocks = graph._cells(inc, 1, graph.PART)
+    pairs = graph.shared_author_rows(inc).count()
+    assert pairs > 1_500_000 and blocks == 1
+    # A pair was a list entry of a name and a number in the shuffle, ten bytes and more.
+    assert cells.agg(F.sum(F.length("data"))).first()[0] < 0.3 * pairs
+
+
+def test_null_keys_are_an_error_without_the_filters_too(spark):
+    schema = "author STRING, subreddit STRING, num_characters BIGINT"
+    for row, name in (((None, "s1", 5), "author"), (("a", None, 5), "subreddit")):
+        with pytest.raises(Exception, match=f"null {name}"):
+            graph.subreddit_adjacency(spark.createDataFrame([row, ("a", "s1", 5), ("a", "s2", 5)], schema)).collect()
+
+
 def test_active_and_chosen_restrict_the_graph(spark):
     stats = spark.createDataFrame([("a", "s1", 5), ("a", "s2", 5), ("b", "s1", 5), ("b", "s2", 5), ("c", "s1", 5),
                                    ("c", "s3", 5)], "author STRING, subreddit STRING, num_characters BIGINT")
