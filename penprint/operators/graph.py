@@ -165,32 +165,32 @@ def suitable_authors(edges: DataFrame, min_max_neighbours: int = MIN_MAX_NEIGHBO
     others, by value. The default order is the subreddit value.
 
     The edges are read once and never stored: both tests are rows of the same
-    stream, reduced to one row per (community, author), and only those rows are
-    written; communities that pass P14 select them by a semi-join. Edges from
+    stream, folded to one row per (community, author) inside a task and dealt by
+    community, where those of communities that pass P14 are left over. Edges from
     ``subreddit_adjacency(.., min_degree=min_max_neighbours)`` suffice.
     """
     qualifies = ((F.col("shared_authors") == 1) & (F.col("sole_chars_a") >= min_chars)
                  & (F.col("sole_chars_b") >= min_chars))
     strong = F.col("shared_authors") >= min_max_neighbours
-    both = edges.where(qualifies | strong).select(
-        strong.alias("strong"), F.when(qualifies, F.col("sole_author")).alias("author"),
-        F.explode(F.array(F.struct(F.col("subreddit_a").alias("i"), F.col("subreddit_b").alias("j")),
-                          F.struct(F.col("subreddit_b").alias("i"), F.col("subreddit_a").alias("j")))).alias("e"))
-    rows = both.select("strong", "author", F.col("e.i").alias("i"), F.when(F.col("author").isNotNull(), F.col("e.j"))
-                       .alias("j"))
-    if order is not None:
-        place = order.select(F.col("subreddit").alias("j"), F.col("subreddit_order").alias("oj"))
-        rows = rows.join(place, "j", "left")
-        first_j = F.min(F.when(F.col("j").isNotNull(), F.struct(F.col("oj").isNull().alias("late"), "oj", "j")))
-    else:
-        first_j = F.min(F.when(F.col("j").isNotNull(), F.struct("j")))
+    found = edges.where(qualifies | strong).select(
+        F.col("subreddit_a").alias("a"), F.col("subreddit_b").alias("b"), strong.alias("strong"),
+        F.when(qualifies, F.col("sole_author")).alias("author"))
+    if order is None:
+        tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        kind = {f.name: f.dataType.simpleString() for f in found.schema.fields}
+        dealt = found.mapInArrow(pairing.fold_candidates(tasks), "target int, data binary").repartitionById(tasks, "target")
+        ok = dealt.mapInArrow(pairing.strong_candidates, f"author {kind['author']}, i {kind['a']}, j {kind['a']}")
+        best = ok.groupBy("author").agg(F.min(F.struct("i", "j")).alias("best"))
+        return best.select("author", F.col("best.i").alias("subreddit_0"), F.col("best.j").alias("subreddit_1"))
+    rows = found.select("strong", "author", F.explode(F.array(
+        F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("a").alias("j")))).alias("e"))
+    rows = rows.select("strong", "author", F.col("e.i").alias("i"), F.when(F.col("author").isNotNull(), F.col("e.j")).alias("j"))
+    place = order.select(F.col("subreddit").alias("j"), F.col("subreddit_order").alias("oj"))
+    rows = rows.join(place, "j", "left")
+    first_j = F.min(F.when(F.col("j").isNotNull(), F.struct(F.col("oj").isNull().alias("late"), "oj", "j")))
     reduced = stored(rows.groupBy("i", "author").agg(F.max("strong").alias("strong"), first_j.alias("first")), "candidates")
     strong_ones = reduced.where("strong").select("i").distinct()
     ok = reduced.where(F.col("author").isNotNull()).join(strong_ones, "i", "left_semi")
-    if order is not None:
-        ok = ok.join(order.select(F.col("subreddit").alias("i"), F.col("subreddit_order").alias("oi")), "i", "left")
-        key = F.struct(F.col("oi").isNull().alias("late"), "oi", "i", "first")
-    else:
-        key = F.struct("i", "first")
-    best = ok.groupBy("author").agg(F.min(key).alias("best"))
+    ok = ok.join(order.select(F.col("subreddit").alias("i"), F.col("subreddit_order").alias("oi")), "i", "left")
+    best = ok.groupBy("author").agg(F.min(F.struct(F.col("oi").isNull().alias("late"), "oi", "i", "first")).alias("best"))
     return best.select("author", F.col("best.i").alias("subreddit_0"), F.col("best.first.j").alias("subreddit_1"))

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -372,3 +373,107 @@ def pairs(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 "s1": pc.if_else(keep, s1, s2), "q": pa.array(np.where(large, j, i), pa.int32()), "c1": pc.if_else(keep, c1, c2),
                 "s2": pc.if_else(keep, s2, s1), "c2": pc.if_else(keep, c2, c1), "author": _taken(cell.authors, who)})
     return run
+
+
+# ---------------------------------------------------------------- edges -> the best pair of an author
+
+# Candidates looked at before they are folded, and folded ones held by a task.
+FOLD, HELD = 1 << 20, 1 << 22
+
+
+def _coded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Ranks and the distinct values in order."""
+    coded = values.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[coded.indices.to_numpy(zero_copy_only=False)], coded.dictionary.take(pa.array(order))
+
+
+def _plain(values: pa.Array) -> np.ndarray | pa.Array:
+    return values.to_numpy() if pa.types.is_integer(values.type) else values
+
+
+def _first_candidates(table: pa.Table) -> pa.Table:
+    """Of the candidates (i, author, j) the first j of every i and author, by i and author."""
+    both = pa.concat_arrays([table["i"].combine_chunks(), table["j"].combine_chunks()])
+    places, names = _coded(both)
+    who, authors = _coded(table["author"].combine_chunks())
+    i, j = places[:len(who)], places[len(who):]
+    if len(names) ** 2 * len(authors) < 1 << 62:
+        key = np.sort((i * len(authors) + who) * len(names) + j)
+        key, j = key // len(names), key % len(names)
+    else:
+        order = np.lexsort((j, who, i))
+        key, j = i[order] * len(authors) + who[order], j[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    key, j = key[first], j[first]
+    return pa.table({"i": names.take(pa.array(key // max(len(authors), 1))), "author": authors.take(pa.array(key % max(len(authors), 1))),
+                     "j": names.take(pa.array(j))})
+
+
+def fold_candidates(targets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Edges (a, b, strong, author), the author of those that qualify -> (target, data): for each target's communities i the
+    candidates and which of them are strong."""
+    def dealt(values: pa.Array) -> np.ndarray:
+        return (pd.util.hash_array(values.to_numpy(zero_copy_only=False), categorize=False) % np.uint64(targets)).astype(np.int64)
+
+    def packed(table: pa.Table, strong: pa.Array) -> pa.RecordBatch:
+        i = table["i"].combine_chunks()
+        new = np.append(True, pc.not_equal(i[1:], i[:-1]).to_numpy(zero_copy_only=False)) if len(i) else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
+        counts, values = np.diff(np.append(starts, len(i))), i.take(pa.array(starts))
+        target, own = dealt(values), dealt(strong)
+        order = np.argsort(np.repeat(target, counts), kind="stable")
+        table, ends = table.take(pa.array(order)), np.cumsum(np.bincount(np.repeat(target, counts), minlength=targets))
+        author, j = table["author"].combine_chunks(), table["j"].combine_chunks()
+        rows = []
+        for t in np.unique(np.append(target, own)).tolist():
+            begin, end, mine = int(ends[t - 1]) if t else 0, int(ends[t]), np.flatnonzero(target == t)
+            rows.append({"target": t, "data": pack(
+                values.take(pa.array(mine)), counts[mine].astype(np.uint32), _plain(author.slice(begin, end - begin)),
+                _plain(j.slice(begin, end - begin)), strong.take(pa.array(np.flatnonzero(own == t))))})
+        return pa.RecordBatch.from_pylist(rows, pa.schema([("target", pa.int32()), ("data", pa.binary())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, enough, strong = [], 0, FOLD, None
+        for e in batches:
+            some = e["strong"].filter(e["strong"])
+            if len(some):
+                found = [x.filter(e["strong"]) for x in (e["a"], e["b"])]
+                strong = pa.concat_arrays(found if strong is None else [strong, *found]).unique()
+            known = e.filter(pc.is_valid(e["author"]))
+            held += [pa.table({"i": known[i], "author": known["author"], "j": known[j]}) for i, j in (("a", "b"), ("b", "a"))]
+            rows += 2 * known.num_rows
+            if rows >= enough:
+                held = [_first_candidates(pa.concat_tables(held))]
+                rows = held[0].num_rows
+                if rows >= HELD:
+                    yield packed(held[0], held[0]["i"].combine_chunks().slice(0, 0))
+                    held, rows = [], 0
+                enough = max(FOLD, 2 * rows)
+        if held:
+            table = _first_candidates(pa.concat_tables(held))
+            strong = table["i"].combine_chunks().slice(0, 0) if strong is None else strong
+            if table.num_rows or len(strong):
+                yield packed(table, strong)
+        elif strong is not None:
+            yield packed(pa.table({"i": strong.slice(0, 0), "author": strong.slice(0, 0), "j": strong.slice(0, 0)}), strong)
+    return run
+
+
+def strong_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All data of one target -> (author, i, j) of the strong communities i."""
+    parts = [data.as_py() for b in batches for data in b["data"]]
+    strong = None
+    for data in parts:
+        found = unpack(data)[4]
+        strong = found if strong is None else pa.concat_arrays([strong, found])
+    for data in parts:
+        values, counts, author, j, _ = unpack(data)
+        keep = pc.is_in(values, value_set=strong).to_numpy(zero_copy_only=False)
+        kept = pa.array(np.flatnonzero(np.repeat(keep, counts)))
+        if len(kept):
+            yield pa.RecordBatch.from_pydict({
+                "author": pa.array(author).take(kept), "i": values.take(pa.array(np.repeat(np.arange(len(keep)), counts)[kept])),
+                "j": pa.array(j).take(kept)})

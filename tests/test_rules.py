@@ -247,6 +247,47 @@ def test_suitable_authors_first_qualifying_pair(spark):
     assert got == {"b": (1, 3)}
 
 
+@pytest.mark.parametrize("name", [lambda i: f"s{i:02d}", lambda i: i - 5])
+def test_candidates_are_folded_in_the_task_and_dealt_by_community(name, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(pairing, "FOLD", 60)
+    monkeypatch.setattr(pairing, "HELD", 90)
+    rng = random.Random(6)
+    kind = pa.string() if isinstance(name(0), str) else pa.int64()
+    schema = pa.schema([("a", kind), ("b", kind), ("strong", pa.bool_()), ("author", pa.string())])
+    edges = [(name(i), name(j), strong, None if strong else f"u{rng.randint(0, 30)}")
+             for i, j in itertools.combinations(range(25), 2) if rng.random() < 0.7 for strong in [i < 20 and rng.random() < 0.05]]
+    strong = {s for a, b, yes, _ in edges if yes for s in (a, b)}
+    want = {}
+    for a, b, _, author in edges:
+        for i, j in ((a, b), (b, a)):
+            if author and i in strong:
+                want[author] = min(want.get(author, (i, j)), (i, j))
+    sent, by_target = 0, {}
+    for part in (edges[:100], edges[100:101], edges[101:], [e for e in edges if e[2]]):  # four tasks
+        batches = [pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*part[at:at + 20])))), schema)
+                   for at in range(0, len(part), 20)]
+        for out in pairing.fold_candidates(3)(iter(batches)):
+            for row in out.to_pylist():
+                by_target.setdefault(row["target"], []).append(row["data"])
+                sent += len(pairing.unpack(row["data"])[2])
+    assert 0 < len(strong) < 25 and sent <= 2 * sum(e[3] is not None for e in edges) and set(by_target) == {0, 1, 2}
+    got = {}
+    for data in by_target.values():
+        for out in pairing.strong_candidates(iter([pa.RecordBatch.from_pydict({"data": data})])):
+            for r in out.to_pylist():
+                got[r["author"]] = min(got.get(r["author"], (r["i"], r["j"])), (r["i"], r["j"]))
+    assert got == want
+
+
+def test_candidates_are_not_joined_again(spark):
+    got = graph.suitable_authors(_suitable_edges(spark), min_max_neighbours=3, min_chars=50)
+    # The communities that pass are known where their candidates lie: no stored candidates, no join.
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [("b", 1, 3)]
+
+
 def test_suitable_authors_order_keeps_unlisted_communities(spark):
     order = spark.createDataFrame([(6, 0), (1, 1)], "subreddit BIGINT, subreddit_order INT")
     got = {r.author: (r.subreddit_0, r.subreddit_1) for r in graph.suitable_authors(
