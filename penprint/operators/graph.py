@@ -40,7 +40,7 @@ MIN_CHARS_PER_SUBREDDIT = 5000         # P16: characters in each of the two (>=)
 
 # Entries of a packed batch of lists, pairs of a cell at most and, with no more than ``TASKS`` cells, at least.
 PART = 1 << 17
-CELL, LEAST, TASKS = 1 << 25, 1 << 20, 28
+CELL, LEAST, TASKS = 1 << 26, 1 << 20, 28
 
 
 def _known(name: str) -> Column:

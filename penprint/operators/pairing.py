@@ -9,6 +9,7 @@ communities first, each half ascending; a pair needs one large community.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -18,9 +19,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Pairs expanded at once, list entries looked at for them, and rows handed on in one list.
+# Pairs expanded at once, list entries looked at for them and put in order at once, and rows handed on in one list.
 RUN = 1 << 19
 LOOK = 1 << 18
+ORDER = 1 << 21
 ROWS = 4096
 
 NAMES, LISTS = 0, 1
@@ -233,7 +235,7 @@ class Side:
     offsets: np.ndarray
     large: np.ndarray
     ids: np.ndarray
-    chars: np.ndarray
+    codes: np.ndarray
     names: pa.Array
 
 
@@ -243,6 +245,7 @@ class Cell:
     def __init__(self, rows: Iterator[pa.RecordBatch]):
         names: dict[int, list] = {}
         parts: list[list] = []
+        self.known: dict[float | None, int] = {}
         for b in rows:
             for kind, data in zip(b["kind"].to_pylist(), b["data"], strict=True):
                 got = unpack(data.as_py())
@@ -250,49 +253,67 @@ class Cell:
                     names.setdefault(int(got[0][0]), []).append((np.cumsum(got[1]), got[2]))
                 else:
                     parts.append([got[0], *(x for k in range(1, len(got), 4) for x in (
-                        got[k], got[k + 1], _numbers(got[k + 2], got[k], got[k + 1]).astype(np.int32), got[k + 3]))])
+                        got[k], got[k + 1], _numbers(got[k + 2], got[k], got[k + 1]).astype(np.int32), self._codes(got[k + 3])))])
         self.sides: list[Side] = []
         if not parts:
             return
+        self.values = np.array([np.nan if v is None else v for v in self.known], np.float64)
         columns = [list(x) for x in zip(*parts, strict=True)]
-        parts.clear()
+        del parts
+
+        def whole(k: int) -> np.ndarray:  # one column at a time
+            out, columns[k] = np.concatenate(columns[k]), []
+            return out
         self.authors = pa.concat_arrays(columns[0])
-        blocks = sorted(names)
-        for k in range(1, len(columns), 4):
-            counts, large, ids, chars = (np.concatenate(x) for x in columns[k:k + 4])
-            columns[k:k + 4] = [[]] * 4
-            local, values = zip(*names[blocks[k // 4]], strict=True)
+        for block, k in zip(sorted(names), range(1, len(columns), 4), strict=True):
+            local, values = zip(*names[block], strict=True)
             named = pa.concat_arrays(values).take(pa.array(np.argsort(np.concatenate(local))))
-            self.sides.append(Side(np.append(0, np.cumsum(counts, dtype=np.int64)), large.astype(np.int64), ids, chars, named))
+            offsets = np.append(0, np.cumsum(whole(k), dtype=np.int64))
+            self.sides.append(Side(offsets, whole(k + 1).astype(np.int32), whole(k + 2), whole(k + 3), named))
         lists = np.diff(self.sides[0].offsets)
         self.author = np.repeat(np.arange(len(lists), dtype=np.int32), lists)  # of the entries of the first side
 
+    def _codes(self, chars: np.ndarray) -> np.ndarray:
+        """Characters as places in ``values``, in the least bytes; the values of a cell are few beside its entries."""
+        values, at = np.unique(chars, return_inverse=True)
+        codes = np.array([self.known.setdefault(None if v != v else v, len(self.known)) for v in values.tolist()], np.int64)
+        return codes.astype(np.min_scalar_type(len(self.known)))[at]
+
+    def chars(self, side: Side, entries: np.ndarray, where: np.ndarray | None = None) -> pa.Array:
+        return _chars(self.values[side.codes[entries]], where)
+
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
         """Runs of pairs in the order of the first community: (rank of the first community in the run, its entry, the entry
         of the second, whether the last community goes on in the next run)."""
         if not self.sides:
             return
-        a, b, author = self.sides[0], self.sides[-1], self.author
-        large = np.arange(len(a.ids)) - a.offsets[author] < a.large[author]
+        shares = math.ceil(len(self.sides[0].ids) / ORDER)
+        for share in range(shares):
+            yield from self._share(np.flatnonzero(self.sides[0].ids % shares == share))
+
+    def _share(self, entries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+        a, b = self.sides[0], self.sides[-1]
+        who = self.author[entries]
+        large = entries - a.offsets[who] < a.large[who]
         if a is b:  # a large community and what is behind it
-            count = np.where(large, a.offsets[author + 1] - np.arange(len(a.ids)) - 1, 0)
+            count = np.where(large, a.offsets[who + 1] - entries - 1, 0)
         else:
-            count = np.where(large, np.diff(b.offsets)[author], b.large[author])
-        count = count.astype(np.int32)
-        del large
-        order = np.flatnonzero(count)
-        order = order[np.argsort(a.ids[order], kind="stable")]
+            count = np.where(large, b.offsets[who + 1] - b.offsets[who], b.large[who])
+        entries, count = entries[count > 0], count[count > 0]
+        order = np.argsort(a.ids[entries], kind="stable")
+        entries, count = entries[order], count[order]
+        del who, large, order
         at = 0
-        while at < len(order):
-            look = order[at:at + LOOK]
-            look = look[:max(1, int(np.searchsorted(np.cumsum(count[look], dtype=np.int64), RUN, side="right")))]
-            at += len(look)
-            n = count[look]
-            start = look + 1 if a is b else b.offsets[author[look]]
+        while at < len(entries):
+            n = count[at:at + LOOK]
+            n = n[:max(1, int(np.searchsorted(np.cumsum(n), RUN, side="right")))]
+            look = entries[at:at + len(n)]
+            at += len(n)
+            start = look + 1 if a is b else b.offsets[self.author[look]]
             first = np.repeat(look, n)
-            second = np.arange(len(first)) + np.repeat(start - (np.cumsum(n, dtype=np.int64) - n), n)
+            second = np.arange(len(first)) + np.repeat(start - (np.cumsum(n) - n), n)
             rank = np.append(0, np.cumsum(np.diff(a.ids[look]) != 0))
-            yield np.repeat(rank, n), first, second, at < len(order) and a.ids[order[at]] == a.ids[look[-1]]
+            yield np.repeat(rank, n), first, second, at < len(entries) and a.ids[entries[at]] == a.ids[look[-1]]
 
     def edges(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(authors, entry of the first community, entry of the second) of every two communities; the entries of one author."""
@@ -339,7 +360,6 @@ def _taken(values: pa.Array, at: np.ndarray, where: np.ndarray | None = None) ->
 
 def _chars(values: np.ndarray, where: np.ndarray | None = None) -> pa.Array:
     # An unknown number is NaN on the way.
-    values = values.astype(np.float64)
     return pa.array(values, pa.float64(), mask=np.isnan(values) if where is None else np.isnan(values) | ~where)
 
 
@@ -350,7 +370,7 @@ def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, sole = cell.sides[0], cell.sides[-1], n == 1
         yield from _lists({"s1": _taken(a.names, a.ids[first]), "s2": _taken(b.names, b.ids[second]), "n": pa.array(n),
                            "author": _taken(cell.authors, cell.author[first], sole),
-                           "c1": _chars(a.chars[first], sole), "c2": _chars(b.chars[second], sole)})
+                           "c1": cell.chars(a, first, sole), "c2": cell.chars(b, second, sole)})
 
 
 def pairs(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -367,7 +387,7 @@ def pairs(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             # Which of the two is large: the second, or else the first.
             large = second - b.offsets[who] < b.large[who]
             s1, s2 = _taken(a.names, a.ids[first]), _taken(b.names, b.ids[second])
-            c1, c2 = _chars(a.chars[first]), _chars(b.chars[second])
+            c1, c2 = cell.chars(a, first), cell.chars(b, second)
             keep = pa.array(large)
             yield from _lists({
                 "s1": pc.if_else(keep, s1, s2), "q": pa.array(np.where(large, j, i), pa.int32()), "c1": pc.if_else(keep, c1, c2),
@@ -378,38 +398,46 @@ def pairs(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 # ---------------------------------------------------------------- edges -> the best pair of an author
 
 # Candidates looked at before they are folded, and folded ones held by a task.
-FOLD, HELD = 1 << 20, 1 << 22
-
-
-def _coded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Ranks and the distinct values in order."""
-    coded = values.dictionary_encode()
-    order = pc.sort_indices(coded.dictionary).to_numpy()
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return rank[coded.indices.to_numpy(zero_copy_only=False)], coded.dictionary.take(pa.array(order))
+FOLD, HELD = 1 << 20, 1 << 21
 
 
 def _plain(values: pa.Array) -> np.ndarray | pa.Array:
     return values.to_numpy() if pa.types.is_integer(values.type) else values
 
 
-def _first_candidates(table: pa.Table) -> pa.Table:
-    """Of the candidates (i, author, j) the first j of every i and author, by i and author."""
-    both = pa.concat_arrays([table["i"].combine_chunks(), table["j"].combine_chunks()])
-    places, names = _coded(both)
-    who, authors = _coded(table["author"].combine_chunks())
-    i, j = places[:len(who)], places[len(who):]
-    if len(names) ** 2 * len(authors) < 1 << 62:
-        key = np.sort((i * len(authors) + who) * len(names) + j)
-        key, j = key // len(names), key % len(names)
+def _first_candidates(held: list[pa.Table]) -> pa.Table:
+    """Of the candidates (i, author, j) the first j of every i and author, by i and author. Takes the tables out of the list."""
+    table = pa.concat_tables(held)
+    held.clear()
+
+    def known(*columns: str) -> pa.Array:
+        values = pa.chunked_array([c for name in columns for c in table[name].chunks], table[columns[0]].type).unique()
+        return values.take(pc.sort_indices(values))
+
+    def codes(name: str, values: pa.Array) -> np.ndarray:
+        return pc.index_in(table[name], value_set=values).to_numpy()
+    names, authors = known("i", "j"), known("author")
+    n, m = max(len(names), 1), max(len(authors), 1)
+    if n * n * m < 1 << 62:
+        key = codes("i", names).astype(np.int64)
+        key *= m
+        key += codes("author", authors)
+        key *= n
+        key += codes("j", names)
+        del table
+        key.sort()
+        who = key // n
+        first = np.append(True, who[1:] != who[:-1])[:len(who)]
+        who, j = who[first], (key[first] % n)
+        i, who = who // m, who % m
     else:
+        i, who, j = codes("i", names), codes("author", authors), codes("j", names)
+        del table
         order = np.lexsort((j, who, i))
-        key, j = i[order] * len(authors) + who[order], j[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    key, j = key[first], j[first]
-    return pa.table({"i": names.take(pa.array(key // max(len(authors), 1))), "author": authors.take(pa.array(key % max(len(authors), 1))),
-                     "j": names.take(pa.array(j))})
+        i, who, j = i[order], who[order], j[order]
+        first = np.append(True, (i[1:] != i[:-1]) | (who[1:] != who[:-1]))[:len(i)]
+        i, who, j = i[first], who[first], j[first]
+    return pa.table({"i": names.take(pa.array(i)), "author": authors.take(pa.array(who)), "j": names.take(pa.array(j))})
 
 
 def fold_candidates(targets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -446,14 +474,14 @@ def fold_candidates(targets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             held += [pa.table({"i": known[i], "author": known["author"], "j": known[j]}) for i, j in (("a", "b"), ("b", "a"))]
             rows += 2 * known.num_rows
             if rows >= enough:
-                held = [_first_candidates(pa.concat_tables(held))]
+                held = [_first_candidates(held)]
                 rows = held[0].num_rows
                 if rows >= HELD:
                     yield packed(held[0], held[0]["i"].combine_chunks().slice(0, 0))
                     held, rows = [], 0
-                enough = max(FOLD, 2 * rows)
+                enough = rows + FOLD
         if held:
-            table = _first_candidates(pa.concat_tables(held))
+            table = _first_candidates(held)
             strong = table["i"].combine_chunks().slice(0, 0) if strong is None else strong
             if table.num_rows or len(strong):
                 yield packed(table, strong)

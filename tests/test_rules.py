@@ -152,6 +152,7 @@ def test_cells_make_every_pair_once_in_short_runs(monkeypatch):
 
     monkeypatch.setattr(pairing, "RUN", 5)
     monkeypatch.setattr(pairing, "LOOK", 3)
+    monkeypatch.setattr(pairing, "ORDER", 50)
     monkeypatch.setattr(pairing, "ROWS", 4)
     rng = random.Random(11)
     lists = {f"a{a:02d}": sorted(rng.sample(range(40), rng.randint(2, 9))) for a in range(30)} | {"hot": list(range(40))}
