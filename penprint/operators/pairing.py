@@ -20,9 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Pairs expanded at once, list entries looked at for them and put in order at once, and rows handed on in one list.
-RUN = 1 << 19
+RUN = 1 << 18
 LOOK = 1 << 18
-ORDER = 1 << 21
+ORDER = 1 << 20
 ROWS = 4096
 
 NAMES, LISTS = 0, 1
@@ -398,7 +398,7 @@ def pairs(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 # ---------------------------------------------------------------- edges -> the best pair of an author
 
 # Candidates looked at before they are folded, and folded ones held by a task.
-FOLD, HELD = 1 << 20, 1 << 21
+FOLD, HELD = 1 << 18, 1 << 19
 
 
 def _plain(values: pa.Array) -> np.ndarray | pa.Array:
